@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltstone.llm import chat, linededup, packing, quality
+from siltstone.llm import chat, linededup, packing, quality, suffixes
 from siltstone.llm._common import table
 
 
@@ -16,6 +16,10 @@ def op1_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.chat_digests(chat.format_chats(rows.unionByName(more)))
 
 
+def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = linededup.dedup_lines(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_lines", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
@@ -29,7 +33,7 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_chat_formatting, op3_line_dedup, op4_quality_rules, op6_packing)}
+QUERIES = {f.__name__: f for f in (op1_chat_formatting, op2_suffix_dedup, op3_line_dedup, op4_quality_rules, op6_packing)}
 
 _SAID = "</s>[INST] ok [/INST]"
 _ESCAPED = r"""regexp_replace(text, '([<\[])(\\*)(/?s>|/?(?:SYS|INST|ROLE)\]|(?:OUT|BODY|TURN)\])', '\1\\\2\3', 'g')"""
