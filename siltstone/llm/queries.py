@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltstone.llm import chat, linededup, neardup, packing, quality, suffixes
+from siltstone.llm import chat, decontaminate, licenses, linededup, neardup, packing, quality, suffixes
 from siltstone.llm._common import table
 
 
@@ -37,7 +37,15 @@ def op7_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.classes(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "class_rows")
 
 
-QUERIES = {f.__name__: f for f in (op1_chat_formatting, op2_suffix_dedup, op3_line_dedup, op4_quality_rules, op6_packing, op7_minhash_near_dedup)}
+def op5_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan_licenses(table(spark, sf_dir, "documents"))
+
+
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+QUERIES = {f.__name__: f for f in (op1_chat_formatting, op2_suffix_dedup, op3_line_dedup, op4_quality_rules, op5_license_scans, op6_packing, op7_minhash_near_dedup, op8_decontamination)}
 
 _SAID = "</s>[INST] ok [/INST]"
 _ESCAPED = r"""regexp_replace(text, '([<\[])(\\*)(/?s>|/?(?:SYS|INST|ROLE)\]|(?:OUT|BODY|TURN)\])', '\1\\\2\3', 'g')"""
