@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltstone.llm import chat, decontaminate, licenses, linededup, neardup, packing, quality, suffixes
-from siltstone.llm._common import table
+from siltstone.llm import chat, decontaminate, html, licenses, linededup, neardup, packing, quality, sharding, suffixes
+from siltstone.llm._common import scratch_path, table
 
 
 def op1_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -45,7 +45,18 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op1_chat_formatting, op2_suffix_dedup, op3_line_dedup, op4_quality_rules, op5_license_scans, op6_packing, op7_minhash_near_dedup, op8_decontamination)}
+def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document with the shard that the last version keeps it in, read back from the shards."""
+    shards = sharding.shard(table(spark, sf_dir, "documents"), scratch_path(spark, "shards"))
+    rows = shards.read(schema="doc_id long, text string, lang string, source string, n_chars long")
+    return rows.select("doc_id", F.sha2("text", 256).alias("text_sha256"), "shard")
+
+
+def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract(table(spark, sf_dir, "pages"))
+
+
+QUERIES = {f.__name__: f for f in (op1_chat_formatting, op2_suffix_dedup, op3_line_dedup, op4_quality_rules, op5_license_scans, op6_packing, op7_minhash_near_dedup, op8_decontamination, op9_sharding, op10_html_extraction)}
 
 _SAID = "</s>[INST] ok [/INST]"
 _ESCAPED = r"""regexp_replace(text, '([<\[])(\\*)(/?s>|/?(?:SYS|INST|ROLE)\]|(?:OUT|BODY|TURN)\])', '\1\\\2\3', 'g')"""
