@@ -12,7 +12,10 @@ dealt to the patterns' slots.
 
 from __future__ import annotations
 
+import re
+import unicodedata
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -39,30 +42,67 @@ def default_vocabulary() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+#: Letters, then marks: two parts in the tokenizer's own split, whatever they are.
+_WORD_AND_MARKS = re.compile(r"([^\W\d_]+)([!-&(-/:-@[-^`{-~]*)\Z")
+
+
+def _byte_letters() -> list[str]:
+    """The letter that stands for each byte in a byte-level vocabulary: itself if it can be seen, else one from 256 on."""
+    seen = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    hidden = [b for b in range(256) if b not in set(seen)]
+    letters = {b: chr(b) for b in seen} | {b: chr(256 + k) for k, b in enumerate(hidden)}
+    return [letters[b] for b in range(256)]
+
+
 class _Ids(dict):
-    """Ids of a piece of text without blanks or line ends, as little-endian bytes."""
+    """Ids of a piece of text without blanks or line ends, as little-endian bytes. The last ``REMEMBER`` or more pieces are remembered."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
+        self.letters = _byte_letters()
+        self.old: dict[str, bytes] = {}
+        self[""] = b""
 
     def encode(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-
-    def __missing__(self, word: str) -> bytes:
+        return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+
+    def word(self, word: str) -> bytes:
+        """Ids of letters alone, which the tokenizer's split keeps whole: what its model makes of their lower case."""
+        low = word.lower() if word.isascii() else unicodedata.normalize("NFC", word).lower()
+        if not low.isalpha():
+            return self.encode(word)
+        if not low.isascii():
+            low = "".join(map(self.letters.__getitem__, low.encode()))
+        return array("I", [t.id for t in self.model.tokenize(low)]).tobytes()
+
+    def __missing__(self, piece: str) -> bytes:
         if len(self) >= REMEMBER:
+            self.old = dict(self)
             self.clear()
-        # a run of letters, then one mark, are two parts in the tokenizer's own split; letters lose their case
-        core, mark = (word[:-1], word[-1]) if len(word) > 1 and word[-1] in ".," and word[:-1].isalpha() else (word, "")
-        if core.isalpha() and (core != (low := core.lower()) or mark):
-            ids = (self[low] if low != word else self.encode(low)) + (self[mark] if mark else b"")
-        else:
-            ids = self.encode(word)
-        self[word] = ids
+        ids = self.old.get(piece)
+        if ids is None:
+            if found := _WORD_AND_MARKS.match(piece):
+                letters, marks = found.groups()
+                ids = self[letters] + self[marks] if marks else self.word(letters)
+            else:
+                ids = self.encode(piece)
+        self[piece] = ids
         return ids
 
 
+_known: dict[str, _Ids] = {}
+
+
+def _ids(path: str) -> _Ids:
+    """One for each worker process, which later tasks find filled."""
+    if path not in _known:
+        _known[path] = _Ids(path)
+    return _known[path]
+
+
 def ids_of(text: str | None, words: _Ids) -> bytes:
     """Ids of a whole text: it is cut at blanks and line ends, across which no token reaches."""
     return b"".join(map(words.__getitem__, text.replace("\n", " ").split(" "))) if text else b""
@@ -76,8 +116,7 @@ def pieces(df: DataFrame, doc_id: str = "doc_id", text: str = "text", vocabulary
     path = vocabulary or default_vocabulary()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = _Ids(path)
-        words[""] = b""
+        words = _ids(path)
         end = np.array([end_id], "<u4").tobytes()
         for batch in batches:
             rows: list[tuple] = []
