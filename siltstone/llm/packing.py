@@ -28,7 +28,7 @@ from siltstone.llm._common import cut, pick, shuffle_partitions
 
 LENGTH = 2048
 #: Rests are rounded up to a multiple of this many ids for the histogram.
-GRAIN = 4
+GRAIN = 8
 END_ID = 1
 #: Words whose ids a task remembers before it forgets them all.
 REMEMBER = 400_000
