@@ -20,7 +20,7 @@ def table_rows(df: DataFrame, doc_id: str, text: str) -> DataFrame:
     bars = lambda l: F.regexp_replace(F.trim(l), r"^\||\|$", "")
     cut = lambda l: F.when(l.contains("|"), F.split(bars(l), r"\s*\|\s*", -1)).when(l.contains("\t"), F.split(l, "\t", -1)).otherwise(F.split(F.trim(l), r" {2,}", -1))
     rule = lambda l: l.rlike(r"^[\s|:+=-]*$")
-    base = df.select(F.col(quoted(doc_id)).alias("doc_id"), F.filter(F.transform(lines, lambda l: F.when(~rule(l), F.transform(cut(l), F.trim))), lambda x: F.lit(True)).alias("l"))
+    base = df.select(F.col(quoted(doc_id)).alias("doc_id"), F.filter(F.transform(lines, lambda l: F.when(~rule(l), F.transform(cut(l), lambda x: F.trim(x)))), lambda x: F.lit(True)).alias("l"))
     start = F.struct(F.lit(0).alias("table"), F.lit(0).alias("width"), F.lit(0).alias("row"), F.array().cast("array<struct<table:int,row:int,cells:array<string>>>").alias("out"))
     def step(acc, l):
         n = F.coalesce(F.size(l), F.lit(0))
