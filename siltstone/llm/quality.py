@@ -35,7 +35,7 @@ STEPS = 6
 #: Quantile of the chi-squared distribution, of as many degrees as FEATURES, at the cut.
 QUANTILE = 0.9999
 #: Fewest rows of a group for which a verdict is possible.
-MIN_GROUP = 20
+MIN_GROUP = 8
 #: Groups up to this many are sent to all executors; more are joined by shuffle.
 BROADCAST_GROUPS = 10_000
 
@@ -43,8 +43,8 @@ BROADCAST_GROUPS = 10_000
 FEATURES = {
     "x0": ("log of the mean length of a word", 0.12),
     "x1": ("root of the share of symbols among the characters of words", 0.05),
-    "x2": ("root of the share of duplicate lines", 0.12),
-    "x3": ("root of the share of words in repeated windows", 0.12),
+    "x2": ("root of the share of duplicate lines", 0.2),
+    "x3": ("root of the share of words in repeated windows", 0.2),
 }
 _DIM = len(FEATURES)
 _NAMES = list(FEATURES)
