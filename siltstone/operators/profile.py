@@ -1,8 +1,9 @@
 """Column profiles, diagnostics and the health score.
 
 One wide aggregation over all columns gives counts, one more gives quartiles of
-the numeric ones, and one long one (a row per column and value) gives distinct
-values and the commonest. Decisions are made on the driver from those few rows.
+the numeric ones, and one long one (a row per column and value's hash) gives
+distinct values; columns of few values are then counted by value. Decisions are
+made on the driver from those few rows.
 """
 
 from __future__ import annotations
@@ -159,6 +160,13 @@ def frequencies(df: DataFrame, columns: list[str]) -> DataFrame:
     return rows.groupBy("column", "value").agg(F.count("*").alias("n"), F.min(ROW).alias("first"))
 
 
+def distinct_values(df: DataFrame, columns: list[str]) -> DataFrame:
+    """column, unique, most: distinct texts and rows of the commonest, counted by a 64-bit hash so that long texts are not shuffled."""
+    stacked = F.explode(F.array(*(F.struct(F.lit(c).alias("column"), F.when(~cells.is_blank(col(c)), F.xxhash64(cells.text_of(col(c)))).alias("h")) for c in columns)))
+    counts = df.select(stacked.alias("x")).select("x.*").filter("h is not null").groupBy("column", "h").count()
+    return counts.groupBy("column").agg(F.count("*").alias("unique"), F.max("count").alias("most"))
+
+
 def variants(counts: list[tuple[str, int]]) -> dict[str, str]:
     """Rare spelling to common one, for values in order of count: the same key, a plural, or a typo of up to two letters."""
     def key(s: str) -> str:
@@ -218,9 +226,8 @@ def profile(df: DataFrame, skipped: frozenset[str] = frozenset()) -> Profile:
         blank = blank & cells.is_blank(col(c))
     first = df.agg(F.count("*").alias("rows"), F.count_if(blank).alias("blank"), *(v.alias(k) for k, v in wide.items())).first().asDict()
     rows = first["rows"]
-    counts = frequencies(df, columns)
     order = W.partitionBy("column").orderBy(F.desc("n"), "first", "value")
-    per = {r["column"]: r for r in counts.groupBy("column").agg(F.count("*").alias("unique"), F.max("n").alias("most")).collect()}
+    per = {r["column"]: r for r in distinct_values(df, columns).collect()}
     few = [c for c, r in per.items() if r["unique"] <= VARIANT_VALUES]
     top: dict[str, list[tuple[str, int]]] = {}
     if few:  # columns of few values are counted again alone, so that the window only sees those values
