@@ -33,8 +33,8 @@ LENGTH = 200
 K = 64
 #: Bytes to which the multikey quicksort goes.
 SHALLOW = 32
-#: Anchors with more different runs than this are split by the windows' hashes.
-CROWDED = 2000
+#: Anchors with more different runs than this (about 6 MB of bytes) are split by the windows' hashes.
+CROWDED = 20_000
 #: Bytes that are hashed at a time; a longer text is cut into overlapping parts.
 _BLOCK = 1 << 20
 
@@ -379,6 +379,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, k: int = K, crowded: i
     """
     spark = docs.sparkSession
     seen = docs.select("text").mapInArrow(_count_anchors(length, k), _ddl(_COUNTS)).groupBy("m").agg(F.sum("c").alias("c")).filter("c > 1").select("m")
+    seen = cut(seen)  # so that both sides of the join are plain shuffles, of which Spark can split a skewed one
     found = store(docs.mapInArrow(_list_runs(length, k), _ddl(_RUNS)).join(seen, "m", "left_semi"), "runs")
     del seen
     release(spark)
