@@ -7,6 +7,7 @@ import gc
 import os
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,18 +19,8 @@ def pick(df: DataFrame, **columns: str) -> DataFrame:
     An exact match of the name wins over one that differs in case, and the
     first of several equal names wins, so extra columns that clash are harmless.
     """
-    names = df.columns
-    lower = [n.lower() for n in names]
-    flat = df.toDF(*[f"__c{i}" for i in range(len(names))])
-    out = []
-    for new, old in columns.items():
-        if old in names:
-            at = names.index(old)
-        elif old.lower() in lower:
-            at = lower.index(old.lower())
-        else:
-            raise ValueError(f"no column {old!r} among {names}")
-        out.append(F.col(f"__c{at}").alias(new))
+    flat = df.toDF(*[f"__c{i}" for i in range(len(df.columns))])
+    out = [F.col(f"__c{place_of(df, old)}").alias(new) for new, old in columns.items()]
     return flat.select(*out)
 
 
@@ -101,3 +92,21 @@ def release(spark: SparkSession) -> None:
     """Let Spark delete shuffle files that nothing refers to any more; it learns of them from the driver's garbage collection."""
     gc.collect()
     spark.sparkContext._jvm.System.gc()
+
+
+def place_of(df: DataFrame, name: str) -> int:
+    """The place of a column: the first of that very name, else the first that differs in case alone."""
+    names = df.columns
+    if name in names:
+        return names.index(name)
+    lower = [n.lower() for n in names]
+    if name.lower() in lower:
+        return lower.index(name.lower())
+    raise ValueError(f"no column {name!r} among {names}")
+
+
+def by_place(docs: DataFrame, stage: Callable[..., DataFrame], *columns: str) -> DataFrame:
+    """``stage(flat, name, ...)`` on ``docs`` with its columns renamed by place, so that none clash; names are put back after it."""
+    flat = docs.toDF(*[f"__c{i}" for i in range(len(docs.columns))])
+    out = stage(flat, *(f"__c{place_of(docs, c)}" for c in columns))
+    return out.select(*flat.columns).toDF(*docs.columns)

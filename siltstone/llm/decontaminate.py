@@ -19,10 +19,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siltstone.llm._common import cut, pick
+from siltstone.llm._common import by_place, cut, pick
 
 TILE = 4
 COVERAGE = 0.6
@@ -217,12 +217,18 @@ def clean_documents(docs: DataFrame, benchmark: DataFrame, tile: int = TILE, cov
     items = pick(benchmark, item_id="item_id", text="text")
     rows = _collected(items, broadcast_chars)
     if rows is None:
-        found = leaks(docs, benchmark, tile=tile, coverage=coverage, broadcast_chars=broadcast_chars).select(F.col("doc_id").alias("__d")).distinct()
-        return docs.join(found, docs["doc_id"].eqNullSafe(F.col("__d")), "left_anti")
+
+        def far(flat: DataFrame, doc_id: str, text: str) -> DataFrame:
+            found = leaks(flat, benchmark, doc_id, text, tile=tile, coverage=coverage, broadcast_chars=broadcast_chars)
+            return flat.join(found.select(F.col("doc_id").alias("__d")).distinct(), flat[doc_id].eqNullSafe(F.col("__d")), "left_anti")
+
+        return by_place(docs, far, "doc_id", "text")
     index = Items(rows, tile)
 
     def holds(texts: pa.Array) -> pa.Array:
         return pa.array([any(c >= coverage * n for _, n, c, _ in index.pairs(t.as_py())) for t in texts], pa.bool_())
 
-    flag: Column = F.arrow_udf(holds, returnType="boolean")(docs["text"])
-    return docs.select("*", flag.alias("__holds")).filter(~F.col("__holds")).select(*docs.columns)
+    def near(flat: DataFrame, text: str) -> DataFrame:
+        return flat.select("*", F.arrow_udf(holds, returnType="boolean")(text).alias("__holds")).filter(~F.col("__holds"))
+
+    return by_place(docs, near, "text")

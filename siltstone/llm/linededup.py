@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from siltstone.llm._common import pick
+from siltstone.llm._common import by_place, pick
 
 WINDOW = 3
 
@@ -76,9 +76,14 @@ def dedup_lines(df: DataFrame, doc_id: str = "doc_id", text: str = "text", size:
 
 def dedup_documents(docs: DataFrame) -> DataFrame:
     """The pipeline's form: every column of ``docs``, with text and n_chars after the removal; a text of which nothing stays goes."""
-    both = _joined(docs, docs["doc_id"], docs["text"], repeated_lines(docs))
-    changed = F.col("__gone").isNotNull()
-    out = both.withColumn("text", F.when(changed, _kept()).otherwise(F.col("text")))
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(changed, F.length("text").cast("long")).otherwise(F.col("n_chars")))
-    return out.filter(~changed | (F.col("text") != "")).select(*docs.columns)
+    counted = any(c.lower() == "n_chars" for c in docs.columns)
+
+    def stage(flat: DataFrame, doc_id: str, text: str, *n_chars: str) -> DataFrame:
+        both = _joined(flat, flat[doc_id], flat[text], repeated_lines(flat, doc_id, text))
+        changed = F.col("__gone").isNotNull()
+        out = both.withColumn(text, F.when(changed, _kept()).otherwise(F.col(text)))
+        for n in n_chars:
+            out = out.withColumn(n, F.when(changed, F.length(text).cast("long")).otherwise(F.col(n)))
+        return out.filter(~changed | (F.col(text) != ""))
+
+    return by_place(docs, stage, "doc_id", "text", *["n_chars"] * counted)

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from siltstone.llm._common import cut, pick
+from siltstone.llm._common import by_place, cut, pick
 
 MIN_WORDS = 20
 #: Share of words in repeated windows, in percent, over which the base rules reject.
@@ -244,19 +244,14 @@ def score(df: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str =
 
 
 def keep_documents(docs: DataFrame) -> DataFrame:
-    """The pipeline's form: the rows of ``docs`` that are kept, with all their columns."""
-    own = docs.columns
-    rows = docs.select("*", stats_of(docs["text"]).alias("__stats"))
-    vectors = docs.select("lang", "source", stats_of(docs["text"]).alias("s")).select("lang", "source", base_failed().alias("b"), *features()).filter(~F.col("b"))
-    model, few = fit(vectors)
-    rows = rows.select(*own, F.col("lang").alias("__l"), F.col("source").alias("__s"), base_failed("__stats").alias("__base"), *(f.alias(f"__{n}") for f, n in zip(features("__stats"), _NAMES, strict=True)))
-    m = model.select(F.col("lang").alias("__lang"), F.col("source").alias("__source"), F.col("n").alias("__n"), *(F.col(c.split()[0]).alias("__" + c.split()[0]) for c in _MODEL.split(", ")[3:]))
-    if few:
-        m = F.broadcast(m)
-    both = rows.join(m, rows["__l"].eqNullSafe(m["__lang"]) & rows["__s"].eqNullSafe(m["__source"]), "left")
-    diff = [F.col(f"__{x}") - F.col(f"__m{i}") for i, x in enumerate(_NAMES)]
-    d2 = F.lit(0.0)
-    for i, j in _PAIRS:
-        d2 = d2 + diff[i] * diff[j] * F.col(f"__q{i}{j}") * (1 if i == j else 2)
-    outlier = F.coalesce((F.col("__n") >= MIN_GROUP) & (d2 > chi2_quantile(QUANTILE, _DIM)), F.lit(False))
-    return both.filter(~F.col("__base") & ~outlier).select(*own)
+    """The pipeline's form: the rows of ``docs`` that are kept, with all their columns. Texts are read twice and never shuffled."""
+
+    def stage(flat: DataFrame, text: str, lang: str, source: str) -> DataFrame:
+        own = flat.columns
+        vectors = flat.select(F.col(lang).alias("lang"), F.col(source).alias("source"), stats_of(text).alias("s"))
+        model, few = fit(vectors.select("lang", "source", base_failed().alias("b"), *features()).filter(~F.col("b")))
+        rows = flat.select("*", stats_of(text).alias("s"))
+        rows = rows.select(*own, F.col(lang).alias("__l"), F.col(source).alias("__s"), base_failed().alias("base_failed"), *features())
+        return _with_distance(rows, model, few, [*map(F.col, own), F.col("base_failed")]).filter(_verdict())
+
+    return by_place(docs, stage, "text", "lang", "source")

@@ -23,3 +23,14 @@ def test_stages_keep_columns_and_take_effect(spark):
     assert counts == sorted(counts, reverse=True) and counts[-1] < counts[0]
     pieces = corpus_pipeline.STAGES[-1][1](spark, docs, SF)
     assert {x["doc_id"] for x in pieces.select("doc_id").collect()} == {x["doc_id"] for x in docs.select("doc_id").collect()}
+
+
+def test_stages_take_columns_that_clash(spark):
+    """Names that differ in case alone, and names that the stages use themselves."""
+    rows = [(1, "some words of a text", "en", "s", 20, "other", 1, 2, "x"), (1, "some words of a text", "en", "s", 20, "other", 1, 2, "x"), (None, None, None, None, None, None, None, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, Text string, __gone int, base_failed int, s string")
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, SF)
+        assert out.columns == docs.columns
+        out.collect()
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, SF).count() == 3
