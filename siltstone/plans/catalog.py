@@ -17,6 +17,7 @@ from siltstone.operators import charts, clean, issues, joins, kpi, missing, outl
 from siltstone.operators import profile as prof
 from siltstone.operators import query as q
 from siltstone.operators.pivot import OTHER, TOTAL, Pivot, drill, pivot
+from siltstone.plans import workflow
 from siltstone.plans.recipe import Dataset
 from siltstone.sources import text_tables
 from siltstone.streaming import windows
@@ -514,6 +515,18 @@ def text_table_rows(spark, sf_dir):
     return rows.groupBy("doc_id", "table").agg(F.count("*").alias("n"), F.max(F.size("cells")).alias("width"))
 
 
+@registered("SELECT o_custkey, max(o_orderdate)::DATE::VARCHAR AS day, arg_max(o_totalprice, (o_orderdate, o_orderkey)) AS o_totalprice FROM orders GROUP BY 1")
+def recipe_book_newest(spark, sf_dir):
+    rows = _t(spark, sf_dir, "orders").select("o_custkey", "o_orderdate", "o_orderkey", "o_totalprice")
+    return workflow.newest(rows, "o_custkey", "o_orderdate", "o_orderkey").select("o_custkey", F.date_format("o_orderdate", "yyyy-MM-dd").alias("day"), "o_totalprice")
+
+
+@registered("""WITH s AS (SELECT DISTINCT p_name AS label, CASE WHEN p_name = 'red ring' THEN 1000 WHEN starts_with(p_name, 'red ring') THEN 800 WHEN regexp_matches(p_name, '\\bred ring') THEN 600 WHEN contains(p_name, 'red ring') THEN 400 WHEN regexp_matches(p_name, 'r.*e.*d.*r.*i.*n.*g') THEN 100 END AS score FROM part)
+SELECT label, score FROM s WHERE score IS NOT NULL ORDER BY score DESC, length(label), label LIMIT 20""")
+def workspace_search(spark, sf_dir):
+    return workflow.search(_t(spark, sf_dir, "part"), "p_name", "Red Ring")
+
+
 # ---- event streams, run here over the whole table
 
 

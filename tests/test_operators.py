@@ -6,7 +6,8 @@ from siltstone.operators import charts, clean, insights, issues, joins, kpi, mis
 from siltstone.operators import profile as prof
 from siltstone.operators import query as q
 from siltstone.operators.pivot import OTHER, Pivot, drill, matched_rows, pivot
-from siltstone.plans import recipe, report
+from siltstone.plans import recipe, report, workflow
+from siltstone.sources import sample
 
 
 def frame(spark, rows, schema):
@@ -213,3 +214,23 @@ def test_periods(spark):
     d = periods.diff(a, same, p, prof.profile(same))
     assert d["numbers"][0]["change"] == 25 and d["categories"]["Region"]["appeared"] == ["LATAM"]
     assert any("LATAM appeared" in s for s in periods.narrative(d))
+
+
+def test_workflows(spark):
+    df = frame(spark, [(" a ", "1")], "t string, n string")
+    w = workflow.Workflow("w", (("trimWhitespace",), charts.Chart("bar", "t", "n"), charts.Chart("bar", "gone")))
+    out, kept, skipped = workflow.Workflow.from_json(w.to_json()).apply(df)
+    assert out.first()["t"] == "a" and kept == [w.steps[1]] and skipped == [w.steps[2]]
+    assert w.moved(0, 2).steps[2] == ("trimWhitespace",) and len(w.removed(1).steps) == 2 and w.moved(0, 9) is w
+    for bad in ("[", "{}", '{"version": 1, "steps": [1]}'):
+        with pytest.raises(ValueError):
+            workflow.Workflow.from_json(bad)
+
+
+def test_search_answers_and_sample(spark):
+    labels = spark.createDataFrame([("Sales",), ("Sales report",), ("Net sales",), ("Presales",), ("s-a-l-e-s",), ("x",)], "l string")
+    assert [r["score"] for r in workflow.search(labels, "l", "sales").collect()] == [1000, 800, 600, 400, 100]
+    df = q.with_rows(sample.churn(spark))
+    p = prof.profile(df)
+    assert p.rows == 52 and p.duplicates == 1 and p.blank_rows and "52 rows" in workflow.answer(p, "How many rows?")
+    assert "monthly_charge is a number" in workflow.answer(p, "tell me about monthly_charge") and "repeat" in workflow.answer(p, "any duplicates?")
