@@ -31,7 +31,7 @@ LENGTH = 2048
 GRAIN = 8
 END_ID = 1
 #: Words whose ids a task remembers before it forgets them all.
-REMEMBER = 400_000
+REMEMBER = 150_000
 #: Relative gap between the program's value and its bound at which generation ends.
 GAP = 1e-4
 

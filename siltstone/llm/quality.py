@@ -102,7 +102,9 @@ def _stats(texts: pa.Array) -> pa.Array:
 
 
 def stats_of(text: Column | str) -> Column:
-    return F.arrow_udf(_stats, returnType="struct<" + ",".join(f"{n}:bigint" for n in STATS) + ">")(text)
+    """The STATS of a text. Marked as not deterministic, so that Spark never works them out twice for a filter and what comes after it."""
+    made = F.arrow_udf(_stats, returnType="struct<" + ",".join(f"{n}:bigint" for n in STATS) + ">")
+    return made.asNondeterministic()(text)
 
 
 def base_failed(stats: str = "s") -> Column:
