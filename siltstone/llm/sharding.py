@@ -6,8 +6,10 @@ A shard table is a folder::
     manifest/v00000001/             a version: one row per shard (Parquet, written by Spark)
     manifest/v00000001.committed    the version counts once this file exists
 
-A version is written aside and made to count by creating its file, which fails
-if the file is there: of two writers one wins and the other starts over.
+A version is written aside. A writer claims its number by creating
+``v00000001.claim``, which fails if the file is there, and makes it count by renaming
+that file: of two writers one wins and the other starts over. ``vacuum`` drops claims
+of writers that died.
 Arrivals are appended as small shards. Compaction sorts shards into tiers by size;
 a tier with ``fanout`` shards or more is read and written again as files of the
 target size, and the next version names those instead. Rows pass through Spark's
@@ -17,6 +19,7 @@ readers and writers alone; the driver holds names and sizes of shards.
 from __future__ import annotations
 
 import math
+import time
 import uuid
 from dataclasses import dataclass
 
@@ -71,15 +74,20 @@ class ShardTable:
         name = f"v{base + 1:08d}"
         aside = f"{self.root}/manifest/_{uuid.uuid4().hex}"
         shards.coalesce(1).write.parquet(aside)
-        fs, place = self._fs(), self._path("manifest", name)
+        fs, place, claim = self._fs(), self._path("manifest", name), self._path("manifest", f"{name}.claim")
+        done, written = self._path("manifest", f"{name}.committed"), self._path("manifest", aside.rpartition("/")[2])
         try:
-            # taking the name is the atomic step; what follows only fills it
-            fs.create(self._path("manifest", f"{name}.claim"), False).close()
+            fs.create(claim, False).close()  # fails while another writer holds it
         except Py4JJavaError as e:
-            fs.delete(self._path("manifest", aside.rpartition("/")[2]), True)
+            fs.delete(written, True)
             raise Conflict(name) from e
-        fs.rename(self._path("manifest", aside.rpartition("/")[2]), place)
-        fs.rename(self._path("manifest", f"{name}.claim"), self._path("manifest", f"{name}.committed"))
+        if fs.exists(done):  # the other writer has been through already
+            fs.delete(written, True)
+            fs.delete(claim, False)
+            raise Conflict(name)
+        fs.delete(place, True)  # of a writer that died before its version counted
+        fs.rename(written, place)
+        fs.rename(claim, done)  # from here on the version counts
         return base + 1
 
     def _listed(self, batch: str, version: int) -> DataFrame:
@@ -152,8 +160,14 @@ class ShardTable:
                     fs.delete(self._path("data", batch), True)
 
     def vacuum(self, keep: int = 1) -> int:
-        """Delete shards that none of the last ``keep`` versions names, and the older versions; returns how many shards."""
+        """Delete shards that none of the last ``keep`` versions names, the older versions, and claims over an hour old; returns how many shards.
+
+        Not to be run while a writer appends or compacts: its shards have no version yet.
+        """
         last, fs = self.version(), self._fs()
+        for f in fs.listStatus(self._path("manifest")) if fs.exists(self._path("manifest")) else []:
+            if f.getPath().getName().endswith(".claim") and f.getModificationTime() < (time.time() - 3600) * 1000:
+                fs.delete(f.getPath(), False)
         named = {r["shard"] for v in range(max(1, last - keep + 1), last + 1) for r in self.manifest(v).select("shard").collect()}
         n = 0
         found = fs.listFiles(self._path("data"), True) if fs.exists(self._path("data")) else None
