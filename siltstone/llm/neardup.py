@@ -6,8 +6,9 @@ same random numbers wherever a shingle occurs, so two nodes agree in one with th
 probability of their weighted Jaccard similarity. Samples are banded; nodes that
 share a band are compared with two of them, the band's hubs, by the exact weighted
 Jaccard similarity of their shingle counts. Bands whose nodes do not all fall into
-one class get further hubs, and in small ones all classes are
-compared. So a group of copies costs a few comparisons a member, not all pairs.
+one class then have all their classes compared: small ones pair by pair, and the
+nodes of large ones by an exact join on the rarest shingles of each (prefix,
+length and position filters), which leaves out no pair that is similar enough.
 
 Document frequency is counted in a table of ``CELLS`` cells by shingle hash, over
 all documents: its size is fixed, where a table by shingle is larger than the
@@ -16,6 +17,7 @@ corpus. Shingles that share a cell share their frequency.
 
 from __future__ import annotations
 
+import math
 import re
 from collections import OrderedDict
 from collections.abc import Iterator
@@ -35,10 +37,10 @@ ROWS = 3
 CELLS = 1 << 16
 #: Hubs with which every node of a band is compared.
 HUBS = 2
-#: Bands of up to this many nodes have all their classes compared at the end.
+#: Bands of up to this many nodes have all their classes compared at the end; nodes of larger ones are joined on rare shingles.
 SMALL = 32
-#: Further hubs of larger bands that still hold several classes.
-MORE = 3
+#: Lengths in that join are in classes of this many to a factor of 1 / SIMILARITY.
+LENGTHS = 8
 
 _U = np.uint64
 _WORD = re.compile(r"\w+")
@@ -207,6 +209,60 @@ def verified(pairs: DataFrame, texts: DataFrame, size: int = SHINGLE, least: flo
     return pairs.join(left.hint("merge"), "a").join(right.hint("merge"), "b").select("a", "b", "text_a", "text_b").mapInArrow(_similar(size, least), "a binary, b binary")
 
 
+def _prefixes(idf: np.ndarray, size: int, least: float):
+    """Of each node the shingles that it may share first with a similar one: token, at (its place, rarest first), n (how many the node has).
+
+    A shingle that a text repeats is a token for each time. Two nodes that are similar
+    enough share ``least`` of the tokens of each at least, so one of the first ``n - least * n + 1``.
+    """
+    schema = pa.schema([("node", pa.binary()), ("label", pa.binary()), ("token", pa.int64()), ("at", pa.int32()), ("n", pa.int32())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = WordHashes()
+        for batch in batches:
+            for row, t in enumerate(batch.column("text")):
+                found, count = np.unique(shingles(words_of(t.as_py()), hashes, size), return_counts=True)
+                n = int(count.sum())
+                each = np.repeat(found, count)
+                turn = np.arange(n, dtype=_U) - np.repeat((np.cumsum(count) - count).astype(_U), count)
+                with np.errstate(over="ignore"):
+                    token = _mixed(each + turn * _U(0x9E3779B97F4A7C15))
+                first = np.lexsort((token, -idf[(each % _U(len(idf))).astype(np.int64)]))[: n - math.ceil(least * n - 1e-9) + 1]
+                same = pa.array(np.full(len(first), row))
+                yield pa.RecordBatch.from_arrays([batch.column("node").take(same), batch.column("label").take(same), pa.array(token[first].view(np.int64)), pa.array(np.arange(len(first), dtype=np.int32)), pa.array(np.full(len(first), n, np.int32))], schema=schema)
+
+    return run
+
+
+def rare_pairs(named: DataFrame, texts: DataFrame, size: int = SHINGLE, least: float = SIMILARITY) -> DataFrame:
+    """Pairs (a, b) of nodes of different labels; every pair that is similar enough is among them. ``named`` has each node once: node, label.
+
+    Nodes are joined on tokens of their prefixes and on classes of length. A shared token
+    counts if what follows it in both could still be enough, which holds for the first one of
+    a similar pair. One side leaves out a label of each token, which is the
+    commonest one as a rule: of two nodes of different labels one has another.
+    """
+    own = store(texts.join(named.hint("merge"), "node").select("node", "label", "text"), "open")
+    idf = inverse_frequencies(own, size)
+    tokens = store(own.mapInArrow(_prefixes(idf, size, least), "node binary, label binary, token long, at int, n int"), "tokens")
+    one = F.min_by("label", F.xxhash64("node"))
+    several = tokens.groupBy("token").agg(one.alias("most"), F.min("label").alias("low"), F.max("label").alias("high")).filter(F.col("low") != F.col("high")).select("token", "most")
+    live = cut(tokens.join(several.hint("merge"), "token"))
+    release(named.sparkSession)
+    share, step = least / (1 + least), math.log(1 / least) / LENGTHS
+
+    def length_class(n: Column, add: float) -> Column:
+        return F.floor(F.log(n) / step + F.lit(add)).cast("int")
+
+    right = live.select("token", length_class(F.col("n"), 0).alias("length"), F.col("node").alias("b"), F.col("label").alias("label_b"), F.col("at").alias("at_b"), F.col("n").alias("n_b"))
+    left = live.filter(F.col("label") != F.col("most"))
+    longest = (F.col("n") - F.col("at")) / F.lit(share) - F.col("n")  # of a node that can still be similar
+    left = left.select("token", F.explode(F.sequence(length_class(least * F.col("n"), -1e-6), length_class(longest, 1e-6))).alias("length"), F.col("node").alias("a"), "label", "at", "n")
+    both = left.join(right.hint("merge"), ["token", "length"]).filter(F.col("label") != F.col("label_b"))
+    enough = F.least(F.col("n") - F.col("at"), F.col("n_b") - F.col("at_b")) >= share * (F.col("n") + F.col("n_b")) - 1e-6
+    return both.filter(enough).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+
+
 def components(edges: DataFrame, most: int = 100) -> DataFrame:
     """node, label: the least node that links lead to; only nodes that have a link. Labels spread along links and then jump to their label's label, until none changes.
 
@@ -227,12 +283,12 @@ def components(edges: DataFrame, most: int = 100) -> DataFrame:
     return labels
 
 
-def _labels(members: DataFrame, texts: DataFrame, size: int, least: float, hubs: int, small: int, more: int) -> DataFrame:
+def _labels(members: DataFrame, texts: DataFrame, size: int, least: float, hubs: int, small: int) -> DataFrame:
     """node, label of the nodes that have a similar one in a band; ``members`` has key, node.
 
     First the nodes of every band are compared with its hubs. Then bands that still
-    hold several classes have all of them compared if they are small, and get
-    further hubs if they are large. Each step is one set of pairs, verified at once:
+    hold several classes have all of them compared: pair by pair if they are small,
+    by rare_pairs if they are large. Each step is one set of pairs, verified at once:
     many small jobs would cost the driver more memory than the pairs cost time.
     """
 
@@ -255,12 +311,15 @@ def _labels(members: DataFrame, texts: DataFrame, size: int, least: float, hubs:
     edges = cut(verified(with_hubs(alone, bands(alone, range(hubs))).distinct(), texts, size, least))
     named = cut(members.join(components(edges).hint("merge"), "node", "left").withColumn("label", F.coalesce("label", "node")))
     release(members.sparkSession)
-    open_ = bands(named, range(hubs, hubs + more))
-    pairs = all_classes(named, open_.filter(F.col("size") <= small)).unionByName(with_hubs(named, open_.filter(F.col("size") > small))).distinct()
-    return components(edges.unionByName(verified(pairs, texts, size, least)))
+    open_ = cut(bands(named, range(hubs)).select("key", "size"))
+    large = cut(named.join(open_.filter(F.col("size") > small).hint("merge"), "key", "left_semi").select("node", "label").distinct())
+    pairs = all_classes(named, open_.filter(F.col("size") <= small))
+    if not large.isEmpty():
+        pairs = pairs.unionByName(rare_pairs(large, texts, size, least))
+    return components(edges.unionByName(verified(pairs.distinct(), texts, size, least)))
 
 
-def classes(df: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = SHINGLE, least: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS, hubs: int = HUBS, small: int = SMALL, more: int = MORE) -> DataFrame:
+def classes(df: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = SHINGLE, least: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS, hubs: int = HUBS, small: int = SMALL) -> DataFrame:
     """Every row of ``df`` once: doc_id, text_id, class_id, class_rows.
 
     ``class_id`` is the least doc_id of the class, ``class_rows`` counts its rows
@@ -283,7 +342,7 @@ def classes(df: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int
     texts = docs.select(_key("doc_id").alias("k"), "th", "text").join(owners, ["k", "th"]).groupBy("k", "th").agg(F.first("node").alias("node"), F.first("text").alias("text"))
     texts = store(texts.select("node", "text"), "texts")
     release(spark)
-    labels = _labels(members, texts, size, least, hubs, small, more)
+    labels = _labels(members, texts, size, least, hubs, small)
     named = cut(signed.select("doc_id", "node").join(labels.hint("merge"), "node", "left").withColumn("label", F.coalesce("label", "node")))
     sizes = named.filter("label is not null").groupBy("label").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("class_rows"))
     out = named.join(sizes.hint("merge"), "label", "left")

@@ -353,6 +353,38 @@ def test_a_large_group_of_near_copies_is_one_class(spark):
     assert {got[i] for i in range(300)} == {0} and all(got[1000 + i] == 1000 + i for i in range(100))
 
 
+def test_near_copies_far_from_every_hub_of_a_large_band(spark):
+    r = random.Random(14)
+    base = sentence(r, 240).split()
+
+    def changed(words: list[str], n: int) -> list[str]:
+        for k in r.sample(range(len(words)), n):
+            words = [*words[:k], sentence(r, 1) + str(r.random())[2:], *words[k + 1 :]]
+        return words
+
+    rows = []
+    for i in range(150):  # pairs of 0.9 or more, of a template to which all are at 0.7 and to each other at 0.6
+        one = changed(base, 10)
+        rows += [(2 * i, " ".join(one)), (2 * i + 1, " ".join([*one[:-2], f"end{i}"]))]
+    got = {x["doc_id"]: x["class_id"] for x in neardup.classes(spark.createDataFrame(rows, "doc_id long, text string"), bands=1, rows=1).collect()}
+    vectors = [np.unique(neardup.shingles(neardup.words_of(t), neardup.WordHashes()), return_counts=True) for _, t in rows]
+    links = {(a, b) for a in range(len(rows)) for b in range(a) if neardup.weighted_jaccard(vectors[a], vectors[b]) >= 0.8}
+    found = sum(got[a] == got[b] for a, b in links)  # nine in ten pairs share the one band
+    assert len(links) == 150 and found > 0.8 * len(links) and len(set(got.values())) == 300 - found
+
+
+def test_rare_shingles_find_every_similar_pair(spark):
+    r = random.Random(15)
+    base = sentence(r, 60).split()
+    texts = [" ".join(base[: r.randint(30, 60)] + sentence(r, r.randint(0, 12)).split() + base[:3] * r.randint(0, 4)) for _ in range(80)]
+    rows = [(bytes([i]), bytes([i]) if i % 3 else b"x", t) for i, t in enumerate(texts)]
+    df = spark.createDataFrame(rows, "node binary, label binary, text string")
+    got = {(bytes(x["a"]), bytes(x["b"])) for x in neardup.rare_pairs(df.select("node", "label"), df.select("node", "text")).collect()}
+    vectors = [np.unique(neardup.shingles(neardup.words_of(t), neardup.WordHashes()), return_counts=True) for t in texts]
+    near = {(rows[b][0], rows[a][0]) for a in range(80) for b in range(a) if rows[a][1] != rows[b][1] and neardup.weighted_jaccard(vectors[a], vectors[b]) >= 0.8}
+    assert len(near) > 10 and near <= got
+
+
 def test_samples_agree_as_often_as_weighted_jaccard_says():
     r = np.random.default_rng(3)
     keys = r.integers(0, 2**63, 300).astype(np.uint64)
