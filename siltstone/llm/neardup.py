@@ -1,17 +1,17 @@
 """Near-duplicates by improved consistent weighted sampling.
 
 Texts that agree word for word are one node. Each node's five-word shingles are
-weighted by TF-IDF and sampled ``BANDS * ROWS`` times: a sample is drawn with the
-same random numbers wherever a shingle occurs, so two nodes agree in one with the
-probability of their weighted Jaccard similarity. Samples are banded; nodes that
+weighted by their counts and sampled ``BANDS * ROWS`` times: a sample is drawn with
+the same random numbers wherever a shingle occurs, so two nodes agree in one with the
+probability of their weighted Jaccard similarity, the one that pairs are accepted by. Samples are banded; nodes that
 share a band are compared with two of them, the band's hubs, by the exact weighted
 Jaccard similarity of their shingle counts. Bands whose nodes do not all fall into
 one class then have all their classes compared: small ones pair by pair, and the
 nodes of large ones by an exact join on the rarest shingles of each (prefix,
 length and position filters), which leaves out no pair that is similar enough.
 
-Document frequency is counted in a table of ``CELLS`` cells by shingle hash, over
-all documents: its size is fixed, where a table by shingle is larger than the
+How rare shingles are is counted for that join in a table of ``CELLS`` cells by
+shingle hash: its size is fixed, where a table by shingle is larger than the
 corpus. Shingles that share a cell share their frequency.
 """
 
@@ -145,7 +145,7 @@ def _key(doc_id: str) -> Column:
     return F.coalesce(doc_id, F.lit(-(2**63)))
 
 
-def _signatures(idf: np.ndarray, size: int, bands: int, rows: int):
+def _signatures(size: int, bands: int, rows: int):
     schema = pa.schema([("doc_id", pa.int64()), ("th", pa.int64()), ("node", pa.binary()), ("keys", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -161,7 +161,7 @@ def _signatures(idf: np.ndarray, size: int, bands: int, rows: int):
                     continue
                 nodes.append(xxhash.xxh3_128_digest(" ".join(words)))
                 found, count = np.unique(shingles(words, hashes, size), return_counts=True)
-                drawn = sampler.sample(found, count * idf[(found % _U(len(idf))).astype(np.int64)])
+                drawn = sampler.sample(found, count.astype(np.float64))
                 with np.errstate(over="ignore"):
                     key = which
                     for part in drawn.reshape(bands, rows).T:
@@ -330,8 +330,7 @@ def classes(df: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int
     """
     spark = df.sparkSession
     docs = pick(df, doc_id=doc_id, text=text).select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("th"), "text")
-    idf = inverse_frequencies(docs, size)
-    signed = store(docs.mapInArrow(_signatures(idf, size, bands, rows), "doc_id long, th long, node binary, keys array<long>"), "signatures")
+    signed = store(docs.mapInArrow(_signatures(size, bands, rows), "doc_id long, th long, node binary, keys array<long>"), "signatures")
     nodes = signed.filter("node is not null").groupBy("node").agg(F.first("keys").alias("keys"))  # all its rows have the same keys
     members = nodes.select("node", F.explode("keys").alias("key"))
     shared = members.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key")

@@ -373,6 +373,17 @@ def test_near_copies_far_from_every_hub_of_a_large_band(spark):
     assert len(links) == 150 and found > 0.8 * len(links) and len(set(got.values())) == 300 - found
 
 
+def test_rare_edits_of_a_common_text_are_drawn_by_counts(spark):
+    r = random.Random(16)
+    base = sentence(r, 240).split()
+    rows = [(0, " ".join(base))]
+    for i in range(1, 201):  # at 0.81 to the first row, whose shingles are common; their own ones are rare
+        k = r.randrange(4, 216)
+        rows.append((i, " ".join(base[:k] + [f"own{i}x{j}" for j in range(21)] + base[k + 21 :])))
+    got = [x["class_id"] for x in neardup.classes(spark.createDataFrame(rows, "doc_id long, text string"), bands=4).collect()]
+    assert got.count(0) > 0.8 * len(rows)
+
+
 def test_rare_shingles_find_every_similar_pair(spark):
     r = random.Random(15)
     base = sentence(r, 60).split()
