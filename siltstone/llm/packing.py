@@ -70,8 +70,11 @@ class _Ids(dict):
         return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
     def word(self, word: str) -> bytes:
-        """Ids of letters alone, which the tokenizer's split keeps whole: what its model makes of their lower case."""
-        low = word.lower() if word.isascii() else unicodedata.normalize("NFC", word).lower()
+        """Ids of letters alone, which the tokenizer's split keeps whole: what its model makes of their lower case.
+
+        The tokenizer lowers letter by letter, and so has no form of its own for a final sigma.
+        """
+        low = word.lower() if word.isascii() else "".join(map(str.lower, unicodedata.normalize("NFC", word)))
         if not low.isalpha():
             return self.encode(word)
         if not low.isascii():

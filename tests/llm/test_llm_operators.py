@@ -281,6 +281,12 @@ def test_ids_match_the_tokenizer_on_odd_texts():
         assert packing.ids_of(text, words) == words.encode(text)
 
 
+def test_ids_match_the_tokenizer_on_special_capitals():
+    words = packing._Ids(packing.default_vocabulary())
+    for text in ("ΟΔΟΣ", "ΣΟΦΟΣ ΟΔΟΣ, ΛΟΓΟΣ.", "ΑΣ", "Σ", "Σίσυφος", "ΟΔΟΣ́", "İSTANBUL Iı", "DİYARBAKIR", "ẞ STRASSE", "ΐ Ϊ́", "Å Å", "ǅ Ǆ ﬁ", "ПРИВЕТ"):
+        assert packing.ids_of(text, words) == words.encode(text), text
+
+
 def test_column_generation_is_near_the_bound():
     r = random.Random(1)
     size = np.array(sorted(r.sample(range(5, 64), 40)))
