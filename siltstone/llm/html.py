@@ -28,7 +28,8 @@ TRAIN_PAGES = 600
 EPOCHS = 120
 
 _TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|title|svg|iframe|textarea|select|object|math)\b(?:\"[^\"]*\"|'[^']*'|[^>\"'])*>.*?(?:</\1\s*>|\Z)|<[!?][^>]*(?:>|\Z)"
+    r"<!--.*?(?:-->|\Z)|<(?:svg|annotation(?:-xml)?)\b(?:\"[^\"]*\"|'[^']*'|[^>\"'])*/>|<(script|style|noscript|template|title|svg|iframe|textarea|select)\b(?:\"[^\"]*\"|'[^']*'|[^>\"'])*>.*?(?:</\1\s*>|\Z)|<[!?][^>]*(?:>|\Z)"
+    r"|<annotation(?:-xml)?\b(?:\"[^\"]*\"|'[^']*'|[^>\"'])*>.*?(?:</annotation(?:-xml)?\s*>|(?=</math\b)|\Z)"  # a formula's source, which no browser shows
     r"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*)(?:>|\Z)",
     re.S | re.I,
 )

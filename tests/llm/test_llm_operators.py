@@ -505,3 +505,14 @@ def test_pages_of_all_sorts(spark, field):
     assert max(x["n_chars"] for x in got) == 20000 * 31 + 19999 * 2
     assert [x["text"] for x in got if x["page_id"] in (1, 2)] == ["", ""]
     assert html.extract(df.limit(0), field=field).count() == 0
+
+
+def test_text_around_icons_and_in_formulas_stays():
+    def texts(page):
+        return [b[0] for b in html.blocks(page)]
+
+    assert texts('<p>An <svg class="i" href="a>b"/> icon stays in line.</p><p>And more.</p>') == ["An icon stays in line.", "And more."]
+    assert texts("<p>One <svg/> two <SVG viewBox='0 0 1 1' /> three</p><p>four <svg><title>x</title><path d='M0'/></svg>five</p>") == ["One two three", "four five"]
+    assert texts("<p>Let <math><mi>x</mi><mo>=</mo><mn>2</mn><annotation encoding='application/x-tex'>x=2</annotation></math> be given.</p>") == ["Let x=2 be given."]
+    assert texts("<p>Let <math><mi>y</mi><annotation/><annotation-xml encoding='a'><ci>y</ci></annotation-xml></math> be, <math><mi>z</mi><annotation>z</math> too.</p><p>End.</p>") == ["Let y be, z too.", "End."]
+    assert texts("<p>See <math/> this</p><p>A <object data='a.swf'><param name='a'>chart of sales</object> here</p>") == ["See this", "A chart of sales here"]
