@@ -3,7 +3,9 @@
 Statistics of every whole text are made in Arrow batches. Documents that pass
 the base rules form groups by language and source; each group gets a
 minimum-covariance-determinant estimate (MCD) of location and scatter of a
-transformed statistic vector by concentration steps over all its rows. A
+transformed statistic vector by concentration steps over all its rows. Groups of
+under ``MIN_GROUP`` rows are judged by the estimate of their language, and if that
+has too few rows as well, by that of all rows. A
 document whose squared Mahalanobis distance is over the cut is rejected.
 
 A concentration step is one aggregation with partial sums: rows are counted in
@@ -34,7 +36,7 @@ SUPPORT = 0.75
 STEPS = 6
 #: Quantile of the chi-squared distribution, of as many degrees as FEATURES, at the cut.
 QUANTILE = 0.9999
-#: Fewest rows of a group for which a verdict is possible.
+#: Fewest rows on which an estimate may rest.
 MIN_GROUP = 8
 #: Groups up to this many are sent to all executors; more are joined by shuffle.
 BROADCAST_GROUPS = 10_000
@@ -188,7 +190,7 @@ def _concentrate(bins: pd.DataFrame) -> pd.DataFrame:
 
 
 def _with_distance(rows: DataFrame, model: DataFrame, few: bool, keep: list[Column]) -> DataFrame:
-    """Rows with d2 and n, the size of their group; both null where the group has no model."""
+    """Rows with d2 and n, the rows that their model rests on; both null where the group has no model."""
     m = model.withColumnsRenamed({"lang": "__lang", "source": "__source"})
     if few:
         m = F.broadcast(m)
@@ -200,12 +202,8 @@ def _with_distance(rows: DataFrame, model: DataFrame, few: bool, keep: list[Colu
     return both.select(*keep, d2.alias("d2"), F.col("n").alias("group_rows"))
 
 
-def fit(vectors: DataFrame) -> tuple[DataFrame, bool]:
-    """The model of every (lang, source): location and inverse scatter; and whether there are few enough to broadcast.
-
-    ``vectors`` has lang, source (null is a value of its own) and the FEATURES.
-    """
-    vectors = cut(vectors.select(F.col("lang").alias("__l"), F.col("source").alias("__s"), *_NAMES))
+def _estimates(vectors: DataFrame) -> tuple[DataFrame, bool]:
+    """The estimate of every (__l, __s) of ``vectors``, from its own rows; and whether there are few enough to broadcast."""
     groups = vectors.groupBy(F.col("__l").alias("lang"), F.col("__s").alias("source")).agg(
         F.count("*").alias("n"), *(F.percentile_approx(x, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)), F.lit(1000)).alias(f"p{i}") for i, x in enumerate(_NAMES))
     )
@@ -222,8 +220,30 @@ def fit(vectors: DataFrame) -> tuple[DataFrame, bool]:
     return model, few
 
 
+def fit(vectors: DataFrame) -> tuple[DataFrame, bool]:
+    """The model by which each (lang, source) is judged: location, inverse scatter and n, the rows that it rests on; and whether there are few enough to broadcast.
+
+    ``vectors`` has lang, source (null is a value of its own) and the FEATURES. A group of under
+    MIN_GROUP rows has the model of its language, or else that of all rows.
+    """
+    vectors = cut(vectors.select(F.col("lang").alias("__l"), F.col("source").alias("__s"), *_NAMES))
+    model, few = _estimates(vectors)
+    none = F.lit(None).cast("string")
+    for wider in (F.col("__l"), none):
+        small = model.filter(F.col("n") < MIN_GROUP)
+        if small.isEmpty():
+            break
+        key = F.col("lang") if wider is not none else none
+        wanted = small.select(key.alias("__k")).distinct()
+        rows = vectors.select(wider.cast("string").alias("__l"), none.alias("__s"), *_NAMES).join(F.broadcast(wanted) if few else wanted, F.col("__l").eqNullSafe(F.col("__k")), "left_semi")
+        instead = _estimates(rows)[0].withColumnRenamed("lang", "__k").drop("source")
+        small = small.select("lang", "source", key.alias("__key")).join(F.broadcast(instead) if few else instead, F.col("__key").eqNullSafe(F.col("__k")))
+        model = cut(model.filter(F.col("n") >= MIN_GROUP).unionByName(small.drop("__key", "__k")))
+    return model, few
+
+
 def _verdict() -> Column:
-    """False if the base rules reject; else false if the group is large enough and the distance over the cut."""
+    """False if the base rules reject; else false if the model rests on enough rows and the distance is over the cut."""
     cutoff = chi2_quantile(QUANTILE, _DIM)
     return ~F.col("base_failed") & ~F.coalesce((F.col("group_rows") >= MIN_GROUP) & (F.col("d2") > cutoff), F.lit(False))
 
@@ -233,7 +253,8 @@ def score(df: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str =
 
     Null text: no words, so base_failed. Null lang or source: a group of its own.
     Repeated rows count as often as they occur. Groups under MIN_GROUP rows (of
-    those that the base rules pass): the base rules alone decide. Empty table: no
+    those that the base rules pass): judged by their language's rows, or else by all
+    rows; if these are fewer too, the base rules alone decide. Empty table: no
     rows. Other columns are not read.
     """
     docs = pick(df, doc_id=doc_id, text=text, lang=lang, source=source)

@@ -204,6 +204,18 @@ def test_outliers_are_rejected_and_the_rest_kept(spark):
     assert {x["doc_id"] for x in quality.keep_documents(df).collect()} == {i for i, k in kept.items() if k}
 
 
+def test_small_groups_are_judged_by_their_language_or_all_rows(spark):
+    r = random.Random(5)
+    bad = lambda: " ".join(w + "###" for w in sentence(r, 80).split())
+    rows = [(i, sentence(r, 80), "en", "a") for i in range(60)] + [(100 + i, sentence(r, 80), lang, s) for i, (lang, s) in enumerate([("en", "b"), ("en", "b"), ("fr", "c"), (None, None), ("en", None)])]
+    rows += [(200, bad(), "en", "b"), (201, bad(), "en", "d"), (202, bad(), "fr", "c"), (203, bad(), None, None), (204, bad(), "en", None), (205, bad(), "nl", "a")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    got = quality.score(df).collect()
+    assert sorted(x["doc_id"] for x in got) == sorted(x[0] for x in rows)
+    assert {x["doc_id"] for x in got if not x["kept"]} == set(range(200, 206))
+    assert {x["doc_id"] for x in quality.keep_documents(df).collect()} == {x[0] for x in rows if x[0] < 200}
+
+
 def test_concentration_ignores_a_quarter_of_far_rows(spark):
     r = np.random.default_rng(1)
     near, far = r.normal(0, [0.3, 0.2, 0.5, 0.4], (3000, 4)), r.normal(9, 0.1, (600, 4))
