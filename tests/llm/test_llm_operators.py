@@ -441,6 +441,17 @@ def test_leaks_and_reordered_passages(spark, docs, none):
     assert decontaminate.leaks(none, bench).count() == 0 and decontaminate.leaks(docs, bench.limit(0)).count() == 0
 
 
+def test_rows_are_judged_by_their_own_text_however_large_the_benchmark(spark):
+    r = random.Random(22)
+    item = sentence(r, 30)
+    rows = [(None, item), (None, sentence(r, 40)), ("a", item), ("a", sentence(r, 40)), ("7", item), ("7", None)]
+    df = spark.createDataFrame(rows, "doc_id string, text string")
+    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+    expected = Counter(x for x in rows if x[1] != item)
+    for most in (0, decontaminate.BROADCAST_CHARS):
+        assert Counter(map(tuple, decontaminate.clean_documents(df, bench, broadcast_chars=most).collect())) == expected
+
+
 def test_tiles_by_brute_force():
     r = random.Random(21)
     for _ in range(200):
