@@ -3,11 +3,11 @@
 from __future__ import annotations
 
 import atexit
-import gc
 import os
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -27,19 +27,38 @@ def pick(df: DataFrame, **columns: str) -> DataFrame:
 def scratch_dir(spark: SparkSession) -> str:
     """The folder that all executors share: ``spark.checkpoint.dir`` of the session.
 
-    Where it is unset (a local session in tests), a temporary folder is made and set.
+    Where it is unset in a local session, as in tests, a temporary folder is made
+    and set. On a cluster that is an error: other machines could not read it.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         found = spark.sparkContext._jsc.sc().getCheckpointDir()
         folder = found.get() if found.isDefined() else None
     if not folder:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="siltstone-")
     if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
         spark.sparkContext.setCheckpointDir(folder)
     return folder
 
 
+#: Spark's setting to delete a query's shuffle files as soon as it has ended.
+_TIDY = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextmanager
+def _tidy(spark: SparkSession) -> Iterator[None]:
+    """What is written inside leaves no shuffle files: its result is read from the shared folder from then on."""
+    before = spark.conf.get(_TIDY, "false")
+    spark.conf.set(_TIDY, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(_TIDY, before)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Compute ``df`` once into the shared folder and cut its lineage there.
 
@@ -47,7 +66,8 @@ def cut(df: DataFrame) -> DataFrame:
     ``spark.cleaner.referenceTracking.cleanCheckpoints`` is set.
     """
     scratch_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    with _tidy(df.sparkSession):
+        return df.checkpoint(eager=True)
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
@@ -84,14 +104,9 @@ def store(df: DataFrame, name: str) -> DataFrame:
     if not _stored:
         atexit.register(_remove_stored)
     _stored.append((spark, path))
-    df.write.parquet(path)
-    return spark.read.parquet(path)
-
-
-def release(spark: SparkSession) -> None:
-    """Let Spark delete shuffle files that nothing refers to any more; it learns of them from the driver's garbage collection."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    with _tidy(spark):
+        df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def place_of(df: DataFrame, name: str) -> int:

@@ -1,18 +1,22 @@
 """Near-duplicates by improved consistent weighted sampling.
 
 Texts that agree word for word are one node. Each node's five-word shingles are
-weighted by their counts and sampled ``BANDS * ROWS`` times: a sample is drawn with
+weighted by TF-IDF and sampled ``BANDS * ROWS`` times: a sample is drawn with
 the same random numbers wherever a shingle occurs, so two nodes agree in one with the
 probability of their weighted Jaccard similarity, the one that pairs are accepted by. Samples are banded; nodes that
 share a band are compared with two of them, the band's hubs, by the exact weighted
-Jaccard similarity of their shingle counts. Bands whose nodes do not all fall into
+Jaccard similarity of the same weights. Bands whose nodes do not all fall into
 one class then have all their classes compared: small ones pair by pair, and the
 nodes of large ones by an exact join on the rarest shingles of each (prefix,
 length and position filters), which leaves out no pair that is similar enough.
 
-How rare shingles are is counted for that join in a table of ``CELLS`` cells by
-shingle hash: its size is fixed, where a table by shingle is larger than the
-corpus. Shingles that share a cell share their frequency.
+Plain inverse frequencies would make the few shingles that an edit changes, which no
+other text has, outweigh what copies share, the more the more copies there are: two
+texts of a group that a third of a corpus belongs to agree to 0.5 if nine tenths of their
+shingles are equal. So the inverse frequency is damped: a shingle weighs 1 to
+``1 + RISE`` times its count, by the logarithm of how rare it is. Frequencies are
+counted in ``CELLS`` cells by shingle hash: the table's size is fixed, where one by shingle
+is larger than the corpus. Shingles that share a cell share their frequency.
 """
 
 from __future__ import annotations
@@ -28,13 +32,17 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from siltstone.llm._common import by_place, cut, pick, release, store
+from siltstone.llm._common import by_place, cut, pick, store
 
 SHINGLE = 5
 SIMILARITY = 0.8
 BANDS = 12
 ROWS = 3
 CELLS = 1 << 16
+#: By how much more a shingle of one document counts than one of all documents.
+RISE = 0.25
+#: Steps of the inverse frequency; weights are whole numbers of them, so that their sums are exact.
+STEPS = 64
 #: Hubs with which every node of a band is compared.
 HUBS = 2
 #: Bands of up to this many nodes have all their classes compared at the end; nodes of larger ones are joined on rare shingles.
@@ -129,57 +137,68 @@ def _frequencies(size: int, cells: int):
     return run
 
 
-def inverse_frequencies(docs: DataFrame, size: int = SHINGLE, cells: int = CELLS) -> np.ndarray:
-    """Log of 1 + documents / frequency of each cell; the driver gets ``cells`` numbers, whatever the input."""
+def rarities(docs: DataFrame, size: int = SHINGLE, cells: int = CELLS) -> np.ndarray:
+    """How rare each cell is, from 0 (in all documents) to STEPS (in one), by the logarithm of its frequency; the driver gets ``cells`` numbers, whatever the input."""
     rows = docs.select("text").mapInArrow(_frequencies(size, cells), "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).collect()
-    count, n = np.zeros(cells), 0
+    count, n = np.zeros(cells), 1
     for r in rows:
         if r["cell"] < 0:
-            n = r["n"]
+            n = max(r["n"], 1)
         else:
             count[r["cell"]] = r["n"]
-    return np.log1p(max(n, 1) / np.maximum(count, 1))
+    share = np.log(n / np.clip(count, 1, n)) / np.log(n) if n > 1 else np.ones(cells)
+    return np.round(STEPS * share).astype(np.uint8)
 
 
-def _key(doc_id: str) -> Column:
-    return F.coalesce(doc_id, F.lit(-(2**63)))
+def weigh(found: np.ndarray, rare: np.ndarray) -> np.ndarray:
+    """The weight of one occurrence of each shingle, in steps."""
+    return round(STEPS / RISE) + rare[(found % _U(len(rare))).astype(np.int64)].astype(np.int64)
 
 
-def _signatures(size: int, bands: int, rows: int):
-    schema = pa.schema([("doc_id", pa.int64()), ("th", pa.int64()), ("node", pa.binary()), ("keys", pa.list_(pa.int64()))])
+def vector_of(text: str | None, rare: np.ndarray, hashes: WordHashes, size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
+    """A text's shingles, sorted, and their weights."""
+    found, count = np.unique(shingles(words_of(text or ""), hashes, size), return_counts=True)
+    return found, count * weigh(found, rare)
+
+
+def _signatures(rare: np.ndarray, size: int, bands: int, rows: int):
+    schema = pa.schema([("doc_id", pa.int64()), ("r1", pa.int64()), ("r2", pa.int64()), ("node", pa.binary()), ("rank", pa.int32()), ("keys", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, sampler = WordHashes(), Sampler(bands * rows)
         which = np.arange(1, bands + 1, dtype=_U)
         for batch in batches:
-            nodes, keys = [], []
+            nodes, ranks, keys = [], [], []
             for t in batch.column("text"):
                 words = words_of(t.as_py() or "")
                 if not words:
                     nodes.append(None)
+                    ranks.append(None)
                     keys.append(None)
                     continue
                 nodes.append(xxhash.xxh3_128_digest(" ".join(words)))
                 found, count = np.unique(shingles(words, hashes, size), return_counts=True)
-                drawn = sampler.sample(found, count.astype(np.float64))
+                weight = count * weigh(found, rare)
+                ranks.append(int(1000 * weight.sum() // count.sum()))
+                drawn = sampler.sample(found, weight.astype(np.float64))
                 with np.errstate(over="ignore"):
                     key = which
                     for part in drawn.reshape(bands, rows).T:
                         key = _mixed(key * _U(0x9E3779B97F4A7C15) + part)
                 keys.append(key.view(np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("th"), pa.array(nodes, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], schema=schema)
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "r1", "r2")), pa.array(nodes, pa.binary()), pa.array(ranks, pa.int32()), pa.array(keys, pa.list_(pa.int64()))], schema=schema)
 
     return run
 
 
 def weighted_jaccard(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
-    """Of two sets of (sorted keys, counts)."""
+    """Of two sets of (sorted keys, weights)."""
     _, i, j = np.intersect1d(a[0], b[0], assume_unique=True, return_indices=True)
     least = np.minimum(a[1][i], b[1][j]).sum()
     return float(least / (a[1].sum() + b[1].sum() - least)) if len(a[0]) or len(b[0]) else 0.0
 
 
-def _similar(size: int, least: float):
+def _similar(rare: np.ndarray, size: int, least: float):
     schema = pa.schema([("a", pa.binary()), ("b", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -188,7 +207,7 @@ def _similar(size: int, least: float):
 
         def vector(node: bytes, text: str) -> tuple:
             if node not in kept:
-                kept[node] = np.unique(shingles(words_of(text), hashes, size), return_counts=True)
+                kept[node] = vector_of(text, rare, hashes, size)
                 if len(kept) > 64:
                     kept.popitem(last=False)
             else:
@@ -202,89 +221,121 @@ def _similar(size: int, least: float):
     return run
 
 
-def verified(pairs: DataFrame, texts: DataFrame, size: int = SHINGLE, least: float = SIMILARITY) -> DataFrame:
+def verified(pairs: DataFrame, texts: DataFrame, rare: np.ndarray, size: int = SHINGLE, least: float = SIMILARITY) -> DataFrame:
     """Of pairs (a, b) of nodes those whose texts (node, text) are similar enough."""
     left = texts.select(F.col("node").alias("a"), F.col("text").alias("text_a"))
     right = texts.select(F.col("node").alias("b"), F.col("text").alias("text_b"))
-    return pairs.join(left.hint("merge"), "a").join(right.hint("merge"), "b").select("a", "b", "text_a", "text_b").mapInArrow(_similar(size, least), "a binary, b binary")
+    return pairs.join(left.hint("merge"), "a").join(right.hint("merge"), "b").select("a", "b", "text_a", "text_b").mapInArrow(_similar(rare, size, least), "a binary, b binary")
 
 
-def _prefixes(idf: np.ndarray, size: int, least: float):
-    """Of each node the shingles that it may share first with a similar one: token, at (its place, rarest first), n (how many the node has).
+def _prefixes(rare: np.ndarray, size: int, least: float):
+    """Of each node the shingles that it may share first with a similar one, rarest first: token, rest (the weight from it on), w (the weight of all).
 
     A shingle that a text repeats is a token for each time. Two nodes that are similar
-    enough share ``least`` of the tokens of each at least, so one of the first ``n - least * n + 1``.
+    enough share tokens of ``least`` of the weight of each at least, so the first that they share has that much from it on in both.
     """
-    schema = pa.schema([("node", pa.binary()), ("label", pa.binary()), ("token", pa.int64()), ("at", pa.int32()), ("n", pa.int32())])
+    schema = pa.schema([("node", pa.binary()), ("label", pa.binary()), ("token", pa.int64()), ("rest", pa.int64()), ("w", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
         for batch in batches:
             for row, t in enumerate(batch.column("text")):
                 found, count = np.unique(shingles(words_of(t.as_py()), hashes, size), return_counts=True)
-                n = int(count.sum())
                 each = np.repeat(found, count)
-                turn = np.arange(n, dtype=_U) - np.repeat((np.cumsum(count) - count).astype(_U), count)
+                turn = np.arange(len(each), dtype=_U) - np.repeat((np.cumsum(count) - count).astype(_U), count)
                 with np.errstate(over="ignore"):
                     token = _mixed(each + turn * _U(0x9E3779B97F4A7C15))
-                first = np.lexsort((token, -idf[(each % _U(len(idf))).astype(np.int64)]))[: n - math.ceil(least * n - 1e-9) + 1]
-                same = pa.array(np.full(len(first), row))
-                yield pa.RecordBatch.from_arrays([batch.column("node").take(same), batch.column("label").take(same), pa.array(token[first].view(np.int64)), pa.array(np.arange(len(first), dtype=np.int32)), pa.array(np.full(len(first), n, np.int32))], schema=schema)
+                weight = weigh(each, rare)
+                order = np.lexsort((token, -weight))
+                rest = np.cumsum(weight[order][::-1])[::-1]
+                total = int(rest[0])
+                n = int(np.count_nonzero(rest >= least * total - 1e-6))
+                yield pa.RecordBatch.from_arrays([*(batch.column(c).take(pa.array(np.full(n, row))) for c in ("node", "label")), pa.array(token[order[:n]].view(np.int64)), pa.array(rest[:n]), pa.array(np.full(n, total, np.int64))], schema=schema)
 
     return run
 
 
-def rare_pairs(named: DataFrame, texts: DataFrame, size: int = SHINGLE, least: float = SIMILARITY) -> DataFrame:
+def rare_pairs(named: DataFrame, texts: DataFrame, rare: np.ndarray, size: int = SHINGLE, least: float = SIMILARITY) -> DataFrame:
     """Pairs (a, b) of nodes of different labels; every pair that is similar enough is among them. ``named`` has each node once: node, label.
 
-    Nodes are joined on tokens of their prefixes and on classes of length. A shared token
+    Nodes are joined on tokens of their prefixes and on classes of weight. A shared token
     counts if what follows it in both could still be enough, which holds for the first one of
     a similar pair. One side leaves out a label of each token, which is the
     commonest one as a rule: of two nodes of different labels one has another.
     """
-    own = store(texts.join(named.hint("merge"), "node").select("node", "label", "text"), "open")
-    idf = inverse_frequencies(own, size)
-    tokens = store(own.mapInArrow(_prefixes(idf, size, least), "node binary, label binary, token long, at int, n int"), "tokens")
+    own = texts.join(named.hint("merge"), "node").select("node", "label", "text")
+    tokens = store(own.mapInArrow(_prefixes(rare, size, least), "node binary, label binary, token long, rest long, w long"), "tokens")
     one = F.min_by("label", F.xxhash64("node"))
-    several = tokens.groupBy("token").agg(one.alias("most"), F.min("label").alias("low"), F.max("label").alias("high")).filter(F.col("low") != F.col("high")).select("token", "most")
-    live = cut(tokens.join(several.hint("merge"), "token"))
-    release(named.sparkSession)
+    several = cut(tokens.groupBy("token").agg(one.alias("most"), F.min("label").alias("low"), F.max("label").alias("high")).filter(F.col("low") != F.col("high")).select("token", "most"))
+    live = store(tokens.join(several.hint("merge"), "token"), "live")
     share, step = least / (1 + least), math.log(1 / least) / LENGTHS
 
-    def length_class(n: Column, add: float) -> Column:
-        return F.floor(F.log(n) / step + F.lit(add)).cast("int")
+    def weight_class(w: Column, add: float) -> Column:
+        return F.floor(F.log(w) / step + F.lit(add)).cast("int")
 
-    right = live.select("token", length_class(F.col("n"), 0).alias("length"), F.col("node").alias("b"), F.col("label").alias("label_b"), F.col("at").alias("at_b"), F.col("n").alias("n_b"))
+    right = live.select("token", weight_class(F.col("w"), 0).alias("class"), F.col("node").alias("b"), F.col("label").alias("label_b"), F.col("rest").alias("rest_b"), F.col("w").alias("w_b"))
     left = live.filter(F.col("label") != F.col("most"))
-    longest = (F.col("n") - F.col("at")) / F.lit(share) - F.col("n")  # of a node that can still be similar
-    left = left.select("token", F.explode(F.sequence(length_class(least * F.col("n"), -1e-6), length_class(longest, 1e-6))).alias("length"), F.col("node").alias("a"), "label", "at", "n")
-    both = left.join(right.hint("merge"), ["token", "length"]).filter(F.col("label") != F.col("label_b"))
-    enough = F.least(F.col("n") - F.col("at"), F.col("n_b") - F.col("at_b")) >= share * (F.col("n") + F.col("n_b")) - 1e-6
+    heaviest = F.col("rest") / F.lit(share) - F.col("w")  # of a node that can still be similar
+    left = left.select("token", F.explode(F.sequence(weight_class(least * F.col("w"), -1e-6), weight_class(heaviest, 1e-6))).alias("class"), F.col("node").alias("a"), "label", "rest", "w")
+    both = left.join(right.hint("merge"), ["token", "class"]).filter(F.col("label") != F.col("label_b"))
+    enough = F.least("rest", "rest_b") >= share * (F.col("w") + F.col("w_b")) - 1e-3
     return both.filter(enough).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
 
 
-def components(edges: DataFrame, most: int = 100) -> DataFrame:
-    """node, label: the least node that links lead to; only nodes that have a link. Labels spread along links and then jump to their label's label, until none changes.
+#: Links that a task joins at a time before it passes on what they have made.
+FOREST = 100_000
+
+
+def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links (a, b) with the same classes as those given, fewer and all to the least node of what a task has joined."""
+    above: dict[bytes, bytes] = {}
+
+    def root(x: bytes) -> bytes:
+        top = x
+        while (up := above.get(top, top)) != top:
+            top = up
+        while (up := above.get(x, x)) != top:
+            above[x], x = top, up
+        return top
+
+    def flush() -> pa.RecordBatch:
+        out = [(root(x), x) for x in above]
+        above.clear()
+        return pa.RecordBatch.from_arrays([pa.array([p[k] for p in out], pa.binary()) for k in (0, 1)], names=["a", "b"])
+
+    for batch in batches:
+        for a, b in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist(), strict=True):
+            a, b = root(a), root(b)
+            if a != b:
+                above[max(a, b)] = min(a, b)
+        if len(above) > FOREST:
+            yield flush()
+    yield flush()
+
 
-    Joins are merge joins: labels grow with the corpus, and many small broadcasts
-    would fill the driver's memory.
+def components(edges: DataFrame, most: int = 50) -> DataFrame:
+    """node, label: the least node that links lead to; only nodes that have a link.
+
+    Each task first joins its own links by union-find, which leaves shallow trees.
+    Labels then spread along their links and jump to their label's label, until none changes.
+    Joins are merge joins on both sides' own shuffles, which Spark splits where a node has many links.
     """
-    ends = F.array(F.struct(F.col("a").alias("u"), F.col("b").alias("v")), F.struct(F.col("b").alias("u"), F.col("a").alias("v")))
-    both = cut(edges.select(F.explode(ends).alias("e")).select("e.*").distinct())
-    labels = cut(both.groupBy(F.col("u").alias("node")).agg(F.least(F.min("v"), F.first("u")).alias("label")))
-    for turn in range(most):
-        near = both.join(labels.withColumnRenamed("node", "v").hint("merge"), "v").groupBy(F.col("u").alias("node")).agg(F.min("label").alias("near"))
-        low = labels.join(near.hint("merge"), "node").select("node", F.col("label").alias("old"), F.least("label", "near").alias("low"))
+    ends = F.array(*(F.struct(F.col(x).alias("u"), F.col(y).alias("v")) for x in "ab" for y in "ab"))
+    links = cut(edges.mapInArrow(_forest, "a binary, b binary").select(F.explode(ends).alias("e")).select("e.*").distinct())
+    labels = cut(links.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("label")))
+    for _ in range(most):
+        near = links.join(labels.withColumnRenamed("node", "v").hint("merge"), "v")
+        near = near.groupBy(F.col("u").alias("node")).agg(F.min("label").alias("low"), F.max(F.when(F.col("u") == F.col("v"), F.col("label"))).alias("old"))
         jump = labels.select(F.col("node").alias("low"), F.col("label").alias("far"))
-        next_ = cut(low.join(jump.hint("merge"), "low", "left").select("node", F.coalesce(F.least("low", "far"), F.col("low")).alias("label"), "old"))
+        next_ = cut(near.join(jump.hint("merge"), "low").select("node", F.least("low", "far").alias("label"), "old"))
         labels = next_.select("node", "label")
-        if turn and next_.filter(F.col("label") != F.col("old")).isEmpty():
-            break
-    return labels
+        if next_.filter(F.col("label") != F.col("old")).isEmpty():
+            return labels
+    raise RuntimeError(f"classes are not settled after {most} rounds")
 
 
-def _labels(members: DataFrame, texts: DataFrame, size: int, least: float, hubs: int, small: int) -> DataFrame:
-    """node, label of the nodes that have a similar one in a band; ``members`` has key, node.
+def _labels(members: DataFrame, texts: DataFrame, rare: np.ndarray, size: int, least: float, hubs: int, small: int) -> DataFrame:
+    """node, label of the nodes that have a similar one in a band; ``members`` has key, node and rank, how rare its shingles are on average.
 
     First the nodes of every band are compared with its hubs. Then bands that still
     hold several classes have all of them compared: pair by pair if they are small,
@@ -292,11 +343,14 @@ def _labels(members: DataFrame, texts: DataFrame, size: int, least: float, hubs:
     many small jobs would cost the driver more memory than the pairs cost time.
     """
 
-    def bands(named: DataFrame, turns: range) -> DataFrame:
-        """Bands of several classes with so many hubs, each the first in an order of its own."""
-        first = [F.min(F.struct(F.xxhash64(F.lit(t), "node").alias("o"), F.col("node").alias("hub"), F.col("label").alias("hub_label"))) for t in turns]
+    def bands(named: DataFrame) -> DataFrame:
+        """Bands of several classes with their hubs. Written, so that Spark can split the rows of a large band that meet them.
+
+        The first hub is the node of the commonest shingles: of a text and its edited copies, the one with the fewest edits. The others are the first in orders that are the band's own.
+        """
+        first = [F.min(F.struct((F.xxhash64(F.lit(t), "key", "node") if t else F.col("rank").cast("long")).alias("o"), F.col("node").alias("hub"), F.col("label").alias("hub_label"))) for t in range(hubs)]
         open_ = named.groupBy("key").agg(F.count("*").alias("size"), F.min("label").alias("low"), F.max("label").alias("high"), F.array(*first).alias("hubs"))
-        return open_.filter(F.col("low") != F.col("high")).select("key", "size", "hubs")
+        return cut(open_.filter(F.col("low") != F.col("high")).select("key", "size", "hubs"))
 
     def with_hubs(named: DataFrame, open_: DataFrame) -> DataFrame:
         both = named.join(open_.hint("merge"), "key").select("node", "label", F.explode(F.array_distinct("hubs")).alias("h"))
@@ -308,15 +362,29 @@ def _labels(members: DataFrame, texts: DataFrame, size: int, least: float, hubs:
         return rest.withColumnRenamed("node", "a").join(other.hint("merge"), "key").filter((F.col("a") < F.col("b")) & (F.col("label") != F.col("label_b"))).select("a", "b")
 
     alone = members.withColumn("label", F.col("node"))
-    edges = cut(verified(with_hubs(alone, bands(alone, range(hubs))).distinct(), texts, size, least))
+    edges = cut(verified(with_hubs(alone, bands(alone)).distinct(), texts, rare, size, least))
     named = cut(members.join(components(edges).hint("merge"), "node", "left").withColumn("label", F.coalesce("label", "node")))
-    release(members.sparkSession)
-    open_ = cut(bands(named, range(hubs)).select("key", "size"))
-    large = cut(named.join(open_.filter(F.col("size") > small).hint("merge"), "key", "left_semi").select("node", "label").distinct())
+    open_ = bands(named)
+    large = cut(named.join(open_.filter(F.col("size") > small).select("key").hint("merge"), "key", "left_semi").select("node", "label").distinct())
     pairs = all_classes(named, open_.filter(F.col("size") <= small))
     if not large.isEmpty():
-        pairs = pairs.unionByName(rare_pairs(large, texts, size, least))
-    return components(edges.unionByName(verified(pairs.distinct(), texts, size, least)))
+        pairs = pairs.unionByName(cut(rare_pairs(large, texts, rare, size, least).distinct()))
+    return components(edges.unionByName(verified(pairs.distinct(), texts, rare, size, least)))
+
+
+def _classified(docs: DataFrame, size: int, least: float, bands: int, rows: int, hubs: int, small: int) -> DataFrame:
+    """Each row's doc_id, r1, r2, node and label (both null without words); ``docs`` has doc_id as long, text, and r1 and r2, which differ between rows that are not repeats."""
+    rare = rarities(docs, size)
+    signed = store(docs.select("doc_id", "r1", "r2", "text").mapInArrow(_signatures(rare, size, bands, rows), "doc_id long, r1 long, r2 long, node binary, rank int, keys array<long>"), "signatures")
+    nodes = signed.filter("node is not null").groupBy("node").agg(F.first("rank").alias("rank"), F.first("keys").alias("keys"))  # all its rows have the same
+    members = nodes.select("node", "rank", F.explode("keys").alias("key"))
+    shared = members.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key")
+    members = store(members.join(shared.hint("merge"), "key", "left_semi"), "members")
+    # one row of each node brings its text; repeats of that very row are dropped by the aggregation
+    owners = cut(signed.join(members.select("node").distinct().hint("merge"), "node", "left_semi").groupBy("node").agg(F.min(F.struct("r1", "r2")).alias("o")).select("node", "o.*"))
+    texts = docs.select("r1", "r2", "text").join(owners.hint("merge"), ["r1", "r2"]).groupBy("node").agg(F.first("text").alias("text"))
+    labels = cut(_labels(members, store(texts, "texts"), rare, size, least, hubs, small))
+    return signed.select("doc_id", "r1", "r2", "node").join(labels.hint("merge"), "node", "left").withColumn("label", F.coalesce("label", "node"))
 
 
 def classes(df: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = SHINGLE, least: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS, hubs: int = HUBS, small: int = SMALL) -> DataFrame:
@@ -328,35 +396,48 @@ def classes(df: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int
     class. A null doc_id is never the least one if there is another. Texts under
     ``size`` words are one shingle. Empty table: no rows. Other columns are not read.
     """
-    spark = df.sparkSession
-    docs = pick(df, doc_id=doc_id, text=text).select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("th"), "text")
-    signed = store(docs.mapInArrow(_signatures(size, bands, rows), "doc_id long, th long, node binary, keys array<long>"), "signatures")
-    nodes = signed.filter("node is not null").groupBy("node").agg(F.first("keys").alias("keys"))  # all its rows have the same keys
-    members = nodes.select("node", F.explode("keys").alias("key"))
-    shared = members.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key")
-    members = cut(members.join(shared, "key", "left_semi"))
-    release(spark)
-    # one row of each node brings its text; repeats of that very row are dropped where they meet
-    owners = signed.join(members.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.min(F.struct(_key("doc_id").alias("k"), "th")).alias("o")).select("node", "o.*")
-    texts = docs.select(_key("doc_id").alias("k"), "th", "text").join(owners, ["k", "th"]).groupBy("k", "th").agg(F.first("node").alias("node"), F.first("text").alias("text"))
-    texts = store(texts.select("node", "text"), "texts")
-    release(spark)
-    labels = _labels(members, texts, size, least, hubs, small)
-    named = cut(signed.select("doc_id", "node").join(labels.hint("merge"), "node", "left").withColumn("label", F.coalesce("label", "node")))
-    sizes = named.filter("label is not null").groupBy("label").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("class_rows"))
+    docs = pick(df, doc_id=doc_id, text=text).select(F.col("doc_id").cast("long"), "text")
+    docs = docs.select("doc_id", F.xxhash64(F.col("doc_id").isNull(), "doc_id", "text").alias("r1"), F.xxhash64("text", F.col("doc_id").isNull(), "doc_id").alias("r2"), "text")
+    named = cut(_classified(docs, size, least, bands, rows, hubs, small))
+    sizes = cut(named.filter("label is not null").groupBy("label").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("class_rows")))
     out = named.join(sizes.hint("merge"), "label", "left")
     return out.select("doc_id", F.col("node").alias("text_id"), F.when(F.col("label").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("class_rows", F.lit(1)).cast("long").alias("class_rows"))
 
 
+def _row_hashes(flat: DataFrame) -> tuple[Column, Column]:
+    """128 bits of a row's content; maps, which Spark does not hash, by their JSON."""
+    parts = []
+    for field in flat.schema:
+        c = F.col(field.name)
+        parts += [c.isNull(), F.to_json(F.struct(c)) if "map<" in field.dataType.simpleString() else c]
+    return F.xxhash64(*parts), F.xxhash64(F.lit(1), *parts[::-1])
+
+
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """The pipeline's form: every column of ``docs``; of each class the rows of the least doc_id, and all rows without words or doc_id.
+    """The pipeline's form: every column of ``docs``; one row of each class, and all rows without words.
 
-    Rows that share a doc_id are one document.
+    The row of the least doc_id stays, a null one last; of several with that id
+    the one of the least content hash, once if it is repeated. Rows of other
+    classes stay whatever their doc_id. Texts move only where a repeated row is the one to stay.
     """
 
     def stage(flat: DataFrame, doc_id: str, text: str) -> DataFrame:
-        found = classes(flat, doc_id, text)
-        gone = found.filter(F.col("text_id").isNotNull() & (F.col("doc_id") != F.col("class_id"))).select(F.col("doc_id").alias("__d")).distinct()
-        return flat.join(gone, flat[doc_id] == F.col("__d"), "left_anti")
+        own = flat.columns
+        r1, r2 = _row_hashes(flat)
+        rows = flat.select(F.col(doc_id).cast("long").alias("doc_id"), r1.alias("r1"), r2.alias("r2"), F.col(text).alias("text"))
+        named = cut(_classified(rows, SHINGLE, SIMILARITY, BANDS, ROWS, HUBS, SMALL).filter("label is not null").groupBy("label", "doc_id", "r1", "r2").agg(F.count("*").alias("n")))
+        order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "r1", "r2")
+        best = cut(named.groupBy("label").agg(F.min(order).alias("best")))
+        told = named.join(best.hint("merge"), "label").select("r1", "r2", (order == F.col("best")).alias("__stays"), "n")
+        # only rows that go, and those that stay but are repeated, are marked
+        told = cut(told.filter(~F.col("__stays") | (F.col("n") > 1)).select(F.col("r1").alias("__m1"), F.col("r2").alias("__m2"), "__stays"))
+        hashed = flat.withColumns({"__r1": r1, "__r2": r2})
+        alike = (F.col("__r1") == F.col("__m1")) & (F.col("__r2") == F.col("__m2"))
+        once = hashed.join(told, alike, "left_anti").select(*own)
+        repeated = told.filter("__stays")
+        if repeated.isEmpty():
+            return once
+        again = hashed.join(repeated, alike, "left_semi").groupBy("__r1", "__r2").agg(F.first(F.struct(*own)).alias("row"))
+        return once.unionByName(again.select("row.*"))
 
     return by_place(docs, stage, "doc_id", "text")

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siltstone.llm._common import cut, pick, release, store
+from siltstone.llm._common import cut, pick, store
 
 LENGTH = 200
 K = 64
@@ -377,12 +377,9 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, k: int = K, crowded: i
 
     ``docs`` has doc_id, th (a hash of the text) and text as binary without nulls.
     """
-    spark = docs.sparkSession
     seen = docs.select("text").mapInArrow(_count_anchors(length, k), _ddl(_COUNTS)).groupBy("m").agg(F.sum("c").alias("c")).filter("c > 1").select("m")
     seen = cut(seen)  # so that both sides of the join are plain shuffles, of which Spark can split a skewed one
     found = store(docs.mapInArrow(_list_runs(length, k), _ddl(_RUNS)).join(seen, "m", "left_semi"), "runs")
-    del seen
-    release(spark)
     kinds = cut(found.groupBy("m", "w").agg(F.count("*").alias("c"), F.min(F.struct("doc_id", "th", "place")).alias("one")))
     start, count = F.shiftright("place", 20), F.shiftright("place", 10).bitwiseAND(F.lit(1023))
     whole = found.join(kinds.filter("c > 1").select("m", "w"), ["m", "w"], "left_semi").select("doc_id", "th", start.alias("start"), count.cast("long").alias("n"))
@@ -392,7 +389,6 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, k: int = K, crowded: i
     wanted = wanted.withColumnsRenamed({"doc_id": "__d", "th": "__h"})
     both = docs.join(wanted, docs["doc_id"].eqNullSafe(F.col("__d")) & (docs["th"] == F.col("__h"))).select("doc_id", "th", "text", "wanted")
     parts = store(both.mapInArrow(_cut_bytes(length), _ddl(_BYTES)), "parts")
-    release(spark)
     few = parts.filter(F.col("d") <= crowded).repartition("m").sortWithinPartitions("m")
     sorted_ = few.mapInArrow(_sort_suffixes(length, SHALLOW), _ddl(_SPANS))
     windows = parts.filter(F.col("d") > crowded).mapInArrow(_hash_windows(length), _ddl(_WINDOWS))
@@ -412,6 +408,5 @@ def remove_repeats(df: DataFrame, doc_id: str = "doc_id", text: str = "text", le
     docs = docs.select("doc_id", F.xxhash64("text").alias("th"), F.col("text").cast("binary").alias("text"))
     spans = repeated_spans(docs, length, k, crowded).groupBy("doc_id", "th").agg(F.collect_list(F.struct("start", "n")).alias("spans"))
     spans = cut(spans).withColumnsRenamed({"doc_id": "__d", "th": "__h"})
-    release(df.sparkSession)
     both = docs.join(spans, docs["doc_id"].eqNullSafe(F.col("__d")) & (docs["th"] == F.col("__h")), "left").select("doc_id", "text", "spans")
     return both.mapInArrow(_digest(length), _ddl(_RESULT))
