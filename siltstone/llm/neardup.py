@@ -40,7 +40,7 @@ BANDS = 12
 ROWS = 3
 CELLS = 1 << 16
 #: By how much more a shingle of one document counts than one of all documents.
-RISE = 0.25
+RISE = 0.1
 #: Steps of the inverse frequency; weights are whole numbers of them, so that their sums are exact.
 STEPS = 64
 #: Hubs with which every node of a band is compared.
@@ -255,14 +255,15 @@ def _prefixes(rare: np.ndarray, size: int, least: float):
     return run
 
 
-def rare_pairs(named: DataFrame, texts: DataFrame, rare: np.ndarray, size: int = SHINGLE, least: float = SIMILARITY) -> DataFrame:
-    """Pairs (a, b) of nodes of different labels; every pair that is similar enough is among them. ``named`` has each node once: node, label.
+def rare_pairs(named: DataFrame, texts: DataFrame, rare: np.ndarray | None = None, size: int = SHINGLE, least: float = SIMILARITY) -> DataFrame:
+    """Pairs (a, b) of nodes of different labels; every pair that is similar enough is among them. ``named`` has each node once: node, label; without ``rare`` shingles weigh their counts.
 
     Nodes are joined on tokens of their prefixes and on classes of weight. A shared token
     counts if what follows it in both could still be enough, which holds for the first one of
     a similar pair. One side leaves out a label of each token, which is the
     commonest one as a rule: of two nodes of different labels one has another.
     """
+    rare = np.zeros(1, np.uint8) if rare is None else rare
     own = texts.join(named.hint("merge"), "node").select("node", "label", "text")
     tokens = store(own.mapInArrow(_prefixes(rare, size, least), "node binary, label binary, token long, rest long, w long"), "tokens")
     one = F.min_by("label", F.xxhash64("node"))

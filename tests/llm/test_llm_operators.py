@@ -414,6 +414,84 @@ def test_rare_shingles_find_every_similar_pair(spark):
     assert len(near) > 10 and near <= got
 
 
+def weighted_links(rows, least=0.8):
+    """Pairs of rows whose damped TF-IDF vectors are similar enough, by comparing all; exact frequencies."""
+    def grams(t):
+        words = re.findall(r"\w+", t.lower())
+        n = min(5, len(words))
+        return Counter(tuple(words[i : i + n]) for i in range(len(words) - n + 1))
+
+    counts = [grams(t) for t in rows]
+    df, n = Counter(g for c in counts for g in c), len(rows)
+    weigh = {g: 1 + neardup.RISE * round(neardup.STEPS * np.log(n / df[g]) / np.log(n)) / neardup.STEPS for g in df}
+    own = [{g: k * weigh[g] for g, k in c.items()} for c in counts]
+    total = [sum(v.values()) for v in own]
+    out = {}
+    for a in range(n):
+        for b in range(a):
+            same = sum(min(v, own[b][g]) for g, v in own[a].items() if g in own[b])
+            if same >= (least - 0.01) * (total[a] + total[b] - same):
+                out[a, b] = same / (total[a] + total[b] - same)
+    return out
+
+
+def test_recall_on_edited_copies_and_a_template(spark):
+    """Copies with few and many edits, of their own texts and of one template that a third of the rows share, against all pairs."""
+    r = random.Random(31)
+    rows = []
+    for kind in range(60):
+        base = sentence(r, r.randint(40, 200)).split()
+        for k in range(4):
+            rows.append(" ".join(w if r.random() > 0.01 * k else sentence(r, 1) for w in base))
+    template = sentence(r, 120).split()
+    rows += [" ".join(w if r.random() > 0.02 else sentence(r, 1) for w in template) for _ in range(120)]
+    got = {x["doc_id"]: x["class_id"] for x in neardup.classes(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")).collect()}
+    links = weighted_links(rows)
+    sure = [p for p, s in links.items() if s >= 0.8]
+    assert len(sure) > 300 and sum(got[a] == got[b] for a, b in sure) >= 0.99 * len(sure)
+    # no class holds rows that no chain of links joins
+    parent = {i: i for i in range(len(rows))}
+
+    def find(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for a, b in links:
+        parent[find(a)] = find(b)
+    assert all(find(i) == find(c) for i, c in got.items())
+
+
+def test_one_row_of_each_class_stays(spark):
+    """Ids that several rows share, null ids and repeated rows: removal goes by rows, not by ids."""
+    r = random.Random(32)
+    b, c, d = (sentence(r, 60) for _ in range(3))
+    near = b.split()
+    near[30] = "other"
+    rows = [(0, b, "en"), (1, b, "en"), (1, c, "en"), (1, " ".join(near), "en"), (None, c, "en"), (None, d, "en"), (None, d, "en"), (None, d, "de"), (7, None, "en"), (7, "", "en"), (7, None, "en"), (None, "!", None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
+    got = Counter(map(tuple, neardup.one_of_each(df).collect()))
+    kept_d = [x for x in got if x[1] == d]
+    assert len(kept_d) == 1 and got.pop(kept_d[0]) == 1
+    assert got == Counter([(0, b, "en"), (1, c, "en"), (7, None, "en"), (7, None, "en"), (7, "", "en"), (None, "!", None)])
+    maps = df.withColumn("m", F.create_map(F.lit("k"), F.col("lang")))
+    assert neardup.one_of_each(maps).count() == 7
+
+
+def test_damped_weights_are_those_of_the_formula(spark):
+    rows = [(1, "a b c d e f"), (2, "a b c d e"), (3, "a b c d e g"), (4, None)]
+    rare = neardup.rarities(spark.createDataFrame(rows, "doc_id long, text string"))
+    hashes = neardup.WordHashes()
+    first, last = (neardup.weigh(neardup.shingles(w.split(), hashes), rare)[0] for w in ("a b c d e", "b c d e f"))
+    assert first == 640 and last == 640 + 64  # of all three texts, and of one
+
+
+def test_links_in_a_chain_are_one_class(spark):
+    edges = spark.createDataFrame([(bytes([i]), bytes([i + 1])) for i in range(200)] + [(b"\xf0", b"\xf1"), (b"\xf1", b"\xf0")], "a binary, b binary").repartition(7)
+    got = {bytes(x["node"]): bytes(x["label"]) for x in neardup.components(edges).collect()}
+    assert got == {bytes([i]): bytes([0]) for i in range(201)} | {b"\xf0": b"\xf0", b"\xf1": b"\xf0"}
+
+
 def test_samples_agree_as_often_as_weighted_jaccard_says():
     r = np.random.default_rng(3)
     keys = r.integers(0, 2**63, 300).astype(np.uint64)
