@@ -42,7 +42,7 @@ def default_vocabulary() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
-#: Letters, then marks: two parts in the tokenizer's own split, whatever they are.
+#: Letters, then marks: two parts in the tokenizer's own split, if the letters' lower case is letters alone.
 _WORD_AND_MARKS = re.compile(r"([^\W\d_]+)([!-&(-/:-@[-^`{-~]*)\Z")
 
 
@@ -54,6 +54,11 @@ def _byte_letters() -> list[str]:
     return [letters[b] for b in range(256)]
 
 
+def lowered(word: str) -> str:
+    """Lower case as the tokenizer makes it: letter by letter, so with no form of its own for a final sigma."""
+    return word.lower() if word.isascii() else "".join(map(str.lower, unicodedata.normalize("NFC", word)))
+
+
 class _Ids(dict):
     """Ids of a piece of text without blanks or line ends, as little-endian bytes. The last ``REMEMBER`` or more pieces are remembered."""
 
@@ -69,14 +74,8 @@ class _Ids(dict):
     def encode(self, text: str) -> bytes:
         return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
-    def word(self, word: str) -> bytes:
-        """Ids of letters alone, which the tokenizer's split keeps whole: what its model makes of their lower case.
-
-        The tokenizer lowers letter by letter, and so has no form of its own for a final sigma.
-        """
-        low = word.lower() if word.isascii() else "".join(map(str.lower, unicodedata.normalize("NFC", word)))
-        if not low.isalpha():
-            return self.encode(word)
+    def word(self, low: str) -> bytes:
+        """Ids of a word of letters alone in lower case, which the tokenizer's split keeps whole: what its model makes of them."""
         if not low.isascii():
             low = "".join(map(self.letters.__getitem__, low.encode()))
         return array("I", [t.id for t in self.model.tokenize(low)]).tobytes()
@@ -87,9 +86,10 @@ class _Ids(dict):
             self.clear()
         ids = self.old.get(piece)
         if ids is None:
-            if found := _WORD_AND_MARKS.match(piece):
-                letters, marks = found.groups()
-                ids = self[letters] + self[marks] if marks else self.word(letters)
+            found = _WORD_AND_MARKS.match(piece)
+            low = lowered(found[1]) if found else ""
+            if low.isalpha():  # the lower case of a dotted capital I ends in a mark that would join the marks after it
+                ids = self[found[1]] + self[found[2]] if found[2] else self.word(low)
             else:
                 ids = self.encode(piece)
         self[piece] = ids
