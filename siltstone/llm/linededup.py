@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from siltstone.llm._common import by_place, pick
+from siltstone.llm._common import by_place, cut, pick
 
 WINDOW = 3
 
@@ -39,7 +39,9 @@ def repeated_lines(df: DataFrame, doc_id: str = "doc_id", text: str = "text", si
     windows = split.select("doc_id", "text_hash", F.explode(_hashes("lines", size)).alias("w")).select("doc_id", "text_hash", "w.*")
     place = F.struct("doc_id", "text_hash", "at")
     firsts = windows.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.max(place).alias("last")).filter(F.col("first") != F.col("last"))
-    later = windows.join(firsts.select("h1", "h2", "first"), ["h1", "h2"]).filter(~place.eqNullSafe(F.col("first")))
+    # written, so that both sides of the join are plain shuffles, of which Spark splits the rows of a window that most texts share
+    firsts = cut(firsts.select("h1", "h2", "first"))
+    later = windows.join(firsts.hint("merge"), ["h1", "h2"]).filter(~place.eqNullSafe(F.col("first")))
     covered = F.array_sort(F.array_distinct(F.flatten(F.transform(F.collect_set("at"), lambda a: F.sequence(a, a + (size - 1))))))
     return later.groupBy("doc_id", "text_hash").agg(covered.alias("lines"))
 
