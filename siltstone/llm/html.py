@@ -27,12 +27,15 @@ from siltstone.llm._common import pick
 TRAIN_PAGES = 600
 EPOCHS = 120
 
-_TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(?:svg|annotation(?:-xml)?)\b(?:\"[^\"]*\"|'[^']*'|[^>\"'])*/>|<(script|style|noscript|template|title|svg|iframe|textarea|select)\b(?:\"[^\"]*\"|'[^']*'|[^>\"'])*>.*?(?:</\1\s*>|\Z)|<[!?][^>]*(?:>|\Z)"
-    r"|<annotation(?:-xml)?\b(?:\"[^\"]*\"|'[^']*'|[^>\"'])*>.*?(?:</annotation(?:-xml)?\s*>|(?=</math\b)|\Z)"  # a formula's source, which no browser shows
-    r"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*)(?:>|\Z)",
-    re.S | re.I,
-)
+#: Where markup begins; a "<" before anything else is text.
+_MARKUP = re.compile(r"<(?:!--|[!?]|(/?)([a-zA-Z][^\s/>]*))")
+_ATTRIBUTE_OR_END = re.compile(r"[>=]")
+_UNQUOTED = re.compile(r"[^\s>]*")
+_BLANKS = re.compile(r"\s*")
+#: Elements whose content is no text of the page, whatever it is. What a formula's source says, no browser shows.
+_RAW = frozenset(["script", "style", "noscript", "template", "title", "svg", "iframe", "textarea", "select", "annotation", "annotation-xml"])
+_RAW_END = {name: re.compile(rf"</{name}(?=[\s/>])" + (r"|(?=</math\b)" if name.startswith("annotation") else ""), re.I) for name in _RAW}
+_MAY_CLOSE_ITSELF = frozenset(["svg", "annotation", "annotation-xml"])
 _ATTRIBUTE = re.compile(r"(?:^|[\s/])(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _NAME = re.compile(r"[a-z]+")
 _SPACE = re.compile(r"\s+")
@@ -45,6 +48,44 @@ _ENDS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td
 _SCOPES = frozenset(["ul", "ol", "menu", "dl", "table", "tbody", "thead", "tfoot"])
 
 
+def _tag_end(page: str, at: int) -> int:
+    """The place of the ">" that ends a tag, or the page's end. A quote counts where a value begins, as in browsers; one that nothing closes is passed over."""
+    while m := _ATTRIBUTE_OR_END.search(page, at):
+        if m[0] == ">":
+            return m.start()
+        at = _BLANKS.match(page, m.end()).end()
+        quote = page[at : at + 1]
+        if quote and quote in "\"'":
+            close = page.find(quote, at + 1)
+            at = close + 1 if close >= 0 else at + 1
+        else:
+            at = _UNQUOTED.match(page, at).end()
+    return len(page)
+
+
+def _tags(page: str) -> Iterator[tuple[int, int, str | None, bool, str]]:
+    """Markup in page order: where it begins and ends, the tag's name (None for what only goes), whether it closes, its attributes. One pass, whatever the markup is."""
+    at = 0
+    while m := _MARKUP.search(page, at):
+        name, closing = m[2], bool(m[1])
+        if name is None:
+            mark = "-->" if m[0] == "<!--" else ">"
+            found = page.find(mark, m.end())
+            at = found + len(mark) if found >= 0 else len(page)
+            yield m.start(), at, None, False, ""
+            continue
+        name = name.lower()
+        end = _tag_end(page, m.end())
+        at = min(end + 1, len(page))
+        if name in _RAW and not closing:
+            if not (name in _MAY_CLOSE_ITSELF and page[end - 1] == "/"):
+                found = _RAW_END[name].search(page, at)
+                at = len(page) if found is None else min(_tag_end(page, found.end()) + 1, len(page)) if found[0] else found.start()
+            yield m.start(), at, None, False, ""
+        else:
+            yield m.start(), at, name, closing, page[m.end() : end]
+
+
 def blocks(page: str | None) -> list[tuple[str, tuple[tuple[str, ...], ...], float]]:
     """Leaf blocks in page order: text, the elements around it as (tag, class word, ...), share of characters in links."""
     if not page:
@@ -71,17 +112,15 @@ def blocks(page: str | None) -> list[tuple[str, tuple[tuple[str, ...], ...], flo
             if stack[k][0] in scopes:
                 return
 
-    for m in _TOKEN.finditer(page):
-        if m.start() > at:
-            raw = page[at : m.start()]
+    for begins, ends, tag, closing, attributes in _tags(page):
+        if begins > at:
+            raw = page[at:begins]
             parts.append(raw)
             if in_link:
                 linked += len(raw)
-        at = m.end()
-        tag = m.group(3)
+        at = ends
         if tag is None:
             continue
-        tag, closing = tag.lower(), bool(m.group(2))
         if tag in _BLOCK_TAGS:
             end_block()
             if closing:
@@ -91,7 +130,7 @@ def blocks(page: str | None) -> list[tuple[str, tuple[tuple[str, ...], ...], flo
             if tag in _ENDS:
                 close(_ENDS[tag], _SCOPES)
             if tag not in _VOID:
-                names = [w for a in _ATTRIBUTE.findall(m.group(4)) for w in _NAME.findall((a[1] or a[2] or a[3]).lower())] if m.group(4) else []
+                names = [w for a in _ATTRIBUTE.findall(attributes) for w in _NAME.findall((a[1] or a[2] or a[3]).lower())] if attributes else []
                 stack.append((tag, *names))
         elif tag == "a":
             in_link = not closing
