@@ -3,15 +3,17 @@
 Statistics of every whole text are made in Arrow batches. Documents that pass
 the base rules form groups by language and source; each group gets a
 minimum-covariance-determinant estimate (MCD) of location and scatter of a
-transformed statistic vector by concentration steps over all its rows. Groups of
-under ``MIN_GROUP`` rows are judged by the estimate of their language, and if that
+transformed statistic vector by concentration steps over all its rows, from two
+starts; the one that ends with the lesser determinant is reweighted: location and scatter
+of all rows within the ``REWEIGHT`` quantile of it. Groups of under ``MIN_GROUP`` rows are judged by the estimate of their language, and if that
 has too few rows as well, by that of all rows. A
 document whose squared Mahalanobis distance is over the cut is rejected.
 
 A concentration step is one aggregation with partial sums: rows are counted in
 fixed bins of their distance, with the moments of each bin, so the nearest
 ``SUPPORT`` of a group's rows (to the width of a bin) is found without sorting or
-gathering any group in one task.
+gathering any group in one task. Rows of the last bin that is needed all count, so
+rows at equal distances are never told apart.
 """
 
 from __future__ import annotations
@@ -25,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from siltstone.llm._common import by_place, cut, pick
+from siltstone.llm._common import by_place, cut, pick, store
 
 MIN_WORDS = 20
 #: Share of words in repeated windows, in percent, over which the base rules reject.
@@ -33,7 +35,11 @@ MAX_REPEAT = 30
 REPEAT_WINDOW = 8
 #: Share of a group's rows on which the estimate rests.
 SUPPORT = 0.75
-STEPS = 6
+#: Most concentration steps; they end when no group's determinant falls by more than ``SETTLED`` (of its logarithm).
+STEPS = 12
+SETTLED = 1e-3
+#: Quantile of the distance within which rows count for the final estimate.
+REWEIGHT = 0.975
 #: Quantile of the chi-squared distribution, of as many degrees as FEATURES, at the cut.
 QUANTILE = 0.9999
 #: Fewest rows on which an estimate may rest.
@@ -149,44 +155,57 @@ def _scatter(cov: np.ndarray) -> np.ndarray:
 
 #: Distances are counted in bins of this many to a doubling.
 _BINS = 16
-_MODEL = "lang string, source string, n bigint, " + ", ".join(f"m{i} double" for i in range(_DIM)) + ", " + ", ".join(f"q{i}{j} double" for i, j in _PAIRS)
+_MODEL = "lang string, source string, start int, n bigint, det double, fall double, " + ", ".join(f"m{i} double" for i in range(_DIM)) + ", " + ", ".join(f"q{i}{j} double" for i, j in _PAIRS)
+_MODEL_NAMES = [c.split()[0] for c in _MODEL.split(", ")]
 
 
-def _row(lang, source, n: int, mean: np.ndarray, scatter: np.ndarray) -> list:
-    inverse = np.linalg.inv(scatter)
-    return [lang, source, int(n), *map(float, mean), *(float(inverse[i, j]) for i, j in _PAIRS)]
+def _row(lang, source, start: int, n: int, before: float, mean: np.ndarray, scatter: np.ndarray) -> list:
+    """A row of _MODEL: det is the logarithm of the determinant, fall what it has fallen by since ``before``."""
+    inverse, det = np.linalg.inv(scatter), float(np.linalg.slogdet(scatter)[1])
+    return [lang, source, int(start), int(n), det, before - det, *map(float, mean), *(float(inverse[i, j]) for i, j in _PAIRS)]
 
 
-def _start(groups: pd.DataFrame) -> pd.DataFrame:
-    """Medians and median deviations, as a first estimate."""
+def _starts(groups: pd.DataFrame) -> pd.DataFrame:
+    """First estimates: medians, with median deviations and with the least standard deviations alone."""
     rows = []
     for g in groups.itertuples(index=False):
         mid = np.array([getattr(g, f"p{i}")[1] for i in range(_DIM)])
         sd = np.array([(getattr(g, f"p{i}")[2] - getattr(g, f"p{i}")[0]) / 1.349 for i in range(_DIM)])
-        rows.append(_row(g.lang, g.source, g.n, mid, _scatter(np.diag(sd**2))))
-    return pd.DataFrame(rows, columns=[c.split()[0] for c in _MODEL.split(", ")])
+        rows += [_row(g.lang, g.source, k, g.n, math.inf, mid, _scatter(np.diag(first**2))) for k, first in enumerate((sd, 0 * sd))]
+    return pd.DataFrame(rows, columns=_MODEL_NAMES)
 
 
-def _concentrate(bins: pd.DataFrame) -> pd.DataFrame:
-    """Location and scatter of the nearest rows of one group, from its bins' moments."""
-    bins = bins.sort_values("bin")
-    n = int(bins["c"].sum())
-    count = bins["c"].cumsum().to_numpy()
-    upto = int(np.searchsorted(count, SUPPORT * n)) + 1
-    part = bins.iloc[:upto]
+def _moments(part: pd.DataFrame, share: float) -> tuple[np.ndarray, np.ndarray]:
+    """Mean and scatter from sums; the nearest ``share`` of a normal distribution has its scatter made too small, which is put right."""
     h = int(part["c"].sum())
     mean = np.array([part[f"s{i}"].sum() for i in range(_DIM)]) / h
     cov = np.zeros((_DIM, _DIM))
     for i, j in _PAIRS:
         cov[i, j] = cov[j, i] = part[f"t{i}{j}"].sum() / h - mean[i] * mean[j]
-    share = h / n
-    factor = share / chi2_cdf(chi2_quantile(share, _DIM), _DIM + 2) if share < 1 else 1.0
-    cov = cov * factor
-    values, vectors = np.linalg.eigh(cov)
-    cov = (vectors * np.clip(values, 0, None)) @ vectors.T
+    values, vectors = np.linalg.eigh(cov * (share / chi2_cdf(chi2_quantile(share, _DIM), _DIM + 2) if share < 1 else 1.0))
+    return mean, _scatter((vectors * np.clip(values, 0, None)) @ vectors.T)
+
+
+def _group_of(bins: pd.DataFrame) -> tuple:
     first = bins.iloc[0]
-    lang, source = (None if pd.isna(v) else v for v in (first["lang"], first["source"]))
-    return pd.DataFrame([_row(lang, source, n, mean, _scatter(cov))], columns=[c.split()[0] for c in _MODEL.split(", ")])
+    return (*(None if pd.isna(v) else v for v in (first["lang"], first["source"])), first["start"])
+
+
+def _concentrate(bins: pd.DataFrame) -> pd.DataFrame:
+    """Location and scatter of the nearest rows of one group and start, from its bins' moments."""
+    bins = bins.sort_values("bin")
+    n = int(bins["c"].sum())
+    part = bins.iloc[: int(np.searchsorted(bins["c"].cumsum().to_numpy(), SUPPORT * n)) + 1]
+    return pd.DataFrame([_row(*_group_of(bins), n, bins["before"].iloc[0], *_moments(part, int(part["c"].sum()) / n))], columns=_MODEL_NAMES)
+
+
+def _reweighted(sums: pd.DataFrame) -> pd.DataFrame:
+    """The final estimate of one group, from the moments of its rows within the REWEIGHT quantile (near) and beyond it."""
+    near = sums[sums["near"]]
+    n = int(sums["c"].sum())
+    if near.empty:  # not even the nearest row: such an estimate rests on nothing
+        near = sums
+    return pd.DataFrame([_row(*_group_of(sums), n, math.inf, *_moments(near, REWEIGHT))], columns=_MODEL_NAMES)
 
 
 def _with_distance(rows: DataFrame, model: DataFrame, few: bool, keep: list[Column]) -> DataFrame:
@@ -207,17 +226,23 @@ def _estimates(vectors: DataFrame) -> tuple[DataFrame, bool]:
     groups = vectors.groupBy(F.col("__l").alias("lang"), F.col("__s").alias("source")).agg(
         F.count("*").alias("n"), *(F.percentile_approx(x, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)), F.lit(1000)).alias(f"p{i}") for i, x in enumerate(_NAMES))
     )
-    model = cut(groups.mapInPandas(lambda it: map(_start, it), _MODEL))
-    few = model.limit(BROADCAST_GROUPS + 1).count() <= BROADCAST_GROUPS
+    model = cut(groups.mapInPandas(lambda it: map(_starts, it), _MODEL))
+    few = model.limit(2 * BROADCAST_GROUPS + 1).count() <= 2 * BROADCAST_GROUPS
     x = [F.col(name) for name in _NAMES]
+    sums = [F.count("*").alias("c"), *(F.sum(x[i]).alias(f"s{i}") for i in range(_DIM)), *(F.sum(x[i] * x[j]).alias(f"t{i}{j}") for i, j in _PAIRS)]
+
+    def far(model: DataFrame) -> DataFrame:
+        return _with_distance(vectors, model, few, [F.col("__l").alias("lang"), F.col("__s").alias("source"), F.col("start"), F.col("det").alias("before"), *x])
+
     for _ in range(STEPS):
-        far = _with_distance(vectors, model, few, [F.col("__l").alias("lang"), F.col("__s").alias("source"), *x])
         nearness = F.floor(F.log2(F.greatest(F.col("d2"), F.lit(1e-6))) * _BINS).cast("int")
-        bins = far.groupBy("lang", "source", nearness.alias("bin")).agg(
-            F.count("*").alias("c"), *(F.sum(x[i]).alias(f"s{i}") for i in range(_DIM)), *(F.sum(x[i] * x[j]).alias(f"t{i}{j}") for i, j in _PAIRS)
-        )
-        model = cut(bins.groupBy("lang", "source").applyInPandas(_concentrate, _MODEL))
-    return model, few
+        bins = far(model).groupBy("lang", "source", "start", "before", nearness.alias("bin")).agg(*sums)
+        model = cut(bins.groupBy("lang", "source", "start").applyInPandas(_concentrate, _MODEL))
+        if model.filter(F.col("fall") > SETTLED).isEmpty():
+            break
+    model = model.groupBy("lang", "source").agg(F.min_by(F.struct(*model.columns), F.struct("det", "start")).alias("best")).select("best.*")
+    near = (F.col("d2") <= chi2_quantile(REWEIGHT, _DIM)).alias("near")
+    return cut(far(model).groupBy("lang", "source", "start", near).agg(*sums).groupBy("lang", "source").applyInPandas(_reweighted, _MODEL)), few
 
 
 def fit(vectors: DataFrame) -> tuple[DataFrame, bool]:
@@ -267,14 +292,13 @@ def score(df: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str =
 
 
 def keep_documents(docs: DataFrame) -> DataFrame:
-    """The pipeline's form: the rows of ``docs`` that are kept, with all their columns. Texts are read twice and never shuffled."""
+    """The pipeline's form: the rows of ``docs`` that are kept, with all their columns. Rows that the base rules pass are written once with their statistics, and no text is shuffled."""
 
     def stage(flat: DataFrame, text: str, lang: str, source: str) -> DataFrame:
         own = flat.columns
-        vectors = flat.select(F.col(lang).alias("lang"), F.col(source).alias("source"), stats_of(text).alias("s"))
-        model, few = fit(vectors.select("lang", "source", base_failed().alias("b"), *features()).filter(~F.col("b")))
-        rows = flat.select("*", stats_of(text).alias("s"))
-        rows = rows.select(*own, F.col(lang).alias("__l"), F.col(source).alias("__s"), base_failed().alias("base_failed"), *features())
-        return _with_distance(rows, model, few, [*map(F.col, own), F.col("base_failed")]).filter(_verdict())
+        rows = flat.select("*", stats_of(text).alias("s")).filter(~base_failed()).select(*own, F.col(lang).alias("__l"), F.col(source).alias("__s"), *features())
+        rows = store(rows, "scored")
+        model, few = fit(rows.select(F.col("__l").alias("lang"), F.col("__s").alias("source"), *_NAMES))
+        return _with_distance(rows, model, few, [*map(F.col, own), F.lit(False).alias("base_failed")]).filter(_verdict())
 
     return by_place(docs, stage, "text", "lang", "source")

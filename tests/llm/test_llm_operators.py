@@ -232,6 +232,56 @@ def test_concentration_ignores_a_quarter_of_far_rows(spark):
     assert np.allclose(spread, np.sqrt(np.array([0.3, 0.2, 0.5, 0.4]) ** 2 + floor**2), rtol=0.2)
 
 
+def brute_mcd(x, share=0.75, steps=50):
+    """Minimum covariance determinant of one group in plain numpy: exact nearest rows, two starts, one reweighting."""
+    floor = np.diag([sd**2 for _, sd in quality.FEATURES.values()])
+    d2 = lambda mean, cov: np.einsum("ij,jk,ik->i", x - mean, np.linalg.inv(cov), x - mean)
+
+    def estimate(part, p):
+        return part.mean(axis=0), np.cov(part.T, bias=True) * p / quality.chi2_cdf(quality.chi2_quantile(p, 4), 6) + floor
+
+    ends = []
+    q = np.quantile(x, [0.25, 0.75], axis=0)
+    for first in (np.diag(((q[1] - q[0]) / 1.349) ** 2) + floor, floor):
+        mean, cov = np.median(x, axis=0), first
+        for _ in range(steps):
+            mean, cov = estimate(x[np.argsort(d2(mean, cov), kind="stable")[: int(share * len(x))]], share)
+        ends.append((np.linalg.slogdet(cov)[1], mean, cov))
+    _, mean, cov = min(ends, key=lambda e: e[0])
+    mean, cov = estimate(x[d2(mean, cov) <= quality.chi2_quantile(0.975, 4)], 0.975)
+    return d2(mean, cov)
+
+
+def test_verdicts_are_those_of_the_determinant_estimate(spark):
+    """Groups of unlike scatter with a fifth of far rows: distances and verdicts against numpy."""
+    r = np.random.default_rng(5)
+    groups = {}
+    for k in range(3):
+        mix = r.normal(0, 0.4, (4, 4)) + np.diag([0.3, 0.2, 0.5, 0.4])
+        groups[f"s{k}"] = np.concatenate([r.normal(0, 1, (800, 4)) @ mix + k, r.normal(6, 0.5, (200, 4))])
+    rows = [("en", s, *map(float, v)) for s, x in groups.items() for v in x]
+    df = spark.createDataFrame(rows, "lang string, source string, x0 double, x1 double, x2 double, x3 double").repartition(5)
+    model, few = quality.fit(df)
+    got = quality._with_distance(df.withColumnsRenamed({"lang": "__l", "source": "__s"}), model, few, [F.col("__s"), F.col("x0"), F.col("x1")]).collect()
+    cutoff = quality.chi2_quantile(quality.QUANTILE, 4)
+    by = {(x["__s"], x["x0"], x["x1"]): x["d2"] for x in got}
+    for s, x in groups.items():
+        want = brute_mcd(x)
+        have = np.array([by[s, float(v[0]), float(v[1])] for v in x])
+        assert np.allclose(have, want, rtol=0.1, atol=0.1)
+        sure = abs(want - cutoff) > 0.1 * cutoff
+        assert ((have > cutoff) == (want > cutoff))[sure].all() and (want[800:] > cutoff).all() and sure.mean() > 0.95
+
+
+def test_rows_at_one_distance_are_judged_alike(spark):
+    """Ties at the edge of a bin, and a group in which nothing varies."""
+    rows = [("en", "a", 1.0, 0.0, 0.0, 0.0)] * 60 + [("en", "a", 1.0, 0.0, 0.3, 0.0)] * 40 + [("en", "b", 2.0, 0.0, 0.0, 0.0)] * 20
+    df = spark.createDataFrame(rows, "lang string, source string, x0 double, x1 double, x2 double, x3 double")
+    model, few = quality.fit(df)
+    got = quality._with_distance(df.withColumnsRenamed({"lang": "__l", "source": "__s"}), model, few, [F.col("__s"), F.col("x2")]).groupBy("__s", "x2").agg(F.count_distinct("d2").alias("n"), F.max("d2").alias("d2")).collect()
+    assert len(got) == 3 and all(x["n"] == 1 and x["d2"] < quality.chi2_quantile(quality.QUANTILE, 4) for x in got)
+
+
 # ---- licenses
 
 
@@ -263,6 +313,14 @@ def test_alignment_is_common_and_finds_unique_anchors():
 # ---- packing
 
 
+def test_ids_of_letters_whose_lower_case_has_a_mark():
+    words = packing._Ids(packing.default_vocabulary())
+    r = random.Random(11)
+    letters = "aAbIİıΣσςßẞéÉ.,!'-1_ \n中Ǆǅﬁ\u0301\u0307"
+    texts = ["RESMİ,", "TAKSİ!", "İ.", "(İ)", *("".join(r.choice(letters) for _ in range(r.randint(1, 12))) for _ in range(3000))]
+    assert [t for t in texts if packing.ids_of(t, words) != words.encode(t)] == []
+
+
 def test_pieces_and_sequences(docs, none):
     from tokenizers import Tokenizer
 
