@@ -97,13 +97,18 @@ def _remove_stored() -> None:
             return
 
 
+def remove_later(spark: SparkSession, path: str) -> None:
+    """Remove a path when the driver ends."""
+    if not _stored:
+        atexit.register(_remove_stored)
+    _stored.append((spark, path))
+
+
 def store(df: DataFrame, name: str) -> DataFrame:
     """Like :func:`cut`, as a Parquet table: smaller, and read by columns. Removed when the driver ends."""
     spark = df.sparkSession
     path = scratch_path(spark, name)
-    if not _stored:
-        atexit.register(_remove_stored)
-    _stored.append((spark, path))
+    remove_later(spark, path)
     with _tidy(spark):
         df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

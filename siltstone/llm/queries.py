@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siltstone.llm import chat, decontaminate, html, licenses, linededup, neardup, packing, quality, sharding, suffixes
-from siltstone.llm._common import scratch_path, table
+from siltstone.llm._common import remove_later, scratch_path, table
 
 
 def op1_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -46,8 +46,10 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each document with the shard that the last version keeps it in, read back from the shards."""
-    shards = sharding.shard(table(spark, sf_dir, "documents"), scratch_path(spark, "shards"))
+    """Each document with the shard that the last version keeps it in, read back from the shards. They are removed when the driver ends."""
+    root = scratch_path(spark, "shards")
+    remove_later(spark, root)
+    shards = sharding.shard(table(spark, sf_dir, "documents"), root)
     rows = shards.read(schema="doc_id long, text string, lang string, source string, n_chars long")
     return rows.select("doc_id", F.sha2("text", 256).alias("text_sha256"), "shard")
 

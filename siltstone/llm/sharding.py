@@ -8,20 +8,23 @@ A shard table is a folder::
 
 A version is written aside. A writer claims its number by creating
 ``v00000001.claim``, which fails if the file is there, and makes it count by renaming
-that file: of two writers one wins and the other starts over. ``vacuum`` drops claims
-of writers that died.
+that file: of two writers one wins and the other commits its shards on top of the
+winner's version. A claim older than ``CLAIM_SECONDS`` is of a writer that died, and the next one takes it away.
 Arrivals are appended as small shards. Compaction sorts shards into tiers by size;
 a tier with ``fanout`` shards or more is read and written again as files of the
-target size, and the next version names those instead. Rows pass through Spark's
-readers and writers alone; the driver holds names and sizes of shards.
+target size, up to ``MERGE_SHARDS`` of them at a time, and the next version names those instead. Rows pass through Spark's
+readers and writers alone, and which shards count is a join with the manifest: the
+driver holds the names of the shards of one merge.
 """
 
 from __future__ import annotations
 
-import math
+import random
 import time
 import uuid
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from itertools import islice
 
 from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
@@ -32,6 +35,14 @@ TARGET_BYTES = 128 << 20
 FANOUT = 4
 #: Sizes in a tier differ by less than this factor.
 TIER_FACTOR = 4
+#: Most shards of a tier that are merged at a time.
+MERGE_SHARDS = 10_000
+#: Age at which a claim counts as left by a writer that died; far over the time of a rename.
+CLAIM_SECONDS = 600
+#: Tries of a commit before a writer gives up, with growing waits between.
+TRIES = 20
+#: Manifests of up to this many shards (some 60 MB) are sent to all executors to tell which rows count; larger ones are joined by shuffle.
+BROADCAST_SHARDS = 500_000
 _SHARDS = "shard string, rows long, bytes long, version long"
 
 
@@ -47,6 +58,7 @@ class ShardTable:
     root: str
     target_bytes: int = TARGET_BYTES
     fanout: int = FANOUT
+    claim_seconds: float = CLAIM_SECONDS
 
     def _path(self, *parts: str):
         return self.spark._jvm.org.apache.hadoop.fs.Path("/".join([self.root, *parts]))
@@ -80,6 +92,7 @@ class ShardTable:
             fs.create(claim, False).close()  # fails while another writer holds it
         except Py4JJavaError as e:
             fs.delete(written, True)
+            self._drop_dead(claim)
             raise Conflict(name) from e
         if fs.exists(done):  # the other writer has been through already
             fs.delete(written, True)
@@ -90,6 +103,24 @@ class ShardTable:
         fs.rename(claim, done)  # from here on the version counts
         return base + 1
 
+    def _drop_dead(self, claim) -> None:
+        fs = self._fs()
+        if fs.exists(claim) and fs.getFileStatus(claim).getModificationTime() < (time.time() - self.claim_seconds) * 1000:
+            fs.delete(claim, False)
+
+    def _commit_next(self, shards: Callable[[int], DataFrame | None]) -> int | None:
+        """Commit what ``shards`` makes of the last version, on top of whatever others commit meanwhile; None once it makes nothing of it."""
+        for turn in range(TRIES):
+            base = self.version()
+            made = shards(base)
+            if made is None:
+                return None
+            try:
+                return self.commit(base, made)
+            except Conflict:
+                time.sleep(min(5.0, 0.05 * 2**turn) * random.random())
+        raise Conflict(f"gave up after {TRIES} tries")
+
     def _listed(self, batch: str, version: int) -> DataFrame:
         """The shards that a write has left in a batch, with their rows; file sizes come from the scan's metadata."""
         found = self.spark.read.parquet(f"{self.root}/data/{batch}").select("_metadata.file_path", "_metadata.file_size")
@@ -101,81 +132,89 @@ class ShardTable:
 
         That column is not stored. No rows: no shards, but a version.
         """
-        base, batch = self.version(), f"batch-{uuid.uuid4().hex}"
+        batch = f"batch-{uuid.uuid4().hex}"
         writer = rows.write.partitionBy(arrival) if arrival else rows.write
         writer.parquet(f"{self.root}/data/{batch}")
-        if not self._has_parts(batch):
-            return self.commit(base, self.manifest(base))
-        return self.commit(base, self.manifest(base).unionByName(self._listed(batch, base + 1)))
-
-    def _has_parts(self, batch: str) -> bool:
-        found = self._fs().listFiles(self._path("data", batch), True)
+        some = next(self._files("data", batch), None) is not None
+        return self._commit_next(lambda base: self.manifest(base).unionByName(self._listed(batch, base + 1)) if some else self.manifest(base))
+
+    def _files(self, *below: str) -> Iterator:
+        """Shards that lie below a folder, whether a version names them or not."""
+        if not self._fs().exists(self._path(*below)):
+            return
+        found = self._fs().listFiles(self._path(*below), True)
         while found.hasNext():
-            if found.next().getPath().getName().endswith(".parquet"):
-                return True
-        return False
+            path = found.next().getPath()
+            if path.getName().endswith(".parquet"):
+                yield path
 
     def read(self, version: int | None = None, schema: str | None = None) -> DataFrame:
-        """Rows of a version, with the shard of each."""
-        names = [r["shard"] for r in self.manifest(version).select("shard").collect()]
-        if not names:
+        """Rows of a version, with the shard of each. Without ``schema`` it is that of the shards."""
+        names = self.manifest(version).select(F.col("shard").alias("__shard"))
+        n = names.count()
+        if not n:
             return self.spark.createDataFrame([], f"{schema}, shard string" if schema else "shard string")
-        rows = self._scan(names)
-        return rows.select("*", F.element_at(F.split("_metadata.file_path", "/data/"), -1).alias("shard"))
+        reader = self.spark.read.option("recursiveFileLookup", "true")
+        rows = (reader.schema(schema) if schema else reader).parquet(f"{self.root}/data")
+        rows = rows.select("*", F.element_at(F.split("_metadata.file_path", "/data/"), -1).alias("shard"))
+        return rows.join(F.broadcast(names) if n <= BROADCAST_SHARDS else names, F.col("shard") == F.col("__shard"), "left_semi")
 
-    def _scan(self, names: list[str]) -> DataFrame:
-        return self.spark.read.parquet(*(f"{self.root}/data/{n}" for n in names))
+    def tiers(self, version: int | None = None) -> DataFrame:
+        """Shards of up to half the target size with their tier: tier k holds sizes from factor**k to factor**(k + 1)."""
+        small = self.manifest(version).filter(F.col("bytes") * 2 <= self.target_bytes)
+        return small.select("shard", "bytes", F.floor(F.log(F.greatest(F.col("bytes"), F.lit(1))) / F.log(F.lit(float(TIER_FACTOR))) + 1e-9).cast("int").alias("tier"))
 
-    def tiers(self) -> dict[int, list[tuple[str, int]]]:
-        """Shards under the target size by tier: tier k holds sizes from factor**k to factor**(k + 1)."""
-        out: dict[int, list[tuple[str, int]]] = {}
-        for r in self.manifest().select("shard", "bytes").collect():
-            if r["bytes"] * 2 <= self.target_bytes:
-                out.setdefault(int(math.log(max(r["bytes"], 1), TIER_FACTOR)), []).append((r["shard"], r["bytes"]))
-        return out
+    def full_tiers(self) -> list[int]:
+        """Tiers of ``fanout`` shards or more."""
+        return sorted(r["tier"] for r in self.tiers().groupBy("tier").agg(F.count("*").alias("n")).filter(F.col("n") >= self.fanout).collect())
 
     def compact(self) -> int:
-        """Merge tiers until none has ``fanout`` shards; returns the version. A merge that another writer overtakes is made again."""
-        while True:
-            base = self.version()
-            full = {k: v for k, v in sorted(self.tiers().items()) if len(v) >= self.fanout}
-            if not full:
-                return base
-            gone, added = [], []
-            for shards in full.values():
-                batch = f"merge-{uuid.uuid4().hex}"
-                files = max(1, round(sum(b for _, b in shards) / self.target_bytes))
-                # whole partitions of the scan are put together, so no row is shuffled
-                self._scan(sorted(n for n, _ in shards)).coalesce(files).write.parquet(f"{self.root}/data/{batch}")
-                gone += [n for n, _ in shards]
-                added.append(batch)
-            out = self.manifest(base).join(self.spark.createDataFrame([(n,) for n in gone], "shard string"), "shard", "left_anti")
-            for batch in added:
-                out = out.unionByName(self._listed(batch, base + 1))
-            try:
-                self.commit(base, out)
-            except Conflict:
-                fs = self._fs()
-                for batch in added:
-                    fs.delete(self._path("data", batch), True)
+        """Merge tiers until none has ``fanout`` shards; returns the version.
+
+        A merge that another writer overtakes is committed on top of the other's version if all
+        shards that it replaces are still there, and else dropped.
+        """
+        while tiers := self.full_tiers():
+            merged = self._merge(tiers[0])
+            gone = self.spark.createDataFrame([(n,) for n in merged[1]], "shard string")
+
+            def replaced(base: int, batch: str = merged[0], gone: DataFrame = gone, n: int = len(merged[1])) -> DataFrame | None:
+                now = self.manifest(base)
+                if now.join(F.broadcast(gone), "shard", "left_semi").count() < n:
+                    return None
+                return now.join(F.broadcast(gone), "shard", "left_anti").unionByName(self._listed(batch, base + 1))
+
+            if self._commit_next(replaced) is None:
+                self._fs().delete(self._path("data", merged[0]), True)
+        return self.version()
+
+    def _merge(self, tier: int) -> tuple[str, list[str]]:
+        """Write the rows of the least shards of a tier as files of the target size: the new batch, and the shards that it replaces."""
+        rows = self.tiers().filter(F.col("tier") == tier).orderBy("bytes", "shard").limit(MERGE_SHARDS).collect()
+        batch = f"merge-{uuid.uuid4().hex}"
+        files = max(1, round(sum(r["bytes"] for r in rows) / self.target_bytes))
+        # whole partitions of the scan are put together, so no row is shuffled
+        self.spark.read.parquet(*(f"{self.root}/data/{r['shard']}" for r in rows)).coalesce(files).write.parquet(f"{self.root}/data/{batch}")
+        return batch, [r["shard"] for r in rows]
 
     def vacuum(self, keep: int = 1) -> int:
-        """Delete shards that none of the last ``keep`` versions names, the older versions, and claims over an hour old; returns how many shards.
+        """Delete shards that none of the last ``keep`` versions names, the older versions, and dead claims; returns how many shards.
 
         Not to be run while a writer appends or compacts: its shards have no version yet.
+        Names pass through the driver ``MERGE_SHARDS`` at a time.
         """
-        last, fs = self.version(), self._fs()
-        for f in fs.listStatus(self._path("manifest")) if fs.exists(self._path("manifest")) else []:
-            if f.getPath().getName().endswith(".claim") and f.getModificationTime() < (time.time() - 3600) * 1000:
-                fs.delete(f.getPath(), False)
-        named = {r["shard"] for v in range(max(1, last - keep + 1), last + 1) for r in self.manifest(v).select("shard").collect()}
-        n = 0
-        found = fs.listFiles(self._path("data"), True) if fs.exists(self._path("data")) else None
-        while found is not None and found.hasNext():
-            path = found.next().getPath()
-            shard = path.toString().rpartition("/data/")[2]
-            if shard.endswith(".parquet") and shard not in named:
-                n += fs.delete(path, False)
+        last, fs, folder = self.version(), self._fs(), self._path("manifest")
+        for f in fs.listStatus(folder) if fs.exists(folder) else []:
+            if f.getPath().getName().endswith(".claim"):
+                self._drop_dead(f.getPath())
+        named = self.spark.createDataFrame([], "shard string")
+        for v in range(max(1, last - keep + 1), last + 1):
+            named = named.unionByName(self.manifest(v).select("shard"))
+        files, n = self._files("data"), 0
+        while some := [p.toString().rpartition("/data/")[2] for p in islice(files, MERGE_SHARDS)]:
+            dead = self.spark.createDataFrame([(x,) for x in some], "shard string").join(named, "shard", "left_anti")
+            for r in dead.collect():
+                n += fs.delete(self._path("data", r["shard"]), False)
         for v in range(1, last - keep + 1):
             for name in (f"v{v:08d}.committed", f"v{v:08d}"):
                 fs.delete(self._path("manifest", name), True)

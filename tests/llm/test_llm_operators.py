@@ -628,9 +628,84 @@ def test_shards_are_merged_and_versions_commit_once(spark, docs, none, tmp_path)
     assert whole.read().count() == docs.count() and whole.read().columns == [*docs.columns, "shard"]
 
 
+def test_a_claim_of_a_dead_writer_is_taken_away(spark, docs, tmp_path):
+    table = sharding.ShardTable(spark, f"file://{tmp_path}/t", target_bytes=1 << 20, claim_seconds=0.5)
+    table.append(docs)
+    (tmp_path / "t/manifest/v00000002.claim").touch()
+    (tmp_path / "t/manifest/v00000002").mkdir()  # it had begun to move its version
+    for _ in range(6):
+        table.append(docs)
+    (tmp_path / "t/manifest/v00000008.claim").touch()
+    last = table.compact()
+    assert last > 7 and table.read().count() == 7 * docs.count()
+    assert not list((tmp_path / "t/manifest").glob("*.claim"))
+    young = sharding.ShardTable(spark, table.root)
+    (tmp_path / f"t/manifest/v{last + 1:08d}.claim").touch()
+    with pytest.raises(sharding.Conflict):
+        young.commit(last, young.manifest())
+
+
+def test_writers_that_race_lose_no_rows(spark, docs, tmp_path, monkeypatch):
+    """Another writer commits between any writer's read of the version and its own commit."""
+    table = sharding.ShardTable(spark, f"file://{tmp_path}/t", target_bytes=1 << 20)
+    for _ in range(3):
+        table.append(docs)
+    commit, late = sharding.ShardTable.commit, [docs] * 4
+
+    def overtaken(self, base, shards):
+        if late and self.version() == base:
+            other = late.pop()
+            batch = f"batch-other{len(late)}"
+            other.write.parquet(f"{self.root}/data/{batch}")
+            commit(self, base, self.manifest(base).unionByName(self._listed(batch, base + 1)))
+        return commit(self, base, shards)
+
+    monkeypatch.setattr(sharding.ShardTable, "commit", overtaken)
+    table.append(docs)
+    table.compact()
+    assert not late and table.read().count() == 8 * docs.count()
+    assert not table.full_tiers()
+    # a merge whose shards another merge has replaced is dropped
+    for _ in range(4):
+        table.append(docs)
+
+    def merged_before(self, base, shards):
+        monkeypatch.setattr(sharding.ShardTable, "commit", commit)
+        sharding.ShardTable(spark, self.root, self.target_bytes).compact()
+        return commit(self, base, shards)
+
+    monkeypatch.setattr(sharding.ShardTable, "commit", merged_before)
+    table.compact()
+    assert table.read().count() == 12 * docs.count()
+    table.vacuum()
+    assert table.read().count() == 12 * docs.count()
+
+
 # ---- html
 
 
+def test_unclosed_quotes_are_never_text():
+    texts = lambda page: [b[0] for b in html.blocks(page)]
+    assert texts('<p class="a>first</p><p>second') == ["first", "second"]
+    assert texts("<p class=\"a>gone</p><p class=\"b\">second</p>x") == ["second", "x"]
+    assert texts("<p title='x>y' id=a\"b>one<br>two</p><script>var a='</p>'</SCRIPT >three") == ["one two", "three"]
+    assert texts("a < b <3 <svg x='1'/>c<svg><text>no</text></svg><!-- <p> --><math><mi>x</mi><annotation>no</annotation></math>") == ["a < b <3 cx"]
+    assert [texts(p) for p in ('<p a="', "<p", "</p", "<!--", "<script>x", "<")] == [[], [], [], [], [], ["<"]]
+    r = random.Random(2)
+    for _ in range(300):
+        page = "".join(r.choice(["<p class=\"", "\">", "'", "=", "<b x='", "word ", "</p>", "<br/>", "<", ">", "<!--", "-->"]) for _ in range(30))
+        html.blocks(page)
+
+
+def test_broken_pages_take_time_in_proportion():
+    import time
+
+    for part in ('<p class="', "<p a='\"", "<script>", "<!--", "<p ", "<svg><annotation>", '="<p', '</p class=">'):
+        began = time.time()
+        html.blocks(part * (1_000_000 // len(part)))
+        assert time.time() - began < 10, part
+
+
 @pytest.fixture(scope="module")
 def field():
     return html.train([html.label_blocks(h, t) for h, t in html.labelled_pages()])
