@@ -7,26 +7,30 @@ of a search length that falls to ``TILE``. Tiles may lie in any order, so reorde
 passages count. An item whose words are covered to ``COVERAGE`` or more is in the document.
 
 The benchmark is sent to all executors if its texts are under ``BROADCAST_CHARS``
-in all, which is counted first; a larger one is joined on seeds by shuffle.
+in all, which is counted first; a larger one is joined on seeds by shuffle. There each item
+leaves out as many of its commonest seeds as any text that covers it holds beside another one,
+so that phrases of most texts make no pairs.
 """
 
 from __future__ import annotations
 
+import math
 import re
-from collections import deque
 from collections.abc import Iterator
+from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
-from siltstone.llm._common import by_place, cut, pick
+from siltstone.llm._common import by_place, cut, pick, store
 
 TILE = 4
 COVERAGE = 0.6
-BROADCAST_CHARS = 16_000_000
+BROADCAST_CHARS = 1_000_000
 #: Search length at which tiling begins.
 FIRST_SEARCH = 20
 _WORD = re.compile(r"\w+")
@@ -74,12 +78,21 @@ def tiles(item: list[int], text: list[int], open_: list[bool] | None = None, lea
         if longest > 2 * length:
             length = longest
             continue
-        queue = deque(sorted(matches, key=lambda m: (-m[0], m[1], m[2])))
+        queue = [(-n, i, t) for n, i, t in matches]
+        heapify(queue)
         while queue:
-            n, i, t = queue.popleft()
-            if all(free_i[i : i + n]) and all(free_t[t : t + n]):
-                free_i[i : i + n] = free_t[t : t + n] = [False] * n
-                found.append((i, t, n))
+            n, i, t = heappop(queue)
+            both = [a and b for a, b in zip(free_i[i : i - n], free_t[t : t - n], strict=True)]
+            if all(both):
+                free_i[i : i - n] = free_t[t : t - n] = [False] * -n
+                found.append((i, t, -n))
+                continue
+            begin = 0  # what earlier tiles leave of it waits for its turn
+            for k, free in enumerate([*both, False]):
+                if not free:
+                    if k - begin >= length:
+                        heappush(queue, (begin - k, i + begin, t + begin))
+                    begin = k + 1
         if length > 2 * least:
             length //= 2
         elif length > least:
@@ -161,8 +174,19 @@ def _scan(items: Items, coverage: float):
     return run
 
 
-def _seed_rows(tile: int):
-    """Seeds of each text as hashes, once each: th (a hash of the text) and seed."""
+def spare_seeds(words: int, different: int, tile: int = TILE, coverage: float = COVERAGE) -> int:
+    """How many of an item's seeds may be left out so that each text that covers it shares another one.
+
+    ``coverage * words`` words lie in tiles of ``tile`` words or more, in which a seed starts at one word in ``tile`` at least:
+    so many seeds of the item are shared. Of an item that repeats a seed they may be fewer; then nothing is left out.
+    """
+    if different < words - tile + 1:
+        return 0
+    return max(0, math.ceil(coverage * words / tile - 1e-9) - 1)
+
+
+def _seed_rows(tile: int, coverage: float | None = None):
+    """Seeds of each text as hashes, once each: key (a hash of the text), seed and, for items, how many may be left out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -170,7 +194,10 @@ def _seed_rows(tile: int):
                 words = words_of(t.as_py())
                 seeds = {xxhash.xxh3_64_intdigest(" ".join(words[i : i + tile])) - 2**63 for i in range(len(words) - tile + 1)}
                 if seeds:
-                    yield pa.RecordBatch.from_arrays([pa.array([key] * len(seeds), pa.int64()), pa.array(list(seeds), pa.int64())], names=["key", "seed"])
+                    columns = {"key": pa.array([key] * len(seeds), pa.int64()), "seed": pa.array(list(seeds), pa.int64())}
+                    if coverage is not None:
+                        columns["spare"] = pa.array([spare_seeds(len(words), len(seeds), tile, coverage)] * len(seeds), pa.int32())
+                    yield pa.RecordBatch.from_pydict(columns)
 
     return run
 
@@ -205,9 +232,13 @@ def leaks(df: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str
     if rows is not None:
         return docs.mapInArrow(_scan(Items(rows, tile), coverage), _PAIRS_DDL)
     docs, items = docs.withColumn("th", F.xxhash64("text")), items.withColumn("ih", F.xxhash64("text"))
-    left = docs.select("th", "text").mapInArrow(_seed_rows(tile), "key long, seed long").withColumnRenamed("key", "th")
-    right = items.select("ih", "text").mapInArrow(_seed_rows(tile), "key long, seed long").withColumnRenamed("key", "ih")
-    pairs = cut(left.join(right, "seed").select("th", "ih").distinct())
+    right = cut(items.select("ih", "text").distinct().mapInArrow(_seed_rows(tile, coverage), "key long, seed long, spare int").withColumnRenamed("key", "ih"))
+    known = cut(right.select("seed").distinct())
+    hits = store(docs.select("th", "text").mapInArrow(_seed_rows(tile), "key long, seed long").withColumnRenamed("key", "th").join(known.hint("merge"), "seed", "left_semi"), "hits")
+    often = cut(hits.groupBy("seed").agg(F.count("*").alias("n")))
+    commonest = F.row_number().over(W.partitionBy("ih").orderBy(F.desc("n"), "seed"))
+    right = cut(right.join(often.hint("merge"), "seed").withColumn("turn", commonest).filter(F.col("turn") > F.col("spare")).select("seed", "ih"))
+    pairs = cut(hits.join(right.hint("merge"), "seed").select("th", "ih").distinct())
     both = pairs.join(docs, "th").join(items.withColumnRenamed("text", "item"), "ih").select("doc_id", "item_id", "text", "item")
     return both.mapInArrow(_tile_pairs(tile, coverage), _PAIRS_DDL)
 

@@ -603,6 +603,51 @@ def test_tiles_by_brute_force():
         assert not rest & {tuple(b[i : i + 3]) for i in range(len(b) - 2) if not used_b.keys() & set(range(i, i + 3))}
 
 
+def brute_tiles(item, text, least=4):
+    """Greedy string tiling by comparing every place with every other one, again for each tile."""
+    free_i, free_t, out = [True] * len(item), [True] * len(text), []
+    while True:
+        best = (0, 0, 0)
+        for i in range(len(item)):
+            for t in range(len(text)):
+                n = 0
+                while i + n < len(item) and t + n < len(text) and free_i[i + n] and free_t[t + n] and item[i + n] == text[t + n]:
+                    n += 1
+                best = min(best, (-n, i, t))
+        n, i, t = -best[0], *best[1:]
+        if n < least:
+            return out
+        free_i[i : i + n] = free_t[t : t + n] = [False] * n
+        out.append((i, t, n))
+
+
+def test_tiles_are_those_of_greedy_tiling():
+    r = random.Random(23)
+    for k in range(300):
+        item = [r.randint(1, 3 + k % 9) for _ in range(r.randint(0, 40))]
+        text = [r.randint(1, 3 + k % 9) for _ in range(10)]
+        for _ in range(r.randint(0, 4)):
+            a = r.randint(0, len(item))
+            text += item[a : a + r.randint(1, 25)] + [r.randint(1, 9)]
+        assert sorted(decontaminate.tiles(item, text)) == sorted(brute_tiles(item, text)), (item, text)
+
+
+def test_common_seeds_make_no_pairs_and_lose_none(spark):
+    """Phrases that all texts share, items of tiles of the least length, items that repeat a seed: as without the join."""
+    r = random.Random(24)
+    phrases = [sentence(r, 6) for _ in range(3)]
+    items, texts = [], []
+    for i in range(30):
+        own = [sentence(r, 4) for _ in range(8)]
+        items.append((i, " ".join([*own[:4], r.choice(phrases), *own[4:]]) if i % 5 else " ".join(own[:1] * 6)))
+        texts.append((i, " and ".join(r.sample([*own, *phrases], 8)) if i % 5 else own[0]))
+        texts.append((100 + i, " ".join([sentence(r, 20), *phrases])))
+    df, bench = spark.createDataFrame(texts, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    near, far = (sorted(map(tuple, decontaminate.leaks(df, bench, broadcast_chars=n).collect())) for n in (10**6, 0))
+    assert near == far and len(near) > 10
+    assert decontaminate.spare_seeds(27, 24) == 4 and decontaminate.spare_seeds(27, 23) == 0
+
+
 # ---- sharding
 
 
