@@ -379,7 +379,7 @@ def _classified(docs: DataFrame, size: int, least: float, bands: int, rows: int,
     signed = store(docs.select("doc_id", "r1", "r2", "text").mapInArrow(_signatures(rare, size, bands, rows), "doc_id long, r1 long, r2 long, node binary, rank int, keys array<long>"), "signatures")
     nodes = signed.filter("node is not null").groupBy("node").agg(F.first("rank").alias("rank"), F.first("keys").alias("keys"))  # all its rows have the same
     members = nodes.select("node", "rank", F.explode("keys").alias("key"))
-    shared = members.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key")
+    shared = cut(members.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key"))
     members = store(members.join(shared.hint("merge"), "key", "left_semi"), "members")
     # one row of each node brings its text; repeats of that very row are dropped by the aggregation
     owners = cut(signed.join(members.select("node").distinct().hint("merge"), "node", "left_semi").groupBy("node").agg(F.min(F.struct("r1", "r2")).alias("o")).select("node", "o.*"))
