@@ -36,8 +36,8 @@ REPEAT_WINDOW = 8
 #: Share of a group's rows on which the estimate rests.
 SUPPORT = 0.75
 #: Most concentration steps; they end when no group's determinant falls by more than ``SETTLED`` (of its logarithm).
-STEPS = 12
-SETTLED = 1e-3
+STEPS = 8
+SETTLED = 1e-2
 #: Quantile of the distance within which rows count for the final estimate.
 REWEIGHT = 0.975
 #: Quantile of the chi-squared distribution, of as many degrees as FEATURES, at the cut.
