@@ -5,12 +5,14 @@ Every function takes a Column and stays inside Spark's code generation.
 
 from __future__ import annotations
 
+import codecs
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: White space that a spreadsheet user would not see, beyond what ``\\s`` matches.
+#: White space that a spreadsheet user would not see, beyond what ``\\s`` matches; as a regular expression's class and one by one.
 SPACES = "\\s\\u00a0\\ufeff\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
-_EDGES = f"^[{SPACES}]+|[{SPACES}]+$"
+_SPACE_CHARS = " \t\n\x0b\f\r\u00a0\ufeff\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
 
 
 def text_of(c: Column) -> Column:
@@ -19,7 +21,7 @@ def text_of(c: Column) -> Column:
 
 def trim(c: Column) -> Column:
     """Without white space of any kind at the edges."""
-    return F.regexp_replace(text_of(c), _EDGES, "")
+    return F.btrim(text_of(c), F.lit(_SPACE_CHARS))
 
 
 def squeeze(c: Column) -> Column:
@@ -39,8 +41,8 @@ def number(c: Column) -> Column:
     space are dropped; other signs, infinities and NaN give null.
     """
     s = trim(c)
-    negative = s.rlike("^\\(.*\\)$")
-    bare = F.regexp_replace(F.when(negative, F.substr(s, F.lit(2), F.length(s) - 2)).otherwise(s), f"[$€£¥₦,%{SPACES}]", "")
+    negative = s.startswith("(") & s.endswith(")")
+    bare = F.translate(F.when(negative, F.substr(s, F.lit(2), F.length(s) - 2)).otherwise(s), "$€£¥₦,%" + _SPACE_CHARS, "")
     value = F.when(bare.rlike("^[+-]?(\\d+\\.?\\d*|\\.\\d+)([eE][+-]?\\d+)?$"), bare.try_cast("double"))
     value = F.when(F.abs(value) < float("inf"), value)
     return F.when(negative, -value).otherwise(value)
@@ -135,33 +137,35 @@ def standard_case(c: Column) -> Column:
     return F.when(case_style(c).isin("lower", "upper"), title_case(c)).otherwise(text_of(c))
 
 
-# How Windows code page 1252 shows the bytes 0x80 to 0x9f, where it differs from Latin 1.
-CP1252 = {
-    0x80: 0x20AC, 0x82: 0x201A, 0x83: 0x0192, 0x84: 0x201E, 0x85: 0x2026, 0x86: 0x2020, 0x87: 0x2021, 0x88: 0x02C6, 0x89: 0x2030, 0x8A: 0x0160,
-    0x8B: 0x2039, 0x8C: 0x0152, 0x8E: 0x017D, 0x91: 0x2018, 0x92: 0x2019, 0x93: 0x201C, 0x94: 0x201D, 0x95: 0x2022, 0x96: 0x2013, 0x97: 0x2014,
-    0x98: 0x02DC, 0x99: 0x2122, 0x9A: 0x0161, 0x9B: 0x203A, 0x9C: 0x0153, 0x9E: 0x017E, 0x9F: 0x0178,
-}
 # Characters whose broken forms are repaired.
 REPAIRED = "–—‘’“”…éèáíóúñüöäç°£ "
 BROKEN = "â€|Ã[\u0080-ÿ€‘’“”‚ˆ‹Œ]|Â[\u0080-¿]"
 
 
+# Signs that copies of broken text lose, with all control characters from 0x80 to 0x9f.
+LOST = "€“”‘’…˜™ƒ„"
+
+codecs.register_error("siltstone-latin", lambda e: (e.object[e.start : e.end].decode("latin-1"), e.end))
+
+
 def _garbled(s: str) -> str:
-    return "".join(chr(CP1252.get(b, b)) for b in s.encode())
+    """UTF-8 read as code page 1252, or as Latin 1 where that has no character."""
+    return s.encode().decode("cp1252", "siltstone-latin")
 
 
 def repairs() -> list[tuple[str, str]]:
-    """Broken form and repair, longest form first: read once or twice in the wrong code page, with and without the signs that such copies lose."""
-    lost = set("€“”‘’…˜™ƒ„") | {chr(k) for k in range(0x80, 0xA0)}
-    out: dict[str, str] = {}
-    for target in REPAIRED:
-        good = " " if target == " " else target
-        once = _garbled(target)
-        twice = _garbled(once)
-        for form in (twice, "".join(x for x in twice if x not in lost), once, "".join(x for x in once if x not in lost)):
-            if len(form) >= 2 and form != good:
-                out.setdefault(form, good)
-    return sorted(out.items(), key=lambda x: -len(x[0]))
+    """Broken form and repair, longest form first: UTF-8 read once or twice as code page 1252, with and without the signs that such copies lose."""
+    gone = {ord(c): None for c in LOST} | dict.fromkeys(range(0x80, 0xA0))
+    by_good: dict[str, list[str]] = {}
+    for good in REPAIRED:
+        forms, form = [], good
+        for _ in range(2):
+            form = _garbled(form)
+            forms = [form, form.translate(gone), *forms]
+        by_good[good.replace("\u00a0", " ")] = [f for f in forms if len(f) >= 2]
+    # a form of two characters belongs to the first of them
+    first = {form: good for good, forms in reversed(by_good.items()) for form in reversed(forms) if form != good}
+    return sorted(first.items(), key=lambda x: (-len(x[0]), x[0]))
 
 
 def is_broken(c: Column) -> Column:

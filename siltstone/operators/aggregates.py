@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+from typing import TYPE_CHECKING
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from siltstone.functions import cells
-from siltstone.operators.query import col
+from siltstone.operators.query import ROW, col
+
+if TYPE_CHECKING:
+    from siltstone.operators.profile import ColumnProfile, Profile
 
 DAY_SPAN = 92
 
@@ -30,6 +35,37 @@ def value_counts(df: DataFrame, name: str) -> DataFrame:
     return df.filter(key != "").groupBy(key.alias("name")).agg(F.count("*").alias("value"))
 
 
+def first_values(df: DataFrame, name: str) -> DataFrame:
+    """name, value, first: as value_counts, with the number of the row where each value stands first; largest count first, ties by that row."""
+    key = cells.trim(col(name))
+    return df.filter(key != "").groupBy(key.alias("name")).agg(F.count("*").alias("value"), F.min(ROW).alias("first")).orderBy(F.desc("value"), "first")
+
+
+def sum_column(df: DataFrame, measure: str) -> Column:
+    return F.coalesce(F.sum(numeric(df, measure)), F.lit(0.0))
+
+
+def count_values(name: str) -> Column:
+    """Cells that are not blank."""
+    return F.count_if(~cells.is_blank(col(name)))
+
+
+def distinct_count(name: str) -> Column:
+    return F.count_distinct(F.nullif(cells.trim(col(name)), F.lit("")))
+
+
+def sum_product(df: DataFrame, a: str, b: str) -> Column:
+    """Over the rows where both show a number."""
+    return F.coalesce(F.sum(numeric(df, a) * numeric(df, b)), F.lit(0.0))
+
+
+def distinct_list(df: DataFrame, name: str, most: int = 200) -> list[str] | None:
+    """The distinct trimmed values in order, or None if there are more than ``most``."""
+    key = cells.trim(col(name))
+    got = df.select(key.alias("v")).filter("v != ''").distinct().limit(most + 1).collect()
+    return sorted(r["v"] for r in got) if len(got) <= most else None
+
+
 def sum_by(df: DataFrame, category: str, measure: str) -> DataFrame:
     """name, value: the measure's sum by trimmed text; rows that show no number are left out."""
     key, n = cells.trim(col(category)), numeric(df, measure)
@@ -118,9 +154,57 @@ def rare_values(df: DataFrame, name: str, most: int = 2, top: int = 3) -> DataFr
     return counts.crossJoin(F.broadcast(peak)).filter((F.col("peak") >= top) & (F.col("value") <= most)).select("name", "value")
 
 
+#: Rare values to review, and values that each may be merged into.
+REVIEWED = 8
+
+
+def review(df: DataFrame, names: list[str], most: int = 2, top: int = 3) -> DataFrame:
+    """column, value, n, targets: rare values of columns whose commonest value has ``top`` rows and that have three values or more, in one pass over all columns.
+
+    Targets are the column's values of ``top`` rows or more, commonest first. Columns
+    come in the order given; the first ``REVIEWED`` rare values are the review.
+    """
+    one = F.explode(F.array(*(F.struct(F.lit(i).alias("i"), F.lit(c).alias("column"), cells.trim(col(c)).alias("value")) for i, c in enumerate(names))))
+    rows = df.select(F.col(ROW), one.alias("x")).select("x.*", ROW).filter("value != ''")
+    counts = rows.groupBy("i", "column", "value").agg(F.count("*").alias("n"), F.min(ROW).alias("first"))
+    per = W.partitionBy("column")
+    best = counts.withColumn("k", F.row_number().over(per.orderBy(F.desc("n"), "first"))).filter(F.col("k") <= REVIEWED)
+    best = best.groupBy("column").agg(F.count("*").alias("values"), F.max("n").alias("peak"), F.transform(F.sort_array(F.collect_list(F.when(F.col("n") >= top, F.struct("k", "value")))), lambda t: t["value"]).alias("targets"))
+    kept = best.filter((F.col("values") >= 3) & (F.col("peak") >= top)).select("column", "targets")  # a row for each column
+    return counts.filter(F.col("n") <= most).join(F.broadcast(kept), "column").orderBy("i", F.desc("n"), "first").limit(REVIEWED).select("column", "value", "n", "targets")
+
+
+#: Most different values of a column that is browsed by its values.
+CATEGORIES = 25
+_BROWSED_STRINGS = 0.9
+
+
+def category_columns(p: Profile) -> list[ColumnProfile]:
+    """Columns that read as categories, fewest values first: typed so, or texts that repeat, or numbers of few values."""
+    repeats = lambda c: c.unique <= CATEGORIES and c.unique < _BROWSED_STRINGS * c.filled
+    like = lambda c: c.type in ("category", "boolean") or (c.type == "string" and repeats(c)) or (c.type == "number" and c.unique <= CATEGORIES)
+    return sorted((c for c in p.columns if c.unique and like(c)), key=lambda c: c.unique)
+
+
+def natural_key(c: Column) -> Column:
+    """An order in which 2 comes before 10: numbers are padded."""
+    return F.array_join(F.transform(F.regexp_extract_all(F.lower(c), F.lit(r"(\d+|\D+)"), 1), lambda x: F.when(x.rlike(r"^\d"), F.lpad(x, 20, "0")).otherwise(x)), "")
+
+
+def browse(df: DataFrame, name: str, text: str = "", by: str = "count") -> DataFrame:
+    """name, value of one column's values that contain ``text``, whatever the case, by count or by natural name."""
+    found = first_values(df, name).filter(F.contains(F.lower("name"), F.lit(text.lower())))
+    return found.orderBy(*([F.desc("value"), F.col("first")] if by == "count" else [natural_key(F.col("name")), F.col("name")])).select("name", "value")
+
+
+def page(df: DataFrame, number: int, size: int = 15) -> DataFrame:
+    """One page of rows in order, from page 0 on."""
+    return df.orderBy(ROW).offset(number * size).limit(size)
+
+
 def search(df: DataFrame, text: str) -> DataFrame:
     """Rows with a cell that contains the text, without regard to case."""
     hit = F.lit(False)
-    for c in df.columns:
+    for c in (c for c in df.columns if c != ROW):
         hit = hit | F.coalesce(F.contains(F.lower(cells.text_of(col(c))), F.lit(text.lower())), F.lit(False))
     return df.filter(hit)

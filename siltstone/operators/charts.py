@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from siltstone.functions import cells
 from siltstone.operators import aggregates as agg
 from siltstone.operators.kpi import Semantics
+from siltstone.operators.pivot import to_csv
 from siltstone.operators.profile import Profile
 from siltstone.operators.query import ROW, col
 
@@ -59,6 +60,83 @@ def why_not(p: Profile, chart: Chart) -> str | None:
     return None
 
 
+def compatible(p: Profile, chart: Chart) -> dict[str, str | None]:
+    """Every type with the reason why it does not suit the chart's columns, or None."""
+    return {t: why_not(p, replace(chart, type=t)) for t in TYPES}
+
+
+def omitted_points(df: DataFrame, chart: Chart) -> int:
+    """Pairs that a scatter of the first ``POINTS`` leaves out."""
+    both = df.filter(agg.numeric(df, chart.x).isNotNull() & agg.numeric(df, chart.y).isNotNull())
+    return max(0, both.count() - POINTS)
+
+
+def series_lines(df: DataFrame, p: Profile, chart: Chart) -> list[list]:
+    """The chart's data as a header and lines; a chart's series is small by its nature."""
+    table = series(df, p, chart)
+    return [table.columns, *map(list, table.collect())]
+
+
+def charts_csv(df: DataFrame, p: Profile, charts: list[Chart]) -> str:
+    """All charts as CSV, each under a line with its title."""
+    return "\n".join(f"# {c.y or 'Rows'} by {c.x}\n" + to_csv(series_lines(df, p, c)) for c in charts)
+
+
+def pinned_with(pins: list[Chart], chart: Chart) -> list[Chart]:
+    """Pins with one more, if none is the same in all five fields."""
+    return pins if chart in pins else [*pins, chart]
+
+
+def toggled(chosen: dict[str, list[str]], name: str, value: str) -> dict[str, list[str]]:
+    """A dashboard's choice after a click on a value: the click chooses it alone, a second one takes it back."""
+    rest = {k: v for k, v in chosen.items() if k != name}
+    return rest if chosen.get(name) == [value] else {**rest, name: [value]}
+
+
+@dataclass(frozen=True)
+class Board:
+    """Key figures, charts by priority, and remarks in words."""
+
+    figures: dict[str, float]
+    charts: list[Chart]
+    remarks: list[str]
+
+
+# Most charts and remarks of a board, and from what on a skew (%), a correlation and a move (%) are worth a remark.
+BOARD_CHARTS, REMARKS, SKEW, RELATED, MOVED = 12, 6, 25, 0.6, 10
+
+
+def board(df: DataFrame, p: Profile, s: Semantics) -> Board:
+    """Rows, columns and sums of measures; the dashboard's charts and one for each further dimension; what is uneven, related or has moved."""
+    sums = df.agg(*(agg.sum_column(df, m).alias(m) for m in s.measures[:3])).first().asDict() if s.measures else {}
+    charts = dashboard(df, p, s)
+    charts += [c for d in s.dimensions for c in [Chart("bar", d, None, agg="count")] if c not in charts]
+    remarks = []
+    if s.measures and s.dimensions:
+        remarks += pareto(agg.sum_by(df, s.dimensions[0], s.measures[0]), s.dimensions[0], s.measures[0])
+    for c in [p[m] for m in s.measures[:3]]:
+        if c.median and abs(c.mean - c.median) >= SKEW / 100 * abs(c.median):
+            remarks.append(f"{c.name} is skewed: its mean is {abs(c.mean - c.median) / abs(c.median) * 100:.0f} % {'above' if c.mean > c.median else 'below'} its median.")
+    if len(s.measures) > 1:
+        remarks += [f"{r['a']} and {r['b']} are related (r = {r['r']:.2f})." for r in agg.correlations(df, s.measures[:4]).collect() if r["r"] is not None and abs(r["r"]) >= RELATED]
+    if s.date and s.measures:
+        last = agg.bucket_by_date(df, s.date, s.measures[0]).orderBy(F.desc("date")).limit(2).collect()
+        if len(last) == 2 and last[1]["value"] and abs(move := (last[0]["value"] - last[1]["value"]) / abs(last[1]["value"]) * 100) >= MOVED:
+            remarks.append(f"{s.measures[0]} {'rose' if move > 0 else 'fell'} by {abs(move):.1f} % in {last[0]['date']}.")
+    return Board({"Rows": float(p.rows), "Columns": float(len(p.columns)), **sums}, charts[:BOARD_CHARTS], remarks[:REMARKS])
+
+
+def pareto(sums: DataFrame, dimension: str, measure: str, share: float = 0.8) -> list[str]:
+    """How few segments hold four fifths of the measure, if that is at most half of them. One pass over segments, which are few."""
+    parts = [r["value"] for r in sums.filter("value > 0").orderBy(F.desc("value")).collect()]
+    total, held = sum(parts), 0.0
+    for k, v in enumerate(parts, 1):
+        held += v
+        if held >= share * total:
+            return [f"{k} of {len(parts)} values of {dimension} hold {100 * held / total:.0f} % of {measure}."] if len(parts) >= 3 and k <= len(parts) / 2 else []
+    return []
+
+
 def series(df: DataFrame, p: Profile, chart: Chart) -> DataFrame:
     """The chart's data as a small table."""
     if chart.type == "heatmap":

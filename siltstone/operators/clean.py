@@ -6,6 +6,7 @@ and modes come from one aggregation and go into the plan as literals.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -15,7 +16,7 @@ from pyspark.sql import functions as F
 from siltstone.functions import cells
 from siltstone.functions.names import quoted
 from siltstone.operators.profile import data_columns
-from siltstone.operators.query import ROW, col
+from siltstone.operators.query import ROW, col, pinned
 
 SPLIT_PARTS = 12
 
@@ -49,9 +50,9 @@ def mode(df: DataFrame, column: str) -> object | None:
 def _drop_duplicates(df: DataFrame) -> DataFrame:
     """Of equal rows the first stays. Rows are compared by two hashes of all cells."""
     parts = [F.coalesce(cells.text_of(col(c)), F.lit("\0")) for c in data_columns(df)]
-    marked = df.withColumns({"__a": F.xxhash64(*parts), "__b": F.xxhash64(F.lit(1), *reversed(parts))})
-    keep = marked.groupBy("__a", "__b").agg(F.min(ROW).alias("__first"))
-    return marked.join(keep, ["__a", "__b"]).filter(F.col(ROW) == F.col("__first")).select(*map(quoted, df.columns))
+    keys = F.xxhash64(*parts).alias("__a"), F.xxhash64(F.lit(1), *reversed(parts)).alias("__b")
+    # each task keeps one row of a key before any row is shuffled, so a row of many copies makes no large task
+    return df.groupBy(*keys).agg(F.min_by(F.struct(*map(quoted, df.columns)), ROW).alias("__row")).select("__row.*")
 
 
 def _drop_empty_rows(df: DataFrame) -> DataFrame:
@@ -161,6 +162,7 @@ def apply(df: DataFrame, op: tuple) -> DataFrame:
 
 def changes(before: DataFrame, op: tuple) -> tuple[DataFrame, DataFrame]:
     """What an operation would do: cells that change (row, column, before, after), and rows that go (row)."""
+    before = pinned(before)
     after = apply(before, op)
     shared = [c for c in data_columns(before) if c in after.columns]
     a = before.select(ROW, F.array(*(cells.text_of(col(c)) for c in shared)).alias("a"))
@@ -170,6 +172,35 @@ def changes(before: DataFrame, op: tuple) -> tuple[DataFrame, DataFrame]:
     return cells_, before.join(after.select(ROW), ROW, "left_anti").select(F.col(ROW).alias("row"))
 
 
+#: Changed cells that a difference keeps in detail; counts are always whole.
+DETAIL = 500
+
+
+@dataclass(frozen=True)
+class Difference:
+    """What an operation does to a table."""
+
+    changed_cells: int
+    removed_rows: int
+    affected: list[str]
+    added: list[str]
+    removed: list[str]
+    detail: DataFrame
+    gone: DataFrame
+    after: DataFrame
+
+
+def difference(before: DataFrame, op: tuple, most: int = DETAIL) -> Difference:
+    """Exact counts, columns that are affected, added or removed, the first ``most`` changed cells by row and place, and the rows that go."""
+    before = pinned(before)
+    after = apply(before, op)
+    cells_, gone = changes(before, op)
+    counts = {r["column"]: r["count"] for r in cells_.groupBy("column").count().collect()}
+    place = F.array_position(F.array(*map(F.lit, data_columns(before))), F.col("column"))
+    old, new = data_columns(before), data_columns(after)
+    return Difference(sum(counts.values()), gone.count(), [c for c in old if c in counts], [c for c in new if c not in old], [c for c in old if c not in new], cells_.orderBy("row", place).limit(most), gone, after)
+
+
 def repeated_positions(df: DataFrame) -> DataFrame:
     """Rows (row) that repeat an earlier one."""
     parts = [F.coalesce(cells.text_of(col(c)), F.lit("\0")) for c in data_columns(df)]

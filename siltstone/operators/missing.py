@@ -67,4 +67,14 @@ def mechanism(df: DataFrame, target: str, candidates: list[str], dates: list[str
         best = onset(df, target, d).orderBy(F.desc(F.abs("jump")), "day").first()
         if best and abs(best["jump"]) >= JUMP and (timing is None or abs(best["jump"]) > abs(timing["jump"])):
             timing = {"column": d, **best.asDict()}
-    return {"verdict": "MAR" if found else "MCAR", "missing": gone, "rows": n, "associations": found, "timing": timing}
+    return {"verdict": "MAR" if found else "MCAR", "missing": gone, "rows": n, "associations": found, "timing": timing, "hypothesis": f"whether {target} is missing may also depend on its own value (MNAR), which the table cannot show"}
+
+
+def questions(found: dict, name: str) -> list[str]:
+    """What to ask about missing cells, from :func:`mechanism`."""
+    if found["verdict"] == "none":
+        return []
+    out = [f"Who leaves {name} blank where {a['column']} differs?" for a in found["associations"][:2]]
+    if found["timing"]:
+        out.append(f"What changed on {found['timing']['day']}?")
+    return [*out, f"Could {name} be blank because of the value it would have?"]

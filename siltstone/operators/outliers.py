@@ -90,3 +90,14 @@ def investigate(df: DataFrame, name: str, dimensions: list[str], others: list[st
         readings.append(("concentration", f"they carry {x['value_share']:.0%} of the value"))
     readings.append(("genuine", "they may be real: ask before removing them"))
     return {"low": low, "high": high, "iqr": iqr, **x, "records": records(df, name, low, high, iqr).collect(), "segments": parts, "contrasts": compared[:6], "readings": readings}
+
+
+def questions(found: dict | None, name: str) -> list[str]:
+    """What to ask whoever knows the data, from an investigation."""
+    if found is None or not found["outliers"]:
+        return [f"What would an unusual {name} look like?"]
+    out = [f"Are values of {name} outside {found['low']:g} to {found['high']:g} possible at all?"]
+    out += [f"What is special about {r['column']} = {r['segment']}?" for r in found["segments"][:2]]
+    if found["sentinel"]:
+        out.append(f"Does {found['sentinel'][0]:g} stand for a missing value?")
+    return [*out, f"Should totals of {name} be read with or without them?"]

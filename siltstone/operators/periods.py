@@ -101,3 +101,20 @@ def narrative(d: dict) -> list[str]:
     if d["health"][0] != d["health"][1]:
         out.append(f"Health went from {d['health'][0]} to {d['health'][1]}.")
     return out
+
+
+def close(new: DataFrame, name: str, known: list[tuple[str, Fingerprint, float, frozenset[str]]], recipes: dict[str, list[tuple]], last: dict[str, DataFrame]) -> dict:
+    """A period's close: find the file's kind, replay its recipe, and tell what differs from the last period.
+
+    Without a match the file is only profiled. ``known`` is as for :func:`recurring`.
+    """
+    from siltstone.operators.profile import profile
+    from siltstone.plans.recipe import replay
+
+    match = recurring(Fingerprint.of(profile(new)), known)
+    if match is None:
+        return {"name": name, "match": None, "df": new, "applied": [], "skipped": [], "changes": []}
+    df, applied, skipped = replay(new, recipes.get(match, []))
+    before = last.get(match)
+    changes = narrative(diff(before, df, profile(before), profile(df))) if before is not None else []
+    return {"name": name, "match": match, "df": df, "applied": applied, "skipped": skipped, "changes": changes}

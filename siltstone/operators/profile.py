@@ -2,7 +2,7 @@
 
 One wide aggregation over all columns gives counts, one more gives quartiles of
 the numeric ones, and one long one (a row per column and value's hash) gives
-distinct values; columns of few values are then counted by value. Decisions are
+distinct values and the commonest ones, whose texts are then fetched. Decisions are
 made on the driver from those few rows.
 """
 
@@ -160,11 +160,32 @@ def frequencies(df: DataFrame, columns: list[str]) -> DataFrame:
     return rows.groupBy("column", "value").agg(F.count("*").alias("n"), F.min(ROW).alias("first"))
 
 
-def distinct_values(df: DataFrame, columns: list[str]) -> DataFrame:
-    """column, unique, most: distinct texts and rows of the commonest, counted by a 64-bit hash so that long texts are not shuffled."""
-    stacked = F.explode(F.array(*(F.struct(F.lit(c).alias("column"), F.when(~cells.is_blank(col(c)), F.xxhash64(cells.text_of(col(c)))).alias("h")) for c in columns)))
-    counts = df.select(stacked.alias("x")).select("x.*").filter("h is not null").groupBy("column", "h").count()
-    return counts.groupBy("column").agg(F.count("*").alias("unique"), F.max("count").alias("most"))
+def hashed_counts(df: DataFrame, columns: list[str]) -> DataFrame:
+    """column, h and t (hashes of the cell's text as it is and trimmed), n, first row: what distinct and top values are counted from, without moving any text."""
+    one = lambda c: F.struct(F.lit(c).alias("column"), F.xxhash64(cells.text_of(col(c))).alias("h"), F.when(~cells.is_blank(col(c)), F.xxhash64(cells.trim(col(c)))).alias("t"))
+    rows = df.select(F.col(ROW), F.explode(F.array(*map(one, columns))).alias("x")).select("x.*", ROW).filter("t is not null")
+    return rows.groupBy("column", "h", "t").agg(F.count("*").alias("n"), F.min(ROW).alias("first"))
+
+
+def top_values(df: DataFrame, counts: DataFrame, most: int = VARIANT_VALUES) -> dict[str, list[tuple[str, int]]]:
+    """Each column's commonest values, trimmed, with their rows; ties by first row.
+
+    Spark keeps ``most`` rows of a column in each task before any shuffle. The
+    texts come from the rows in which the values stand first.
+    """
+    order = W.partitionBy("column").orderBy(F.desc("n"), "first")
+    best = counts.groupBy("column", "t").agg(F.sum("n").alias("n"), F.min("first").alias("first")).withColumn("k", F.row_number().over(order)).filter(F.col("k") <= most).collect()
+    if not best:
+        return {}
+    wanted = df.sparkSession.createDataFrame([(r["first"], r["column"]) for r in best], "__row long, __column string")
+    names_ = sorted({r["column"] for r in best})
+    texts = F.create_map(*(x for c in names_ for x in (F.lit(c), cells.trim(col(c)))))
+    found = df.select(F.col(ROW), texts.alias("t")).join(F.broadcast(wanted), F.col(ROW) == F.col("__row")).select("__column", "__row", F.element_at("t", F.col("__column")).alias("v"))
+    text = {(r["__column"], r["__row"]): r["v"] for r in found.collect()}
+    out: dict[str, list[tuple[str, int]]] = {}
+    for r in sorted(best, key=lambda r: r["k"]):
+        out.setdefault(r["column"], []).append((text[r["column"], r["first"]], r["n"]))
+    return out
 
 
 def variants(counts: list[tuple[str, int]]) -> dict[str, str]:
@@ -192,26 +213,35 @@ def variants(counts: list[tuple[str, int]]) -> dict[str, str]:
     return out
 
 
+#: Rows of one stretch in which an index column's order is looked at.
+STRETCH = 1_000_000
+
+
 def index_columns(df: DataFrame, candidates: list[str], rows: int) -> set[str]:
-    """Whole numbers that rise in row order, start at 0 or 1 and leave no gap at the end.
+    """Whole numbers that never fall in row order, nearly all different, from 0 or 1 on without a gap at the end.
 
-    Only columns whose least value is 0 or 1 get here. The first row must hold the
-    least value, the last the greatest, and values must follow rows almost exactly
-    (correlation over 0.99): one aggregation, where a window in row order would
-    put all rows into one task.
+    Rows are compared with the row before them in stretches of up to a million, by the
+    rows' numbers, and then the stretches' ends with each other; so no task has all rows.
+    Only columns whose least value is 0 or 1 get here.
     """
-    if not candidates or rows < 5:
-        return set()
-    nums = df.select(ROW, *(cells.as_number(col(c), dict(df.dtypes)[c]).alias(f"c{i}") for i, c in enumerate(candidates)))
-    aggs = []
-    for i in range(len(candidates)):
-        c = F.col(f"c{i}")
-        aggs += [F.count(c).alias(f"n{i}"), F.count_if(c != F.floor(c)).alias(f"f{i}"), F.count_distinct(c).alias(f"u{i}"), F.min(c).alias(f"a{i}"), F.max(c).alias(f"z{i}"), F.min_by(c, ROW).alias(f"s{i}"), F.max_by(c, ROW).alias(f"e{i}"), F.corr(c, F.col(ROW).cast("double")).alias(f"r{i}")]
-    x = nums.agg(*aggs).first()
-    out = set()
-    for i, c in enumerate(candidates):
-        n, u = x[f"n{i}"], x[f"u{i}"]
-        if n >= 5 and not x[f"f{i}"] and u >= 0.95 * n and x[f"a{i}"] in (0, 1) and x[f"s{i}"] == x[f"a{i}"] and x[f"e{i}"] == x[f"z{i}"] == x[f"a{i}"] + u - 1 and (x[f"r{i}"] or 0) > 0.99:
+    out: set[str] = set()
+    types = dict(df.dtypes)
+    for c in candidates if rows >= 5 else []:
+        v = df.select(F.col(ROW), cells.as_number(col(c), types[c]).alias("v")).filter("v is not null")
+        part, place = F.shiftright(ROW, 33), F.floor(F.pmod(F.col(ROW), F.lit(1 << 33)) / STRETCH)
+        v = v.select("v", ROW, part.alias("p"), place.alias("s"))
+        v = v.withColumn("before", F.lag("v").over(W.partitionBy("p", "s").orderBy(ROW)))
+        ends = v.groupBy("p", "s").agg(
+            F.count("*").alias("n"), F.count_if(F.col("v") < F.col("before")).alias("falls"), F.count_if(F.col("v") > F.col("before")).alias("rises"),
+            F.count_if(F.col("v") != F.floor("v")).alias("broken"), F.min_by("v", ROW).alias("first"), F.max_by("v", ROW).alias("last"),
+        )
+        ends = ends.withColumn("before", F.lag("last").over(W.orderBy("p", "s")))  # a row for each stretch
+        x = ends.agg(
+            F.sum("n").alias("n"), F.sum("falls") + F.count_if(F.col("first") < F.col("before")), F.sum("rises") + F.count_if(F.col("first") > F.col("before")) + 1,
+            F.sum("broken"), F.min_by("first", F.struct("p", "s")), F.max_by("last", F.struct("p", "s")),
+        ).first()
+        n, falls, unique, broken, first, last = x
+        if (n or 0) >= 5 and not falls and not broken and unique >= 0.95 * n and first in (0, 1) and first + unique - 1 == last:
             out.add(c)
     return out
 
@@ -226,13 +256,12 @@ def profile(df: DataFrame, skipped: frozenset[str] = frozenset()) -> Profile:
         blank = blank & cells.is_blank(col(c))
     first = df.agg(F.count("*").alias("rows"), F.count_if(blank).alias("blank"), *(v.alias(k) for k, v in wide.items())).first().asDict()
     rows = first["rows"]
-    order = W.partitionBy("column").orderBy(F.desc("n"), "first", "value")
-    per = {r["column"]: r for r in distinct_values(df, columns).collect()}
-    few = [c for c, r in per.items() if r["unique"] <= VARIANT_VALUES]
-    top: dict[str, list[tuple[str, int]]] = {}
-    if few:  # columns of few values are counted again alone, so that the window only sees those values
-        for r in frequencies(df, few).withColumn("k", F.row_number().over(order)).orderBy("column", "k").collect():
-            top.setdefault(r["column"], []).append((r["value"], r["n"]))
+    counts = hashed_counts(df, columns).persist() if columns else None
+    per, top = {}, {}
+    if counts is not None:
+        per = {r["column"]: r for r in counts.groupBy("column").agg(F.count("*").alias("unique")).collect()}
+        top = top_values(df, counts)
+        counts.unpersist()
     out: list[ColumnProfile] = []
     for i, c in enumerate(columns):
         facts = {k.split(":")[1]: v for k, v in first.items() if k.startswith(f"{i}:")}
@@ -359,14 +388,23 @@ def health(p: Profile) -> dict[str, int]:
     return {"overall": nearest(overall), "completeness": nearest(complete), "validity": nearest(valid), "accuracy": nearest(accurate), "consistency": nearest(consistent)}
 
 
-def skip(p: Profile, what: str) -> Profile:
-    """The profile with a finding, or a rule's findings, left out of the score."""
-    marked = [replace(d, skipped=True) if what in (d.id, d.rule) else d for d in p.diagnostics]
+def skip(p: Profile, what: str, skipped: bool = True) -> Profile:
+    """The profile with a finding, or a rule's findings, left out of the score (or back in)."""
+    marked = [replace(d, skipped=skipped) if what in (d.id, d.rule) else d for d in p.diagnostics]
     out = replace(p, diagnostics=marked)
     out.health = health(out)
     return out
 
 
+def unskip(p: Profile, what: str) -> Profile:
+    return skip(p, what, False)
+
+
+def describe(name: str, p: Profile, changes: int = 0) -> str:
+    """A dataset in one line: size, health, and whether it has been changed."""
+    return f"{name}: {p.rows} rows, {len(p.columns)} columns, health {p.health.get('overall', 100)}" + (f", changed by {changes} steps" if changes else "")
+
+
 def profile_table(p: Profile, spark) -> DataFrame:
     """One row per column."""
     rows = [(c.name, c.type, c.rows, c.filled, c.unique, c.completeness, c.validity, c.min, c.max, c.mean, c.median, c.std, c.p25, c.p75, c.outliers, c.date_min, c.date_max) for c in p.columns]

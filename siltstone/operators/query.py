@@ -8,10 +8,13 @@ A hidden row number, ``ROW``, makes "first" mean something in a DataFrame.
 from __future__ import annotations
 
 import re
+import time
 from collections.abc import Sequence
+from dataclasses import dataclass
 from functools import reduce
 from operator import and_, or_
 
+from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -73,6 +76,50 @@ def any_of(*groups: Sequence[Column]) -> Column:
     return reduce(or_, [reduce(and_, g) for g in groups if g], F.lit(False))
 
 
+def pinned(df: DataFrame) -> DataFrame:
+    """``df`` computed once into the folder of ``spark.checkpoint.dir``, so that its rows have the same numbers wherever it is used; as it is where no such folder is set."""
+    spark = df.sparkSession
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
+        if not folder:
+            return df
+        spark.sparkContext.setCheckpointDir(folder)
+    return df.checkpoint()
+
+
+def unknown_columns(df: DataFrame, names: Sequence[str]) -> list[str]:
+    """Names that ``df`` does not have in just that spelling: capitals count, where Spark's own resolution lets them pass."""
+    return [n for n in names if n not in df.columns]
+
+
+def known(df: DataFrame, *names: str) -> DataFrame:
+    """``df`` if it has all the names, else a ValueError that tells which are missing and what there is."""
+    if missing := unknown_columns(df, names):
+        raise ValueError(f"unknown column {', '.join(map(repr, missing))}; there are {', '.join(c for c in df.columns if c != ROW)}")
+    return df
+
+
+@dataclass(frozen=True)
+class Answer:
+    """What a statement gave: its frame or the error's text, and the milliseconds that it took (0.1 at least)."""
+
+    df: DataFrame | None
+    error: str | None
+    ms: float
+
+
+def ask(spark: SparkSession, sql: str, **views: DataFrame) -> Answer:
+    """A guarded statement whose errors are text. Planning alone is timed: the frame is lazy."""
+    began = time.perf_counter()
+    df = error = None
+    try:
+        df = read_only(spark, sql, **views)
+        df.schema  # noqa: B018  resolves names
+    except (ValueError, PySparkException) as e:
+        df, error = None, str(e).split("\n")[0]
+    return Answer(df, error, max(0.1, (time.perf_counter() - began) * 1000))
+
+
 def first_value(name: str) -> Column:
     """The group's value in its first row."""
     return F.min_by(col(name), F.col(ROW))

@@ -130,9 +130,9 @@ def parse_numeric_currency(spark, sf_dir):
     return _t(spark, sf_dir, "lineitem").select(n.alias("v")).agg(F.count("v").alias("n"), _money(F.col("v")).alias("total"))
 
 
-@registered("""SELECT o_orderpriority, count(*) AS n FROM orders GROUP BY 1""")
+@registered("""SELECT replace(o_orderpriority, '-', ' -') AS o_orderpriority, count(*) AS n FROM orders GROUP BY 1""")
 def clean_trim(spark, sf_dir):
-    text = F.concat(F.lit("  "), F.replace(F.col("o_orderpriority"), F.lit("-"), F.lit("-")), F.lit("\t﻿"))
+    text = F.concat(F.lit(" \u00a0 "), F.replace(F.col("o_orderpriority"), F.lit("-"), F.lit(" \u00a0-")), F.lit("\t\ufeff"))
     return _t(spark, sf_dir, "orders").groupBy(cells.squeeze(text).alias("o_orderpriority")).agg(F.count("*").alias("n"))
 
 
@@ -222,17 +222,17 @@ def clean_fix_encoding(spark, sf_dir):
 
 # ---- joins
 
-_JOIN = """WITH c AS (SELECT ' ' || upper(c_name) AS k, c_nationkey AS v, c_acctbal FROM customer WHERE c_custkey % 3 <> 0 UNION ALL SELECT NULL, 1, 0.0 UNION ALL SELECT '  ', 2, 0.0),
-o AS (SELECT lower(c_name) || ' ' AS name, o_orderkey AS v, o_totalprice FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_orderkey % 2 = 0 UNION ALL SELECT 'nobody', 0, 1.0 UNION ALL SELECT NULL, 1, 2.0)
+_JOIN = """WITH c AS (SELECT ' ' || upper(c_name) || CASE WHEN c_custkey % 3 = 0 THEN '!' ELSE '' END AS k, c_nationkey AS v, c_acctbal FROM customer UNION ALL SELECT NULL, 1, 0.0 UNION ALL SELECT '  ', 2, 0.0),
+o AS (SELECT lower(c_name) || CASE WHEN o_orderkey % 2 = 0 THEN ' ' ELSE '?' END AS name, o_orderkey AS v, o_totalprice FROM orders JOIN customer ON o_custkey = c_custkey UNION ALL SELECT 'nobody', 0, 1.0 UNION ALL SELECT NULL, 1, 2.0)
 SELECT {} AS k, c.v::DOUBLE AS v_left, c_acctbal, o.v::DOUBLE AS v_right, o_totalprice FROM c {} JOIN o ON nullif(lower(trim(k)), '') = nullif(lower(trim(name)), '')"""
 
 
 def _join(how: str):
     def run(spark, sf_dir):
         c = _t(spark, sf_dir, "customer")
-        left = c.filter("c_custkey % 3 <> 0").select(F.concat(F.lit(" "), F.upper("c_name")).alias("k"), F.col("c_nationkey").alias("v"), "c_acctbal")
+        left = c.select(F.concat(F.lit(" "), F.upper("c_name"), F.when(F.col("c_custkey") % 3 == 0, "!").otherwise("")).alias("k"), F.col("c_nationkey").alias("v"), "c_acctbal")
         left = left.unionByName(spark.createDataFrame([(None, 1, 0.0), ("  ", 2, 0.0)], "k string, v int, c_acctbal double"))
-        right = _t(spark, sf_dir, "orders").filter("o_orderkey % 2 = 0").join(c, F.col("o_custkey") == F.col("c_custkey")).select(F.concat(F.lower("c_name"), F.lit(" ")).alias("name"), F.col("o_orderkey").alias("v"), "o_totalprice")
+        right = _t(spark, sf_dir, "orders").join(c, F.col("o_custkey") == F.col("c_custkey")).select(F.concat(F.lower("c_name"), F.when(F.col("o_orderkey") % 2 == 0, " ").otherwise("?")).alias("name"), F.col("o_orderkey").alias("v"), "o_totalprice")
         right = right.unionByName(spark.createDataFrame([("nobody", 0, 1.0), (None, 1, 2.0)], "name string, v long, o_totalprice double"))
         return joins.join(left, right, "k", "name", how).withColumns({c: F.col(c).cast("double") for c in ("v_left", "v_right")})
 
@@ -312,9 +312,11 @@ def grid_search(spark, sf_dir):
     return agg.search(_t(spark, sf_dir, "part").select("p_partkey", "p_name", "p_brand", "p_type", "p_size"), "AN").select("p_partkey")
 
 
-@registered("""WITH c AS (SELECT p_name AS name, count(*) AS value FROM part GROUP BY 1) SELECT name, value FROM c WHERE value <= 2 AND (SELECT max(value) FROM c) >= 3""")
+@registered("""WITH m AS (SELECT CASE WHEN o_orderkey <= 64 THEN 'Order ' || (o_orderkey // 2) ELSE o_orderpriority END AS p FROM orders), c AS (SELECT p AS name, count(*) AS value FROM m GROUP BY 1) SELECT name, value FROM c WHERE value <= 2 AND (SELECT max(value) FROM c) >= 3""")
 def rare_values(spark, sf_dir):
-    return agg.rare_values(_t(spark, sf_dir, "part"), "p_name")
+    o = F.col("o_orderkey")
+    p = F.when(o <= 64, F.concat(F.lit("Order "), F.floor(o / 2))).otherwise(F.col("o_orderpriority"))
+    return agg.rare_values(_t(spark, sf_dir, "orders").select(p.alias("p")), "p")
 
 
 # ---- pivots
@@ -327,7 +329,7 @@ def _sales(spark, sf_dir):
 
 
 def _paths(df: DataFrame) -> DataFrame:
-    return df.withColumns({"row_path": F.array_join("row_path", "/"), "col_path": F.array_join("col_path", "/")})
+    return df.drop("is_other").withColumns({"row_path": F.array_join("row_path", "/"), "col_path": F.array_join("col_path", "/")})
 
 
 @registered(_ROWS + "SELECT r AS row_path, c AS col_path, sum(v::DECIMAL(18,2))::DOUBLE AS v0, count(*)::DOUBLE AS v1 FROM s GROUP BY GROUPING SETS ((r, c), (r), (c), ())")
@@ -359,18 +361,18 @@ def pivot_drill(spark, sf_dir):
 # ---- profiles
 
 
-@registered("""SELECT count(*) AS n, count(DISTINCT value) AS uniq, min(value) AS low, max(value) AS high, round(avg(value), 6) AS mean, round(stddev_samp(value), 6) AS sd, quantile_cont(value, 0.25) AS p25, quantile_cont(value, 0.5) AS p50, quantile_cont(value, 0.75) AS p75 FROM events""")
+@registered(f"""WITH {_FENCES} SELECT count(*) AS n, count(DISTINCT value) AS uniq, count(*) FILTER (value < lo OR value > hi) AS outliers, round(min(value), 2) AS low, round(max(value), 2) AS high, round(avg(value), 2) AS mean, round(stddev_samp(value), 2) AS sd,
+round(quantile_cont(value, 0.25), 2) AS p25, round(quantile_cont(value, 0.5), 2) AS p50, round(quantile_cont(value, 0.75), 2) AS p75 FROM events, l""")
 def profile_numeric(spark, sf_dir):
-    v = F.col("value")
-    x = _t(spark, sf_dir, "events").agg(F.count(v).alias("n"), F.count_distinct(v).alias("uniq"), F.min(v).alias("low"), F.max(v).alias("high"), F.round(F.avg(v), 6).alias("mean"), F.round(F.stddev_samp(v), 6).alias("sd"), F.percentile(v, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("p"))
-    return x.select("n", "uniq", "low", "high", "mean", "sd", *(F.get("p", F.lit(i)).alias(k) for i, k in enumerate(("p25", "p50", "p75"))))
+    p, _ = _table_profile(spark, sf_dir, "events", "event_id")
+    x = p["value"]
+    return spark.createDataFrame([(x.filled, x.unique, x.outliers, x.min, x.max, x.mean, x.std, x.p25, x.median, x.p75)], "n long, uniq long, outliers long, low double, high double, mean double, sd double, p25 double, p50 double, p75 double")
 
 
-@registered("""SELECT name, value FROM (SELECT p_type AS name, count(*) AS value, row_number() OVER (ORDER BY count(*) DESC, min(p_partkey)) AS k FROM part GROUP BY 1) WHERE k <= 5""")
+@registered("""SELECT name, value FROM (SELECT p_name AS name, count(*) AS value, row_number() OVER (ORDER BY count(*) DESC, min(p_partkey)) AS k FROM part GROUP BY 1) WHERE k <= 5""")
 def profile_topvalues(spark, sf_dir):
-    df = q.with_rows(_t(spark, sf_dir, "part"), "p_partkey")
-    counts = prof.frequencies(df, ["p_type"])
-    return counts.orderBy(F.desc("n"), "first").limit(prof.TOP_VALUES).select(F.col("value").alias("name"), F.col("n").alias("value"))
+    p, _ = _table_profile(spark, sf_dir, "part", "p_partkey")
+    return spark.createDataFrame(p["p_name"].top, "name string, value long")
 
 
 @registered("SELECT count(*) AS n FROM lineitem WHERE l_orderkey % 4 = 0")
@@ -540,3 +542,6 @@ g AS (SELECT user_id, ts, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS U
 SELECT user_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS start, strftime(max(ts) + INTERVAL 30 MINUTE, '%Y-%m-%d %H:%M:%S') AS stop, count(*) AS n FROM g GROUP BY user_id, k""")
 def stream_sessions(spark, sf_dir):
     return windows.sessions(_t(spark, sf_dir, "events")).withColumns({c: F.date_format(c, _SECOND) for c in ("start", "stop")})
+
+
+from siltstone.plans import catalog_more  # noqa: E402, F401  registers its queries here

@@ -5,11 +5,12 @@ from __future__ import annotations
 import json
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
-from siltstone.operators import clean
+from siltstone.operators import clean, joins
 from siltstone.operators.profile import Profile, data_columns, profile
-from siltstone.operators.query import with_rows
+from siltstone.operators.query import ROW, with_rows
+from siltstone.sources import files
 
 VERSION = 1
 UNDO = 10
@@ -46,6 +47,18 @@ def replay(df: DataFrame, ops: list[tuple]) -> tuple[DataFrame, list[tuple], lis
     return df, applied, skipped
 
 
+# How an operation reads; its arguments go into the braces.
+SENTENCES = {
+    "dropDuplicates": "Drop repeated rows", "dropEmptyRows": "Drop rows without any value", "trimWhitespace": "Trim spaces", "fixEncoding": "Repair broken characters",
+    "standardizeCase": "Write {0} with capitals", "mergeValues": "Merge spellings in {0}", "convertExcelDates": "Turn day numbers of {0} into dates", "findReplace": "Replace {1!r} by {2!r} in {0}",
+    "splitColumn": "Split {0} at {1!r}", "dropColumn": "Drop {0}", "fillMissing": "Fill blanks of {0} with the {1}", "capOutliers": "Cap outliers of {0}", "dropOutlierRows": "Drop rows with outliers in {0}",
+}
+
+
+def describe_op(op: tuple) -> str:
+    return SENTENCES[op[0]].format(*("all columns" if a is None else a for a in op[1:]))
+
+
 def fixes(p: Profile) -> list[tuple]:
     """Operations of all findings that can be repaired without a decision."""
     return [d.fix for d in p.diagnostics if d.fix and not d.manual and not d.skipped]
@@ -88,6 +101,25 @@ class Dataset:
         next_ = self.future[0]
         return Dataset(next_.name, next_.df, next_.ops, (*self.past, self)[-UNDO:], self.future[1:], next_.truncated)
 
+    @classmethod
+    def load(cls, spark: SparkSession, path: str, limit: int | None = None) -> Dataset:
+        """A file by the ending of its name; with ``limit`` its first rows, and whether there are more."""
+        df = files.load(spark, path)
+        more = limit is not None and df.limit(limit + 1).count() > limit
+        return cls.of(files.dataset_name(path), df.limit(limit) if more else df, truncated=more)
+
+    def join(self, other: Dataset, left: str, right: str, how: str = "inner") -> Dataset:
+        """A joined dataset: incomplete if either side is."""
+        both = joins.join(self.df.drop(ROW), other.df.drop(ROW), left, right, how)
+        return Dataset.of(f"{self.name} + {other.name}", both, truncated=self.truncated or other.truncated)
+
+    def preview(self, op: tuple) -> clean.Difference:
+        return clean.difference(self.df, op)
+
+    def changelog(self) -> list[str]:
+        """What has been done, a line for each operation, in order."""
+        return [f"{k}. {describe_op(op)}" for k, op in enumerate(self.ops, 1)]
+
     @property
     def columns(self) -> list[str]:
         return data_columns(self.df)

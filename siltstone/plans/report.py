@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+from html import escape
+
 from siltstone.functions.stats import compact
 from siltstone.operators import insights, kpi
 from siltstone.plans.recipe import Dataset
@@ -28,3 +31,26 @@ def build(ds: Dataset) -> list[tuple[str, list[str]]]:
 def markdown(sections: list[tuple[str, list[str]]], without: frozenset[str] = frozenset()) -> str:
     parts = [f"## {t}\n\n" + "\n".join("- " + line.replace("|", "\\|") for line in lines) for t, lines in sections if t not in without]
     return "\n\n".join(parts) + "\n"
+
+
+def html(sections: list[tuple[str, list[str]]], title: str, without: frozenset[str] = frozenset()) -> str:
+    """A page of its own, with all text escaped."""
+    parts = [f"<h2>{escape(t)}</h2><ul>" + "".join(f"<li>{escape(line)}</li>" for line in lines) + "</ul>" for t, lines in sections if t not in without]
+    return f'<!DOCTYPE html><html><head><meta charset="utf-8"><title>{escape(title)}</title></head><body><h1>{escape(title)}</h1>' + "".join(parts) + "</body></html>"
+
+
+def text(sections: list[tuple[str, list[str]]], without: frozenset[str] = frozenset()) -> str:
+    return "\n\n".join(t.upper() + "\n" + "\n".join("  " + line for line in lines) for t, lines in sections if t not in without) + "\n"
+
+
+#: Writers by the name of a format, with what each keeps and leaves out.
+FORMATS = {
+    "md": (markdown, "titles and lines", "charts"),
+    "html": (lambda sections: html(sections, sections[0][0] if sections else "Report"), "titles and lines", "charts"),
+    "txt": (text, "lines", "charts and emphasis"),
+}
+
+
+def file_name(dataset: str, kind: str) -> str:
+    """A name that any file system takes: letters, digits and hyphens."""
+    return (re.sub(r"[^\w]+", "-", dataset.rsplit(".", 1)[0].lower()).strip("-") or "report") + f".{kind}"

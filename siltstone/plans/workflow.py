@@ -32,6 +32,20 @@ class Workflow:
     def summary(self) -> str:
         return f"{self.name}: {len(self.ops)} cleaning steps, {len(self.charts)} charts"
 
+    @classmethod
+    def capture(cls, ds: recipe.Dataset, charts: tuple[Chart, ...] = (), name: str | None = None) -> Workflow:
+        """What has been done to a dataset, then its charts."""
+        return cls(name or f"{ds.name} workflow", (*ds.ops, *charts))
+
+    def described(self) -> list[str]:
+        """A line for each step."""
+        return [recipe.describe_op(s) if not isinstance(s, Chart) else f"Chart: {s.type} of {s.y or 'rows'} by {s.x}" for s in self.steps]
+
+    def columns(self) -> list[str]:
+        """Columns that the steps name, in order, each once."""
+        named = [[s.x, s.y, s.series] if isinstance(s, Chart) else [recipe.clean.needs(s)] for s in self.steps]
+        return list(dict.fromkeys(n for part in named for n in part if n))
+
     def moved(self, at: int, to: int) -> Workflow:
         """A step to another place; places outside change nothing."""
         if not (0 <= at < len(self.steps) and 0 <= to < len(self.steps)):
@@ -78,15 +92,16 @@ def newest(rows: DataFrame, key: str, at: str, *tie: str) -> DataFrame:
 
 
 # What a match of each kind is worth.
-EXACT, PREFIX, WORD_START, WITHIN, SUBSEQUENCE = 1000, 800, 600, 400, 100
+EXACT, PREFIX, WORD_START, WITHIN, KEYWORD, SUBSEQUENCE = 1000, 800, 600, 400, 250, 100
+KIND_WEIGHTS = {"page": 30, "dataset": 20, "chart": 10}
 
 
-def match_score(label: Column, text: str) -> Column:
-    """How well a label matches what was typed; null if not at all."""
+def match_score(label: Column, text: str, keywords: Column | None = None) -> Column:
+    """How well a label, or else its keywords, matches what was typed; null if not at all."""
     low, wanted = F.lower(label), text.strip().lower()
     letters = ".*".join(map(re.escape, wanted.replace(" ", "")))
     return (
-        F.when(low == wanted, EXACT).when(low.startswith(wanted), PREFIX).when(low.rlike(rf"\b\Q{wanted}\E"), WORD_START).when(F.contains(low, F.lit(wanted)), WITHIN).when(low.rlike(letters), SUBSEQUENCE)
+        F.when(low == wanted, EXACT).when(low.startswith(wanted), PREFIX).when(low.rlike(rf"\b\Q{wanted}\E"), WORD_START).when(F.contains(low, F.lit(wanted)), WITHIN).when(F.coalesce(F.contains(F.lower(keywords), F.lit(wanted)), F.lit(False)) if keywords is not None else F.lit(False), KEYWORD).when(low.rlike(letters), SUBSEQUENCE)
     )
 
 
@@ -96,6 +111,13 @@ def search(labels: DataFrame, column: str, text: str, most: int = 20) -> DataFra
     return scored.distinct().orderBy(F.desc("score"), F.length("label"), "label").limit(most)
 
 
+def find(things: DataFrame, text: str, most: int = 20) -> DataFrame:
+    """Of things (label, kind, keywords) those that match, with their score and their kind's weight, best first."""
+    weight = F.coalesce(F.element_at(F.create_map(*(F.lit(x) for pair in KIND_WEIGHTS.items() for x in pair)), F.col("kind")), F.lit(0))
+    scored = things.withColumn("score", match_score(F.col("label"), text, F.col("keywords")) + weight).filter("score is not null")
+    return scored.orderBy(F.desc("score"), F.length("label"), "label").limit(most).select("label", "kind", "score")
+
+
 def answer(p: Profile, question: str) -> str:
     """A sentence from the profile for questions about size, duplicates, gaps, health, or a column by name."""
     low = question.lower()

@@ -19,14 +19,23 @@ def sniff(line: str) -> str:
 
 
 def read_csv(spark: SparkSession, path: str, delimiter: str | None = None, limit: int | None = None) -> DataFrame:
-    """All columns as text; empty cells are null, blank lines and columns without a name are left out."""
+    """All columns as text; empty cells are null, blank lines and columns without a name are left out.
+
+    Which columns have a name is read from the header line itself, by place: Spark
+    makes names for the others that a file may have too.
+    """
     if delimiter is None:
         first = spark.read.text(path).filter(F.trim("value") != "").first()
         if first is None:
             raise ValueError("the file has no header")
         delimiter = sniff(first[0])
-    df = spark.read.options(header=True, sep=delimiter, multiLine=True, escape='"', nullValue="").csv(path)
-    df = df.select(*(F.col(quoted(c)) for c in df.columns if c.strip() and not c.startswith("_c")))
+    options = {"sep": delimiter, "multiLine": True, "escape": '"', "nullValue": ""}
+    header = spark.read.options(header=False, **options).csv(path).first()
+    df = spark.read.options(header=True, **options).csv(path)
+    named = [c for c, h in zip(df.columns, header, strict=True) if h is not None and h.strip()]
+    if not named:
+        raise ValueError("the file has no header")
+    df = df.select(*(F.col(quoted(c)) for c in named))
     df = df.filter(F.coalesce(*(F.col(quoted(c)) for c in df.columns)).isNotNull())
     return df if limit is None else df.limit(limit)
 
@@ -73,6 +82,32 @@ def load(spark: SparkSession, path: str) -> DataFrame:
     raise ValueError(f"no reader for .{kind}")
 
 
+def list_tables(spark: SparkSession, url: str, most: int = 200, **options: str) -> list[str]:
+    """Names of a database's own tables, by its information schema; the driver's jar must be on Spark's class path."""
+    sql = "SELECT table_name FROM information_schema.tables WHERE table_schema NOT IN ('information_schema', 'pg_catalog', 'mysql', 'sys', 'performance_schema') ORDER BY table_name"
+    return [r[0] for r in spark.read.format("jdbc").options(url=url, query=sql, **options).load().limit(most).collect()]
+
+
+def import_table(spark: SparkSession, url: str, table: str, **options: str) -> DataFrame:
+    """A whole table of a database, by a guarded query."""
+    return read_database(spark, url, "SELECT * FROM " + ".".join('"' + part.replace('"', '""') + '"' for part in table.split(".")), **options)
+
+
+def dataset_name(path: str, sheet: str | None = None) -> str:
+    """What a dataset is called: its file, with the sheet of a workbook in brackets."""
+    name = path.rstrip("/").rsplit("/", 1)[-1]
+    return f"{name} ({sheet})" if sheet else name
+
+
+def source_kind(name: str) -> str:
+    """What a dataset comes from, by its name."""
+    low = name.lower()
+    for kind, marks in (("Query result", ("query",)), ("Joined data", (" + ", "join"))):
+        if any(m in low for m in marks):
+            return kind
+    return {"csv": "CSV", "tsv": "TSV", "txt": "Text", "json": "JSON", "jsonl": "JSON", "parquet": "Parquet"}.get(low.rsplit(".", 1)[-1], "Table")
+
+
 def write_csv(df: DataFrame, path: str) -> None:
     """A folder of CSV parts with headers; null is empty."""
     df.write.mode("overwrite").options(header=True, nullValue="", emptyValue="").csv(path)
