@@ -394,7 +394,9 @@ def profile_table(spark, sf_dir):
     return prof.profile_table(p, spark).select("column", "type", "rows", F.col("unique").alias("uniq"))
 
 
-@registered()
+@registered(f"""WITH {_FENCES} SELECT 'index:event_id' AS id, 'index' AS rule, 'info' AS severity, 'event_id only numbers the rows' AS message
+UNION ALL SELECT 'repeatedId:user_id', 'repeatedId', 'warning', (count(user_id) - count(DISTINCT user_id)) || ' repeated values in user_id' FROM events
+UNION ALL SELECT 'outliers:value', 'outliers', 'info', count(*) || ' values of value outside its fences' FROM events, l WHERE value < lo OR value > hi""")
 def profile_diagnostics(spark, sf_dir):
     p, _ = _table_profile(spark, sf_dir, "events", "event_id")
     return spark.createDataFrame([(d.id, d.rule, d.severity, d.message) for d in p.diagnostics], "id string, rule string, severity string, message string")
@@ -486,14 +488,29 @@ def dashboard_filter(spark, sf_dir):
     return agg.aggregate_by(df, "p_type", None, "count")
 
 
-@registered()
+@registered("""WITH o AS (SELECT strftime(o_orderdate, '%Y-%m') AS d, o_totalprice AS v, c_mktsegment AS seg FROM orders JOIN customer ON o_custkey = c_custkey),
+s AS (SELECT d, sum(v) AS v, row_number() OVER (ORDER BY d) AS i FROM o GROUP BY d), e AS (SELECT (arg_max(v, d) - arg_min(v, d)) / arg_min(v, d) * 100 AS x, regr_r2(v, i) AS r2 FROM s),
+st AS (SELECT d, i, v - lag(v) OVER (ORDER BY d) AS x FROM s QUALIFY x IS NOT NULL), md AS (SELECT median(x) AS m FROM st), sc AS (SELECT median(abs(x - m)) AS w FROM st, md),
+ra AS (SELECT d, x, abs(x - m) / w AS r, lag(x) OVER (ORDER BY d) AS px, lag(d) OVER (ORDER BY d) AS pd, lag(abs(x - m) / w) OVER (ORDER BY d) AS pr FROM st, md, sc),
+top AS (SELECT *, px * x < 0 AND abs(px) >= 0.6 * abs(x) AS back FROM ra ORDER BY r DESC, d LIMIT 1), ch AS (SELECT CASE WHEN back THEN pd ELSE d END AS d, CASE WHEN back THEN px ELSE x END AS x, CASE WHEN back THEN pr ELSE r END AS r FROM top WHERE r >= 3),
+g AS (SELECT seg, sum(v) AS v, count(*) AS n FROM o GROUP BY seg), t AS (SELECT sum(v) AS total, count(*) AS k, max(v) AS best, min(v) AS least FROM g), y AS (SELECT max(v / n) AS hi, min(v / n) AS lo FROM g WHERE n >= 5),
+b AS (SELECT seg, d, sum(v) AS v FROM o GROUP BY seg, d), gr AS (SELECT seg, (arg_max(v, d) - arg_min(v, d)) / abs(arg_min(v, d)) * 100 AS x FROM b GROUP BY seg HAVING count(*) >= 3),
+q AS (SELECT quantile_cont(v, 0.25) AS a, quantile_cont(v, 0.75) AS z FROM o), ou AS (SELECT count(*) FILTER (v < a - 1.5 * (z - a) OR v > z + 1.5 * (z - a)) AS n, count(*) AS rows FROM o, q)
+SELECT 'trend_o_totalprice' AS id, 'trend' AS kind, CASE WHEN x > 0 THEN 'positive' ELSE 'warning' END AS severity, round(70 + least(40, abs(x) / 4) + CASE WHEN r2 >= 0.5 THEN 8 ELSE 0 END, 3) AS score FROM e WHERE abs(x) >= 10
+UNION ALL SELECT 'change_o_totalprice_' || d, 'change', CASE WHEN x > 0 THEN 'info' ELSE 'critical' END, round(60 + least(25, 4 * r) + CASE WHEN x > 0 THEN 0 ELSE 6 END, 3) FROM ch
+UNION ALL SELECT 'outlier_o_totalprice', 'outlier', CASE WHEN 100.0 * n / rows >= 5 THEN 'warning' ELSE 'info' END, round(45 + least(25, 300.0 * n / rows), 3) FROM ou WHERE n > 0
+UNION ALL SELECT 'perf_top_c_mktsegment', 'performance', 'positive', round(58 + least(20, 40 * best / total), 3) FROM t
+UNION ALL SELECT 'perf_bottom_c_mktsegment', 'performance', 'warning', round(56 + least(18, 20 * (total / k - least) / (total / k)), 3) FROM t WHERE least < total / k / 2
+UNION ALL SELECT 'risk_concentration_c_mktsegment', 'risk', CASE WHEN 100 * best / total >= 60 THEN 'critical' ELSE 'warning' END, round(66 + least(20, (100 * best / total - 40) / 2), 3) FROM t WHERE 100 * best / total >= 40
+UNION ALL SELECT 'opp_growth_c_mktsegment', 'opportunity', 'positive', round(60 + least(20, max(x) / 5), 3) FROM gr HAVING count(*) >= 2 AND max(x) >= 15
+UNION ALL SELECT 'opp_yield_c_mktsegment', 'opportunity', 'info', 54.0 FROM y WHERE lo < 0.6 * hi""")
 def insight_findings(spark, sf_dir):
     from siltstone.operators import insights
 
     df = q.with_rows(_sales(spark, sf_dir).select("o_orderkey", "o_orderdate", "o_totalprice", "c_mktsegment", "o_orderpriority"), "o_orderkey")
     p = prof.profile(df)
     found = insights.analyze(insights.Context(df, p, kpi.read(p, df)))
-    return spark.createDataFrame([(f.id, f.kind, f.severity, float(f.score), f.text) for f in found], "id string, kind string, severity string, score double, text string")
+    return spark.createDataFrame([(f.id, f.kind, f.severity, round(float(f.score), 3)) for f in found], "id string, kind string, severity string, score double")
 
 
 @registered("SELECT count(*) AS n, sum(o_totalprice::DECIMAL(18,2))::DOUBLE AS total FROM orders")

@@ -5,6 +5,7 @@ from siltstone.operators import aggregates as agg
 from siltstone.operators import charts, clean, insights, issues, joins, kpi, missing, outliers, periods
 from siltstone.operators import profile as prof
 from siltstone.operators import query as q
+from siltstone.operators import pivot as pivot_module
 from siltstone.operators.pivot import OTHER, Pivot, drill, matched_rows, pivot
 from siltstone.plans import recipe, report, workflow
 from siltstone.sources import sample
@@ -234,3 +235,65 @@ def test_search_answers_and_sample(spark):
     p = prof.profile(df)
     assert p.rows == 52 and p.duplicates == 1 and p.blank_rows and "52 rows" in workflow.answer(p, "How many rows?")
     assert "monthly_charge is a number" in workflow.answer(p, "tell me about monthly_charge") and "repeat" in workflow.answer(p, "any duplicates?")
+
+
+def test_index_columns_by_several_tasks(spark):
+    """Numbers in row order count as an index whatever the partitions; shuffled, repeated or broken ones do not."""
+    for parts in (1, 2, 4, 7):
+        df = spark.range(0, 1000, 1, parts).select("id", (F.col("id") + 1).alias("from_one"), F.floor(F.col("id") / 2).alias("twice"), ((F.col("id") * 7) % 1000).alias("mixed"), F.when(F.col("id") != 5, F.col("id")).alias("gap"))
+        p = prof.profile(q.with_rows(df))
+        assert {c.name for c in p.columns if c.is_index} == {"id", "from_one"}, parts  # a null leaves a gap in the numbers
+
+
+def test_top_values_of_a_column_of_many(spark):
+    rows = [(f"v{i % 40}" if i % 3 else " often ", "x" * 3000 + str(i)) for i in range(600)]
+    p = prof.profile(q.with_rows(spark.createDataFrame(rows, "a string, long string").repartition(4)))
+    assert p["a"].unique == 41 and p["a"].top[0] == ("often", 200) and len(p["a"].top) == 5 and len(p["long"].top) == 5
+    assert prof.profile(q.with_rows(spark.createDataFrame([], "a string"))).rows == 0
+
+
+def test_a_real_other_beside_the_tail(spark):
+    df = frame(spark, [(OTHER, "5"), (OTHER, "5"), ("a", "1"), ("b", "2")], "k string, v string")
+    spec = Pivot(("k",), (), (("v", "sum"),), limit=1)
+    got = {(r["is_other"], r["v0"]) for r in pivot(df, spec).filter("row_path is not null and col_path is null").collect()}
+    assert got == {(False, 10.0), (True, 3.0)}
+    assert drill(df, spec, [OTHER]).count() == 2 and drill(df, spec, [OTHER], is_other=False).filter("v = '5'").count() == 2
+
+
+def test_pivot_grid_and_csv(spark):
+    df = frame(spark, [*PIVOT, ("Lagos, NG", "Q1", "5")], "region string, quarter string, revenue string")
+    spec = Pivot(("region",), ("quarter",), (("revenue", "sum"),))
+    lines = pivot_module.matrix(pivot(df, spec), spec)
+    assert len({len(x) for x in lines}) == 1 and lines[0][0] == "quarter" and lines[-1][0] == "Total" and lines[-1][-1] == 530
+    assert '"Lagos, NG",5,,5' in pivot_module.to_csv(lines)
+    two = Pivot(("region",), (), (("revenue", "sum"), (None, "count")))
+    text = pivot_module.to_csv(pivot_module.matrix(pivot(df, two), two))
+    assert "Sum of revenue" in text and "Count of rows" in text
+    assert pivot_module.header_runs([("a", "x"), ("a", "y"), ("b", "x")], 0) == [("a", 2), ("b", 1)]
+
+
+def test_differences_of_operations(spark):
+    df = frame(spark, [("  Ada  ", "Kano", 10), ("Bob", "kano", 20), ("Bob", "kano", 20), ("Cleo", "Jos", 30)], "name string, city string, amount int")
+    d = clean.difference(df, ("trimWhitespace",))
+    assert (d.changed_cells, d.affected, d.removed_rows) == (1, ["name"], 0) and d.detail.collect()[0]["before"] == "  Ada  "
+    d = clean.difference(df, ("dropDuplicates",))
+    assert d.removed_rows == 1 and d.changed_cells == 0 and d.after.count() == 3
+    d = clean.difference(df, ("dropColumn", "city"))
+    assert d.removed == ["city"] and d.added == [] and d.changed_cells == 0
+    d = clean.difference(frame(spark, [("  x  ",)] * 200, "a string"), ("trimWhitespace",), 10)
+    assert d.changed_cells == 200 and d.detail.count() == 10
+
+
+def test_rows_that_repeat_often_keep_the_first(spark):
+    df = q.with_rows(spark.range(0, 3000, 1, 6).select(F.when(F.col("id") % 3 == 0, F.lit("hot")).otherwise(F.concat(F.lit("v"), F.col("id"))).alias("a b"), F.lit(None).cast("string").alias("n")))
+    out = clean.apply(df, ("dropDuplicates",))
+    assert out.columns == df.columns and out.count() == 2001 and out.filter("`a b` = 'hot'").first()[q.ROW] == df.agg(F.min(q.ROW)).first()[0]
+
+
+def test_unknown_columns_and_envelope(spark):
+    df = frame(spark, [("a", 1)], "Name string, n int")
+    assert q.unknown_columns(df, ["Name", "name"]) == ["name"]
+    with pytest.raises(ValueError):
+        q.known(df, "name")
+    bad = q.ask(spark, "SELECT gone FROM t_envelope", t_envelope=df)
+    assert bad.df is None and "gone" in bad.error and bad.ms >= 0.1

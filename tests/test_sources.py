@@ -43,3 +43,34 @@ def test_a_stream_gives_what_the_table_gives(spark, tmp_path):
     windows.write(windows.tumbling(stream), str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination(120)
     done = [tuple(r) for r in spark.read.parquet(str(tmp_path / "out")).orderBy("start").collect()]
     assert done == [tuple(r) for r in windows.tumbling(df).filter("start < '2024-02-01'").orderBy("start").collect()] and len(done) == 4
+
+
+def test_columns_that_begin_like_made_up_names(spark, tmp_path):
+    (tmp_path / "c.csv").write_text("id,_cost,_city,,_c9\n1,2,x,gone,y\n")
+    df = files.load(spark, str(tmp_path / "c.csv"))
+    assert df.columns == ["id", "_cost", "_city", "_c9"] and tuple(df.first()) == ("1", "2", "x", "y")
+    assert files.dataset_name("/a/b.xlsx", "S 1") == "b.xlsx (S 1)"
+
+
+def test_tables_are_read_from_texts():
+    read = text_tables.read_text
+    aligned = "Product      Quantity    Revenue\nProduct A          20     50,000\nProduct B          15     38,000"
+    page = f"QUARTERLY SALES REPORT\nPrepared by finance.\n\n{aligned}\n\nAll figures are subject to audit."
+    (t,), rest = read(page)
+    assert (t["columns"], t["types"], t["has_header"]) == (["Product", "Quantity", "Revenue"], ["text", "number", "number"], True) and len(t["rows"]) == 2
+    assert "SALES REPORT" in rest and "audit" in rest and "Product A" not in rest and 0 < t["start_line"] < t["end_line"]
+    bars = "Product   | Quantity | Revenue\nProduct A |       20 |  50,000\nProduct B |          |  38,000\nProduct C |       42 | 112,500"
+    assert read(bars)[0][0]["rows"][1] == ["Product B", None, "38000"]
+    assert read("| P | Q |\n| --- | --: |\n| a | 1 |\n| b | 2 |")[0][0]["rows"] == [["a", "1"], ["b", "2"]]
+    assert read("Ada      99\nGrace    97\nAlan     95")[0][0]["columns"] == ["column_1", "column_2"]
+    names = read("Name  Name  Name\na     b     c\nd     e     f")[0][0]["columns"]
+    assert len(set(names)) == 3
+    assert all(c.strip() for c in read("Product |  | Revenue\nA       | x | 10\nB       | y | 20")[0][0]["columns"])
+    again = read(aligned + "\nProduct      Quantity    Revenue\nProduct C          42    112,500")[0][0]
+    assert again["repeated_headers"] == 1 and len(again["rows"]) == 3
+    ragged = read("A    B    C\n1    2    3\n4    5\n6    7    8\n9    10   11")[0][0]
+    assert 0.5 < ragged["confidence"] < t["confidence"] and t["confidence"] > 0.7
+    assert read("A  B  C\n1  2\n3  4  5  6\n7\n8  9  10  11  12")[0] == [] and read("Title  Here\nSub    Line")[0] == []
+    assert read(None) == ([], "") and read("Some text.\nMore text.")[0] == []
+    assert len(read("R    V\nE    5\nA    3\n\nNext:\n\nT    P\nS    1\nU    8")[0]) == 2
+    assert [text_tables.cell_number(x) for x in ("1,200", "(5)", "2026-01-15", "15/01/2026", "Room 4")] == [1200, -5, None, None, None]
