@@ -362,7 +362,7 @@ def pivot_drill(spark, sf_dir):
 
 
 @registered(f"""WITH {_FENCES} SELECT count(*) AS n, count(DISTINCT value) AS uniq, count(*) FILTER (value < lo OR value > hi) AS outliers, round(min(value), 2) AS low, round(max(value), 2) AS high, round(avg(value), 2) AS mean, round(stddev_samp(value), 2) AS sd,
-round(quantile_cont(value, 0.25), 2) AS p25, round(quantile_cont(value, 0.5), 2) AS p50, round(quantile_cont(value, 0.75), 2) AS p75 FROM events, l""")
+printf('%.2f', quantile_cont(value, 0.25))::DOUBLE AS p25, printf('%.2f', quantile_cont(value, 0.5))::DOUBLE AS p50, printf('%.2f', quantile_cont(value, 0.75))::DOUBLE AS p75 FROM events, l""")
 def profile_numeric(spark, sf_dir):
     p, _ = _table_profile(spark, sf_dir, "events", "event_id")
     x = p["value"]
