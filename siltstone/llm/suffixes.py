@@ -7,19 +7,22 @@ suffixes that can have a partner are found first, exactly:
 1. Each window of ``LENGTH`` bytes has an anchor, the least hash of its
    ``K``-byte substrings. Equal windows have equal anchors. Neighbouring windows of
    one anchor form a run, which is one row. Anchors that occur once are counted
-   out; runs with equal bytes (128 bits of hash) are repeated throughout.
-2. What is left are runs whose anchor also has runs with other bytes. Their bytes
-   are fetched once and grouped by anchor, and the suffixes at each distance from
-   the anchor are sorted: multikey quicksort, 8 bytes a character, to a shallow
-   depth, then a blind trie for each group that still has a long common prefix.
-3. Anchors with very many different runs never go to one task: there each window
-   is a row, and windows are counted by 128 bits of hash with partial sums.
+   out; runs of equal bytes (128 bits of hash) are one kind, whose count is its weight.
+2. The bytes of one run of each kind are fetched once and grouped by anchor, and the
+   suffixes at each distance from the anchor are sorted: multikey quicksort, 8 bytes
+   a character, to a shallow depth, then a blind trie for each group that still has a
+   long common prefix. A suffix is repeated if those equal to it weigh more than one.
+3. Groups of very many kinds are split first, so that none goes to one task: their
+   runs are cut into pieces of ``WIDTHS`` distances, and a piece goes to the group of
+   the bytes that all windows of its distances share. Equal pieces become one kind
+   again. The last width is one window, whose group holds only windows equal to it.
+4. What the sort found for a kind holds for all of its runs.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -33,8 +36,10 @@ LENGTH = 200
 K = 64
 #: Bytes to which the multikey quicksort goes.
 SHALLOW = 32
-#: Anchors with more different runs than this (about 6 MB of bytes) are split by the windows' hashes.
-CROWDED = 20_000
+#: Groups of more kinds than this (about 300 kB of bytes) are split by further bytes.
+CROWDED = 1000
+#: Distances from the anchor that a piece of a split run covers, one split after another.
+WIDTHS = (48, 8, 1)
 #: Bytes that are hashed at a time; a longer text is cut into overlapping parts.
 _BLOCK = 1 << 20
 
@@ -82,7 +87,7 @@ def anchors(data: np.ndarray, length: int, k: int) -> tuple[np.ndarray, np.ndarr
     return place, hashes[place]
 
 
-def runs(texts: list[bytes], length: int = LENGTH, k: int = K) -> Iterator[tuple[np.ndarray, ...]]:
+def runs(texts: Iterable[bytes], length: int = LENGTH, k: int = K) -> Iterator[tuple[np.ndarray, ...]]:
     """Runs of windows with one anchor: arrays of text number, first start, count of starts, anchor's distance from the first, anchor hash, hash of the run's bytes."""
     block: list[tuple[int, int, bytes]] = []
     filled = 0
@@ -217,7 +222,7 @@ def repeated_suffixes(data: bytes, at: np.ndarray, cell: np.ndarray, length: int
     return flags
 
 
-# A run's place in its text, as one number: first start, count of starts, anchor's distance.
+# A run's place in its text, or a piece's in its run, as one number: first start, count of starts, anchor's distance.
 def _pack(start: np.ndarray, count: np.ndarray, anchor: np.ndarray) -> np.ndarray:
     return (start.astype(np.int64) << 20) | (count.astype(np.int64) << 10) | anchor.astype(np.int64)
 
@@ -232,9 +237,9 @@ def _batch(columns: list, schema: pa.Schema) -> pa.RecordBatch:
 
 _COUNTS = pa.schema([("m", pa.int64()), ("c", pa.int64())])
 _RUNS = pa.schema([("doc_id", pa.int64()), ("th", pa.int64()), ("place", pa.int64()), ("m", pa.int64()), ("w", pa.int64())])
-_BYTES = pa.schema([("m", pa.int64()), ("c", pa.int64()), ("d", pa.int64()), ("doc_id", pa.int64()), ("th", pa.int64()), ("place", pa.int64()), ("part", pa.binary())])
-_SPANS = pa.schema([("doc_id", pa.int64()), ("th", pa.int64()), ("start", pa.int64()), ("n", pa.int64())])
-_WINDOWS = pa.schema([("h1", pa.int64()), ("h2", pa.int64()), ("c", pa.int64()), ("doc_id", pa.int64()), ("th", pa.int64()), ("start", pa.int64())])
+_KINDS = pa.schema([("m", pa.int64()), ("w", pa.int64()), ("c", pa.int64()), ("crowd", pa.int64()), ("place", pa.int64()), ("part", pa.binary())])
+_PIECES = pa.schema([("m", pa.int64()), ("w", pa.int64()), ("c", pa.int64()), ("m1", pa.int64()), ("w1", pa.int64()), ("place", pa.int64()), ("part", pa.binary())])
+_HITS = pa.schema([("m", pa.int64()), ("w", pa.int64()), ("step", pa.int64()), ("n", pa.int64())])
 _RESULT = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string())])
 
 
@@ -243,10 +248,15 @@ def _ddl(schema: pa.Schema) -> str:
     return ", ".join(f"{f.name} {kinds[f.type]}" for f in schema)
 
 
+def _each(column: pa.Array) -> Iterator:
+    """The values one at a time, so that a batch's texts are not held twice."""
+    return (x.as_py() for x in column)
+
+
 def _count_anchors(length: int, k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for _, _, _, _, m, _ in runs(batch.column("text").to_pylist(), length, k):
+            for _, _, _, _, m, _ in runs(_each(batch.column("text")), length, k):
                 yield _batch(list(np.unique(m, return_counts=True)), _COUNTS)
 
     return run
@@ -256,22 +266,66 @@ def _list_runs(length: int, k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, hashes = batch.column("doc_id"), batch.column("th")
-            for number, start, count, anchor, m, w in runs(batch.column("text").to_pylist(), length, k):
+            for number, start, count, anchor, m, w in runs(_each(batch.column("text")), length, k):
                 at = pa.array(number)
                 yield pa.RecordBatch.from_arrays([ids.take(at), hashes.take(at), pa.array(_pack(start, count, anchor)), pa.array(m), pa.array(w)], schema=_RUNS)
 
     return run
 
 
+#: Bytes of a batch that is handed back.
+_FULL = 4 << 20
+
+
 def _cut_bytes(length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out: list[tuple] = []
+        size = 0
         for batch in batches:
-            out: list[tuple] = []
-            for d, h, text, wanted in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "th", "text", "wanted")), strict=True):
+            for text, wanted in zip(_each(batch.column("text")), _each(batch.column("wanted")), strict=True):
                 for x in wanted:
-                    start, count = x["place"] >> 20, (x["place"] >> 10) & 1023
-                    out.append((x["m"], x["c"], x["d"], d, h, x["place"], text[start : start + count + length - 1]))
-            yield _batch(list(zip(*out, strict=True)) or [[]] * len(_BYTES), _BYTES)
+                    start, count, anchor = _unpack(x["place"])
+                    part = text[start : start + count + length - 1]
+                    out.append((x["m"], x["w"], x["c"], x["crowd"], (count << 10) | anchor, part))
+                    size += len(part)
+                    if size > _FULL:
+                        yield _batch(list(zip(*out, strict=True)), _KINDS)
+                        out, size = [], 0
+        if out:
+            yield _batch(list(zip(*out, strict=True)), _KINDS)
+
+    return run
+
+
+def _signed(data: bytes) -> int:
+    return int.from_bytes(data, "big", signed=True)
+
+
+def _split(length: int, width: int):
+    """Cuts runs into pieces of ``width`` distances: (m, w) stays the run's kind, (m1, w1) is the piece's group and kind."""
+    width = min(width, length)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out: list[tuple] = []
+        size = 0
+        for batch in batches:
+            for m, w, c, place, part in zip(*(_each(batch.column(x)) for x in ("m", "w", "c", "place", "part")), strict=True):
+                _, count, anchor = _unpack(place)
+                last = anchor - count + 1  # the last window's distance
+                for low in range(last // width * width, anchor + 1, width):  # distances low to low + width - 1
+                    high = min(anchor, low + width - 1)
+                    step, n = anchor - high, high - max(low, last) + 1
+                    piece = part[step : step + n + length - 1]
+                    shared = part[anchor - low : anchor - low + length - width + 1]
+                    group = xxhash.xxh3_64_digest(b"%d %d " % (m, low) + shared)
+                    kind = xxhash.xxh3_64_digest(b"%d %d " % (high, n) + piece)
+                    out.append((m, w, c, _signed(group), _signed(kind), (step << 20) | (n << 10) | high, piece))
+                    size += len(piece)
+                if size > _FULL:
+                    yield _batch(list(zip(*out, strict=True)), _PIECES)
+                    out, size = [], 0
+        if out:
+            yield _batch(list(zip(*out, strict=True)), _PIECES)
 
     return run
 
@@ -305,37 +359,19 @@ def _sort_suffixes(length: int, shallow: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in _whole_groups(batches, 4000):
             parts = table.column("part").to_pylist()
-            start, count, anchor = _unpack(table.column("place").to_numpy())
+            _, count, anchor = _unpack(table.column("place").to_numpy())
             data = b"".join(parts)
             base = np.cumsum([0, *map(len, parts)])[:-1]
             owner = np.repeat(np.arange(len(parts)), count)
             step = np.arange(len(owner)) - np.repeat(np.cumsum(count) - count, count)
             _, group = np.unique(table.column("m").to_numpy(), return_inverse=True)
             hit = repeated_suffixes(data, base[owner] + step, group[owner] * 1024 + (anchor[owner] - step), length, shallow)
-            hit &= (table.column("c").to_numpy() == 1)[owner]
+            hit |= (table.column("c").to_numpy() > 1)[owner]  # equal to none here, but of a kind that weighs more than one
             if hit.any():
                 first = np.flatnonzero(hit & ~(np.append(False, hit[:-1]) & (step > 0)))
                 ends = np.flatnonzero(hit & ~(np.append(hit[1:], False) & (np.append(step[1:], 0) > 0)))
                 at = pa.array(owner[first])
-                yield pa.RecordBatch.from_arrays([table.column("doc_id").combine_chunks().take(at), table.column("th").combine_chunks().take(at), pa.array(start[owner[first]] + step[first]), pa.array(ends - first + 1)], schema=_SPANS)
-
-    return run
-
-
-def _hash_windows(length: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out: list[tuple] = []
-            for c, d, h, place, part in zip(*(batch.column(x).to_pylist() for x in ("c", "doc_id", "th", "place", "part")), strict=True):
-                view, start = memoryview(part), place >> 20
-                for i in range(len(part) - length + 1):
-                    digest = xxhash.xxh3_128_digest(view[i : i + length])
-                    out.append((int.from_bytes(digest[:8], "big", signed=True), int.from_bytes(digest[8:], "big", signed=True), c, d, h, start + i))
-                if len(out) > 50_000:
-                    yield _batch(list(zip(*out, strict=True)), _WINDOWS)
-                    out = []
-            if out:
-                yield _batch(list(zip(*out, strict=True)), _WINDOWS)
+                yield pa.RecordBatch.from_arrays([table.column("m").combine_chunks().take(at), table.column("w").combine_chunks().take(at), pa.array(step[first]), pa.array(ends - first + 1)], schema=_HITS)
 
     return run
 
@@ -372,6 +408,31 @@ def _digest(length: int):
     return run
 
 
+def _crowds(kinds: DataFrame, crowded: int) -> DataFrame:
+    """Groups (m) of more than ``crowded`` kinds, as a table whose size Spark knows."""
+    return store(kinds.groupBy("m").agg(F.count("*").alias("d")).filter(F.col("d") > crowded).select("m", F.lit(1).cast("long").alias("crowd")), "crowds")
+
+
+def _with_crowds(kinds: DataFrame, crowds: DataFrame) -> DataFrame:
+    return kinds.join(crowds, "m", "left").withColumn("crowd", F.coalesce("crowd", F.lit(0).cast("long")))
+
+
+def _repeated(kinds: DataFrame, some_crowded: bool, length: int, crowded: int, widths: tuple[int, ...]) -> DataFrame:
+    """m, w, step, n: the repeated windows of each kind, as ``n`` windows from its ``step``-th."""
+    few = kinds.filter("crowd = 0") if widths else kinds
+    out = few.repartition("m").sortWithinPartitions("m").mapInArrow(_sort_suffixes(length, SHALLOW), _ddl(_HITS))
+    if not widths or not some_crowded:
+        return out
+    pieces = store(kinds.filter("crowd = 1").mapInArrow(_split(length, widths[0]), _ddl(_PIECES)), "pieces")
+    alike = pieces.groupBy(F.col("m1").alias("m"), F.col("w1").alias("w")).agg(F.sum("c").alias("c"), F.any_value(F.struct(F.col("place").bitwiseAND(F.lit((1 << 20) - 1)).alias("place"), "part")).alias("one"))
+    alike = store(alike.select("m", "w", "c", "one.*"), "kinds")
+    crowds = _crowds(alike, crowded)
+    split = _with_crowds(alike, crowds).select(*_KINDS.names)
+    found = store(_repeated(split, not crowds.isEmpty(), length, crowded, widths[1:]), "found").withColumnsRenamed({"m": "m1", "w": "w1"})
+    at = F.shiftright("place", 20)
+    return out.unionByName(pieces.select("m", "w", "m1", "w1", at.alias("at")).join(found, ["m1", "w1"]).select("m", "w", (F.col("at") + F.col("step")).alias("step"), "n"))
+
+
 def repeated_spans(docs: DataFrame, length: int = LENGTH, k: int = K, crowded: int = CROWDED) -> DataFrame:
     """Starts of repeated windows: doc_id, th, start, n (so many starts in a row from ``start``).
 
@@ -379,22 +440,15 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, k: int = K, crowded: i
     """
     seen = docs.select("text").mapInArrow(_count_anchors(length, k), _ddl(_COUNTS)).groupBy("m").agg(F.sum("c").alias("c")).filter("c > 1").select("m")
     seen = cut(seen)  # so that both sides of the join are plain shuffles, of which Spark can split a skewed one
-    found = store(docs.mapInArrow(_list_runs(length, k), _ddl(_RUNS)).join(seen, "m", "left_semi"), "runs")
-    kinds = cut(found.groupBy("m", "w").agg(F.count("*").alias("c"), F.min(F.struct("doc_id", "th", "place")).alias("one")))
-    start, count = F.shiftright("place", 20), F.shiftright("place", 10).bitwiseAND(F.lit(1023))
-    whole = found.join(kinds.filter("c > 1").select("m", "w"), ["m", "w"], "left_semi").select("doc_id", "th", start.alias("start"), count.cast("long").alias("n"))
-    several = kinds.groupBy("m").agg(F.count("*").alias("d")).filter("d > 1")
-    contested = kinds.join(several, "m").select("m", "c", "d", "one.*")
-    wanted = contested.groupBy("doc_id", "th").agg(F.collect_list(F.struct("m", "c", "d", "place")).alias("wanted"))
+    runs_ = store(docs.mapInArrow(_list_runs(length, k), _ddl(_RUNS)).join(seen, "m", "left_semi"), "runs")
+    kinds = store(runs_.groupBy("m", "w").agg(F.count("*").alias("c"), F.min(F.struct("doc_id", "th", "place")).alias("one")).select("m", "w", "c", "one.*"), "kinds")
+    crowds = _crowds(kinds, crowded)
+    wanted = _with_crowds(kinds, crowds).groupBy("doc_id", "th").agg(F.collect_list(F.struct("m", "w", "c", "crowd", "place")).alias("wanted"))
     wanted = wanted.withColumnsRenamed({"doc_id": "__d", "th": "__h"})
-    both = docs.join(wanted, docs["doc_id"].eqNullSafe(F.col("__d")) & (docs["th"] == F.col("__h"))).select("doc_id", "th", "text", "wanted")
-    parts = store(both.mapInArrow(_cut_bytes(length), _ddl(_BYTES)), "parts")
-    few = parts.filter(F.col("d") <= crowded).repartition("m").sortWithinPartitions("m")
-    sorted_ = few.mapInArrow(_sort_suffixes(length, SHALLOW), _ddl(_SPANS))
-    windows = parts.filter(F.col("d") > crowded).mapInArrow(_hash_windows(length), _ddl(_WINDOWS))
-    often = windows.groupBy("h1", "h2").agg(F.sum("c").alias("times")).filter("times > 1").select("h1", "h2")
-    hashed = windows.filter("c = 1").join(often, ["h1", "h2"], "left_semi").select("doc_id", "th", "start", F.lit(1).cast("long").alias("n"))
-    return whole.unionByName(sorted_).unionByName(hashed)
+    both = docs.join(wanted, docs["doc_id"].eqNullSafe(F.col("__d")) & (docs["th"] == F.col("__h"))).select("text", "wanted")
+    parts = store(both.mapInArrow(_cut_bytes(length), _ddl(_KINDS)), "parts")
+    found = store(_repeated(parts, not crowds.isEmpty(), length, crowded, WIDTHS), "found")
+    return runs_.join(found, ["m", "w"]).select("doc_id", "th", (F.shiftright("place", 20) + F.col("step")).alias("start"), "n")
 
 
 def remove_repeats(df: DataFrame, doc_id: str = "doc_id", text: str = "text", length: int = LENGTH, k: int = K, crowded: int = CROWDED) -> DataFrame:

@@ -97,7 +97,7 @@ def brute_removed(rows, length):
     return Counter(out)
 
 
-@pytest.mark.parametrize(("length", "k", "crowded"), [(200, 64, 2000), (40, 16, 2000), (40, 16, 1)])
+@pytest.mark.parametrize(("length", "k", "crowded"), [(200, 64, 2000), (40, 16, 2000), (200, 64, 1), (40, 16, 1)])
 def test_repeats_are_removed_exactly(docs, length, k, crowded):
     got = suffixes.remove_repeats(docs, length=length, k=k, crowded=crowded).collect()
     assert Counter(map(tuple, got)) == brute_removed(sample_docs(), length)
