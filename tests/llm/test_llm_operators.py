@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -299,6 +300,48 @@ def test_license_regions(spark, none):
     assert licenses.scan_licenses(none).count() == 0
 
 
+def test_each_notice_is_found_and_families_are_told_apart():
+    scan = licenses.Scanner(licenses.TEMPLATES).scan
+    names = lambda text: [x[0] for x in scan(text)]
+    for name, template in licenses.TEMPLATES.items():
+        assert names("first words " + template + " and last words") == [name], name
+    r = random.Random(12)
+    every = list(licenses.TEMPLATES.items())
+    r.shuffle(every)
+    text = " ".join(sentence(r, r.randint(0, 40)) + " " + template for _, template in every * 2)
+    assert names(text) == [name for name, _ in every * 2]
+    assert [x[2:4] for x in scan(text)] == [(len(licenses.words_of(template)), 1.0) for _, template in every * 2]
+    assert names("Released under the Zlib License. Licensed under the Apache License, Version 1.1.") == []
+    assert names("Released under the MIT License.\nReleased under the MIT License.") == ["MIT", "MIT"]
+
+
+def test_regions_are_bounded_in_texts_full_of_triggers():
+    scanner = licenses.Scanner(licenses.TEMPLATES)
+    r = random.Random(13)
+    words = sorted(set().union(*scanner.triggers))
+    begun = time.monotonic()
+    assert scanner.scan("license " * 300_000) == []
+    scanner.scan(" ".join(r.choice(words) for _ in range(20_000)))
+    assert time.monotonic() - begun < 60
+
+
+def test_counting_words_loses_no_notice():
+    scanner = licenses.Scanner({"one": "red green blue red one", "two": "green blue blue two white grey", "three": "a b c d e f g h"}, 0.6)
+    r = random.Random(14)
+    for _ in range(300):
+        words = [r.choice("red green blue one two white grey a b c d e f g h".split()) for _ in range(r.randint(0, 60))]
+        for k, (_, template) in enumerate(scanner.templates):
+            reach, done, want = licenses.REACH * len(template), 0, []
+            for i, w in enumerate(words):
+                if i >= done and w in scanner.triggers[k]:
+                    near = scanner.covered(k, words, max(done, i - len(template)), i + len(template) + 1)
+                    if places := near or scanner.covered(k, words, max(done, i - reach), i + reach + 1):
+                        places = scanner.settled(k, words, places, done)
+                        want.append(places)
+                        done = places[-1] + 1
+            assert list(scanner.notices(k, words)) == want
+
+
 def test_alignment_is_common_and_finds_unique_anchors():
     r = random.Random(9)
     for _ in range(200):
