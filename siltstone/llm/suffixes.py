@@ -36,8 +36,8 @@ LENGTH = 200
 K = 64
 #: Bytes to which the multikey quicksort goes.
 SHALLOW = 32
-#: Groups of more kinds than this (about 300 kB of bytes) are split by further bytes.
-CROWDED = 1000
+#: Groups of more kinds than this (about 70 kB of bytes) are split by further bytes.
+CROWDED = 250
 #: Distances from the anchor that a piece of a split run covers, one split after another.
 WIDTHS = (48, 8, 1)
 #: Bytes that are hashed at a time; a longer text is cut into overlapping parts.
