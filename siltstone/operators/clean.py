@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from siltstone.functions import cells
 from siltstone.functions.names import quoted
 from siltstone.operators.profile import data_columns
+from siltstone.operators.quantiles import exact
 from siltstone.operators.query import ROW, col, pinned
 
 SPLIT_PARTS = 12
@@ -32,7 +33,7 @@ def _with(df: DataFrame, changes: dict[str, Column]) -> DataFrame:
 def fences(df: DataFrame, column: str) -> tuple[float, float] | None:
     """1.5 quartile ranges beyond the quartiles; none for under four numbers."""
     n = cells.as_number(col(column), dict(df.dtypes)[column])
-    q, count = df.agg(F.percentile(n, F.array(F.lit(0.25), F.lit(0.75))), F.count(n)).first()
+    q, count = exact(df, {column: n}, [0.25, 0.75])[column]
     if count < 4:
         return None
     return q[0] - 1.5 * (q[1] - q[0]), q[1] + 1.5 * (q[1] - q[0])
@@ -84,9 +85,10 @@ def _split_column(df: DataFrame, column: str, delimiter: str, keep: bool = False
 def _fill_missing(df: DataFrame, column: str, how: str) -> DataFrame:
     kind = dict(df.dtypes)[column]
     if how == "median":
-        value = df.agg(F.percentile(cells.as_number(col(column), kind), 0.5)).first()[0]
-        if value is None:
+        middle, _ = exact(df, {column: cells.as_number(col(column), kind)}, [0.5])[column]
+        if not middle:
             return df
+        value = middle[0]
         number = f"{value:.0f}" if value == int(value) else repr(value)
         fill = F.lit(number) if kind == "string" else F.lit(value).cast(kind)
     else:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from siltstone.functions import cells
 from siltstone.operators.aggregates import numeric
+from siltstone.operators.quantiles import exact
 from siltstone.operators.query import ROW, col
 
 MOST = 50
@@ -17,7 +18,7 @@ SEGMENT_ROWS = 5
 def limits(df: DataFrame, name: str) -> tuple[float, float, float] | None:
     """Lower and upper fence and quartile range; none for under 8 numbers or no spread."""
     n = numeric(df, name)
-    q, count = df.agg(F.percentile(n, F.array(F.lit(0.25), F.lit(0.75))), F.count(n)).first()
+    q, count = exact(df, {name: n}, [0.25, 0.75])[name]
     if count < LEAST_ROWS or q[1] <= q[0]:
         return None
     iqr = q[1] - q[0]

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from siltstone.functions import cells, names
 from siltstone.functions.stats import nearest, round2
+from siltstone.operators.quantiles import exact
 from siltstone.operators.query import ROW, col
 
 SHARE = 0.9
@@ -290,15 +291,16 @@ def _numbers(df: DataFrame, types: dict[str, str], columns: list[ColumnProfile],
     if not nums:
         return
     n = {p.name: cells.as_number(col(p.name), types[p.name]) for p in nums}
-    aggs = [F.struct(F.min(x), F.max(x), F.avg(x), F.stddev_samp(x), F.percentile(x, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))), F.count(x)) for x in n.values()]
+    aggs = [F.struct(F.min(x), F.max(x), F.avg(x), F.stddev_samp(x), F.count(x)) for x in n.values()]
     got = df.agg(*(a.alias(str(i)) for i, a in enumerate(aggs))).first()
+    quartiles = exact(df, n, [0.25, 0.5, 0.75], {p.name: got[i][4] for i, p in enumerate(nums)})
     outside = []
     raw: dict[str, tuple[float, float]] = {}
     for i, p in enumerate(nums):
-        low, high, mean, std, quarters, count = got[i]
+        low, high, mean, std, count = got[i]
         if not count:
             continue
-        a, m, b = quarters
+        a, m, b = quartiles[p.name][0]
         p.min, p.max, p.mean, p.median, p.p25, p.p75, p.std = map(round2, (low, high, mean, m, a, b, std or 0.0))
         raw[p.name] = (a - 1.5 * (b - a), b + 1.5 * (b - a))
         if count >= 4:

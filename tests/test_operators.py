@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 from siltstone.operators import aggregates as agg
 from siltstone.operators import charts, clean, insights, issues, joins, kpi, missing, outliers, periods
 from siltstone.operators import profile as prof
+from siltstone.operators import quantiles
 from siltstone.operators import query as q
 from siltstone.operators import pivot as pivot_module
 from siltstone.operators.pivot import OTHER, Pivot, drill, matched_rows, pivot
@@ -297,3 +298,24 @@ def test_unknown_columns_and_envelope(spark):
         q.known(df, "name")
     bad = q.ask(spark, "SELECT gone FROM t_envelope", t_envelope=df)
     assert bad.df is None and "gone" in bad.error and bad.ms >= 0.1
+
+
+def test_quantiles_in_bounded_memory_are_exact(spark):
+    df = spark.range(0, 4000, 1, 5)
+    h = F.abs(F.xxhash64("id"))
+    values = {
+        "spread": (h % 1_000_003).cast("double") / 7,
+        "ties": F.when(F.col("id") % 3 != 0, F.lit(1.5)).otherwise(h % 900),
+        "heavy ends": F.when(F.col("id") < 2000, F.lit(-1e300)).when(F.col("id") < 3000, F.lit(1e300)).otherwise(h % 77777),
+        "two": (F.col("id") % 2).cast("double"),
+        "skewed": F.exp((h % 1000) / 50) * F.when(h % 2 == 0, -1).otherwise(1),
+        "holes": F.when(F.col("id") % 5 == 0, h % 5000),
+        "none": F.lit(None).cast("double"),
+        "one": F.when(F.col("id") == 7, 3.5),
+    }
+    fractions = [0.0, 0.25, 0.5, 0.75, 0.999, 1.0]
+    want = df.agg(*(F.percentile(v, F.array(*map(F.lit, fractions))).alias(k) for k, v in values.items()), *(F.count(v).alias(f"n {k}") for k, v in values.items())).first()
+    for most, accuracy in ((10, 50), (100, 1000), (10**6, 10_000)):
+        found = quantiles.exact(df, values, fractions, most=most, accuracy=accuracy)
+        for k in values:
+            assert found[k][0] == pytest.approx(want[k] or []) and found[k][1] == want[f"n {k}"], (k, most)
