@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltstone.llm import chat, decontaminate, divergence, html, licenses, linededup, neardup, packing, periodic, quality, sharding, suffixes
+from siltstone.llm import chat, decontaminate, divergence, html, licenses, linededup, neardup, packing, periodic, quality, sharding, suffixes, toxicity
 from siltstone.llm._common import remove_later, scratch_path, table
 
 
@@ -66,7 +66,11 @@ def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periodic.run_digests(periodic.periodic_runs(periodic.with_planted_tails(table(spark, sf_dir, "documents"))))
 
 
-QUERIES = {f.__name__: f for f in (op1_chat_formatting, op2_suffix_dedup, op3_line_dedup, op4_quality_rules, op5_license_scans, op6_packing, op7_minhash_near_dedup, op8_decontamination, op9_sharding, op10_html_extraction, op11_source_divergence, op12_periodic_runs)}
+def op13_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+QUERIES = {f.__name__: f for f in (op1_chat_formatting, op2_suffix_dedup, op3_line_dedup, op4_quality_rules, op5_license_scans, op6_packing, op7_minhash_near_dedup, op8_decontamination, op9_sharding, op10_html_extraction, op11_source_divergence, op12_periodic_runs, op13_toxicity)}
 
 _SAID = "</s>[INST] ok [/INST]"
 _ESCAPED = r"""regexp_replace(text, '([<\[])(\\*)(/?s>|/?(?:SYS|INST|ROLE)\]|(?:OUT|BODY|TURN)\])', '\1\\\2\3', 'g')"""
