@@ -4,7 +4,7 @@
    (language, term) adds them up. Terms in at least ``MIN_DOCS`` documents of their
    language stay.
 2. The terms of a language are dealt by hash to blocks, so that a block's counts are a
-   numpy int64 tile of at most ``CELLS`` cells, sources by terms. The tile of scaled
+   numpy int64 tile of at most ``BLOCK_TERMS`` terms and ``CELLS`` cells, sources by terms. The tile of scaled
    probabilities is compared by broadcasting each source's row over those after it;
    the partial matrix of pair sums and the highest terms of each source leave the task.
 3. Partial sums are added by Spark, and each source's short lists merged into one.
@@ -30,8 +30,9 @@ from siltstone.llm._common import pick, store
 MIN_DOCS = 10
 #: Terms reported for a group.
 TOP = 10
-#: Most cells of a tile, and most pairs of sources that one task sums for a tile.
-CELLS = 1 << 21
+#: Most terms and most cells of a tile, and most pairs of sources that one task sums for a tile.
+BLOCK_TERMS = 1024
+CELLS = 1 << 22
 PAIRS = 1 << 22
 #: Probabilities are scaled to this.
 SCALE = 1_000_000_000
@@ -154,7 +155,7 @@ def audit(df: DataFrame, lang: str = "lang", source: str = "source", text: str =
     layout = groups.groupBy("lang").agg(F.array_sort(F.collect_list(F.struct("source", "n"))).alias("groups"))
     layout = layout.join(kept.groupBy("lang").agg(F.count("*").alias("v")), "lang", "left").na.fill({"v": 0})
     size = F.size("groups").cast("long")
-    layout = store(layout.withColumn("blocks", F.greatest(F.lit(1), F.ceil(F.col("v") * size / cells))).withColumn("stripes", F.greatest(F.lit(1), F.ceil(size * size / pairs))), "layout")
+    layout = store(layout.withColumn("blocks", F.greatest(F.lit(1), F.ceil(F.col("v") / BLOCK_TERMS), F.ceil(F.col("v") * size / cells))).withColumn("stripes", F.greatest(F.lit(1), F.ceil(size * size / pairs))), "layout")
     # languages of more than one tile: as many rows as tiles' worth of counts at most, so they may be sent to all
     split = F.broadcast(layout.filter((F.col("blocks") > 1) | (F.col("stripes") > 1)).select("lang", "blocks", "stripes"))
 
