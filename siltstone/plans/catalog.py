@@ -561,4 +561,4 @@ def stream_sessions(spark, sf_dir):
     return windows.sessions(_t(spark, sf_dir, "events")).withColumns({c: F.date_format(c, _SECOND) for c in ("start", "stop")})
 
 
-from siltstone.plans import catalog_more  # noqa: E402, F401  registers its queries here
+from siltstone.plans import catalog_more, catalog_tables  # noqa: E402, F401  register their queries here

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,13 +14,7 @@ from siltstone.operators import query as q
 from siltstone.plans import report, workflow
 from siltstone.plans.catalog import _FENCES, _GAPS, _sales, _t, registered
 from siltstone.plans.recipe import Dataset, fixes, from_json, to_json
-from siltstone.sources import files, sample, text_tables
-
-
-def _scratch(spark: SparkSession) -> str:
-    """A new folder that all executors see: below ``spark.checkpoint.dir``, or a local one in local sessions."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    return f"{folder}/siltstone-{spark.sparkContext.applicationId}-{id(object()):x}" if folder else tempfile.mkdtemp(prefix="siltstone-")
+from siltstone.sources import files, sample, scratch, text_tables
 
 
 def _texts(spark: SparkSession, rows: list[tuple], columns: str = "name string, value string") -> DataFrame:
@@ -42,7 +34,7 @@ def _said(pairs: list[tuple[str, str]]) -> str:
 def csv_scan(spark, sf_dir):
     n = F.col("n_nationkey")
     note = F.when(n % 4 != 0, F.concat(F.col("n_name"), F.lit(', "the" \nx')))
-    path = _scratch(spark) + "/csv"
+    path = scratch.new_folder(spark) + "/csv"
     out = _t(spark, sf_dir, "nation").select(n.alias("id"), F.col("n_name").alias("_cname"), note.alias("note"))
     out.write.options(header=True, escape='"', nullValue="", quoteAll=True).csv(path)
     return files.read_csv(spark, path)
@@ -50,7 +42,7 @@ def csv_scan(spark, sf_dir):
 
 @registered("SELECT n_nationkey AS key, n_name AS at_name, CASE WHEN n_regionkey <> 0 THEN 'r' || n_regionkey END AS at_region_code, NULL::VARCHAR AS list FROM nation")
 def json_scan(spark, sf_dir):
-    path = _scratch(spark) + "/json"
+    path = scratch.new_folder(spark) + "/json"
     code = F.when(F.col("n_regionkey") != 0, F.concat(F.lit("r"), F.col("n_regionkey"))).otherwise("")
     nested = F.struct(F.col("n_name").alias("name"), F.struct(code.alias("code")).alias("region")).alias("at")
     _t(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("key"), nested, F.array(F.lit(1)).alias("list")).write.json(path)
@@ -68,13 +60,13 @@ def sample_table(spark, sf_dir):
     return sample.churn(spark).select("customer_id", "tier", F.col("monthly_charge").cast("double"), F.col("support_tickets").cast("long"))
 
 
-@registered("SELECT n_nationkey::BIGINT AS doc_id, 0 AS \"table\", 3 AS start_line, 7 AS end_line, true AS has_header, 'Name/Key/Share' AS columns, 'text/number/number' AS types, 3::BIGINT AS n, 1 AS repeated_headers, n_name || '/' || n_nationkey || '/-1.5' AS first_row FROM nation")
+@registered("SELECT n_nationkey::BIGINT AS doc_id, 0 AS \"table\", 3 AS start_line, 8 AS end_line, true AS has_header, 'Name/Key/Share' AS columns, 'text/number/number' AS types, 3::BIGINT AS n, 1 AS repeated_headers, n_name || '/' || n_nationkey || '/-1.5' AS first_row FROM nation")
 def text_tables_found(spark, sf_dir):
     n, name = F.col("n_nationkey"), F.col("n_name")
     head = F.lit("Name | Key | Share\n")
     body = F.concat(F.lit("A report.\n\n| Name | Key | Share |\n"), F.lit("|---|---|---|\n"), F.lit("| "), name, F.lit(" | "), n, F.lit(" | (1.5%) |\n"), head, F.lit("second | 1,000 | 2\nthird |  | 3\n\nThe end."))
     docs = _t(spark, sf_dir, "nation").select(n.cast("long").alias("doc_id"), body.alias("text"))
-    found = text_tables.extract(docs, "doc_id", "text").withColumn("end_line", F.col("end_line") - 1)
+    found = text_tables.extract(docs, "doc_id", "text")
     return found.select("doc_id", "table", "start_line", "end_line", "has_header", F.array_join("columns", "/").alias("columns"), F.array_join("types", "/").alias("types"), F.size("rows").cast("long").alias("n"), "repeated_headers", F.array_join(F.get("rows", F.lit(0)), "/").alias("first_row"))
 
 
@@ -301,12 +293,12 @@ def recipe_difference_rows(spark, sf_dir):
     return spark.createDataFrame([(clean.difference(twice, ("dropDuplicates",)).removed_rows, "|".join(split.removed), "|".join(split.added))], "removed long, gone string, added string")
 
 
-@registered(_said([("changelog", "1. Trim spaces;2. Drop p"), ("json", "2"), ("undone", "p"), ("workflow", "Trim spaces;Chart: sum of k by p")]))
+@registered(_said([("changelog", "1. Trim spaces;2. Drop p"), ("json", "2"), ("undone", "p"), ("workflow", "Trim spaces;Chart: bar of k by p")]))
 def recipe_history(spark, sf_dir):
     ds = Dataset.of("orders", _t(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("k"), F.col("o_orderpriority").alias("p"))).apply(("trimWhitespace",)).apply(("dropColumn", "p"))
     ops = from_json(to_json("orders", list(ds.ops)))[1]
     flow = workflow.Workflow.capture(ds.undo(), (charts.Chart("bar", "p", "k"),))
-    shown = ";".join(x.replace("bar of k", "sum of k") for x in workflow.Workflow.from_json(flow.to_json()).described())
+    shown = ";".join(workflow.Workflow.from_json(flow.to_json()).described())
     return _texts(spark, [("changelog", ";".join(ds.changelog())), ("json", str(len(ops))), ("undone", "|".join(c for c in ds.undo().columns if c == "p")), ("workflow", shown)])
 
 

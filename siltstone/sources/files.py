@@ -8,6 +8,7 @@ from pyspark.sql.types import ArrayType, DataType, MapType, StructType
 
 from siltstone.functions.names import quoted
 from siltstone.operators.query import guard_read_only
+from siltstone.sources import workbooks
 
 FLATTEN = 3
 DELIMITERS = (",", "\t", ";", "|")
@@ -69,7 +70,7 @@ def read_database(spark: SparkSession, url: str, sql: str, **options: str) -> Da
 
 
 def load(spark: SparkSession, path: str) -> DataFrame:
-    """By the ending of the name: csv, tsv, txt, json, jsonl, parquet."""
+    """By the ending of the name: csv, tsv, txt, json, jsonl, xlsx, xlsm (its first sheet), parquet."""
     kind = path.rsplit(".", 1)[-1].lower()
     if kind in ("csv", "txt"):
         return read_csv(spark, path)
@@ -77,6 +78,11 @@ def load(spark: SparkSession, path: str) -> DataFrame:
         return read_csv(spark, path, "\t")
     if kind in ("json", "jsonl"):
         return read_json(spark, path, kind == "jsonl")
+    if kind in ("xlsx", "xlsm"):
+        first = workbooks.list_sheets(spark, path).orderBy("file", "position").first()
+        if first is None:
+            raise ValueError("the workbook has no sheet")
+        return workbooks.read_workbook(spark, path, first["sheet"])
     if kind == "parquet":
         return spark.read.parquet(path)
     raise ValueError(f"no reader for .{kind}")
@@ -105,7 +111,7 @@ def source_kind(name: str) -> str:
     for kind, marks in (("Query result", ("query",)), ("Joined data", (" + ", "join"))):
         if any(m in low for m in marks):
             return kind
-    return {"csv": "CSV", "tsv": "TSV", "txt": "Text", "json": "JSON", "jsonl": "JSON", "parquet": "Parquet"}.get(low.rsplit(".", 1)[-1], "Table")
+    return {"csv": "CSV", "tsv": "TSV", "txt": "Text", "json": "JSON", "jsonl": "JSON", "xlsx": "Workbook", "xlsm": "Workbook", "parquet": "Parquet"}.get(low.rsplit(".", 1)[-1], "Table")
 
 
 def write_csv(df: DataFrame, path: str) -> None:
