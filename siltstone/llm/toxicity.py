@@ -62,7 +62,7 @@ OTHERS = frozenset("idiotin dummkopf dumm blödmann arschloch trottel depp absch
 ADDRESS = frozenset("you your youre u ur du dich dir dein deine ihr euch tu toi te vous votre tú te eres usted vos".split())
 
 _WORD = re.compile(r"[^\W\d_]+")
-_HIDDEN = re.compile(r"(?<![a-z0-9])[a-z@$0-9][a-z]*[0-9@$!*]+[a-z0-9@$!*]*[a-z](?![a-z0-9])|(?<![a-z])(?:[a-z][ .\-]){3,}[a-z](?![a-z])")
+_HIDDEN = re.compile(r"(?<![a-z0-9])[a-z]*+[0-9@$!*][a-z0-9@$!*]*|(?<![a-z])(?:[a-z][ .\-]){3,}[a-z](?![a-z])")
 _LEET = str.maketrans("013457@$!", "oieastasi", " .-")
 
 
@@ -141,7 +141,9 @@ def mined_terms(rows: DataFrame, terms: int = TERMS) -> list[tuple[str, int]]:
 
 def _hidden(lower: str, listed: frozenset) -> bool:
     """Whether a listed word is written with digits, signs or gaps between its letters."""
-    for token in set(_HIDDEN.findall(lower)):
+    for token in {t.rstrip("!*") for t in set(_HIDDEN.findall(lower))}:
+        if token.isalpha() or token.isdigit():
+            continue
         if "*" in token:
             shape = re.compile("".join("." if c == "*" else re.escape(c) for c in token))
             if len(token) > 3 and token.count("*") * 2 < len(token) and any(len(w) == len(token) and shape.fullmatch(w) for w in listed):
@@ -220,15 +222,16 @@ class LabelModel:
         self.accuracy, self.anchor, self.start = accuracy, anchor, start
 
     def _count(self, votes: np.ndarray, weight: np.ndarray, y: np.ndarray) -> None:
-        """Tables of all pairs of voters for each class, smoothed by one row."""
-        k = votes.shape[1]
+        """Tables of all pairs of voters for each class, smoothed by one row that votes as all rows do on average."""
         self.prior = (weight @ y + self.start) / (weight.sum() + 1)
-        self.pairs = np.zeros((2, k, k, 2, 2))
-        for c, share in ((0, 1 - y), (1, y)):
-            w = weight * share
-            both, one, total = votes.T @ (votes * w[:, None]), w @ votes, w.sum()
-            for a, b, cell in ((1, 1, both), (1, 0, one[:, None] - both), (0, 1, one[None, :] - both), (0, 0, total - one[:, None] - one[None, :] + both)):
-                self.pairs[c, :, :, a, b] = (np.maximum(cell, 0) + 0.25) / (total + 1)
+
+        def table(w: np.ndarray) -> np.ndarray:
+            both, one = votes.T @ (votes * w[:, None]), w @ votes
+            cells = [[w.sum() - one[:, None] - one[None, :] + both, one[None, :] - both], [one[:, None] - both, both]]
+            return np.maximum(np.array(cells), 0).transpose(2, 3, 0, 1)
+
+        mean = (table(weight) + 0.01) / (weight.sum() + 0.04)
+        self.pairs = np.stack([(table(weight * share) + mean) / (weight @ share + 1) for share in (1 - y, y)])
         self.rates = np.stack([self.pairs[c].sum(axis=3)[:, 0, 1] for c in (0, 1)])
 
     def _tree(self) -> None:
@@ -261,7 +264,7 @@ class LabelModel:
         given = label >= 0
         if given.any() and (~given).any():  # labelled rows weigh their share, however few they are
             weight = np.where(given, weight * self.anchor / weight[given].sum(), weight * (1 - self.anchor) / weight[~given].sum()) * weight.sum()
-        y = np.where(given, np.where(label == 1, self.accuracy, 1 - self.accuracy), np.where(votes.mean(axis=1) > 0.3, 0.9, 0.02))
+        y = np.where(given, np.where(label == 1, self.accuracy, 1 - self.accuracy), np.where(votes.sum(axis=1) > 1, 0.9, 0.02))
         self._count(votes[given], weight[given], y[given]) if len({*label[given].tolist()}) == 2 else self._count(votes, weight, y)
         for _ in range(ROUNDS):
             self._tree()
