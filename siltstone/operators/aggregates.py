@@ -198,7 +198,7 @@ def browse(df: DataFrame, name: str, text: str = "", by: str = "count") -> DataF
 
 
 def page(df: DataFrame, number: int, size: int = 15) -> DataFrame:
-    """One page of rows in order, from page 0 on."""
+    """One page of rows in order, from page 0 on; for far pages of large tables see :class:`siltstone.operators.pages.Pages`."""
     return df.orderBy(ROW).offset(number * size).limit(size)
 
 

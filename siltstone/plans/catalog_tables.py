@@ -4,8 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from siltstone.operators import kpi, nested, pages, sets, sketches
+from siltstone.operators import profile as prof
+from siltstone.operators import query as q
 from siltstone.plans.catalog import _t, registered
-from siltstone.sources import scratch, workbooks
+from siltstone.sources import files, scratch, workbooks
 
 # ---- workbooks
 
@@ -31,3 +34,115 @@ def workbook_sheets(spark, sf_dir):
     workbooks.write_workbooks(_t(spark, sf_dir, "region").select("r_regionkey", "r_name").coalesce(1), folder, "Regions")
     rows = workbooks.sheet_rows(spark, folder).groupBy("file", "sheet").agg(F.count_if(F.col("row") > 0).alias("n"), F.max(F.when(F.col("row") == 0, F.size("cells"))).alias("columns"))
     return workbooks.list_sheets(spark, folder).join(rows, ["file", "sheet"]).select("sheet", "position", "n", "columns")
+
+
+# ---- nested values
+
+_EVENT_JSON = """'{"type": "' || event_type || '", "props": ' || props || ', "at": {"user": ' || user_id || ', "odd": ' || CASE event_id % 3 WHEN 0 THEN 'true' WHEN 1 THEN 'null' ELSE '"' || event_type || '"' END
+|| ', "deep": {"x": {"y": 1}, "half": ' || event_id % 7 || '.5}}, "list": [1, 2]' || CASE WHEN event_id % 5 = 0 THEN ', "late": ""' ELSE '' END || '}'"""
+
+
+def _event_json(spark, sf_dir):
+    return _t(spark, sf_dir, "events").select("event_id", F.expr(_EVENT_JSON).alias("j"))
+
+
+@registered(f"""WITH t AS (SELECT json({_EVENT_JSON}) AS j FROM events), f(name, position, path) AS (VALUES ('type', 0, '$.type'), ('props_k', 1, '$.props.k'), ('at_user', 2, '$.at.user'), ('at_odd', 3, '$.at.odd'), ('at_deep_x', 4, '$.at.deep.x'), ('at_deep_half', 5, '$.at.deep.half'), ('list', 6, '$.list'), ('late', 7, '$.late')),
+v AS (SELECT name, position, json_type(j, path) AS k, json_extract_string(j, path) AS x FROM t, f)
+SELECT name, position, string_agg(DISTINCT CASE WHEN k = 'VARCHAR' THEN 'text' WHEN k IN ('UBIGINT', 'BIGINT') THEN 'whole' WHEN k = 'DOUBLE' THEN 'number' ELSE lower(k) END, ',' ORDER BY CASE WHEN k = 'VARCHAR' THEN 'text' WHEN k IN ('UBIGINT', 'BIGINT') THEN 'whole' WHEN k = 'DOUBLE' THEN 'number' ELSE lower(k) END) AS kinds, count(*) AS n, count(*) FILTER (k = 'NULL') AS nulls,
+count(DISTINCT k || x) FILTER (k NOT IN ('NULL', 'ARRAY', 'OBJECT')) AS "distinct", min(try_cast(x AS DOUBLE)) FILTER (k IN ('UBIGINT', 'BIGINT', 'DOUBLE')) AS low, max(try_cast(x AS DOUBLE)) FILTER (k IN ('UBIGINT', 'BIGINT', 'DOUBLE')) AS high
+FROM v WHERE k IS NOT NULL GROUP BY name, position""")
+def json_fields(spark, sf_dir):
+    """Every field of the events as JSON texts: order first seen, kinds, counts, distinct values, bounds."""
+    return nested.fields(q.with_rows(_event_json(spark, sf_dir), "event_id"), "j").withColumn("kinds", F.array_join("kinds", ","))
+
+
+@registered("""SELECT event_type AS type, (props::JSON ->> 'k')::BIGINT AS props_k, user_id AS at_user, CASE event_id % 3 WHEN 0 THEN 'true' WHEN 2 THEN event_type END AS at_odd, NULL::VARCHAR AS at_deep_x, event_id % 7 + 0.5 AS at_deep_half, NULL::VARCHAR AS list, NULL::VARCHAR AS late FROM events""")
+def json_flat(spark, sf_dir):
+    """The same texts as a flat table: mixed kinds are text, arrays and deep objects null."""
+    return nested.flat(q.with_rows(_event_json(spark, sf_dir), "event_id"), "j")
+
+
+@registered("SELECT r_regionkey AS z, r_name AS b_c, NULL::VARCHAR AS a, 'later' AS b_d FROM region")
+def json_array_scan(spark, sf_dir):
+    """One array of objects in a file; columns in the order first seen, and of two fields with one name the later one."""
+    folder = scratch.new_folder(spark, "json")
+    one = F.concat(F.lit('{"z": '), "r_regionkey", F.lit(', "b": {"c": "'), "r_name", F.lit('", "d": "early"}, "a": [], "b_d": "later"}'))
+    _t(spark, sf_dir, "region").coalesce(1).agg(F.concat(F.lit("["), F.array_join(F.collect_list(one), ",\n"), F.lit("]")).alias("value")).coalesce(1).write.option("lineSep", "\n").text(folder)
+    return files.read_json(spark, folder)
+
+
+# ---- facts that are stored by day
+
+
+@registered("""WITH c AS (SELECT 'event_type' AS "column", event_type AS x, NULL::DOUBLE AS v FROM events UNION ALL SELECT 'user_id', user_id::VARCHAR, user_id FROM events UNION ALL SELECT 'value', value::VARCHAR, value FROM events),
+t AS (SELECT 'event_type' AS "column", string_agg(x || '=' || n, ' ' ORDER BY n DESC, x) AS common FROM (SELECT event_type AS x, count(*) AS n FROM events GROUP BY 1))
+SELECT "column", count(*) AS n, count(*) FILTER (x IS NULL) AS blanks, count(v) AS numbers, min(v) AS low, max(v) AS high, any_value(t.common) AS common, true AS distinct_near, true AS quantiles_near FROM c LEFT JOIN t USING ("column") GROUP BY 1""")
+def sketch_days(spark, sf_dir):
+    """Facts of all events stored by day and merged: counts and bounds are exact, commonest values too where a column has few; distinct values and ranks of quantiles lie near the exact ones."""
+    events = _t(spark, sf_dir, "events").select("ts", "event_type", "user_id", "value")
+    folder = scratch.new_folder(spark, "sketches")
+    sketches.save(sketches.by_day(events, "ts"), folder)
+    out = sketches.merged(sketches.load(spark, folder))
+    exact = events.select(F.explode(F.array(*(F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("x"), (F.col(c) if c != "event_type" else F.lit(None)).cast("double").alias("v")) for c in ("event_type", "user_id", "value")))).alias("e")).select("e.*")
+    exact = exact.join(F.broadcast(out.select("column", "quantiles")), "column").groupBy("column").agg(F.count_distinct("x").alias("exact"), F.count("v").alias("m"), *(F.count_if(F.col("v") < F.col("quantiles")[i]).alias(f"under{i}") for i in range(3)), *(F.count_if(F.col("v") <= F.col("quantiles")[i]).alias(f"upto{i}") for i in range(3)))
+    near = F.lit(True)
+    for i, p in enumerate(sketches.QUANTILES):  # the quantile's ranks, first and last, include one within 2 % of the rank asked for
+        near = near & ((F.col("m") == 0) | ((F.col(f"under{i}") / F.col("m") <= p + 0.02) & (F.col(f"upto{i}") / F.col("m") >= p - 0.02)))
+    common = F.array_join(F.transform(F.array_sort(F.transform("common", lambda x: F.struct((-x["count"]).alias("k"), x["item"].alias("item")))), lambda x: F.concat_ws("=", x["item"], -x["k"])), " ")
+    return out.join(exact, "column").select("column", "n", "blanks", "numbers", "low", "high", F.when(F.col("column") == "event_type", common).alias("common"), (F.abs(F.col("distinct") - F.col("exact")) <= 0.03 * F.col("exact") + 1).alias("distinct_near"), F.coalesce(near, F.lit(True)).alias("quantiles_near"))
+
+
+# ---- whole rows
+
+_STATES = """WITH a AS (SELECT l_returnflag AS f, CASE WHEN l_linenumber < 6 THEN l_linenumber END AS n, l_quantity AS v FROM lineitem), b AS (SELECT l_returnflag AS f, CASE WHEN l_linenumber < 5 THEN l_linenumber END AS n, l_quantity AS v FROM lineitem WHERE l_discount > 0.01)"""
+
+
+def _states(spark, sf_dir):
+    x = _t(spark, sf_dir, "lineitem")
+    row = lambda most: [F.col("l_returnflag").alias("f"), F.when(F.col("l_linenumber") < most, F.col("l_linenumber")).alias("n"), F.col("l_quantity").alias("v")]
+    return x.select(*row(6)), x.filter("l_discount > 0.01").select(*row(5))
+
+
+@registered(f"{_STATES} SELECT f, n, v, count(*) AS times FROM (SELECT * FROM a EXCEPT ALL SELECT * FROM b) GROUP BY 1, 2, 3")
+def rows_except_all(spark, sf_dir):
+    """Rows of one state that the other has not as often; all of them are counted, as tables hold equal rows."""
+    return sets.except_all(*_states(spark, sf_dir)).groupBy("f", "n", "v").agg(F.count("*").alias("times"))
+
+
+@registered(f"{_STATES} SELECT f, n, v, count(*) AS times FROM (SELECT * FROM a INTERSECT ALL SELECT * FROM b) GROUP BY 1, 2, 3")
+def rows_intersect_all(spark, sf_dir):
+    return sets.intersect_all(*_states(spark, sf_dir)).groupBy("f", "n", "v").agg(F.count("*").alias("times"))
+
+
+@registered(f"{_STATES}, c AS (SELECT f, n, v, count(*) FILTER (s = 0) AS before, count(*) FILTER (s = 1) AS after FROM (SELECT *, 0 AS s FROM a UNION ALL SELECT *, 1 FROM b) GROUP BY 1, 2, 3) SELECT * FROM c WHERE before <> after")
+def rows_changed(spark, sf_dir):
+    return sets.changes(*_states(spark, sf_dir))
+
+
+# ---- pages
+
+
+@registered("""WITH o AS (SELECT row_number() OVER (ORDER BY o_totalprice DESC, o_orderkey) - 1 AS k, o_orderkey, o_totalprice FROM orders), p AS (SELECT count(*) // 25 // 2 AS middle, (count(*) - 1) // 25 AS last FROM orders)
+SELECT k // 25 AS page, o_orderkey, o_totalprice FROM o, p WHERE k // 25 IN (0, middle, last)""")
+def pages_by_seek(spark, sf_dir):
+    """The first page, one in the middle and the last of all orders by price; each reads the ranges that it lies in."""
+    found = pages.Pages.of(_t(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice"), F.desc("o_totalprice"), "o_orderkey", size=25)
+    out = [found.page(k).select(F.lit(k).cast("long").alias("page"), "o_orderkey", "o_totalprice") for k in dict.fromkeys((0, found.count // 25 // 2, found.pages - 1))]
+    for more in out[1:]:
+        out[0] = out[0].unionAll(more)
+    return out[0]
+
+
+# ---- key figures
+
+
+@registered("""WITH w AS (SELECT max(o_orderdate) AS m FROM orders), f AS (SELECT o.*, o_orderdate > m - INTERVAL 365 DAY AS cur, o_orderdate > m - INTERVAL 730 DAY AND o_orderdate <= m - INTERVAL 365 DAY AS prev FROM orders o, w)
+SELECT 'revenue' AS id, round(sum(o_totalprice) FILTER (cur), 2) AS value, round(sum(o_totalprice) FILTER (prev), 2) AS previous FROM f
+UNION ALL SELECT 'orders', count(DISTINCT o_orderkey // 3) FILTER (cur), count(DISTINCT o_orderkey // 3) FILTER (prev) FROM f UNION ALL SELECT 'customers', count(DISTINCT o_custkey) FILTER (cur), count(DISTINCT o_custkey) FILTER (prev) FROM f
+UNION ALL SELECT 'aov', round(sum(o_totalprice) FILTER (cur) / count(DISTINCT o_orderkey // 3) FILTER (cur), 2), round(sum(o_totalprice) FILTER (prev) / count(DISTINCT o_orderkey // 3) FILTER (prev), 2) FROM f""")
+def kpi_distinct(spark, sf_dir):
+    """Orders, customers and the order value in two windows: distinct counts under many conditions by one shuffle."""
+    o = _t(spark, sf_dir, "orders").select(F.concat(F.lit(" o"), F.floor(F.col("o_orderkey") / 3)).alias("order_id"), F.concat(F.lit("c"), "o_custkey", F.when(F.col("o_orderkey") % 2 == 0, "  ").otherwise("")).alias("customer_id"), "o_orderdate", F.col("o_totalprice").alias("revenue"))
+    df = q.with_rows(o)
+    found = kpi.kpis(df, prof.profile(df))
+    return spark.createDataFrame([(k.id, round(k.value, 2), round(k.previous, 2)) for k in found if k.id in ("revenue", "orders", "customers", "aov")], "id string, value double, previous double")

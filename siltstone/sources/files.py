@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, DataType, MapType, StructType
 
+from siltstone.functions.cells import is_blank
 from siltstone.functions.names import quoted
-from siltstone.operators.query import guard_read_only
+from siltstone.operators import nested
+from siltstone.operators.query import guard_read_only, with_rows
 from siltstone.sources import workbooks
 
-FLATTEN = 3
 DELIMITERS = (",", "\t", ";", "|")
 
 
@@ -19,48 +19,48 @@ def sniff(line: str) -> str:
     return max(DELIMITERS, key=lambda d: (line.count(d), -DELIMITERS.index(d)))
 
 
+def _spans_lines(spark: SparkSession, path: str) -> bool:
+    """Whether a quoted cell goes over a line end: then a line has an odd number of quotes. One parallel look at the text."""
+    odd = (F.length("value") - F.length(F.replace(F.col("value"), F.lit('"'), F.lit("")))) % 2 == 1
+    return bool(spark.read.text(path).filter(odd).head(1))
+
+
 def read_csv(spark: SparkSession, path: str, delimiter: str | None = None, limit: int | None = None) -> DataFrame:
-    """All columns as text; empty cells are null, blank lines and columns without a name are left out.
+    """All columns as text; empty cells are null, lines without anything but blanks and columns without a name are left out.
 
     Which columns have a name is read from the header line itself, by place: Spark
-    makes names for the others that a file may have too.
+    makes names for the others that a file may have too. A file is split among tasks unless
+    a quoted cell holds a line end. A header without rows is an error.
     """
     if delimiter is None:
         first = spark.read.text(path).filter(F.trim("value") != "").first()
         if first is None:
             raise ValueError("the file has no header")
         delimiter = sniff(first[0])
-    options = {"sep": delimiter, "multiLine": True, "escape": '"', "nullValue": ""}
+    options = {"sep": delimiter, "multiLine": _spans_lines(spark, path), "escape": '"', "nullValue": ""}
     header = spark.read.options(header=False, **options).csv(path).first()
     df = spark.read.options(header=True, **options).csv(path)
     named = [c for c, h in zip(df.columns, header, strict=True) if h is not None and h.strip()]
     if not named:
         raise ValueError("the file has no header")
     df = df.select(*(F.col(quoted(c)) for c in named))
-    df = df.filter(F.coalesce(*(F.col(quoted(c)) for c in df.columns)).isNotNull())
+    df = df.filter(~F.forall(F.array(*(F.col(quoted(c)) for c in df.columns)), is_blank))
+    if not df.head(1):
+        raise ValueError("the file has a header but no rows")
     return df if limit is None else df.limit(limit)
 
 
-def _flat(prefix: list[str], kind: DataType, depth: int) -> list[tuple[list[str], bool]]:
-    """Paths of the scalars in a schema; the flag is false for what is nulled (arrays, maps, what lies too deep)."""
-    if isinstance(kind, StructType) and depth <= FLATTEN:
-        return [x for f in kind.fields for x in _flat([*prefix, f.name], f.dataType, depth + 1)]
-    return [(prefix, not isinstance(kind, (StructType, ArrayType, MapType)))]
-
-
-def flatten(df: DataFrame) -> DataFrame:
-    """Nested fields as columns ``a_b``, three levels deep; arrays become null."""
-    out = []
-    for path, scalar in _flat([], df.schema, 0):
-        name = "_".join(path)
-        out.append((F.col(".".join(map(quoted, path))) if scalar else F.lit(None).cast("string")).alias(name))
-    return df.select(*out)
-
-
 def read_json(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
-    """An array of objects, one object, or (``lines``) one a line, flattened; empty texts are null."""
-    df = flatten(spark.read.option("multiLine", not lines).json(path))
-    return df.select(*(F.nullif(F.col(quoted(n)), F.lit("")).alias(n) if t == "string" else F.col(quoted(n)) for n, t in df.dtypes))
+    """An array of objects, one object, or (``lines``) one a line, as a flat table (:func:`nested.flat`): columns in the order first seen.
+
+    Nested fields are columns ``a_b``, three levels deep; of two fields with one name the later wins. Empty texts, arrays and deeper objects are null.
+    """
+    if lines:
+        rows = spark.read.text(path).filter(F.trim("value") != "")
+    else:
+        one = F.ltrim("value")
+        rows = spark.read.text(path, wholetext=True).select(F.explode(F.when(one.startswith("["), F.from_json("value", "array<string>")).otherwise(F.array("value"))).alias("value"))
+    return nested.flat(with_rows(rows), "value")
 
 
 def read_database(spark: SparkSession, url: str, sql: str, **options: str) -> DataFrame:

@@ -22,7 +22,7 @@ def test_json(spark, tmp_path):
     p = tmp_path / "a.json"
     p.write_text(json.dumps([{"a": 1, "b": {"c": "", "d": {"e": {"f": {"g": 1}}}}, "l": [1]}, {"a": 2}]))
     df = files.load(spark, str(p))
-    assert set(df.columns) == {"a", "b_c", "b_d_e_f", "l"} and [(r["a"], r["b_c"], r["l"]) for r in df.orderBy("a").collect()] == [(1, None, None), (2, None, None)]
+    assert set(df.columns) == {"a", "b_c", "b_d_e", "l"} and [(r["a"], r["b_c"], r["l"]) for r in df.orderBy("a").collect()] == [(1, None, None), (2, None, None)]
     with pytest.raises(ValueError):
         files.load(spark, "x.pdf")
 
