@@ -9,6 +9,7 @@ from siltstone.operators import profile as prof
 from siltstone.operators import query as q
 from siltstone.plans.catalog import _t, registered
 from siltstone.sources import files, scratch, workbooks
+from siltstone.streaming import stateful
 
 # ---- workbooks
 
@@ -146,3 +147,28 @@ def kpi_distinct(spark, sf_dir):
     df = q.with_rows(o)
     found = kpi.kpis(df, prof.profile(df))
     return spark.createDataFrame([(k.id, round(k.value, 2), round(k.previous, 2)) for k in found if k.id in ("revenue", "orders", "customers", "aov")], "id string, value double, previous double")
+
+
+# ---- streams
+
+
+@registered("""WITH e AS (SELECT user_id, event_id, ts, CASE WHEN event_id % 10 = 0 THEN 1 ELSE 0 END AS again FROM events), s AS (SELECT *, CASE WHEN ts < lag(ts) OVER w + INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS new FROM e WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
+g AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM s)
+SELECT user_id AS key, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS start, strftime(max(ts) + INTERVAL 30 MINUTE, '%Y-%m-%d %H:%M:%S') AS stop, count(*) AS n, sum(again)::BIGINT AS repeats FROM g GROUP BY user_id, k""")
+def stream_state_sessions(spark, sf_dir):
+    """All events as a stream of files: out of order by up to an hour, a tenth of them twice; a last row moves the watermark over all."""
+    events = _t(spark, sf_dir, "events").select("event_id", "user_id", "ts")
+    twice = events.unionAll(events.filter("event_id % 10 = 0"))
+    end = events.agg((F.max("ts") + F.expr("interval 30 days")).alias("ts")).select(F.lit(-1).cast("long").alias("event_id"), F.lit(-1).cast("long").alias("user_id"), "ts")
+    folder = scratch.new_folder(spark, "stream")
+    late = F.col("ts") + F.expr("make_interval(0, 0, 0, 0, 0, 0, pmod(xxhash64(event_id), 3600))")
+    rows = twice.withColumn("come", late)
+    span = rows.agg(F.min("come").alias("a"), F.max("come").alias("b")).first()
+    days = [span["a"] + (span["b"] - span["a"]) * k / 4 for k in range(5)]
+    for low, high in zip(days, days[1:], strict=False):  # four batches by the time at which rows come
+        part = rows.filter((F.col("come") >= F.lit(low)) & (F.col("come") < F.lit(high) if high != days[-1] else F.lit(True)))
+        part.drop("come").coalesce(1).write.mode("append").parquet(f"{folder}/in")
+    end.coalesce(1).write.mode("append").parquet(f"{folder}/in")
+    stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
+    stateful.write(stateful.sessions(stream, late="3 hours"), f"{folder}/out", f"{folder}/state").awaitTermination()
+    return spark.read.parquet(f"{folder}/out").withColumns({c: F.date_format(c, "yyyy-MM-dd HH:mm:ss") for c in ("start", "stop")})
