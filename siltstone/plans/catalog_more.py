@@ -372,7 +372,7 @@ def insight_correlation(spark, sf_dir):
     return spark.createDataFrame([(f.id, round(float(f.score), 4)) for f in insights.correlations(insights.Context(df, p, kpi.read(p, df)))], "id string, score double")
 
 
-@registered(f"""{_GAPS.replace("ELSE o_totalprice END AS v", "ELSE o_totalprice END AS amount")}, x AS (SELECT 100.0 * count(amount) / count(*) AS c FROM m) SELECT 'quality_missing' AS id, CASE WHEN c < 80 THEN 'warning' ELSE 'info' END AS severity, round(50 + (100 - round(c, 2)) / 4, 4) AS score FROM x""")
+@registered(f"""{_GAPS.replace("ELSE o_totalprice END AS v", "ELSE o_totalprice END AS amount")}, x AS (SELECT 100.0 * count(amount) / count(*) AS c FROM m) SELECT 'quality_missing' AS id, CASE WHEN 100 - round(c, 2) >= 20 THEN 'critical' WHEN 100 - round(c, 2) >= 5 THEN 'warning' ELSE 'info' END AS severity, round(50 + least(30, 100 - round(c, 2)), 4) AS score FROM x""")
 def insight_quality(spark, sf_dir):
     gap = (F.col("o_orderpriority") == "1-URGENT") & (F.col("o_orderkey") % 3 != 0) | (F.col("o_orderkey") % 13 == 0)
     df = q.with_rows(_t(spark, sf_dir, "orders").select("o_orderkey", F.when(~gap, F.col("o_totalprice")).alias("amount")), "o_orderkey")

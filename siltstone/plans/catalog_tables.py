@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from siltstone.operators import kpi, nested, pages, sets, sketches
+from siltstone.operators import charts, insights, kpi, nested, pages, sets, sketches, spellings
 from siltstone.operators import profile as prof
 from siltstone.operators import query as q
-from siltstone.plans.catalog import _t, registered
+from siltstone.plans import bundle, model
+from siltstone.plans.catalog import _GAPS, _sales, _t, registered
+from siltstone.plans.recipe import Dataset
 from siltstone.sources import files, scratch, workbooks
 from siltstone.streaming import stateful
 
@@ -172,3 +174,71 @@ def stream_state_sessions(spark, sf_dir):
     stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
     stateful.write(stateful.sessions(stream, late="3 hours"), f"{folder}/out", f"{folder}/state").awaitTermination()
     return spark.read.parquet(f"{folder}/out").withColumns({c: F.date_format(c, "yyyy-MM-dd HH:mm:ss") for c in ("start", "stop")})
+
+
+# ---- spellings
+
+_TYPED = """CASE o_orderkey % 9 WHEN 0 THEN substr(md5(o_custkey::VARCHAR), 1, 3) || substr(md5(o_custkey::VARCHAR), 5, 8) WHEN 1 THEN upper(substr(md5(o_custkey::VARCHAR), 1, 12)) WHEN 2 THEN substr(md5(o_custkey::VARCHAR), 1, 12) || 's' WHEN 3 THEN 'xy' || substr(md5(o_custkey::VARCHAR), 1, 12) ELSE substr(md5(o_custkey::VARCHAR), 1, 12) END"""
+
+
+def _typed(spark, sf_dir):
+    name = F.md5(F.col("o_custkey").cast("string").cast("binary"))
+    whole, k = F.substr(name, F.lit(1), F.lit(12)), F.col("o_orderkey") % 9
+    cut = F.concat(F.substr(name, F.lit(1), F.lit(3)), F.substr(name, F.lit(5), F.lit(8)))
+    value = F.when(k == 0, cut).when(k == 1, F.upper(whole)).when(k == 2, F.concat(whole, F.lit("s"))).when(k == 3, F.concat(F.lit("xy"), whole)).otherwise(whole)
+    return q.with_rows(_t(spark, sf_dir, "orders").select("o_orderkey", value.alias("value")), "o_orderkey")
+
+
+@registered(f"""WITH c AS (SELECT {_TYPED} AS value, count(*) AS n FROM orders GROUP BY 1)
+SELECT a.value AS rare, b.value AS common, b.n FROM c a JOIN c b ON a.value <> b.value AND b.n >= 2 AND b.n >= 2 * a.n
+AND (lower(a.value) = lower(b.value) OR lower(a.value) = lower(b.value) || 's' OR lower(b.value) = lower(a.value) || 's' OR levenshtein(lower(a.value), lower(b.value)) <= 2)""")
+def spelling_pairs(spark, sf_dir):
+    """Every pair of spellings among all orders' names, thousands of values, as a comparison of all with all finds them."""
+    counts = _typed(spark, sf_dir).groupBy("value").agg(F.count("*").alias("n"), F.min(q.ROW).alias("first"))
+    return spellings.pairs(counts).select("rare", "common", "n")
+
+
+# ---- bundles and models
+
+
+@registered("SELECT 'orders' AS name, count(*) AS n, 3 AS columns, 2 AS steps, true AS same_in_any_order, 2 AS members FROM orders UNION ALL SELECT 'customers', count(*), 2, 0, true, 2 FROM customer")
+def workspace_bundle(spark, sf_dir):
+    """Orders and customers with a recipe through a bundle; digests do not depend on the order of rows."""
+    orders = Dataset.of("orders", _t(spark, sf_dir, "orders").select("o_orderkey", F.concat("o_orderstatus", F.lit(" ")).alias("status"), F.col("o_totalprice").alias("odd name;"), F.lit("x").alias("note")))
+    orders = orders.apply(("dropColumn", "note"), ("trimWhitespace",))
+    people = Dataset.of("customers", _t(spark, sf_dir, "customer").select("c_custkey", "c_name"))
+    folder = scratch.new_folder(spark, "bundle")
+    bundle.save(spark, folder, [orders, people], [{"name": "A", "email": "a@example.org"}, {"name": "B", "email": "b@example.org"}])
+    back = bundle.load(spark, folder, [{"name": "A", "email": "a@example.org"}])
+    rows = []
+    for d in back.datasets:
+        plain = d.df.drop(q.ROW)
+        rows.append((d.name, plain.count(), len(plain.columns), len(back.recipes[d.name]), bundle.digest(plain) == bundle.digest(plain.repartition(7)), len(back.team)))
+    return spark.createDataFrame(rows, "name string, n long, columns int, steps int, same_in_any_order boolean, members int")
+
+
+@registered("SELECT 'Total O Totalprice' AS name, round(sum(o_totalprice), 2) AS value, count(*) AS rows FROM orders UNION ALL SELECT 'Row Count', count(*), count(*) FROM orders")
+def bi_model(spark, sf_dir):
+    """The measures of the model of orders with their customers' segment, by the model's own SQL."""
+    ds = Dataset.of("sales.csv", _sales(spark, sf_dir).select("o_orderdate", "o_totalprice", "c_mktsegment", "o_orderpriority"))
+    found = model.build(ds, pinned=(charts.Chart("bar", "c_mktsegment", None, agg="count"),))
+    out = [ds.df.agg(F.expr(m.sql).cast("double").alias("value")).select(F.lit(m.name).alias("name"), F.round("value", 2).alias("value"), F.lit(found.rows).alias("rows")) for m in found.measures if m.agg in ("sum", "count")]
+    for more in out[1:]:
+        out[0] = out[0].unionAll(more)
+    return out[0]
+
+
+# ---- findings
+
+
+@registered(f"""{_GAPS}
+SELECT 'quality_missing' AS id, CASE WHEN gap >= 20 THEN 'critical' WHEN gap >= 5 THEN 'warning' ELSE 'info' END AS severity, round(50 + least(30, gap), 2) AS score FROM (SELECT 100 - round(100.0 * count(v) / count(*), 2) AS gap FROM (SELECT v, o_orderkey FROM m UNION ALL SELECT v, o_orderkey FROM m WHERE o_orderkey % 20 = 0))
+UNION ALL SELECT 'quality_duplicates', CASE WHEN s >= 5 THEN 'critical' ELSE 'warning' END, round(55 + least(25, 3 * s), 2) FROM (SELECT 100.0 * count(*) FILTER (o_orderkey % 20 = 0) / (count(*) + count(*) FILTER (o_orderkey % 20 = 0)) AS s FROM m)
+UNION ALL SELECT 'quality_consistency', 'warning', 48""")
+def insight_defects(spark, sf_dir):
+    """Gaps, repeated rows and spaces in all orders, with their severities and scores."""
+    gap = (F.col("o_orderpriority") == "1-URGENT") & (F.col("o_orderkey") % 3 != 0) | (F.col("o_orderkey") % 13 == 0)
+    o = _t(spark, sf_dir, "orders").select("o_orderkey", F.when(~gap, F.col("o_totalprice")).alias("amount"), F.concat(F.lit(" "), "o_orderpriority").alias("priority"))
+    df = q.with_rows(o.unionAll(o.filter("o_orderkey % 20 = 0")))
+    p = prof.profile(df)
+    return spark.createDataFrame([(f.id, f.severity, round(float(f.score), 2)) for f in insights.quality(insights.Context(df, p, kpi.read(p, df)))], "id string, severity string, score double")

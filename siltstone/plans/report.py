@@ -6,25 +6,41 @@ import re
 from html import escape
 
 from siltstone.functions.stats import compact
-from siltstone.operators import insights, kpi
+from siltstone.operators import charts, insights, kpi
 from siltstone.plans.recipe import Dataset
 
 
 def build(ds: Dataset) -> list[tuple[str, list[str]]]:
-    """Sections (title, lines) in order; each has a line at least."""
+    """Ten sections (title, lines) in order; each has a line at least."""
     p = ds.profile()
     s = kpi.read(p, ds.df)
-    found = insights.analyze(insights.Context(ds.df, p, s, ds.truncated))
+    context = insights.Context(ds.df, p, s, ds.truncated)
+    found = insights.analyze(context)
     figures = kpi.kpis(ds.df, p, s)
+    panels = charts.dashboard(ds.df, p, s)
+    of = lambda *kinds: [f for f in found if f.kind in kinds]
+    dated = next((c for c in p.columns if c.date_min), None)
+    advice = insights.recommendations(found)
+    urgent = sum(f.severity == "critical" for f in found)
+    overview = [f"{ds.name}: {p.rows} rows, {len(p.columns)} columns."]
+    overview += [f"From {dated.date_min[:10]} to {dated.date_max[:10]} by {dated.name}."] if dated else []
+    overview += ["The file was read in part."] if ds.truncated else []
+    overview += [f"{len(ds.ops)} cleaning steps were taken: " + "; ".join(" ".join(map(str, op[:2])) for op in ds.ops) + "."] if ds.ops else []
+    overview += [f"{c.name}: {c.type}, filled to {c.completeness:g} %, {c.unique} distinct, {c.missing} missing" for c in p.columns]
+    causes = [f"{f.columns[0]}: {f.figures['where'][1]:.0f} % of the extreme values have {context.dimension} = {f.figures['where'][0]}." for f in of("outlier") if f.figures.get("where")]
+    causes += [f"{f.text} {insights.advice(f)}" for f in of("change", "target") if f.severity != "positive"]
     sections = [
-        ("Overview", [f"{ds.name}: {p.rows} rows, {len(p.columns)} columns."]),
+        ("Summary", [insights.summary(context, ds.name, found), *(f"{f.severity}: {f.text}" for f in found[:3])]),
+        ("Overview", overview),
+        ("Data quality", [f"{k}: {v}" for k, v in p.health.items()] + [d.message for d in p.diagnostics if not d.skipped]),
         ("Key figures", [f"{k.label}: {compact(k.value)}" + (f" ({k.delta:+.1f} %)" if k.delta is not None else "") for k in figures]),
-        ("Health", [f"{k}: {v}" for k, v in p.health.items()]),
-        ("Columns", [f"{c.name}: {c.type}, filled to {c.completeness:g} %" for c in p.columns]),
+        ("Trends", [f.text for f in of("trend", "change")]),
+        ("Charts", [f"{c.type} of {c.y or 'rows'} by {c.x}" + (f" and {c.series}" if c.series else "") for c in panels]),
+        ("Findings", [f"{f.severity}: {f.text}" for f in found]),
+        ("Causes", causes),
+        ("Advice", [f"{k}. {a}" for k, a in enumerate(advice, 1)]),
+        ("Conclusion", [f"{len(found)} findings, {urgent} of them critical; health is {p.health['overall']} %." + (f" First: {advice[0]}" if advice else "")]),
     ]
-    sections += [(q, [f.text for f in part]) for q, part in insights.narrative(found)]
-    sections.append(("Problems", [d.message for d in p.diagnostics if not d.skipped]))
-    sections.append(("Cleaning", [" ".join(map(str, op[:2])) for op in ds.ops]))
     return [(t, lines or ["None."]) for t, lines in sections]
 
 
