@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 from heapq import heapify, heappop, heappush
 
@@ -33,6 +34,9 @@ COVERAGE = 0.6
 BROADCAST_CHARS = 1_000_000
 #: Search length at which tiling begins.
 FIRST_SEARCH = 20
+#: Pairs of places of equal windows, for each word of item and text, from which on tiles are found length by length.
+MANY = 4
+_ODD = 0x9E3779B97F4A7C15
 _WORD = re.compile(r"\w+")
 _MOD, _BASE = (1 << 61) - 1, 1_000_003
 
@@ -56,11 +60,78 @@ def _windows(ids: list[int], free: list[bool], length: int) -> Iterator[tuple[in
             yield h, i - length + 1
 
 
+class _Rolling:
+    """Hashes of all windows of one sequence, for any length, and which of them are free."""
+
+    def __init__(self, ids: list[int], free: list[bool]):
+        self.ids, self.free = np.array(ids, np.int64), np.array(free, bool)
+        n = len(self.ids)
+        with np.errstate(over="ignore"):
+            self.up = np.cumprod(np.append(np.uint64(1), np.full(n, _ODD, np.uint64)), dtype=np.uint64)
+            self.down = np.cumprod(np.append(np.uint64(1), np.full(n, pow(_ODD, -1, 2**64), np.uint64)), dtype=np.uint64)
+            mixed = (self.ids.astype(np.uint64) + np.uint64(1)) * np.uint64(0xD6E8FEB86659FD93)
+            mixed ^= mixed >> np.uint64(32)
+            self.sums = np.append(np.uint64(0), np.cumsum(mixed * self.up[:-1], dtype=np.uint64))
+
+    def windows(self, length: int) -> tuple[np.ndarray, np.ndarray]:
+        """Starts of the windows of free words, and their hashes."""
+        n = len(self.ids) - length + 1
+        if n < 1:
+            return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+        taken = np.append(0, np.cumsum(~self.free))
+        at = np.flatnonzero(taken[length:] == taken[:-length])
+        with np.errstate(over="ignore"):
+            return at, (self.sums[at + length] - self.sums[at]) * self.down[at]
+
+    def holds(self, at: int, length: int) -> bool:
+        return bool(self.free[at : at + length].all())
+
+
+def _tiles_by_length(item: list[int], text: list[int], free_i: list[bool], free_t: list[bool], least: int) -> list[tuple[int, int, int]]:
+    """The same tiles where a phrase stands in very many places: the greatest length of a common window is searched by halves, and all tiles of
+    that length are marked at once, so work grows with item and text and not with their pairs of places."""
+    a, b, found = _Rolling(item, free_i), _Rolling(text, free_t), []
+
+    def common(length: int) -> bool:
+        return bool(np.isin(a.windows(length)[1], b.windows(length)[1]).any())
+
+    high = min(len(item), len(text))
+    while high >= least and common(least):
+        low, top = least, high
+        while low < top:
+            middle = (low + top + 1) // 2
+            low, top = (middle, top) if common(middle) else (low, middle - 1)
+        starts, hashes = b.windows(low)
+        own = a.windows(low)
+        wanted = np.isin(hashes, own[1])
+        order = np.argsort(hashes[wanted], kind="stable")
+        places, sorted_ = starts[wanted][order], hashes[wanted][order]
+        next_: dict[int, int] = {}
+        for i, h in zip(own[0].tolist(), own[1].tolist(), strict=True):
+            first, end = np.searchsorted(sorted_, np.uint64(h), "left"), np.searchsorted(sorted_, np.uint64(h), "right")
+            k = next_.get(h, int(first))
+            if not a.holds(i, low):
+                continue
+            while k < end:
+                t = int(places[k])
+                k += 1
+                if b.holds(t, low) and (a.ids[i : i + low] == b.ids[t : t + low]).all():
+                    a.free[i : i + low] = b.free[t : t + low] = False
+                    found.append((i, t, low))
+                    break
+            next_[h] = k
+        high = low - 1
+    return found
+
+
 def tiles(item: list[int], text: list[int], open_: list[bool] | None = None, least: int = TILE, search: int = FIRST_SEARCH) -> list[tuple[int, int, int]]:
     """Tiles (start in item, start in text, length); ``open_`` are the words of text that a tile may cover. Of equally long ones the first in the item, then in the text, is marked first."""
     free_i, free_t = [True] * len(item), list(open_) if open_ is not None else [True] * len(text)
     found: list[tuple[int, int, int]] = []
     length = max(least, min(search, len(item)))
+    places = Counter(h for h, _ in _windows(text, free_t, least))
+    if sum(places[h] for h, _ in _windows(item, free_i, least)) > MANY * (len(item) + len(text)):
+        return _tiles_by_length(item, text, free_i, free_t, least)
     while True:
         table: dict[int, list[int]] = {}
         for h, t in _windows(text, free_t, length):

@@ -447,6 +447,8 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, k: int = K, crowded: i
     wanted = wanted.withColumnsRenamed({"doc_id": "__d", "th": "__h"})
     both = docs.join(wanted, docs["doc_id"].eqNullSafe(F.col("__d")) & (docs["th"] == F.col("__h"))).select("text", "wanted")
     parts = store(both.mapInArrow(_cut_bytes(length), _ddl(_KINDS)), "parts")
+    if parts.count() > kinds.count():  # repeated rows give each kind once a row
+        parts = store(parts.dropDuplicates(["m", "w"]), "parts")
     found = store(_repeated(parts, not crowds.isEmpty(), length, crowded, WIDTHS), "found")
     return runs_.join(found, ["m", "w"]).select("doc_id", "th", (F.shiftright("place", 20) + F.col("step")).alias("start"), "n")
 
@@ -460,7 +462,7 @@ def remove_repeats(df: DataFrame, doc_id: str = "doc_id", text: str = "text", le
     """
     docs = pick(df, doc_id=doc_id, text=text).select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
     docs = docs.select("doc_id", F.xxhash64("text").alias("th"), F.col("text").cast("binary").alias("text"))
-    spans = repeated_spans(docs, length, k, crowded).groupBy("doc_id", "th").agg(F.collect_list(F.struct("start", "n")).alias("spans"))
+    spans = repeated_spans(docs, length, k, crowded).groupBy("doc_id", "th").agg(F.collect_set(F.struct("start", "n")).alias("spans"))
     spans = cut(spans).withColumnsRenamed({"doc_id": "__d", "th": "__h"})
     both = docs.join(spans, docs["doc_id"].eqNullSafe(F.col("__d")) & (docs["th"] == F.col("__h")), "left").select("doc_id", "text", "spans")
     return both.mapInArrow(_digest(length), _ddl(_RESULT))

@@ -838,3 +838,57 @@ def test_text_around_icons_and_in_formulas_stays():
     assert texts("<p>Let <math><mi>x</mi><mo>=</mo><mn>2</mn><annotation encoding='application/x-tex'>x=2</annotation></math> be given.</p>") == ["Let x=2 be given."]
     assert texts("<p>Let <math><mi>y</mi><annotation/><annotation-xml encoding='a'><ci>y</ci></annotation-xml></math> be, <math><mi>z</mi><annotation>z</math> too.</p><p>End.</p>") == ["Let y be, z too.", "End."]
     assert texts("<p>See <math/> this</p><p>A <object data='a.swf'><param name='a'>chart of sales</object> here</p>") == ["See this", "A chart of sales here"]
+
+
+# ---- inputs that repeat themselves
+
+
+def test_equal_rows_take_work_in_proportion(spark):
+    r = random.Random(21)
+    text = sentence(r, 60)
+    lone = sentence(r, 60)
+    for n in (1000, 4000):
+        df = spark.range(n).select(F.when(F.col("id") % 2 == 0, F.lit(7)).alias("doc_id"), F.lit(text).alias("text")).unionAll(spark.createDataFrame([(1, lone)], "doc_id long, text string"))
+        got = suffixes.remove_repeats(df).groupBy("doc_id", "n_bytes", "n_removed", "n_spans").count().collect()
+        size = len(text.encode())
+        assert {tuple(x) for x in got} == {(7, size, size, 1, n // 2), (None, size, size, 1, n // 2), (1, len(lone.encode()), 0, 0, 1)}
+    docs = spark.range(2000).select(F.lit(7).cast("long").alias("doc_id"), F.lit(text).alias("text")).select("doc_id", F.xxhash64("text").alias("th"), F.col("text").cast("binary").alias("text"))
+    assert suffixes.repeated_spans(docs).count() <= 2000 * 20
+
+
+def brute_tiles(item, text, open_, least):
+    free_i, free_t, out = [True] * len(item), list(open_), []
+    while True:
+        best = None
+        for i in range(len(item)):
+            for t in range(len(text)):
+                n = 0
+                while i + n < len(item) and t + n < len(text) and free_i[i + n] and free_t[t + n] and item[i + n] == text[t + n]:
+                    n += 1
+                if n >= least and (best is None or n > best[0]):
+                    best = n, i, t
+        if best is None:
+            return out
+        n, i, t = best
+        free_i[i : i + n] = free_t[t : t + n] = [False] * n
+        out.append((i, t, n))
+
+
+def test_both_ways_of_tiling_give_the_tiles_of_brute_force():
+    r = random.Random(22)
+    for _ in range(300):
+        k = r.choice([1, 2, 3, 6])
+        item, text = [r.randint(1, k) for _ in range(r.randint(0, 25))], [r.randint(1, k) for _ in range(r.randint(0, 45))]
+        open_ = [r.random() < 0.9 for _ in text]
+        want = brute_tiles(item, text, open_, 4)
+        assert decontaminate.tiles(item, text, open_) == want
+        assert decontaminate._tiles_by_length(item, text, [True] * len(item), list(open_), 4) == want
+
+
+@pytest.mark.parametrize("item", [[1] * 200, [1, 2] * 100, [1, 2, 3, 4] * 50])
+def test_repeated_words_take_time_in_proportion(item):
+    r = random.Random(23)
+    for text in ([1] * 200_000, [r.choice([1, 1, 2]) for _ in range(200_000)], [1, 2, 3, 4] * 50_000):
+        began = time.time()
+        decontaminate.tiles(item, text)
+        assert time.time() - began < 20
