@@ -856,7 +856,7 @@ def test_equal_rows_take_work_in_proportion(spark):
     assert suffixes.repeated_spans(docs).count() <= 2000 * 20
 
 
-def brute_tiles(item, text, open_, least):
+def tiles_one_by_one(item, text, open_, least):
     free_i, free_t, out = [True] * len(item), list(open_), []
     while True:
         best = None
@@ -880,7 +880,7 @@ def test_both_ways_of_tiling_give_the_tiles_of_brute_force():
         k = r.choice([1, 2, 3, 6])
         item, text = [r.randint(1, k) for _ in range(r.randint(0, 25))], [r.randint(1, k) for _ in range(r.randint(0, 45))]
         open_ = [r.random() < 0.9 for _ in text]
-        want = brute_tiles(item, text, open_, 4)
+        want = tiles_one_by_one(item, text, open_, 4)
         assert decontaminate.tiles(item, text, open_) == want
         assert decontaminate._tiles_by_length(item, text, [True] * len(item), list(open_), 4) == want
 
