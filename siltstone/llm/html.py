@@ -34,7 +34,11 @@ _UNQUOTED = re.compile(r"[^\s>]*")
 _BLANKS = re.compile(r"\s*")
 #: Elements whose content is no text of the page, whatever it is. What a formula's source says, no browser shows.
 _RAW = frozenset(["script", "style", "noscript", "template", "title", "svg", "iframe", "textarea", "select", "annotation", "annotation-xml"])
-_RAW_END = {name: re.compile(rf"</{name}(?=[\s/>])" + (r"|(?=</math\b)" if name.startswith("annotation") else ""), re.I) for name in _RAW}
+#: What ends an element besides its own end tag, before it: a formula's end, another list of choices, and for drawings the HTML that browsers don't allow in them.
+_RAW_ALSO = {"annotation": r"|(?=</math\b)", "annotation-xml": r"|(?=</math\b)", "select": r"|(?=<select[\s/>])", "svg": r"|(?=<(?:/?p|/?br|blockquote|body|center|code|dd|div|dl|dt|em|embed|h[1-6]|head|hr|img|li|listing|menu|meta|ol|pre|ruby|span|strong|strike|sub|sup|small|table|ul|var|b|i|s|u|tt|big|nobr)[\s/>])"}
+_RAW_END = {name: re.compile(rf"</{name}(?=[\s/>])" + _RAW_ALSO.get(name, ""), re.I) for name in _RAW}
+#: Unclosed ones of these hide nothing but themselves.
+_MAY_STAY_OPEN = frozenset(["svg", "select"])
 _MAY_CLOSE_ITSELF = frozenset(["svg", "annotation", "annotation-xml"])
 _ATTRIBUTE = re.compile(r"(?:^|[\s/])(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _NAME = re.compile(r"[a-z]+")
@@ -80,18 +84,50 @@ def _tags(page: str) -> Iterator[tuple[int, int, str | None, bool, str]]:
         if name in _RAW and not closing:
             if not (name in _MAY_CLOSE_ITSELF and page[end - 1] == "/"):
                 found = _RAW_END[name].search(page, at)
-                at = len(page) if found is None else min(_tag_end(page, found.end()) + 1, len(page)) if found[0] else found.start()
+                if found is not None:
+                    at = min(_tag_end(page, found.end()) + 1, len(page)) if found[0] else found.start()
+                elif name not in _MAY_STAY_OPEN:
+                    at = len(page)
             yield m.start(), at, None, False, ""
         else:
             yield m.start(), at, name, closing, page[m.end() : end]
 
 
-def blocks(page: str | None) -> list[tuple[str, tuple[tuple[str, ...], ...], float]]:
-    """Leaf blocks in page order: text, the elements around it as (tag, class word, ...), share of characters in links."""
+class Around:
+    """An element with those around it: a node of a tree in which equal ways from the page are one node, so that what is known of a way is worked out once."""
+
+    __slots__ = ("parent", "element", "children", "tree", "known", "sum", "score")
+
+    def __init__(self, parent: Around | None = None, element: tuple[str, ...] = ()):
+        self.parent, self.element, self.children = parent, element, None
+        self.tree: list[int] = [0] if parent is None else parent.tree  # the number of nodes, shared by all
+        self.tree[0] += 1
+        self.known = self.sum = self.score = None
+
+    def child(self, element: tuple[str, ...]) -> Around:
+        if self.children is None:
+            self.children = {}
+        found = self.children.get(element)
+        if found is None:
+            found = self.children[element] = Around(self, element)
+        return found
+
+    def elements(self) -> list[tuple[str, ...]]:
+        """From the page inwards."""
+        out, at = [], self
+        while at.parent is not None:
+            out.append(at.element)
+            at = at.parent
+        return out[::-1]
+
+
+def blocks(page: str | None, root: Around | None = None) -> list[tuple[str, Around, float]]:
+    """Leaf blocks in page order: text, the element around it with its ancestors (below ``root``), share of characters in links."""
     if not page:
         return []
-    out: list[tuple[str, tuple, float]] = []
-    stack: list[tuple[str, ...]] = []
+    out: list[tuple[str, Around, float]] = []
+    stack: list[Around] = [root or Around()]
+    places: dict[str, list[int]] = {}
     parts: list[str] = []
     linked, in_link, at = 0, False, 0
 
@@ -100,17 +136,20 @@ def blocks(page: str | None) -> list[tuple[str, tuple[tuple[str, ...], ...], flo
         if parts:
             text = _SPACE.sub(" ", html_lib.unescape("".join(parts))).strip()
             if text:
-                out.append((text, tuple(stack), min(1.0, linked / len(text))))
+                out.append((text, stack[-1], min(1.0, linked / len(text))))
             parts.clear()
         linked = 0
 
+    def last(tags) -> int:
+        return max((p[-1] for t in tags if (p := places.get(t))), default=0)
+
     def close(tags: tuple[str, ...], scopes: frozenset = frozenset()) -> None:
-        for k in range(len(stack) - 1, -1, -1):
-            if stack[k][0] in tags:
-                del stack[k:]
-                return
-            if stack[k][0] in scopes:
-                return
+        """Close the innermost element of one of the tags with all in it, unless a scope stands in between."""
+        k = last(tags)
+        if k and k >= (last(scopes) if scopes else 0):
+            for node in stack[k:]:
+                places[node.element[0]].pop()
+            del stack[k:]
 
     for begins, ends, tag, closing, attributes in _tags(page):
         if begins > at:
@@ -131,11 +170,12 @@ def blocks(page: str | None) -> list[tuple[str, tuple[tuple[str, ...], ...], flo
                 close(_ENDS[tag], _SCOPES)
             if tag not in _VOID:
                 names = [w for a in _ATTRIBUTE.findall(attributes) for w in _NAME.findall((a[1] or a[2] or a[3]).lower())] if attributes else []
-                stack.append((tag, *names))
+                places.setdefault(tag, []).append(len(stack))
+                stack.append(stack[-1].child((tag, *names)))
         elif tag == "a":
             in_link = not closing
-        elif tag in ("br", "img", "input", "wbr"):
-            parts.append(" " if tag != "wbr" else "")
+        elif tag == "br":
+            parts.append(" ")
     if at < len(page):
         parts.append(page[at:])
     end_block()
@@ -152,21 +192,23 @@ def _text_features(text: str, links: float) -> list[str]:
     ]
 
 
-def _around_features(around: tuple[tuple[str, ...], ...]) -> list[str]:
-    out = {"in:" + e[0] for e in around if e[0] not in ("html", "body")}
-    out |= {"name:" + w for e in around for w in e[1:]}
-    if around:
-        out.add("own:" + around[-1][0])
-    near = next((e[0] for e in reversed(around) if e[0] in ("article", "main", "nav", "header", "footer", "aside", "form", "section", "body")), "none")
-    out.add("near:" + near)
-    if any(e[0] in ("article", "main") for e in around):
-        out.add("inside")
-    return sorted(out)
+_NEAR = frozenset(["article", "main", "nav", "header", "footer", "aside", "form", "section", "body"])
+
+
+def _element_features(element: tuple[str, ...]) -> list[str]:
+    return ["in:" + element[0]] * (element[0] not in ("html", "body")) + ["name:" + w for w in element[1:]]
+
+
+def _place_features(around: list[tuple[str, ...]]) -> list[str]:
+    """What the innermost elements say: their own tag, the nearest part of a page, whether it is in an article."""
+    near = next((e[0] for e in reversed(around) if e[0] in _NEAR), "none")
+    return ["own:" + around[-1][0]] * bool(around) + ["near:" + near] + ["inside"] * any(e[0] in ("article", "main") for e in around)
 
 
 def features(block: tuple) -> list[str]:
     """Names of the features that are on for a block."""
-    return ["always", *_text_features(block[0], block[2]), *_around_features(block[1])]
+    around = block[1].elements()
+    return ["always", *_text_features(block[0], block[2]), *sorted({n for e in around for n in _element_features(e)} | set(_place_features(around)))]
 
 
 class Field:
@@ -174,21 +216,45 @@ class Field:
 
     def __init__(self, names: dict[str, int], weights: np.ndarray, steps: np.ndarray):
         self.names, self.weights, self.steps = names, weights, steps  # (features, 2), (2, 2)
-        self.cache: dict = {}
+        self.root = Around()
+
+    def __getstate__(self) -> dict:
+        return {"names": self.names, "weights": self.weights, "steps": self.steps}
+
+    def __setstate__(self, state: dict) -> None:
+        self.__init__(**state)
+
+    def tree(self) -> Around:
+        """The root below which pages' blocks are put; a new one when the tree has grown large."""
+        if self.root.tree[0] > 20_000:
+            self.root = Around()
+        return self.root
 
     def _sum(self, names: list[str]) -> float:
         return sum(float(self.weights[k, 1] - self.weights[k, 0]) for n in names if (k := self.names.get(n)) is not None)
 
+    def _around(self, node: Around) -> float:
+        """What an element and those around it add to a block's score. Each node adds what its ancestors have not got, so a deep page takes work in proportion."""
+        way = []
+        while node.known is None and node.parent is not None:
+            way.append(node)
+            node = node.parent
+        if node.known is None:
+            node.known, node.sum = (frozenset(), "none", False), self._sum(["always"])
+        for inner in reversed(way):
+            (names, near, inside), tag = node.known, inner.element[0]
+            new = {n for n in _element_features(inner.element) if n in self.names and n not in names}
+            inner.known = (names | new if new else names, tag if tag in _NEAR else near, inside or tag in ("article", "main"))
+            inner.sum = node.sum + self._sum(sorted(new))
+            node = inner
+        if node.score is None:
+            _, near, inside = node.known
+            node.score = node.sum + self._sum(["own:" + node.element[0]] * bool(node.element) + ["near:" + near] + ["inside"] * inside)
+        return node.score
+
     def scores(self, page: list[tuple]) -> list[float]:
         """By how much label 1 beats label 0, block by block, without its neighbours."""
-        out = []
-        for text, around, links in page:
-            if around not in self.cache:
-                if len(self.cache) > 20_000:
-                    self.cache.clear()
-                self.cache[around] = self._sum(["always", *_around_features(around)])
-            out.append(self.cache[around] + self._sum(_text_features(text, links)))
-        return out
+        return [self._around(around) + self._sum(_text_features(text, links)) for text, around, links in page]
 
     def decode(self, page: list[tuple]) -> list[int]:
         """The likeliest labels (Viterbi); ties go to label 0."""
@@ -274,7 +340,7 @@ def label_blocks(page: str, text: str) -> tuple[list[tuple], list[int]]:
 
 
 def main_text(page: str | None, field: Field) -> str:
-    found = blocks(page)
+    found = blocks(page, field.tree())
     return "\n\n".join(b[0] for b, y in zip(found, field.decode(found), strict=True) if y)
 
 

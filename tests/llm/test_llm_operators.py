@@ -892,3 +892,35 @@ def test_repeated_words_take_time_in_proportion(item):
         began = time.time()
         decontaminate.tiles(item, text)
         assert time.time() - began < 20
+
+
+# ---- pages that are nested deeply or left open
+
+
+@pytest.mark.parametrize("part", ["<div>", "<div>x ", "<ul><li>x", "<table><tr><td>x", "<div class='c%d'>y"])
+def test_deep_pages_take_time_in_proportion(field, part):
+    page = "".join(part.replace("%d", str(i)) for i in range(1_000_000 // (len(part) + 3)))
+    began = time.time()
+    found = html.blocks(page, field.tree())
+    field.decode(found)
+    assert time.time() - began < 60
+    assert len(found) == (0 if part == "<div>" else page.count("x") + page.count("y"))
+
+
+def test_scores_are_those_of_the_listed_features(field):
+    for h, _ in html.labelled_pages(30, seed=11):
+        page = html.blocks(h, field.tree())
+        want = [sum(field.weights[k, 1] - field.weights[k, 0] for n in html.features(b) if (k := field.names.get(n)) is not None) for b in page]
+        assert np.allclose(field.scores(page), want)
+
+
+def test_elements_that_are_left_open_and_images_in_words():
+    def texts(page):
+        return [b[0] for b in html.blocks(page)]
+
+    assert texts("<p>one <svg><path d='x'><p>two</p><div>three</div>") == ["one", "two", "three"]
+    assert texts("<p>a <svg><g><text>no</text></g></svg>b</p>") == ["a b"]
+    assert texts("<select><option>one</select>x<p>y <select><option>q<p>end") == ["x", "y", "q", "end"]
+    assert texts("<select><option>1<select><option>2</select>z") == ["z"]
+    assert texts("<p>wo<img src='i'>rd a<input>b one<br>two<wbr>three") == ["word ab one twothree"]
+    assert texts("<script>if (a) { <p>no</p>") == []
