@@ -3,13 +3,15 @@
 A shard table is a folder::
 
     data/<batch>/part-*.parquet     shards, never changed
-    manifest/v00000001/             a version: one row per shard (Parquet, written by Spark)
-    manifest/v00000001.committed    the version counts once this file exists
-
-A version is written aside. A writer claims its number by creating
-``v00000001.claim``, which fails if the file is there, and makes it count by renaming
-that file: of two writers one wins and the other commits its shards on top of the
-winner's version. A claim older than ``CLAIM_SECONDS`` is of a writer that died, and the next one takes it away.
+    manifest/m-<id>/                a manifest: one row per shard (Parquet, written by Spark), never moved
+    manifest/v00000001              a version: the manifest that it names, and the version on which it rests
+
+Nothing that counts is ever moved or deleted by a commit. A writer takes a version's number by creating its file, which
+fails if it is there, looks whether the last version is still the one on which it rests, and
+writes the file's line. The last version with a line is the head; versions count if the head rests on them. A
+writer that stalls between the two steps is passed by: others take the next number on top of what
+counts, and when it goes on it finds that the head does not rest on its version and commits again. It is enough that the
+store creates a file for one writer alone and shows a closed file to all; a store without that is not supported.
 Arrivals are appended as small shards. Compaction sorts shards into tiers by size;
 a tier with ``fanout`` shards or more is read and written again as files of the
 target size, up to ``MERGE_SHARDS`` of them at a time, and the next version names those instead. Rows pass through Spark's
@@ -37,12 +39,14 @@ FANOUT = 4
 TIER_FACTOR = 4
 #: Most shards of a tier that are merged at a time.
 MERGE_SHARDS = 10_000
-#: Age at which a claim counts as left by a writer that died; far over the time of a rename.
+#: How long a writer waits for one that has taken a higher number to write its line, before it takes a number above it.
 CLAIM_SECONDS = 600
 #: Tries of a commit before a writer gives up, with growing waits between.
 TRIES = 20
 #: Manifests of up to this many shards (some 60 MB) are sent to all executors to tell which rows count; larger ones are joined by shuffle.
 BROADCAST_SHARDS = 500_000
+#: In place of a manifest's name: the writer has stepped back.
+VOID = "void"
 _SHARDS = "shard string, rows long, bytes long, version long"
 
 
@@ -66,47 +70,95 @@ class ShardTable:
     def _fs(self):
         return self._path().getFileSystem(self.spark._jsc.hadoopConfiguration())
 
+    def _versions(self) -> dict[int, tuple[str, int] | None]:
+        """Numbers that are taken, each with the manifest's name and the version on which it rests; None as long as (or if never) its line is written."""
+        fs, folder = self._fs(), self._path("manifest")
+        files = [f for f in (fs.listStatus(folder) if fs.exists(folder) else []) if f.isFile() and f.getPath().getName().startswith("v")]
+        out: dict[int, tuple[str, int] | None] = {}
+        for number in sorted(int(f.getPath().getName()[1:]) for f in files):
+            name, _, base = self._line(number).partition(" ")
+            out[number] = (name, int(base)) if base.endswith("\n") and name != VOID else None
+        return out
+
+    def _line(self, number: int) -> str:
+        fs, path = self._fs(), self._path("manifest", f"v{number:08d}")
+        try:
+            stream = fs.open(path)
+        except Py4JJavaError:  # an old version that has just been dropped
+            return ""
+        try:
+            return bytes(stream.readAllBytes()).decode()
+        finally:
+            stream.close()
+
+    @staticmethod
+    def _chain(versions: dict[int, tuple[str, int] | None]) -> list[int]:
+        """The head and the versions on which it rests, newest first."""
+        at = max((n for n, x in versions.items() if x), default=0)
+        out = []
+        while at and versions.get(at):
+            out.append(at)
+            at = versions[at][1]
+        return out
+
     def version(self) -> int:
         """The last version that counts; 0 before the first."""
-        fs, folder = self._fs(), self._path("manifest")
-        if not fs.exists(folder):
-            return 0
-        names = [f.getPath().getName() for f in fs.listStatus(folder)]
-        return max((int(n[1:9]) for n in names if n.endswith(".committed")), default=0)
+        return next(iter(self._chain(self._versions())), 0)
 
     def manifest(self, version: int | None = None) -> DataFrame:
         """Shards of a version: shard (path below data/), rows, bytes, version (in which it came)."""
-        version = self.version() if version is None else version
+        versions = self._versions()
+        version = next(iter(self._chain(versions)), 0) if version is None else version
         if not version:
             return self.spark.createDataFrame([], _SHARDS)
-        return self.spark.read.schema(_SHARDS).parquet(f"{self.root}/manifest/v{version:08d}")
+        if not versions.get(version):
+            raise ValueError(f"no version {version}")
+        return self.spark.read.schema(_SHARDS).parquet(f"{self.root}/manifest/{versions[version][0]}")
 
-    def commit(self, base: int, shards: DataFrame) -> int:
-        """Make ``shards`` the version after ``base``, or raise Conflict."""
-        name = f"v{base + 1:08d}"
-        aside = f"{self.root}/manifest/_{uuid.uuid4().hex}"
-        shards.coalesce(1).write.parquet(aside)
-        fs, place, claim = self._fs(), self._path("manifest", name), self._path("manifest", f"{name}.claim")
-        done, written = self._path("manifest", f"{name}.committed"), self._path("manifest", aside.rpartition("/")[2])
+    def _take(self) -> tuple[int, object]:
+        """The number above all that are taken, for this writer alone, and the open file; Conflict if another one is quicker."""
+        number = max(self._versions(), default=0) + 1
         try:
-            fs.create(claim, False).close()  # fails while another writer holds it
+            return number, self._fs().create(self._path("manifest", f"v{number:08d}"), False)
         except Py4JJavaError as e:
-            fs.delete(written, True)
-            self._drop_dead(claim)
-            raise Conflict(name) from e
-        if fs.exists(done):  # the other writer has been through already
-            fs.delete(written, True)
-            fs.delete(claim, False)
-            raise Conflict(name)
-        fs.delete(place, True)  # of a writer that died before its version counted
-        fs.rename(written, place)
-        fs.rename(claim, done)  # from here on the version counts
-        return base + 1
-
-    def _drop_dead(self, claim) -> None:
-        fs = self._fs()
-        if fs.exists(claim) and fs.getFileStatus(claim).getModificationTime() < (time.time() - self.claim_seconds) * 1000:
-            fs.delete(claim, False)
+            raise Conflict(f"version {number} was taken") from e
+
+    def _write(self, file, name: str, base: int) -> None:
+        """The line of a version; a store shows it once the file is closed."""
+        file.write(bytearray(f"{name} {base}\n".encode()))
+        file.close()
+
+    def commit(self, base: int, shards: DataFrame) -> int:
+        """Make ``shards`` the version after ``base``; its number. Conflict if another one counts by then."""
+        name = f"m-{uuid.uuid4().hex}"
+        shards.coalesce(1).write.parquet(f"{self.root}/manifest/{name}")
+        try:
+            return self._count(name, base)
+        except Conflict:
+            self._fs().delete(self._path("manifest", name), True)
+            raise
+
+    def _count(self, name: str, base: int) -> int:
+        number, file = self._take()
+        if self.version() != base:  # read after the number was taken: who writes later than this sees the number
+            self._write(file, VOID, base)
+            raise Conflict(f"version {base} is not the last one")
+        self._write(file, name, base)
+        # who took a higher number before that line was there may rest on something else
+        until = time.time() + self.claim_seconds
+        while True:
+            versions = self._versions()
+            chain = self._chain(versions)
+            higher = [n for n in versions if n > number and not self._line(n).endswith("\n")]
+            if chain and chain[0] > number:
+                if number in chain:
+                    return number
+                raise Conflict(f"version {chain[0]} does not rest on version {number}")
+            if not higher:
+                return number
+            if time.time() > until:  # its writer is dead or stalls: a version above it settles the matter
+                return self._count(name, number)
+            time.sleep(0.05)
 
     def _commit_next(self, shards: Callable[[int], DataFrame | None]) -> int | None:
         """Commit what ``shards`` makes of the last version, on top of whatever others commit meanwhile; None once it makes nothing of it."""
@@ -155,7 +207,10 @@ class ShardTable:
         if not n:
             return self.spark.createDataFrame([], f"{schema}, shard string" if schema else "shard string")
         reader = self.spark.read.option("recursiveFileLookup", "true")
-        rows = (reader.schema(schema) if schema else reader).parquet(f"{self.root}/data")
+        # only batches that the version names are listed and scanned, unless they are very many
+        batches = [r[0] for r in names.select(F.substring_index("__shard", "/", 1)).distinct().limit(MERGE_SHARDS + 1).collect()]
+        folders = [f"{self.root}/data/{b}" for b in sorted(batches)] if len(batches) <= MERGE_SHARDS else [f"{self.root}/data"]
+        rows = (reader.schema(schema) if schema else reader).parquet(*folders)
         rows = rows.select("*", F.element_at(F.split("_metadata.file_path", "/data/"), -1).alias("shard"))
         return rows.join(F.broadcast(names) if n <= BROADCAST_SHARDS else names, F.col("shard") == F.col("__shard"), "left_semi")
 
@@ -198,26 +253,29 @@ class ShardTable:
         return batch, [r["shard"] for r in rows]
 
     def vacuum(self, keep: int = 1) -> int:
-        """Delete shards that none of the last ``keep`` versions names, the older versions, and dead claims; returns how many shards.
+        """Delete shards that none of the last ``keep`` versions names, and the manifests and versions before them; returns how many shards.
 
         Not to be run while a writer appends or compacts: its shards have no version yet.
         Names pass through the driver ``MERGE_SHARDS`` at a time.
         """
-        last, fs, folder = self.version(), self._fs(), self._path("manifest")
-        for f in fs.listStatus(folder) if fs.exists(folder) else []:
-            if f.getPath().getName().endswith(".claim"):
-                self._drop_dead(f.getPath())
+        fs, folder, versions = self._fs(), self._path("manifest"), self._versions()
+        kept = self._chain(versions)[:keep]
         named = self.spark.createDataFrame([], "shard string")
-        for v in range(max(1, last - keep + 1), last + 1):
+        for v in kept:
             named = named.unionByName(self.manifest(v).select("shard"))
         files, n = self._files("data"), 0
         while some := [p.toString().rpartition("/data/")[2] for p in islice(files, MERGE_SHARDS)]:
             dead = self.spark.createDataFrame([(x,) for x in some], "shard string").join(named, "shard", "left_anti")
             for r in dead.collect():
                 n += fs.delete(self._path("data", r["shard"]), False)
-        for v in range(1, last - keep + 1):
-            for name in (f"v{v:08d}.committed", f"v{v:08d}"):
-                fs.delete(self._path("manifest", name), True)
+        keeps = {versions[v][0] for v in kept}
+        for f in fs.listStatus(folder) if kept else []:
+            name = f.getPath().getName()
+            if name.startswith("m-") and name not in keeps:
+                fs.delete(f.getPath(), True)
+        for v in versions:
+            if kept and v < kept[-1]:
+                fs.delete(self._path("manifest", f"v{v:08d}"), False)
         return n
 
 
