@@ -147,13 +147,17 @@ WRITES = ["insert", "update", "delete", "drop", "alter", "create", "truncate", "
 
 
 def guard_read_only(sql: str) -> str:
-    """The statement without comments, or ValueError if it is not one that only reads."""
+    """The statement without comments, or ValueError if it is not one that only reads tables; it may not call Java methods or name files."""
     bare = re.sub(r"/\*.*?\*/", " ", re.sub(r"--[^\n]*", " ", sql), flags=re.S).strip().rstrip(";").strip()
     outside = re.sub(r"'(?:[^']|'')*'|\"[^\"]*\"|`[^`]*`", "''", bare)
     if ";" in outside:
         raise ValueError("one statement at a time")
     if not re.match(r"(select|with|show|describe|desc|explain)\b", outside, re.I):
         raise ValueError("only statements that read are allowed")
+    if found := re.search(r"\b(reflect|try_reflect|java_method)\s*\(", outside, re.I):
+        raise ValueError(f"{found[1].upper()} is not allowed")
+    if re.search(r"\b(parquet|orc|csv|json|text|xml|avro|binaryfile|workbook)\s*\.\s*`", bare, re.I):
+        raise ValueError("files are not allowed as tables")
     if found := re.search(r"\b(" + "|".join(WRITES) + r")\b", outside, re.I):
         raise ValueError(f"{found[1].upper()} is not allowed")
     return bare

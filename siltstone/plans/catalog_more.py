@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -54,10 +55,14 @@ def load_by_name(spark, sf_dir):
     return files.load(spark, f"{sf_dir}/region.parquet").select("r_regionkey", "r_name")
 
 
-@registered("""WITH r AS (SELECT i, CASE WHEN i = 30 THEN 10 ELSE i END AS k FROM range(51) t(i))
-SELECT printf('C-%04d', k) AS customer_id, ['Basic', 'Pro ', 'Enterprise'][k % 3 + 1] AS tier, CASE WHEN k % 11 <> 5 THEN 20.0 + k * 1.5 END::DOUBLE AS monthly_charge, CASE WHEN k % 13 <> 7 THEN k % 5 END::BIGINT AS support_tickets FROM r UNION ALL SELECT NULL, NULL, NULL, NULL""")
+@registered("""WITH r AS (SELECT i, CASE WHEN i = 30 THEN 10 ELSE i END AS k FROM range(51) t(i)),
+s AS (SELECT printf('C-%04d', k) AS customer_id, k, ['Basic', 'Pro ', 'Enterprise'][k % 3 + 1] AS tier, CASE WHEN k % 11 <> 5 THEN 20.0 + k * 1.5 END::DOUBLE AS monthly_charge, CASE WHEN k % 13 <> 7 THEN k % 5 END::BIGINT AS support_tickets FROM r UNION ALL SELECT NULL, NULL, NULL, NULL, NULL)
+SELECT customer_id, tier, monthly_charge, support_tickets, count(o_orderkey) AS orders FROM s LEFT JOIN orders ON o_custkey % 50 = k GROUP BY ALL""")
 def sample_table(spark, sf_dir):
-    return sample.churn(spark).select("customer_id", "tier", F.col("monthly_charge").cast("double"), F.col("support_tickets").cast("long"))
+    """The sample's rows, each with the orders of the customers whose number ends in its own."""
+    rows = sample.churn(spark).select("customer_id", "tier", F.col("monthly_charge").cast("double"), F.col("support_tickets").cast("long"), F.regexp_extract("customer_id", r"(\d+)$", 1).try_cast("int").alias("k"))
+    orders = _t(spark, sf_dir, "orders").select((F.col("o_custkey") % 50).alias("k"), "o_orderkey")
+    return rows.join(orders, "k", "left").groupBy("customer_id", "tier", "monthly_charge", "support_tickets").agg(F.count("o_orderkey").alias("orders"))
 
 
 @registered("SELECT n_nationkey::BIGINT AS doc_id, 0 AS \"table\", 3 AS start_line, 8 AS end_line, true AS has_header, 'Name/Key/Share' AS columns, 'text/number/number' AS types, 3::BIGINT AS n, 1 AS repeated_headers, n_name || '/' || n_nationkey || '/-1.5' AS first_row FROM nation")
@@ -76,14 +81,30 @@ def text_without_tables(spark, sf_dir):
     return text_tables.prose(_t(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long").alias("doc_id"), body.alias("text")), "doc_id", "text")
 
 
-@registered(_said([("1,234.50", "1234.5"), ("(5)", "-5.0"), ("12%", "12.0"), ("2026-01-15", ""), ("15/01/2026", ""), ("Room 12", ""), ("", "")]))
+@registered("""SELECT o_orderkey, CASE o_orderkey % 7 WHEN 0 THEN o_custkey WHEN 1 THEN -o_custkey WHEN 2 THEN o_custkey + 0.5 WHEN 3 THEN o_orderkey END::DOUBLE AS value FROM orders""")
 def text_cell_numbers(spark, sf_dir):
-    return _texts(spark, [(x, "" if (v := text_tables.cell_number(x)) is None else str(v)) for x in ("1,234.50", "(5)", "12%", "2026-01-15", "15/01/2026", "Room 12", "")])
+    """Numbers that cells of text tables show, for every order: with signs, in brackets, in percent; none for dates, words and blanks."""
+    k, c = F.col("o_orderkey") % 7, F.col("o_custkey")
+    cell = F.when(k == 0, F.concat(F.lit(" $"), F.format_number(c, 2))).when(k == 1, F.concat(F.lit("("), c, F.lit(")"))).when(k == 2, F.concat(c, F.lit(".5 %"))).when(k == 3, F.format_number("o_orderkey", 0)).when(k == 4, F.date_format("o_orderdate", "yyyy-MM-dd")).when(k == 5, F.concat(F.lit("Room "), c)).otherwise(" ")
 
+    @F.pandas_udf("double")
+    def shown(texts: pd.Series) -> pd.Series:
+        return texts.map(text_tables.cell_number)
 
-@registered(_said([("a.csv", "CSV"), ("Query 1", "Query result"), ("a.csv + b.csv", "Joined data"), ("x", "Table")]))
+    return _t(spark, sf_dir, "orders").select("o_orderkey", shown(cell).alias("value"))
+
+
+@registered("""SELECT p_partkey, CASE p_partkey % 8 WHEN 0 THEN 'CSV' WHEN 1 THEN 'Query result' WHEN 2 THEN 'Joined data' WHEN 3 THEN 'Workbook' WHEN 4 THEN 'JSON' WHEN 5 THEN 'Text' WHEN 6 THEN 'TSV' ELSE 'Table' END AS kind FROM part""")
 def source_kinds(spark, sf_dir):
-    return _texts(spark, [(x, files.source_kind(x)) for x in ("a.csv", "Query 1", "a.csv + b.csv", "x")])
+    """What datasets named after every part come from, by their names."""
+    k, name = F.col("p_partkey") % 8, F.lower("p_name")
+    made = F.when(k == 0, F.concat(name, F.lit(".CSV"))).when(k == 1, F.concat(F.lit("Query "), name)).when(k == 2, F.concat(name, F.lit(".csv + b.csv"))).when(k == 3, F.concat(name, F.lit(".xlsx"))).when(k == 4, F.concat(name, F.lit(".jsonl"))).when(k == 5, F.concat(name, F.lit(".txt"))).when(k == 6, F.concat(name, F.lit(".tsv"))).otherwise(name)
+
+    @F.pandas_udf("string")
+    def kind(found: pd.Series) -> pd.Series:
+        return found.map(files.source_kind)
+
+    return _t(spark, sf_dir, "part").select("p_partkey", kind(made).alias("kind"))
 
 
 # ---- queries
@@ -312,10 +333,18 @@ def semantics(spark, sf_dir):
     return _texts(spark, [("measures", "|".join(s.measures)), ("dimensions", "|".join(sorted(s.dimensions))), ("date", s.date or ""), ("revenue", s.roles.get("revenue", "")), ("currency", s.currency or "none")])
 
 
-@registered(_said([("L_ExtendedPrice", "l extended price|L Extended Price"), ("categoryKey", "category key|Category"), ("order-id", "order id|Order"), ("x", "xes"), ("city", "cities"), ("day", "days")]))
+@registered(r"""WITH w AS (SELECT DISTINCT unnest(string_split(lower(p_name), ' ')) AS w FROM part), x AS (SELECT w, upper(w[1]) || w[2:] AS t FROM w WHERE regexp_full_match(w, '[a-z]+'))
+SELECT w AS word, 'l ' || w || ' key' AS spaced, 'L ' || t AS title, CASE WHEN regexp_matches(w, '(s|x|z|ch|sh)$') THEN w || 'es' WHEN regexp_matches(w, '[^aeiou]y$') THEN w[:-2] || 'ies' ELSE w || 's' END AS plural FROM x""")
 def name_labels(spark, sf_dir):
-    rows = [("L_ExtendedPrice", names.spaced("L_ExtendedPrice") + "|" + names.title("L_ExtendedPrice")), ("categoryKey", names.spaced("categoryKey") + "|" + names.title("categoryKey", True)), ("order-id", names.spaced("order-id") + "|" + names.title("order-id", True))]
-    return _texts(spark, rows + [(w, names.plural(w)) for w in ("x", "city", "day")])
+    """Column names made of every word of the parts' names: small words, label without an id word at its end, plural."""
+
+    @F.pandas_udf("spaced string, title string, plural string")
+    def labels(words: pd.Series) -> pd.DataFrame:
+        made = [f"l_{w}Key" for w in words]
+        return pd.DataFrame({"spaced": [names.spaced(m) for m in made], "title": [names.title(m, True) for m in made], "plural": [names.plural(w) for w in words]})
+
+    words = _t(spark, sf_dir, "part").select(F.explode(F.split(F.lower("p_name"), " ")).alias("word")).distinct().filter(F.col("word").rlike("^[a-z]+$"))
+    return words.select("word", labels("word").alias("x")).select("word", "x.*")
 
 
 @registered("SELECT 'rows' AS name, count(*)::DOUBLE AS value FROM orders UNION ALL SELECT 'p25', quantile_cont(o_totalprice, 0.25) FROM orders UNION ALL SELECT 'slope', round(regr_slope(n, i), 6) FROM (SELECT count(*) AS n, row_number() OVER (ORDER BY year(o_orderdate)) AS i FROM orders GROUP BY year(o_orderdate)) UNION ALL SELECT 'r2', round(regr_r2(n, i), 6) FROM (SELECT count(*) AS n, row_number() OVER (ORDER BY year(o_orderdate)) AS i FROM orders GROUP BY year(o_orderdate))")
@@ -422,15 +451,24 @@ def period_close(spark, sf_dir):
     return spark.createDataFrame([(x["match"], len(x["applied"]), bool(x["changes"]), periods.similarity(shape, shape), x["df"].count())], "match string, applied int, told boolean, same int, n long")
 
 
-@registered(_said([("Sales report", "1030"), ("Report archive", "800"), ("Weekly", "260")]))
+@registered("""WITH t AS (SELECT p_name AS label, CASE p_partkey % 3 WHEN 0 THEN 'page' WHEN 1 THEN 'chart' ELSE 'other' END AS kind, CASE WHEN p_partkey % 2 = 0 THEN 'the RED one' END AS keywords FROM part),
+s AS (SELECT *, CASE WHEN lower(label) = 'red' THEN 1000 WHEN starts_with(lower(label), 'red') THEN 800 WHEN regexp_matches(lower(label), '\bred') THEN 600 WHEN contains(lower(label), 'red') THEN 400 WHEN contains(lower(keywords), 'red') THEN 250 WHEN regexp_matches(lower(label), 'r.*e.*d') THEN 100 END + CASE kind WHEN 'page' THEN 30 WHEN 'chart' THEN 10 ELSE 0 END AS score FROM t)
+SELECT score, count(*) AS n FROM (SELECT * FROM s WHERE score IS NOT NULL ORDER BY score DESC, length(label), label LIMIT 200) GROUP BY 1""")
 def workspace_find(spark, sf_dir):
-    things = spark.createDataFrame([("Report archive", "other", ""), ("Weekly", "chart", "sales report"), ("Sales report", "page", ""), ("nothing", "page", "")], "label string, kind string, keywords string")
-    hits = workflow.find(things, "Sales report").select("label", "score").unionByName(workflow.find(things.filter("label like 'Report%'"), "report").select("label", "score"))
-    return hits.select(F.col("label").alias("name"), F.col("score").cast("string").alias("value"))
+    """How the 200 best matches among all parts score, by label, keyword and kind."""
+    k = F.col("p_partkey")
+    things = _t(spark, sf_dir, "part").select(F.col("p_name").alias("label"), F.when(k % 3 == 0, "page").when(k % 3 == 1, "chart").otherwise("other").alias("kind"), F.when(k % 2 == 0, "the RED one").alias("keywords"))
+    return workflow.find(things, "Red", 200).groupBy("score").agg(F.count("*").alias("n"))
 
 
-@registered("SELECT 'md' AS name, '## A' || chr(10) || chr(10) || '- x \\\\| y' || chr(10) AS value UNION ALL SELECT 'html', '<h2>A</h2><ul><li>x | y</li></ul>' UNION ALL SELECT 'txt', 'A' || chr(10) || '  x | y' || chr(10) UNION ALL SELECT 'file', 'my-orders.html'".replace("\\\\", "\\"))
+@registered(r"""WITH r AS (SELECT r_regionkey, r_name || ' | ' || count(n_nationkey) || ' <b>' AS line FROM region LEFT JOIN nation ON n_regionkey = r_regionkey GROUP BY 1, r_name)
+SELECT 'md' AS name, '## Regions' || chr(10) || chr(10) || string_agg('- ' || replace(line, '|', '\|'), chr(10) ORDER BY r_regionkey) || chr(10) AS value FROM r
+UNION ALL SELECT 'html', '<h2>Regions</h2><ul>' || string_agg('<li>' || replace(replace(line, '<', '&lt;'), '>', '&gt;') || '</li>', '' ORDER BY r_regionkey) || '</ul>' FROM r
+UNION ALL SELECT 'txt', 'REGIONS' || chr(10) || string_agg('  ' || line, chr(10) ORDER BY r_regionkey) || chr(10) FROM r UNION ALL SELECT 'file', 'my-regions.html'""".replace("'\\\\|'", "'\\|'"))
 def report_formats(spark, sf_dir):
-    sections = [("A", ["x | y"]), ("B", ["<b>"])]
+    """A section on the regions and their nations in three formats; one that is left out."""
+    nations = _t(spark, sf_dir, "nation").groupBy(F.col("n_regionkey").alias("r_regionkey")).agg(F.count("*").alias("n"))
+    rows = _t(spark, sf_dir, "region").join(nations, "r_regionkey", "left").orderBy("r_regionkey").select(F.concat("r_name", F.lit(" | "), F.coalesce("n", F.lit(0)), F.lit(" <b>")).alias("line")).collect()
+    sections = [("Regions", [r["line"] for r in rows]), ("B", ["not shown"])]
     page = report.html(sections, "t", frozenset(["B"]))
-    return _texts(spark, [("md", report.markdown(sections, frozenset(["B"]))), ("html", page[page.index("<h2>") : page.index("</body>")]), ("txt", report.text(sections, frozenset(["B"]))), ("file", report.file_name("My orders.csv", "html"))])
+    return _texts(spark, [("md", report.markdown(sections, frozenset(["B"]))), ("html", page[page.index("<h2>") : page.index("</body>")]), ("txt", report.text(sections, frozenset(["B"]))), ("file", report.file_name("My regions.csv", "html"))])
