@@ -72,25 +72,38 @@ def sum_by(df: DataFrame, category: str, measure: str) -> DataFrame:
     return df.select(key.alias("name"), n.alias("n")).filter((F.col("name") != "") & F.col("n").isNotNull()).groupBy("name").agg(F.sum("n").alias("value"))
 
 
-def aggregate_by(df: DataFrame, category: str, measure: str | None, kind: str = "sum") -> DataFrame:
-    """name, value for sum, avg, count, min or max; sums and averages to two places."""
-    key = cells.trim(col(category)).alias("name")
+def aggregate_by(df: DataFrame, category: str, measure: str | None, kind: str = "sum", first: bool = False) -> DataFrame:
+    """name, value for sum, avg, count, min or max; sums and averages to two places. With ``first`` also the row in which the name stands first."""
+    key, at = cells.trim(col(category)).alias("name"), [F.col(ROW)] * first
+    also = [F.min(ROW).alias("first")] * first
     if kind == "count" or measure is None:
-        return df.select(key).filter("name != ''").groupBy("name").agg(F.count("*").cast("double").alias("value"))
-    rows = df.select(key, numeric(df, measure).alias("n")).filter("name != '' and n is not null")
+        return df.select(key, *at).filter("name != ''").groupBy("name").agg(F.count("*").cast("double").alias("value"), *also)
+    rows = df.select(key, numeric(df, measure).alias("n"), *at).filter("name != '' and n is not null")
     value = {"sum": F.round(F.sum("n"), 2), "avg": F.round(F.avg("n"), 2), "min": F.min("n"), "max": F.max("n")}[kind]
-    return rows.groupBy("name").agg(value.alias("value"))
+    return rows.groupBy("name").agg(value.alias("value"), *also)
 
 
 def top_with_other(counts: DataFrame, n: int, other: str = "Other") -> DataFrame:
-    """The ``n`` largest of (name, value), ties by name, and the sum of the rest under one name."""
-    top = counts.orderBy(F.desc("value"), "name").limit(n)
+    """The ``n`` largest of (name, value), ties by first row if ``counts`` has it, else by name, and the sum of the rest under one name."""
+    top = counts.orderBy(F.desc("value"), "first" if "first" in counts.columns else "name", "name").limit(n)
     rest = counts.join(top.select("name"), "name", "left_anti").agg(F.sum("value").alias("value")).filter("value is not null")
     return top.select("name", "value").unionByName(rest.select(F.lit(other).alias("name"), "value"))
 
 
-def histogram(df: DataFrame, name: str, bins: int = 10) -> DataFrame:
-    """bin, low, high, n of equal bins over what shows a number; the last is closed, empty ones are kept; a constant column has one."""
+def _edge(x: Column) -> Column:
+    """An edge of a bin as a label has it: from 1,000 on whole with separators, else to one place."""
+    return F.when(F.abs(x) >= 1000, F.format_number(F.round(x), 0)).otherwise(F.regexp_replace(F.format_number(F.round(x, 1), 1), r"\.0$", ""))
+
+
+def labelled_histogram(df: DataFrame, name: str, bins: int = 10) -> DataFrame:
+    """label (``low–high``), n of exactly ``bins`` equal bins, in order; a constant column has one, labelled by its value."""
+    found = histogram(df, name, bins, always=True)
+    label = F.when(F.col("low") == F.col("high"), F.regexp_replace(F.col("low").cast("string"), r"\.0$", "")).otherwise(F.concat(_edge(F.col("low")), F.lit("–"), _edge(F.col("high"))))
+    return found.orderBy("bin").select(label.alias("label"), "n")
+
+
+def histogram(df: DataFrame, name: str, bins: int = 10, always: bool = False) -> DataFrame:
+    """bin, low, high, n of equal bins over what shows a number, no more than values (at least 3) unless ``always``; the last is closed, empty ones are kept; a constant column has one."""
     v = df.select(numeric(df, name).alias("v")).filter("v is not null")
     low, high, n = v.agg(F.min("v"), F.max("v"), F.count("*")).first()
     spark = df.sparkSession
@@ -98,7 +111,7 @@ def histogram(df: DataFrame, name: str, bins: int = 10) -> DataFrame:
         return spark.createDataFrame([], "bin int, low double, high double, n long")
     if low == high:
         return spark.createDataFrame([(0, low, high, n)], "bin int, low double, high double, n long")
-    k = min(bins, max(3, n))
+    k = bins if always else min(bins, max(3, n))
     width = (high - low) / k
     at = F.least(F.lit(k - 1), F.floor((F.col("v") - low) / width)).cast("int")
     counts = v.groupBy(at.alias("bin")).agg(F.count("*").alias("n"))

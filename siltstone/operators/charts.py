@@ -102,13 +102,23 @@ class Board:
     remarks: list[str]
 
 
-# Most charts and remarks of a board, and from what on a skew (%), a correlation and a move (%) are worth a remark.
-BOARD_CHARTS, REMARKS, SKEW, RELATED, MOVED = 12, 6, 25, 0.6, 10
+# Measures, most charts and remarks of a board, and from what on a skew (%), a correlation and a move (%) are worth a remark.
+BOARD_MEASURES, BOARD_CHARTS, REMARKS, SKEW, RELATED, MOVED = 2, 12, 6, 25, 0.6, 10
 
 
 def board(df: DataFrame, p: Profile, s: Semantics) -> Board:
-    """Rows, columns and sums of measures; the dashboard's charts and one for each further dimension; what is uneven, related or has moved."""
-    sums = df.agg(*(agg.sum_column(df, m).alias(m) for m in s.measures[:3])).first().asDict() if s.measures else {}
+    """Key figures; the dashboard's charts and one for each further dimension; what is uneven, related or has moved.
+
+    Rows, columns, the total of the two fullest and most varied measures with their mean and median, the first dimension's distinct values, health.
+    """
+    leading = sorted(s.measures, key=lambda m: (-p[m].completeness, -p[m].unique))[:BOARD_MEASURES]
+    sums = df.agg(*(agg.sum_column(df, m).alias(str(k)) for k, m in enumerate(leading))).first() if leading else []
+    figures = {"Rows": float(p.rows), "Columns": float(len(p.columns))}
+    for m, total in zip(leading, sums, strict=True):
+        figures |= {f"Total {m}": total, f"Average {m}": p[m].mean, f"Median {m}": p[m].median}
+    if s.dimensions:
+        figures[f"Distinct {s.dimensions[0]}"] = float(p[s.dimensions[0]].unique)
+    figures["Health"] = float(p.health["overall"])
     charts = dashboard(df, p, s)
     charts += [c for d in s.dimensions for c in [Chart("bar", d, None, agg="count")] if c not in charts]
     remarks = []
@@ -123,7 +133,7 @@ def board(df: DataFrame, p: Profile, s: Semantics) -> Board:
         last = agg.bucket_by_date(df, s.date, s.measures[0]).orderBy(F.desc("date")).limit(2).collect()
         if len(last) == 2 and last[1]["value"] and abs(move := (last[0]["value"] - last[1]["value"]) / abs(last[1]["value"]) * 100) >= MOVED:
             remarks.append(f"{s.measures[0]} {'rose' if move > 0 else 'fell'} by {abs(move):.1f} % in {last[0]['date']}.")
-    return Board({"Rows": float(p.rows), "Columns": float(len(p.columns)), **sums}, charts[:BOARD_CHARTS], remarks[:REMARKS])
+    return Board(figures, charts[:BOARD_CHARTS], remarks[:REMARKS])
 
 
 def pareto(sums: DataFrame, dimension: str, measure: str, share: float = 0.8) -> list[str]:
@@ -148,7 +158,7 @@ def series(df: DataFrame, p: Profile, chart: Chart) -> DataFrame:
         return pairs.orderBy(ROW).limit(POINTS).select("x", "y")
     if p[chart.x].type == "date":
         return agg.bucket_by_date(df, chart.x, chart.y, chart.agg if chart.y else "count").orderBy("date")
-    counts = agg.aggregate_by(df, chart.x, chart.y, chart.agg)
+    counts = agg.aggregate_by(df, chart.x, chart.y, chart.agg, first=ROW in df.columns)
     return agg.top_with_other(counts, SLICES if chart.type in ("pie", "doughnut") else CATEGORIES)
 
 

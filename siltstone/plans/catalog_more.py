@@ -376,7 +376,8 @@ def cross_filter(spark, sf_dir):
     return agg.aggregate_by(charts.apply_filters(_t(spark, sf_dir, "orders"), chosen), "o_orderpriority", None, "count")
 
 
-@registered("SELECT 'Rows' AS name, count(*)::DOUBLE AS value FROM orders UNION ALL SELECT 'Columns', 4 UNION ALL SELECT 'o_totalprice', round(sum(o_totalprice), 2) FROM orders")
+@registered("""WITH o AS (SELECT o_totalprice AS v, c_mktsegment AS s FROM orders JOIN customer ON o_custkey = c_custkey) SELECT 'Rows' AS name, count(*)::DOUBLE AS value FROM o UNION ALL SELECT 'Columns', 4 UNION ALL SELECT 'Total o_totalprice', round(sum(v), 2) FROM o
+UNION ALL SELECT 'Average o_totalprice', round(avg(v), 2) FROM o UNION ALL SELECT 'Median o_totalprice', round(median(v), 2) FROM o UNION ALL SELECT 'Distinct c_mktsegment', count(DISTINCT s) FROM o UNION ALL SELECT 'Health', 100""")
 def dashboard_board(spark, sf_dir):
     df = _sales(spark, sf_dir).select("o_orderdate", "o_totalprice", "c_mktsegment", "o_orderpriority").withColumn(q.ROW, F.monotonically_increasing_id())
     p = prof.profile(df)
@@ -472,3 +473,12 @@ def report_formats(spark, sf_dir):
     sections = [("Regions", [r["line"] for r in rows]), ("B", ["not shown"])]
     page = report.html(sections, "t", frozenset(["B"]))
     return _texts(spark, [("md", report.markdown(sections, frozenset(["B"]))), ("html", page[page.index("<h2>") : page.index("</body>")]), ("txt", report.text(sections, frozenset(["B"]))), ("file", report.file_name("My regions.csv", "html"))])
+
+
+@registered("""WITH v AS (SELECT o_totalprice / 100 AS v FROM orders), b AS (SELECT min(v) AS a, (max(v) - min(v)) / 10 AS w FROM v), e AS (SELECT i, a + i * w AS lo, a + (i + 1) * w AS hi FROM b, range(10) t(i)),
+c AS (SELECT least(9, floor((v - a) / w))::BIGINT AS i, count(*) AS n FROM v, b GROUP BY 1),
+l AS (SELECT i, CASE WHEN abs(lo) >= 1000 THEN format('{:,}', round(lo)::BIGINT) ELSE regexp_replace(printf('%.1f', round(lo, 1)), '\\.0$', '') END AS x, CASE WHEN abs(hi) >= 1000 THEN format('{:,}', round(hi)::BIGINT) ELSE regexp_replace(printf('%.1f', round(hi, 1)), '\\.0$', '') END AS y FROM e)
+SELECT x || '–' || y AS label, coalesce(n, 0)::BIGINT AS n FROM l LEFT JOIN c USING (i)""")
+def histogram_labels(spark, sf_dir):
+    """Ten bins of all orders' prices with their labels."""
+    return agg.labelled_histogram(_t(spark, sf_dir, "orders").select((F.col("o_totalprice") / 100).alias("v")), "v")
