@@ -275,28 +275,30 @@ class Field:
         return out[::-1]
 
 
-def train(pages: list[tuple[list[tuple], list[int]]], epochs: int = EPOCHS, rate: float = 0.5, decay: float = 1e-4) -> Field:
-    """Weights that make the labels of ``pages`` (blocks, labels) likely; all pages in every step (Adagrad)."""
-    pages = [(b, y) for b, y in pages if b]
-    names: dict[str, int] = {}
-    rows = [[[names.setdefault(n, len(names)) for n in features(x)] for x in b] for b, _ in pages]
-    longest = max(map(len, rows))
-    n = len(pages)
-    page_of = np.concatenate([np.full(sum(map(len, r)), i) for i, r in enumerate(rows)])
-    time_of = np.concatenate([np.repeat(np.arange(len(r)), list(map(len, r))) for r in rows])
-    name_of = np.concatenate([np.concatenate(r) for r in rows])
-    labels = np.full((n, longest), -1)
-    for i, (_, y) in enumerate(pages):
-        labels[i, : len(y)] = y
-    mask = labels >= 0
-    weights, steps = np.zeros((len(names), 2)), np.zeros((2, 2))
-    seen_w, seen_s = np.full_like(weights, 1e-6), np.full_like(steps, 1e-6)
-    truth = np.stack([labels == 0, labels == 1], axis=2).astype(float)
-    truth_steps = np.array([[((labels[:, :-1] == a) & (labels[:, 1:] == b)).sum() for b in (0, 1)] for a in (0, 1)], float)
-    for _ in range(epochs):
-        node = np.zeros((n, longest, 2))
+class Batch:
+    """Labelled pages (blocks, labels) as arrays; the likelihood of their labels and its gradient by forward-backward."""
+
+    def __init__(self, pages: list[tuple[list[tuple], list[int]]]):
+        pages = [(b, y) for b, y in pages if b]
+        self.names: dict[str, int] = {}
+        rows = [[[self.names.setdefault(n, len(self.names)) for n in features(x)] for x in b] for b, _ in pages]
+        self.n, self.longest = len(pages), max(map(len, rows))
+        self.page_of = np.concatenate([np.full(sum(map(len, r)), i) for i, r in enumerate(rows)])
+        self.time_of = np.concatenate([np.repeat(np.arange(len(r)), list(map(len, r))) for r in rows])
+        self.name_of = np.concatenate([np.concatenate(r) for r in rows])
+        labels = np.full((self.n, self.longest), -1)
+        for i, (_, y) in enumerate(pages):
+            labels[i, : len(y)] = y
+        self.mask = labels >= 0
+        self.truth = np.stack([labels == 0, labels == 1], axis=2).astype(float)
+        self.truth_steps = np.array([[((labels[:, :-1] == a) & (labels[:, 1:] == b)).sum() for b in (0, 1)] for a in (0, 1)], float)
+
+    def gradient(self, weights: np.ndarray, steps: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+        """Log-likelihood of all labels, its gradient by the weights (features, 2) and by the steps (2, 2)."""
+        mask, longest = self.mask, self.longest
+        node = np.zeros((self.n, longest, 2))
         for y in (0, 1):
-            np.add.at(node[:, :, y], (page_of, time_of), weights[name_of, y])
+            np.add.at(node[:, :, y], (self.page_of, self.time_of), weights[self.name_of, y])
         forward, backward = np.zeros_like(node), np.zeros_like(node)
         forward[:, 0] = node[:, 0]
         for t in range(1, longest):
@@ -307,22 +309,29 @@ def train(pages: list[tuple[list[tuple], list[int]]], epochs: int = EPOCHS, rate
             backward[:, t] = np.where(mask[:, t + 1, None], np.stack([np.logaddexp(steps[a, 0] + ahead[:, 0], steps[a, 1] + ahead[:, 1]) for a in (0, 1)], axis=1), 0)
         total = np.logaddexp(forward[:, -1, 0], forward[:, -1, 1])
         chance = np.exp(forward + backward - total[:, None, None]) * mask[:, :, None]
-        error = (truth - chance) * mask[:, :, None]
-        gradient = np.zeros_like(weights)
-        for y in (0, 1):
-            gradient[:, y] = np.bincount(name_of, error[page_of, time_of, y], len(names))
+        error = (self.truth - chance) * mask[:, :, None]
+        by_weights = np.stack([np.bincount(self.name_of, error[self.page_of, self.time_of, y], len(self.names)) for y in (0, 1)], axis=1)
         expected = np.zeros((2, 2))
-        pair = mask[:, 1:]
         for a in (0, 1):
             for b in (0, 1):
-                expected[a, b] = (np.exp(forward[:, :-1, a] + steps[a, b] + node[:, 1:, b] + backward[:, 1:, b] - total[:, None]) * pair).sum()
-        gradient = gradient / n - decay * weights
-        step_gradient = (truth_steps - expected) / n - decay * steps
+                expected[a, b] = (np.exp(forward[:, :-1, a] + steps[a, b] + node[:, 1:, b] + backward[:, 1:, b] - total[:, None]) * mask[:, 1:]).sum()
+        value = float((node * self.truth).sum() + (self.truth_steps * steps).sum() - total.sum())
+        return value, by_weights, self.truth_steps - expected
+
+
+def train(pages: list[tuple[list[tuple], list[int]]], epochs: int = EPOCHS, rate: float = 0.5, decay: float = 1e-4) -> Field:
+    """Weights that make the labels of ``pages`` (blocks, labels) likely; all pages in every step (Adagrad)."""
+    batch = Batch(pages)
+    weights, steps = np.zeros((len(batch.names), 2)), np.zeros((2, 2))
+    seen_w, seen_s = np.full_like(weights, 1e-6), np.full_like(steps, 1e-6)
+    for _ in range(epochs):
+        _, by_weights, by_steps = batch.gradient(weights, steps)
+        gradient, step_gradient = by_weights / batch.n - decay * weights, by_steps / batch.n - decay * steps
         seen_w += gradient**2
         seen_s += step_gradient**2
         weights += rate * gradient / np.sqrt(seen_w)
         steps += rate * step_gradient / np.sqrt(seen_s)
-    return Field(names, weights, steps)
+    return Field(batch.names, weights, steps)
 
 
 def label_blocks(page: str, text: str) -> tuple[list[tuple], list[int]]:

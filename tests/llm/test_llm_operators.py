@@ -963,3 +963,28 @@ def test_elements_that_are_left_open_and_images_in_words():
     assert texts("<select><option>1<select><option>2</select>z") == ["z"]
     assert texts("<p>wo<img src='i'>rd a<input>b one<br>two<wbr>three") == ["word ab one twothree"]
     assert texts("<script>if (a) { <p>no</p>") == []
+
+
+def test_gradient_is_that_of_differences_and_likelihood_that_of_all_labellings():
+    import itertools
+
+    pages = [html.label_blocks(h, t) for h, t in html.labelled_pages(4, seed=5)]
+    pages = [(b[:6], y[:6]) for b, y in pages] + [([], [])]
+    batch, r = html.Batch(pages), np.random.default_rng(4)
+    weights, steps = r.normal(0, 0.5, (len(batch.names), 2)), r.normal(0, 0.5, (2, 2))
+    value, by_weights, by_steps = batch.gradient(weights, steps)
+
+    def score(b, y):
+        return sum(weights[batch.names[n], k] for x, k in zip(b, y, strict=True) for n in html.features(x)) + sum(steps[a, c] for a, c in zip(y, y[1:]))
+
+    want = sum(score(b, y) - np.log(sum(np.exp(score(b, z)) for z in itertools.product((0, 1), repeat=len(b)))) for b, y in pages if b)
+    assert abs(value - want) < 1e-8
+    for array, gradient in ((weights, by_weights), (steps, by_steps)):
+        for at in [np.unravel_index(k, array.shape) for k in r.choice(array.size, min(array.size, 25), replace=False)]:
+            kept = array[at]
+            array[at] = kept + 1e-5
+            up = batch.gradient(weights, steps)[0]
+            array[at] = kept - 1e-5
+            down = batch.gradient(weights, steps)[0]
+            array[at] = kept
+            assert abs((up - down) / 2e-5 - gradient[at]) < 1e-5
