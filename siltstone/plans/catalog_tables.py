@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from siltstone.operators import charts, insights, kpi, nested, pages, sets, sketches, spellings
+from siltstone.operators import pivot as piv
 from siltstone.operators import profile as prof
 from siltstone.operators import query as q
 from siltstone.plans import bundle, model
@@ -242,3 +243,35 @@ def insight_defects(spark, sf_dir):
     df = q.with_rows(o.unionAll(o.filter("o_orderkey % 20 = 0")))
     p = prof.profile(df)
     return spark.createDataFrame([(f.id, f.severity, round(float(f.score), 2)) for f in insights.quality(insights.Context(df, p, kpi.read(p, df)))], "id string, severity string, score double")
+
+
+# ---- pivots of several fields
+
+_TWO = """WITH s AS (SELECT c_mktsegment AS a, CASE WHEN o_orderkey % 11 = 0 THEN ' ' ELSE o_orderpriority || ' ' END AS b, o_orderstatus AS c, CASE WHEN o_custkey % 13 = 0 THEN NULL WHEN o_custkey % 2 = 0 THEN 'even' ELSE 'odd' END AS d, o_totalprice AS v FROM orders JOIN customer ON o_custkey = c_custkey),
+k AS (SELECT trim(a) || '/' || trim(b) AS r, c || '/' || d AS c, v FROM s WHERE trim(b) <> '' AND d IS NOT NULL)"""
+
+
+def _two(spark, sf_dir):
+    second = F.when(F.col("o_orderkey") % 11 == 0, " ").otherwise(F.concat("o_orderpriority", F.lit(" ")))
+    parity = F.when(F.col("o_custkey") % 13 == 0, F.lit(None)).when(F.col("o_custkey") % 2 == 0, "even").otherwise("odd")
+    return _sales(spark, sf_dir).select(F.col("c_mktsegment").alias("a"), second.alias("b"), F.col("o_orderstatus").alias("c"), parity.alias("d"), F.col("o_totalprice").alias("v"))
+
+
+@registered(f"{_TWO} SELECT r AS row_path, c AS col_path, min(v) AS v0, max(v) AS v1, count(*)::DOUBLE AS v2 FROM k GROUP BY GROUPING SETS ((r, c), (r), (c), ())")
+def pivot_two_fields(spark, sf_dir):
+    """Two fields on rows and two on columns; rows with a blank or missing key are left out, paths are trimmed, totals are of source rows."""
+    out = piv.pivot(_two(spark, sf_dir), piv.Pivot(("a", "b"), ("c", "d"), (("v", "min"), ("v", "max"), ("v", "count"))))
+    return out.drop("is_other").withColumns({"row_path": F.array_join("row_path", "/"), "col_path": F.array_join("col_path", "/")})
+
+
+@registered(f"{_TWO}, h AS (SELECT DISTINCT split_part(c, '/', 1) AS c, split_part(c, '/', 2) AS d FROM k) SELECT 0 AS level, c AS label, count(*)::INT AS span FROM h GROUP BY c UNION ALL SELECT 1, c || '>' || d, 1 FROM h")
+def pivot_header_runs(spark, sf_dir):
+    """How many columns each header label spans, level by level."""
+    cells_ = piv.pivot(_two(spark, sf_dir), piv.Pivot(("a",), ("c", "d")))
+    paths = sorted(tuple(r[0]) for r in cells_.filter("col_path is not null").select("col_path").distinct().collect())
+    rows = [(0, label, n) for label, n in piv.header_runs(paths, 0)]
+    at = 0
+    for label, n in piv.header_runs(paths, 1):
+        rows.append((1, f"{paths[at][0]}>{label}", n))
+        at += n
+    return spark.createDataFrame(rows, "level int, label string, span int")
