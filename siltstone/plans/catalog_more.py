@@ -377,7 +377,7 @@ def cross_filter(spark, sf_dir):
 
 
 @registered("""WITH o AS (SELECT o_totalprice AS v, c_mktsegment AS s FROM orders JOIN customer ON o_custkey = c_custkey) SELECT 'Rows' AS name, count(*)::DOUBLE AS value FROM o UNION ALL SELECT 'Columns', 4 UNION ALL SELECT 'Total o_totalprice', round(sum(v), 2) FROM o
-UNION ALL SELECT 'Average o_totalprice', round(avg(v), 2) FROM o UNION ALL SELECT 'Median o_totalprice', round(median(v), 2) FROM o UNION ALL SELECT 'Distinct c_mktsegment', count(DISTINCT s) FROM o UNION ALL SELECT 'Health', 100""")
+UNION ALL SELECT 'Average o_totalprice', round(avg(v), 2) FROM o UNION ALL SELECT 'Median o_totalprice', printf('%.2f', median(v))::DOUBLE FROM o UNION ALL SELECT 'Distinct c_mktsegment', count(DISTINCT s) FROM o UNION ALL SELECT 'Health', 100""")
 def dashboard_board(spark, sf_dir):
     df = _sales(spark, sf_dir).select("o_orderdate", "o_totalprice", "c_mktsegment", "o_orderpriority").withColumn(q.ROW, F.monotonically_increasing_id())
     p = prof.profile(df)

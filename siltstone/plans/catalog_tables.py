@@ -60,7 +60,7 @@ def json_fields(spark, sf_dir):
     return nested.fields(q.with_rows(_event_json(spark, sf_dir), "event_id"), "j").withColumn("kinds", F.array_join("kinds", ","))
 
 
-@registered("""SELECT event_type AS type, (props::JSON ->> 'k')::BIGINT AS props_k, user_id AS at_user, CASE event_id % 3 WHEN 0 THEN 'true' WHEN 2 THEN event_type END AS at_odd, NULL::VARCHAR AS at_deep_x, event_id % 7 + 0.5 AS at_deep_half, NULL::VARCHAR AS list, NULL::VARCHAR AS late FROM events""")
+@registered("""SELECT event_type AS type, (props::JSON ->> 'k')::BIGINT AS props_k, user_id AS at_user, CASE event_id % 3 WHEN 0 THEN 'true' WHEN 2 THEN event_type END AS at_odd, NULL::VARCHAR AS at_deep_x, (event_id % 7 + 0.5)::DOUBLE AS at_deep_half, NULL::VARCHAR AS list, NULL::VARCHAR AS late FROM events""")
 def json_flat(spark, sf_dir):
     """The same texts as a flat table: mixed kinds are text, arrays and deep objects null."""
     return nested.flat(q.with_rows(_event_json(spark, sf_dir), "event_id"), "j")
@@ -223,7 +223,7 @@ def bi_model(spark, sf_dir):
     """The measures of the model of orders with their customers' segment, by the model's own SQL."""
     ds = Dataset.of("sales.csv", _sales(spark, sf_dir).select("o_orderdate", "o_totalprice", "c_mktsegment", "o_orderpriority"))
     found = model.build(ds, pinned=(charts.Chart("bar", "c_mktsegment", None, agg="count"),))
-    out = [ds.df.agg(F.expr(m.sql).cast("double").alias("value")).select(F.lit(m.name).alias("name"), F.round("value", 2).alias("value"), F.lit(found.rows).alias("rows")) for m in found.measures if m.agg in ("sum", "count")]
+    out = [ds.df.agg(F.expr(m.sql).cast("double").alias("value")).select(F.lit(m.name).alias("name"), F.round("value", 2).alias("value"), F.lit(found.rows).cast("long").alias("rows")) for m in found.measures if m.agg in ("sum", "count")]
     for more in out[1:]:
         out[0] = out[0].unionAll(more)
     return out[0]
