@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siltstone.functions.cells import is_blank
@@ -63,10 +63,29 @@ def read_json(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
     return nested.flat(with_rows(rows), "value")
 
 
-def read_database(spark: SparkSession, url: str, sql: str, **options: str) -> DataFrame:
-    """A guarded query of a database; dates as ISO days. The driver's jar must be on Spark's class path."""
-    df = spark.read.format("jdbc").options(url=url, query=guard_read_only(sql), **options).load()
-    return df.select(*(F.date_format(quoted(n), "yyyy-MM-dd").alias(n) if t in ("date", "timestamp") else F.col(quoted(n)) for n, t in df.dtypes))
+#: Seconds that a database may take to answer.
+TIMEOUT = 8
+
+
+def plain_columns(df: DataFrame) -> DataFrame:
+    """Dates as ISO days; numbers, truth values and texts as they are; all else as text (nested values as JSON)."""
+
+    def plain(n: str, t: str) -> Column:
+        c = F.col(quoted(n))
+        if t in ("date", "timestamp", "timestamp_ntz"):
+            return F.date_format(c, "yyyy-MM-dd")
+        if t.startswith(("array", "map", "struct", "variant")):
+            return F.to_json(c)
+        return F.hex(c) if t == "binary" else c.cast("string") if t.startswith(("interval", "time")) else c
+
+    return df.select(*(plain(n, t).alias(n) for n, t in df.dtypes))
+
+
+def read_database(spark: SparkSession, url: str, sql: str, limit: int | None = None, **options: str) -> DataFrame:
+    """A guarded query of a database, as :func:`plain_columns`; its first ``limit`` rows if given. The driver's jar must be on Spark's class path."""
+    given = {"queryTimeout": str(TIMEOUT), **options}
+    df = plain_columns(spark.read.format("jdbc").options(url=url, query=guard_read_only(sql), **given).load())
+    return df if limit is None else df.limit(limit)
 
 
 def load(spark: SparkSession, path: str) -> DataFrame:
@@ -94,9 +113,15 @@ def list_tables(spark: SparkSession, url: str, most: int = 200, **options: str)
     return [r[0] for r in spark.read.format("jdbc").options(url=url, query=sql, **options).load().limit(most).collect()]
 
 
-def import_table(spark: SparkSession, url: str, table: str, **options: str) -> DataFrame:
-    """A whole table of a database, by a guarded query."""
-    return read_database(spark, url, "SELECT * FROM " + ".".join('"' + part.replace('"', '""') + '"' for part in table.split(".")), **options)
+def quoted_table(url: str, table: str) -> str:
+    """A table's name, with its schema, in the quotes of the database: backticks for MySQL and MariaDB, else double ones."""
+    mark = "`" if url.lower().startswith(("jdbc:mysql:", "jdbc:mariadb:")) else '"'
+    return ".".join(mark + part.replace(mark, mark * 2) + mark for part in table.split("."))
+
+
+def import_table(spark: SparkSession, url: str, table: str, limit: int | None = None, **options: str) -> DataFrame:
+    """A whole table of a database, or its first ``limit`` rows, by a guarded query."""
+    return read_database(spark, url, f"SELECT * FROM {quoted_table(url, table)}", limit, **options)
 
 
 def dataset_name(path: str, sheet: str | None = None) -> str:

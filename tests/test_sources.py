@@ -74,3 +74,21 @@ def test_tables_are_read_from_texts():
     assert read(None) == ([], "") and read("Some text.\nMore text.")[0] == []
     assert len(read("R    V\nE    5\nA    3\n\nNext:\n\nT    P\nS    1\nU    8")[0]) == 2
     assert [text_tables.cell_number(x) for x in ("1,200", "(5)", "2026-01-15", "15/01/2026", "Room 4")] == [1200, -5, None, None, None]
+
+
+def test_database_columns_and_names(spark):
+    df = spark.sql("SELECT DATE'2024-02-03' AS d, TIMESTAMP'2024-02-03 04:05:06' AS t, 1.5D AS x, array(1, NULL) AS l, named_struct('a', 1) AS s, X'0aff' AS b, INTERVAL '2' DAY AS i, CAST(NULL AS DATE) AS n")
+    out = files.plain_columns(df)
+    assert tuple(out.first())[:6] == ("2024-02-03", "2024-02-03", 1.5, "[1,null]", '{"a":1}', "0AFF") and out.first()["n"] is None and dict(out.dtypes)["i"] == "string"
+    assert files.quoted_table("jdbc:postgresql://h/d", 'a.odd"name') == '"a"."odd""name"' and files.quoted_table("jdbc:mysql://h/d", "a.b`c") == "`a`.`b``c`"
+
+
+def test_guard_against_java_and_files():
+    import pytest
+
+    from siltstone.operators.query import guard_read_only
+
+    for bad in ("SELECT reflect('java.lang.System', 'getProperty', 'user.home')", "select JAVA_METHOD ('a', 'b')", "SELECT try_reflect('a')", "SELECT * FROM parquet.`/etc`", "SELECT * FROM csv . `x`", "SELECT * FROM workbook.`x.xlsx`"):
+        with pytest.raises(ValueError, match="not allowed"):
+            guard_read_only(bad)
+    assert guard_read_only("SELECT 'reflect(x)' AS a, t.`parquet` FROM t") and guard_read_only("SELECT json FROM t")
