@@ -35,6 +35,11 @@ def _left_over(key: Column) -> Column:
     return F.array_distinct(F.transform(F.concat(F.array(s), one, two), lambda x: F.xxhash64(x)))
 
 
+def _left_rows(texts: DataFrame, value: str, key: str, n: str) -> DataFrame:
+    """The text's hash, its count and a hash of each string left over: equal hashes of two texts only add candidates, which are compared as texts."""
+    return texts.filter(F.length(key) >= SHORTEST).select(F.xxhash64(value).alias(f"{value}_id"), n, F.explode(_left_over(F.col(key))).alias("h"))
+
+
 def pairs(counts: DataFrame) -> DataFrame:
     """rare, common, n (of the common one), first (its first row): every pair of spellings. ``counts`` has value, n, first; values are distinct."""
     keyed = counts.withColumn("key", spelling_key(F.col("value"))).filter("key <> ''")
@@ -42,11 +47,13 @@ def pairs(counts: DataFrame) -> DataFrame:
     common = keyed.filter("n >= 2").select(F.col("value").alias("common"), F.col("key").alias("b"), "n", "first")
     often = (F.col("rare") != F.col("common")) & (F.col("n") >= 2 * F.col("k"))
     plural = lambda d, side: d.select("*", F.explode(F.array(F.col(side), F.concat(side, F.lit("s")))).alias("h"))
-    same = plural(rare, "a").join(plural(common, "b"), "h").filter(often & ((F.col("a") == F.col("b")) | (F.col("a") == F.concat("b", F.lit("s"))) | (F.col("b") == F.concat("a", F.lit("s")))))
-    long = lambda d, side: d.filter(F.length(side) >= SHORTEST).select("*", F.explode(_left_over(F.col(side))).alias("h"))
-    near = long(rare, "a").join(long(common, "b"), "h").filter(often & (F.abs(F.length("a") - F.length("b")) <= EDITS))
+    same = plural(rare, "a").hint("merge").join(plural(common, "b"), "h").filter(often & ((F.col("a") == F.col("b")) | (F.col("a") == F.concat("b", F.lit("s"))) | (F.col("b") == F.concat("a", F.lit("s")))))
+    # what is left over is some eighty rows a text, which no size estimate knows: such rows hold numbers alone, and no side is broadcast
+    left = _left_rows(rare, "rare", "a", "k")
+    met = left.hint("merge").join(_left_rows(common, "common", "b", "n"), "h").filter("n >= 2 * k").select("rare_id", "common_id").distinct()
+    near = met.join(rare.hint("merge").withColumn("rare_id", F.xxhash64("rare")), "rare_id").join(common.hint("merge").withColumn("common_id", F.xxhash64("common")), "common_id")
+    near = near.filter(often & (F.abs(F.length("a") - F.length("b")) <= EDITS) & (F.levenshtein("a", "b", EDITS) >= 0))
     names = ["rare", "common", "n", "first"]
-    near = near.select("a", "b", *names).distinct().filter(F.levenshtein("a", "b", EDITS) >= 0)
     return same.select(*names).unionByName(near.select(*names)).distinct()
 
 

@@ -168,3 +168,9 @@ def test_rows_of_a_pair_are_counted(spark):
     assert {tuple(r) for r in spellings.pairs(df).select("rare", "common").collect()} == {("aaaab", "aaaaa"), ("aaabb", "aaaaa"), ("aaabb", "aaaab")}
     assert {tuple(r) for r in spellings.resolved(spellings.pairs(df)).collect()} == {("aaaab", "aaaaa"), ("aaabb", "aaaaa")}
     assert df.agg(F.sum("n")).first()[0] == 7
+
+
+def test_spellings_are_not_broadcast(spark):
+    """Eighty rows a text are more than any size estimate of the texts says."""
+    df = spark.range(100).selectExpr("concat('value ', id) AS value", "id + 1 AS n", "id AS first")
+    assert "Broadcast" not in spellings.pairs(df)._jdf.queryExecution().executedPlan().toString()
