@@ -136,3 +136,11 @@ def test_bytes_read_by_spark_give_the_same(spark, book, monkeypatch):
     assert ([tuple(r) for r in wb.read_workbook(spark, book, "One & only").collect()], wb.list_sheets(spark, book).count()) == want
     with pytest.raises(Exception, match="more than 2 rows"):
         wb.read_workbook(spark, book, "One & only", row_limit=2)
+
+
+def test_a_partition_of_more_rows_than_a_sheet_holds_is_read_back_whole(spark, tmp_path):
+    df = spark.range(25).selectExpr("id", "concat('t', id) AS t").coalesce(1)
+    wb.register(spark)
+    df.write.format("workbook").option("sheet", "S").option("sheetRows", 10).mode("append").save(str(tmp_path / "w"))
+    assert sorted(map(tuple, wb.read_workbook(spark, str(tmp_path / "w"), "S").collect())) == [(float(k), f"t{k}") for k in range(25)]
+    assert wb.list_sheets(spark, str(tmp_path / "w")).count() == 3
