@@ -7,7 +7,7 @@ from __future__ import annotations
 
 import codecs
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: White space that a spreadsheet user would not see, beyond what ``\\s`` matches; as a regular expression's class and one by one.
@@ -26,12 +26,17 @@ def trim(c: Column) -> Column:
 
 def squeeze(c: Column) -> Column:
     """Trimmed, and runs of white space inside made one blank."""
-    return F.regexp_replace(trim(c), f"[{SPACES}]{{2,}}", " ")
+    return squeeze_trimmed(trim(c))
 
 
-def is_blank(c: Column) -> Column:
-    """Null or nothing but white space."""
-    return c.isNull() | (trim(c) == "")
+def squeeze_trimmed(s: Column) -> Column:
+    """:func:`squeeze` of a text without white space at its edges."""
+    return F.regexp_replace(s, f"[{SPACES}]{{2,}}", " ")
+
+
+def is_blank(c: Column, dtype: str = "string") -> Column:
+    """Null or nothing but white space; a value of another type than text is never made text to see that."""
+    return c.isNull() | (trim(c) == "") if dtype == "string" else c.isNull()
 
 
 def number(c: Column) -> Column:
@@ -41,11 +46,31 @@ def number(c: Column) -> Column:
     space are dropped; other signs, infinities and NaN give null.
     """
     s = trim(c)
-    negative = s.startswith("(") & s.endswith(")")
-    bare = F.translate(F.when(negative, F.substr(s, F.lit(2), F.length(s) - 2)).otherwise(s), "$€£¥₦,%" + _SPACE_CHARS, "")
-    value = F.when(bare.rlike("^[+-]?(\\d+\\.?\\d*|\\.\\d+)([eE][+-]?\\d+)?$"), bare.try_cast("double"))
+    value = value_of_bare(bare_of_trimmed(s))
     value = F.when(F.abs(value) < float("inf"), value)
-    return F.when(negative, -value).otherwise(value)
+    return F.when(_negative(s), -value).otherwise(value)
+
+
+def _negative(s: Column) -> Column:
+    return s.startswith("(") & s.endswith(")")
+
+
+def bare_of_trimmed(s: Column) -> Column:
+    """What is left of a trimmed cell without brackets and the signs that a number may have."""
+    return F.translate(F.when(_negative(s), F.substr(s, F.lit(2), F.length(s) - 2)).otherwise(s), "$€£¥₦,%" + _SPACE_CHARS, "")
+
+
+def value_of_bare(bare: Column) -> Column:
+    return F.when(bare.rlike("^[+-]?(\\d+\\.?\\d*|\\.\\d+)([eE][+-]?\\d+)?$"), bare.try_cast("double"))
+
+
+def with_numbers(df: DataFrame, trimmed: dict[str, str]) -> DataFrame:
+    """``df`` with the number of each trimmed column under a name of its own. What :func:`number` writes as one expression is worked out in steps here, each once."""
+    kept = [F.col(c) for c in df.columns]
+    df = df.select("*", *(bare_of_trimmed(F.col(s)).alias(f"__bare_{n}") for n, s in trimmed.items()))
+    df = df.select(*kept, *(value_of_bare(F.col(f"__bare_{n}")).alias(f"__value_{n}") for n in trimmed))
+    finite_ = lambda n, s: F.when(F.abs(F.col(f"__value_{n}")) < float("inf"), F.col(f"__value_{n}") * F.when(_negative(F.col(s)), -1.0).otherwise(1.0))
+    return df.select(*kept, *(finite_(n, s).alias(n) for n, s in trimmed.items()))
 
 
 def finite(c: Column) -> Column:
@@ -92,24 +117,35 @@ DATE_SHAPES = [
 
 def strict_date(c: Column) -> Column:
     """Timestamp of a cell of one of the known shapes, else null; days that no month has give null."""
-    s = trim(c)
+    return date_of_trimmed(trim(c))
+
+
+def date_of_trimmed(s: Column) -> Column:
+    """:func:`strict_date` of a text without white space at its edges."""
     out = F.lit(None).cast("timestamp")
     for shape, form in reversed(DATE_SHAPES):
         read = F.try_to_timestamp(s, F.lit(form)) if form else s.try_cast("timestamp")
         out = F.when(s.rlike(shape), read).otherwise(out)
-    return out
+    return F.when(s.rlike(r"^\d{1,4}[-/.]\d"), out)  # what all shapes begin with
 
 
 def is_serial(c: Column) -> Column:
     """A whole number from 20000 to 60000: a day as a spreadsheet counts it."""
-    n = number(c)
+    return in_days(number(c))
+
+
+def in_days(n: Column) -> Column:
+    """Whether a number is a whole one from 20000 to 60000."""
     return F.coalesce((n == F.floor(n)) & n.between(20000, 60000), F.lit(False))
 
 
 def serial_day(c: Column) -> Column:
     """ISO day of a spreadsheet serial, counted from 1899-12-30; other cells as they are."""
-    day = F.date_format(F.date_add(F.lit("1899-12-30").cast("date"), number(c).cast("int")), "yyyy-MM-dd")
-    return F.when(is_serial(c), day).otherwise(text_of(c))
+    return F.when(is_serial(c), day_of_serial(number(c))).otherwise(text_of(c))
+
+
+def day_of_serial(n: Column) -> Column:
+    return F.date_format(F.date_add(F.lit("1899-12-30").cast("date"), n.cast("int")), "yyyy-MM-dd")
 
 
 def category_key(c: Column) -> Column:
@@ -119,7 +155,11 @@ def category_key(c: Column) -> Column:
 
 def case_style(c: Column) -> Column:
     """lower, upper, mixed, or none (no letter at the start)."""
-    s = trim(c)
+    return style_of_trimmed(trim(c))
+
+
+def style_of_trimmed(s: Column) -> Column:
+    """:func:`case_style` of a text without white space at its edges."""
     return (
         F.when(~F.coalesce(s.rlike(r"^\p{L}"), F.lit(False)), "none").when(s == F.lower(s), "lower").when((s == F.upper(s)) & (F.length(s) > 1), "upper").otherwise("mixed")
     )

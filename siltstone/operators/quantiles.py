@@ -23,12 +23,12 @@ def _narrowed(rows: DataFrame, wanted: list[tuple[str, int, int]], most: int, ac
     state = [(rank, n, 2 / accuracy) for _, rank, n in wanted]  # the rank among the n values inside, and the margin
     found: dict[int, float] = {}
     while open_ := [i for i in range(len(wanted)) if i not in found and state[i][1] > most]:
-        asked = []
+        asked: dict[str | int, list[int]] = {}  # one sketch serves all ranks of a column that is not narrowed yet
         for i in open_:
-            rank, n, margin = state[i]
-            ends = F.array(F.lit(max(0.0, rank / n - margin)), F.lit(min(1.0, (rank + 1) / n + margin)))
-            asked.append(F.percentile_approx(inside[i], ends, accuracy))
-        ends_of = rows.agg(*(a.alias(str(i)) for i, a in zip(open_, asked, strict=True))).first()
+            asked.setdefault(wanted[i][0] if state[i][1] == wanted[i][2] else i, []).append(i)
+        near = lambda rank, n, margin: [max(0.0, rank / n - margin), min(1.0, (rank + 1) / n + margin)]
+        sketches = rows.agg(*(F.percentile_approx(inside[ranks[0]], F.array(*(F.lit(x) for i in ranks for x in near(*state[i]))), accuracy).alias(str(k)) for k, ranks in asked.items())).first()
+        ends_of = {str(i): sketches[str(k)][2 * j : 2 * j + 2] for k, ranks in asked.items() for j, i in enumerate(ranks)}
         tallies = [F.struct(F.count_if(x < low), F.count_if(x <= low), F.count_if(x < high), F.count_if(x <= high)) for x, (low, high) in ((inside[i], ends_of[str(i)]) for i in open_)]
         tally = rows.agg(*(t.alias(str(i)) for i, t in zip(open_, tallies, strict=True))).first()
         for i in open_:

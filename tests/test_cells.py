@@ -48,3 +48,11 @@ def test_statistics():
     assert stats.chi2_tail(3.841, 1) == pytest.approx(0.05, abs=1e-4) and stats.chi2_tail(11.345, 3) == pytest.approx(0.01, abs=1e-4)
     assert stats.trend([1, 2, 3]) == (1.0, 1.0) and stats.trend([5, 5, 5]) == (0.0, 0.0)
     assert stats.percent_change(0, 5) is None and stats.percent_change(-4, -2) == 50
+
+
+def test_numbers_in_steps_are_those_of_one_expression(spark):
+    texts = ["(5)", "(-5)", "()", "(", "$1,234.5", " 7 % ", "1e999", "(1e999)", "x", "", None, "5\u0085", ".5", "5.", "+3", "((4))", "-0", "01", "NaN", "1_0"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string").select("t", cells.trim(F.col("t")).alias("s"))
+    got = cells.with_numbers(df, {"n": "s"}).select("n", cells.number(F.col("t")).alias("m"), F.col("n").eqNullSafe(F.col("m")).alias("same"))
+    rows = got.collect()
+    assert len(rows) == len(texts) and all(r["same"] for r in rows)

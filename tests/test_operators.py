@@ -319,3 +319,14 @@ def test_quantiles_in_bounded_memory_are_exact(spark):
         found = quantiles.exact(df, values, fractions, most=most, accuracy=accuracy)
         for k in values:
             assert found[k][0] == pytest.approx(want[k] or []) and found[k][1] == want[f"n {k}"], (k, most)
+
+
+def test_issues_are_counted_as_they_are_listed(spark):
+    rows = [(" a ", "5", "2024-01-02", 1.0), ("a", "x", "45000", 2.0), ("a", "$7", "2024-02-30", -0.0), (None, "(3)", "1/2/2024", 0.0), ("  ", "5000", None, float("nan")), ("a", "x", "45000", 2.0), ("Ã©a", "4", "2024-03-01", 900.0)] * 3
+    df = q.with_rows(spark.createDataFrame(rows, "a string, n string, d string, v double").coalesce(1))
+    p = prof.profile(df)
+    counts, first = issues.report(df, p, 5)
+    listed = issues.cell_issues(df, p)
+    assert counts == {r["rule"]: r["count"] for r in listed.groupBy("rule").count().collect()}
+    assert [r["row"] for r in first] == [r["row"] for r in listed.orderBy("row", "column").limit(5).collect()]
+    assert p.duplicates == 15 and [c.unique for c in p.columns] == [3, 6, 5, 6]
