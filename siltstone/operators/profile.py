@@ -253,14 +253,15 @@ def index_columns(df: DataFrame, candidates: list[str], rows: int) -> set[str]:
     out: set[str] = set()
     types = dict(df.dtypes)
     for c in candidates if rows >= 5 else []:
-        v = df.select(F.col(ROW), cells.as_number(col(c), types[c]).alias("v")).filter("v is not null")
+        v = df.select(F.col(ROW), cells.as_number(col(c), types[c]).alias("v"))  # not filtered: a filter would be pushed below the steps and work each out again
         part, place = F.shiftright(ROW, 33), F.floor(F.pmod(F.col(ROW), F.lit(1 << 33)) / STRETCH)
         v = v.select("v", ROW, part.alias("p"), place.alias("s"))
-        v = v.withColumn("before", F.lag("v").over(W.partitionBy("p", "s").orderBy(ROW)))
+        v = v.withColumn("before", F.last("v", True).over(W.partitionBy("p", "s").orderBy(ROW).rowsBetween(W.unboundedPreceding, -1)))
+        at = F.when(F.col("v").isNotNull(), F.col(ROW))
         ends = v.groupBy("p", "s").agg(
-            F.count("*").alias("n"), F.count_if(F.col("v") < F.col("before")).alias("falls"), F.count_if(F.col("v") > F.col("before")).alias("rises"),
-            F.count_if(F.col("v") != F.floor("v")).alias("broken"), F.min_by("v", ROW).alias("first"), F.max_by("v", ROW).alias("last"),
-        )
+            F.count("v").alias("n"), F.count_if(F.col("v") < F.col("before")).alias("falls"), F.count_if(F.col("v") > F.col("before")).alias("rises"),
+            F.count_if(F.col("v") != F.floor("v")).alias("broken"), F.min_by("v", at).alias("first"), F.max_by("v", at).alias("last"),
+        ).filter("n > 0")
         ends = ends.withColumn("before", F.lag("last").over(W.orderBy("p", "s")))  # a row for each stretch
         x = ends.agg(
             F.sum("n").alias("n"), F.sum("falls") + F.count_if(F.col("first") < F.col("before")), F.sum("rises") + F.count_if(F.col("first") > F.col("before")) + 1,

@@ -330,3 +330,10 @@ def test_issues_are_counted_as_they_are_listed(spark):
     assert counts == {r["rule"]: r["count"] for r in listed.groupBy("rule").count().collect()}
     assert [r["row"] for r in first] == [r["row"] for r in listed.orderBy("row", "column").limit(5).collect()]
     assert p.duplicates == 15 and [c.unique for c in p.columns] == [3, 6, 5, 6]
+
+
+def test_an_index_column_may_have_gaps_of_null(spark):
+    rows = [(k, None if k % 25 == 0 else k - k // 25 - 1) for k in range(1, 101)]
+    df = q.with_rows(spark.createDataFrame(rows, "k long, v long"), "k")
+    assert prof.index_columns(df, ["v"], 100) == {"v"}
+    assert prof.index_columns(df.withColumn("v", F.when(F.col("k") == 60, 0).otherwise(F.col("v"))), ["v"], 100) == set()
