@@ -1,11 +1,17 @@
 """JSON texts in a column: their fields in the order first seen, what they hold, and a flat table of them.
 
-Every object is read once into pairs of key and variant, in the order of the text (variants themselves sort keys), level by level;
-nothing leaves the JVM. Names of nested fields are joined by ``_``; a key that a row holds twice, or two fields of one name, keep the later value.
+Every object is read into pairs of key and variant, in the order of the text (variants themselves sort keys), level by level;
+plain texts by Python's reader, in Arrow batches. Names of nested fields are joined by ``_``; a key that a row holds twice, or two fields of one name, keep the later value.
 """
 
 from __future__ import annotations
 
+import json
+import re
+from collections.abc import Callable
+from functools import lru_cache
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -18,11 +24,10 @@ DEPTH = 3
 MOST_COLUMNS = 5_000
 
 
-def _kind(v: Column) -> Column:
-    """object, array, null, boolean, text, whole or number."""
-    s = F.schema_of_variant(v)
+def _kind(s: Column) -> Column:
+    """object, array, null, boolean, text, whole or number, by a variant's schema."""
     return (
-        F.when(v.isNull() | (s == "VOID"), "null").when(s.startswith("OBJECT"), "object").when(s.startswith("ARRAY"), "array").when(s == "BOOLEAN", "boolean")
+        F.when(s.isNull() | (s == "VOID"), "null").when(s.startswith("OBJECT"), "object").when(s.startswith("ARRAY"), "array").when(s == "BOOLEAN", "boolean")
         .when(s == "BIGINT", "whole").when(s.startswith("DECIMAL") | s.isin("DOUBLE", "FLOAT"), "number").otherwise("text")
     )
 
@@ -35,29 +40,120 @@ def _looks(raw: Column) -> Column:
     )
 
 
-def _level(text: Column, name: Column, place: Column, left: int) -> Column:
-    """Fields of the object ``text``: structs of name, place (numbers of the keys on the way), kind, text."""
-    typed, raw = F.map_entries(F.from_json(text, "map<string,variant>")), F.map_entries(F.from_json(text, "map<string,string>"))
-    pairs = F.transform(raw, lambda e, i: F.struct(e["key"].alias("key"), e["value"].alias("raw"), F.get(typed, i)["value"].alias("value"), typed.isNull().alias("untyped")))
+def _bound(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is worked out once, however often ``body`` names it: inside lambdas Spark works each mention out anew."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _level(text: Column, name: Column, left: int) -> Column:
+    """Fields of the object ``text``: structs of name, kind, text. It is read once for its variants, and once more if texts of objects in it are needed."""
+
+    def scalar(kind: Column, own: Column) -> Column:
+        return F.when(kind.isin("boolean", "text", "whole", "number"), own)
+
+    def pairs(typed: Column, kinds: Column, raw: Column) -> Column:
+        def known(e: Column, i: Column) -> Column:
+            kind = F.get(kinds, i)
+            return F.struct(e["key"].alias("key"), kind.alias("kind"), scalar(kind, e["value"].cast("string")).alias("text"), F.get(raw, i)["value"].alias("raw"))
+
+        def untyped(e: Column) -> Column:
+            return _bound(_looks(e["value"]), lambda kind: F.struct(e["key"].alias("key"), kind.alias("kind"), scalar(kind, e["value"]).alias("text"), e["value"].alias("raw")))
+
+        return F.when(kinds.isNotNull(), F.transform(typed, known)).otherwise(F.transform(raw, untyped))
 
-    def field(e: Column, i: Column) -> Column:
+    def field(e: Column) -> Column:
         named = F.concat(name, e["key"])
-        here = F.concat(place, F.array(i))
-        kind = F.when(e["untyped"], _looks(e["raw"])).otherwise(_kind(e["value"]))
-        own = F.when(kind.isin("boolean", "text", "whole", "number"), F.when(e["untyped"], e["raw"]).otherwise(e["value"].cast("string")))
-        leaf = F.array(F.struct(named.alias("name"), here.alias("place"), kind.alias("kind"), own.alias("text")))
-        return F.when(kind == "object", _level(e["raw"], F.concat(named, F.lit("_")), here, left - 1)).otherwise(leaf) if left > 1 else leaf
+        leaf = F.array(F.struct(named.alias("name"), e["kind"].alias("kind"), e["text"].alias("text")))
+        return F.when(e["kind"] == "object", _level(e["raw"], F.concat(named, F.lit("_")), left - 1)).otherwise(leaf) if left > 1 else leaf
+
+    def opened(typed: Column, kinds: Column) -> Column:
+        again = kinds.isNull() | F.array_contains(kinds, "object") if left > 1 else kinds.isNull()
+        return _bound(F.when(again, F.map_entries(F.from_json(text, "map<string,string>"))), lambda raw: F.flatten(F.transform(pairs(typed, kinds, raw), field)))
+
+    typed = F.map_entries(F.from_json(text, "map<string,variant>"))
+    return _bound(typed, lambda t: _bound(F.transform(F.transform(t, lambda e: F.schema_of_variant(e["value"])), _kind), lambda k: opened(t, k)))
+
+
+_PLAIN = re.compile(r"-?(?!0\.00)(0|[1-9][0-9]{0,5})\.[0-9]{0,5}[1-9]")  # without exponent as a double, too
+
+
+class _Decimal(str):
+    """A number with a point, as written."""
 
-    return F.flatten(F.transform(pairs, field))
+
+@lru_cache(100_000)
+def _decimal(text: str) -> _Decimal:
+    if not _PLAIN.fullmatch(text):
+        raise ValueError("written by Spark in another form")
+    return _Decimal(text)
+
+
+def _once(pairs: list[tuple[str, object]]) -> dict[str, object]:
+    found = dict(pairs)
+    if len(found) < len(pairs):
+        raise ValueError("a key twice")
+    return found
+
+
+_KINDS = {str: "text", int: "whole", _Decimal: "number", bool: "boolean", list: "array", dict: "object", type(None): "null"}
+_LONG = range(-(2**63), 2**63)
+
+
+def _walk(x: dict, prefix: str, left: int, names: list, kinds: list, texts: list) -> None:
+    for k, v in x.items():
+        kind = type(v)
+        if kind is dict and left > 1:
+            _walk(v, f"{prefix}{k}_", left - 1, names, kinds, texts)
+            continue
+        if kind is int and v not in _LONG:
+            raise ValueError("no whole number to Spark")
+        names.append(prefix + k)
+        kinds.append(_KINDS[kind])
+        texts.append(v if kind is str else str(v) if kind is int or kind is _Decimal else str(v).lower() if kind is bool else None)
+
+
+def _plain_leaves(depth: int) -> Callable[[Column], Column]:
+    """:func:`leaves` of the texts that Python's reader and Spark's are known to take alike; null for all others: keys twice,
+    numbers that Spark writes in another form, code point escapes, deep or very long texts, broken ones."""
+
+    @F.arrow_udf("array<struct<name:string,kind:string,text:string>>")
+    def plain(texts: pa.Array) -> pa.Array:
+        decoder = json.JSONDecoder(object_pairs_hook=_once, parse_float=_decimal, parse_constant=_decimal)
+        ends, nulls, out = [0], [], ([], [], [])
+        for text in texts.to_pylist():
+            begin = len(out[0])
+            try:
+                if text is None or len(text) > 1_000_000 or "\\u" in text or text.count("{") + text.count("[") > 100:
+                    raise ValueError
+                x = decoder.decode(text)
+                if type(x) is not dict:
+                    raise ValueError
+                _walk(x, "", depth, *out)
+                nulls.append(False)
+            except ValueError:
+                for column in out:
+                    del column[begin:]
+                nulls.append(True)
+            ends.append(len(out[0]))
+        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays([pa.array(c, pa.string()) for c in out], ["name", "kind", "text"]), mask=pa.array(nulls, pa.bool_()))
+
+    return plain
 
 
 def leaves(c: Column, depth: int = DEPTH) -> Column:
-    """All fields of a JSON object: array of (name, place, kind, text). Null for null, broken texts and values that are no object.
+    """All fields of a JSON object, in the order of the text: array of (name, kind, text). Null for null, broken texts and values that are no object.
 
     Kinds: text, whole, number, boolean, null, array, object (one below ``depth`` levels); the last three have no text.
     In an object above one that holds a key twice, texts that look like numbers or truth values are taken for such.
+    Plain texts are read in batches by a helper, all others by Spark's own expressions, which are slower and give the same.
     """
-    return _level(c.cast("string"), F.lit(""), F.array().cast("array<int>"), depth)
+    text = c.cast("string")
+    return F.coalesce(_plain_leaves(depth)(text), _bound(text, lambda t: _level(t, F.lit(""), depth)))
+
+
+def _met(df: DataFrame, column: str, depth: int) -> DataFrame:
+    """ROW, place (from 0 in each row), name, kind, text of all fields of all rows."""
+    return df.select(F.col(ROW), F.posexplode(leaves(F.col(quoted(column)), depth)).alias("place", "x")).select(ROW, "place", "x.*")
 
 
 def fields(df: DataFrame, column: str, depth: int = DEPTH) -> DataFrame:
@@ -65,9 +161,7 @@ def fields(df: DataFrame, column: str, depth: int = DEPTH) -> DataFrame:
 
     ``df`` has row numbers. ``n`` counts a field that a row holds twice once; arrays and objects too deep have no values. Two columns are read.
     """
-    x = F.explode(leaves(F.col(quoted(column)), depth)).alias("x")
-    rows = df.select(F.col(ROW), x).select(ROW, "x.*")
-    last = rows.groupBy("name", ROW).agg(F.max_by(F.struct("kind", "text"), "place").alias("v"), F.min("place").alias("place")).select("name", ROW, "place", "v.*")
+    last = _met(df, column, depth).groupBy("name", ROW).agg(F.max_by(F.struct("kind", "text"), "place").alias("v"), F.min("place").alias("place")).select("name", ROW, "place", "v.*")
     value = F.when(F.col("kind").isin("whole", "number"), F.col("text").cast("double"))
     out = last.groupBy("name").agg(
         F.min(F.struct(ROW, "place")).alias("first"), F.array_sort(F.collect_set("kind")).alias("kinds"), F.count("*").alias("n"), F.count_if(F.col("kind") == "null").alias("nulls"),
@@ -90,8 +184,7 @@ def _type(kinds: set[str]) -> str:
 
 def flat_names(df: DataFrame, column: str, depth: int = DEPTH) -> list[tuple[str, str]]:
     """Names and types of the columns of :func:`flat`, in the order first seen. Needs no distinct counts, so fields are met by partial aggregation alone."""
-    x = F.explode(leaves(F.col(quoted(column)), depth)).alias("x")
-    found = df.select(F.col(ROW), x).groupBy("x.name").agg(F.min(F.struct(ROW, "x.place")).alias("first"), F.collect_set("x.kind").alias("kinds"))
+    found = _met(df, column, depth).groupBy("name").agg(F.min(F.struct(ROW, "place")).alias("first"), F.collect_set("kind").alias("kinds"))
     rows = found.orderBy("first").limit(MOST_COLUMNS + 1).collect()
     if len(rows) > MOST_COLUMNS:
         raise ValueError(f"the objects have over {MOST_COLUMNS:,} fields")
@@ -106,10 +199,10 @@ def flat(df: DataFrame, column: str, depth: int = DEPTH) -> DataFrame:
     names = flat_names(df, column, depth)
     if not names:
         raise ValueError("no fields were found")
-    rows = df.select(F.col(ROW), leaves(F.col(quoted(column)), depth).alias("__x"))
+    rows = df.select(F.reverse(leaves(F.col(quoted(column)), depth)).alias("__x")).select("__x", F.col("__x")["name"].alias("__n"))
 
     def value(name: str, kind: str) -> Column:
-        text = F.nullif(F.try_element_at(F.filter("__x", lambda e: e["name"] == name), F.lit(-1))["text"], F.lit(""))
+        text = F.nullif(F.get("__x", (F.array_position("__n", name) - 1).cast("int"))["text"], F.lit(""))  # the later of two comes first
         return (text if kind == "string" else text.try_cast(kind)).alias(name)
 
     return rows.select(*(value(n, k) for n, k in names))

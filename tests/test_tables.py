@@ -74,6 +74,24 @@ def test_fields_of_odd_texts(spark):
     assert nested.schema(df.filter("i = 6"), "j") == "OBJECT<b: OBJECT<y: VOID>, new: ARRAY<VOID>, z: BIGINT>"
 
 
+def test_leaves_by_the_helper_are_those_of_expressions(spark):
+    r = random.Random(6)
+    values = ["1", "-0", "1.0", "2.50", "0.5", "-0.01", "0.00001", "1e5", "9223372036854775808", "NaN", "01", '"12"', '"\\u0041"', '"a\\n"', '"é"', "'a'", "[1, {}]", '{"b": {"c": {"d": 1}}}', '{"x": 1, "x": 2}', "null"]
+    texts = [written(some_object(r)) for _ in range(100)] + [f'{{"k": {v}, "o": {{"v": {v}, "t": "true"}}}}' for v in values] + ["", "[1]", '{"a": 1} x', '{"a": 1', " {} ", None]
+    df = spark.createDataFrame([(t,) for t in texts], "j string").coalesce(1)
+    j = F.col("j")
+    plain, slow, both = nested._plain_leaves(3)(j), nested._bound(j, lambda t: nested._level(t, F.lit(""), 3)), nested.leaves(j)
+    rows = df.select("j", plain.alias("p"), slow.alias("s"), both.alias("b")).collect()
+    assert all(x["b"] == x["s"] and x["p"] in (None, x["s"]) for x in rows)
+    assert sum(x["p"] is not None for x in rows) > 40
+
+
+def test_each_step_of_a_text_is_worked_out_once(spark):
+    text = F.col("id").cast("string")
+    plan = spark.range(1).select(nested._bound(text, lambda t: nested._level(t, F.lit(""), 3)))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("schema_of_variant") <= 3  # once for each level; 56 when every mention was an expression of its own
+
+
 def test_clashing_names_and_order_of_files(spark, tmp_path):
     (tmp_path / "a.jsonl").write_text('{"z": 1, "a": {"b": 1}, "a_b": 2}\n\n{"a_b": 3, "a": {"b": 4}, "m": ""}\n')
     df = files.load(spark, str(tmp_path / "a.jsonl"))
