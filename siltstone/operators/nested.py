@@ -151,9 +151,20 @@ def leaves(c: Column, depth: int = DEPTH) -> Column:
     return F.coalesce(_plain_leaves(depth)(text), _bound(text, lambda t: _level(t, F.lit(""), depth)))
 
 
-def _met(df: DataFrame, column: str, depth: int) -> DataFrame:
-    """ROW, place (from 0 in each row), name, kind, text of all fields of all rows."""
-    return df.select(F.col(ROW), F.posexplode(leaves(F.col(quoted(column)), depth)).alias("place", "x")).select(ROW, "place", "x.*")
+def _once_each(x: Column) -> Column:
+    """Leaves with each name once: where it stands first, with the kind and text that it has last."""
+
+    def last(all_: Column, names: Column, back: Column) -> Column:
+        kept = F.filter(all_, lambda e, i: F.array_position(names, e["name"]) == i + 1)
+        return F.when(F.size(F.array_distinct(names)) == F.size(names), all_).otherwise(F.transform(kept, lambda e: F.get(back, (F.array_position(back["name"], e["name"]) - 1).cast("int"))))
+
+    return _bound(x, lambda a: last(a, a["name"], F.reverse(a)))
+
+
+def _met(df: DataFrame, column: str, depth: int, once: bool = False) -> DataFrame:
+    """ROW, place (from 0 in each row), name, kind, text of all fields of all rows; ``once``: a name that a row holds twice by its later value."""
+    rows = df.select(F.col(ROW), leaves(F.col(quoted(column)), depth).alias("x"))
+    return rows.select(F.col(ROW), F.posexplode(_once_each(F.col("x")) if once else F.col("x")).alias("place", "x")).select(ROW, "place", "x.*")
 
 
 def fields(df: DataFrame, column: str, depth: int = DEPTH) -> DataFrame:
@@ -161,11 +172,12 @@ def fields(df: DataFrame, column: str, depth: int = DEPTH) -> DataFrame:
 
     ``df`` has row numbers. ``n`` counts a field that a row holds twice once; arrays and objects too deep have no values. Two columns are read.
     """
-    last = _met(df, column, depth).groupBy("name", ROW).agg(F.max_by(F.struct("kind", "text"), "place").alias("v"), F.min("place").alias("place")).select("name", ROW, "place", "v.*")
     value = F.when(F.col("kind").isin("whole", "number"), F.col("text").cast("double"))
-    out = last.groupBy("name").agg(
-        F.min(F.struct(ROW, "place")).alias("first"), F.array_sort(F.collect_set("kind")).alias("kinds"), F.count("*").alias("n"), F.count_if(F.col("kind") == "null").alias("nulls"),
-        F.count_distinct(F.when(F.col("text").isNotNull(), F.struct("kind", "text"))).alias("distinct"), F.min(value).alias("low"), F.max(value).alias("high"),
+    # one row for each value, by sums of fixed width: a row's number and place are met once, so they need no struct
+    values = _met(df, column, depth, once=True).groupBy("name", "kind", "text").agg(F.count("*").alias("n"), F.min(ROW).alias("row"), F.min_by("place", ROW).alias("place"))
+    out = values.groupBy("name").agg(
+        F.min(F.struct("row", "place")).alias("first"), F.array_sort(F.collect_set("kind")).alias("kinds"), F.sum("n").alias("n"), F.coalesce(F.sum(F.when(F.col("kind") == "null", F.col("n"))), F.lit(0)).alias("nulls"),
+        F.count_if(F.col("text").isNotNull()).alias("distinct"), F.min(value).alias("low"), F.max(value).alias("high"),
     )
     # few rows, one for each name: numbered without a partition
     first = out.agg(F.array_sort(F.collect_list("first")).alias("all"))

@@ -92,6 +92,25 @@ def test_each_step_of_a_text_is_worked_out_once(spark):
     assert plan.count("schema_of_variant") <= 3  # once for each level; 56 when every mention was an expression of its own
 
 
+def test_fields_by_hand_without_a_shuffle_of_rows(spark):
+    r = random.Random(8)
+    texts = [written(some_object(r)) for _ in range(200)] + ['{"z": 1, "a": {"b": 1}, "z": 1, "a_b": null, "z": null}']
+    df = q.with_rows(spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i long, j string"), "i")
+    found = nested.fields(df, "j")
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(name" in plan and f"{q.ROW}#" in plan and not any("hashpartitioning" in line and q.ROW in line for line in plan.splitlines())
+    leaves = df.select(q.ROW, nested.leaves(F.col("j")).alias("x")).collect()
+    first, last = {}, {}
+    for row, x in sorted((d[0], d["x"]) for d in leaves if d["x"] is not None):
+        for k, e in enumerate(x):
+            first.setdefault(e["name"], (row, k))
+            last[e["name"], row] = (e["kind"], e["text"])
+    for d in found.collect():
+        mine = [v for (n, _), v in last.items() if n == d["name"]]
+        assert (d["position"], d["n"], d["nulls"]) == (sorted(first.values()).index(first[d["name"]]), len(mine), sum(k == "null" for k, _ in mine))
+        assert (d["kinds"], d["distinct"]) == (sorted({k for k, _ in mine}), len({v for v in mine if v[1] is not None}))
+
+
 def test_clashing_names_and_order_of_files(spark, tmp_path):
     (tmp_path / "a.jsonl").write_text('{"z": 1, "a": {"b": 1}, "a_b": 2}\n\n{"a_b": 3, "a": {"b": 4}, "m": ""}\n')
     df = files.load(spark, str(tmp_path / "a.jsonl"))
