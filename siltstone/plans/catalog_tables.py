@@ -154,6 +154,9 @@ def kpi_distinct(spark, sf_dir):
 
 # ---- streams
 
+#: Rows of a file of the stream, at least.
+_FILE_ROWS = 100_000
+
 
 @registered("""WITH e AS (SELECT user_id, event_id, ts, CASE WHEN event_id % 10 = 0 THEN 1 ELSE 0 END AS again FROM events), s AS (SELECT *, CASE WHEN ts < lag(ts) OVER w + INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS new FROM e WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
 g AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM s)
@@ -168,11 +171,14 @@ def stream_state_sessions(spark, sf_dir):
     rows = twice.withColumn("come", late)
     span = rows.agg(F.min("come").alias("a"), F.max("come").alias("b")).first()
     days = [span["a"] + (span["b"] - span["a"]) * k / 4 for k in range(5)]
-    for low, high in zip(days, days[1:], strict=False):  # four batches by the time at which rows come
-        part = rows.filter((F.col("come") >= F.lit(low)) & (F.col("come") < F.lit(high) if high != days[-1] else F.lit(True)))
-        part.drop("come").coalesce(1).write.mode("append").parquet(f"{folder}/in")
+    parts = [(F.col("come") >= F.lit(low)) & (F.col("come") < F.lit(high) if high != days[-1] else F.lit(True)) for low, high in zip(days, days[1:], strict=False)]
+    # four batches by the time at which rows come, each of as many files, none of them empty: so a batch is written by many tasks
+    least = min(rows.agg(*(F.count_if(p).alias(f"n{k}") for k, p in enumerate(parts))).first())
+    n_files = max(1, least // _FILE_ROWS)
+    for part in parts:
+        rows.filter(part).drop("come").repartition(n_files).write.mode("append").parquet(f"{folder}/in")
     end.coalesce(1).write.mode("append").parquet(f"{folder}/in")
-    stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
+    stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", n_files).parquet(f"{folder}/in")
     stateful.write(stateful.sessions(stream, late="3 hours"), f"{folder}/out", f"{folder}/state").awaitTermination()
     return spark.read.parquet(f"{folder}/out").withColumns({c: F.date_format(c, "yyyy-MM-dd HH:mm:ss") for c in ("start", "stop")})
 

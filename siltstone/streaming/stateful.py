@@ -8,7 +8,8 @@ state for each key that it touches, whatever the number of its rows.
 from __future__ import annotations
 
 import datetime as dt
-from collections.abc import Iterator
+from bisect import bisect_right
+from collections.abc import Iterable, Iterator
 from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, Row, SparkSession
@@ -20,6 +21,8 @@ _PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 _ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 _STATE = "starts array<long>, stops array<long>, counts array<long>, repeats array<long>, ids array<long>, times array<long>"
 
+_BEGIN = dt.datetime(1970, 1, 1, tzinfo=dt.timezone.utc)
+
 
 def _micros(t: dt.datetime) -> int:
     return int((t.replace(tzinfo=dt.timezone.utc) if t.tzinfo is None else t).timestamp()) * 1_000_000 + t.microsecond
@@ -50,6 +53,29 @@ class Open:
                 rest.append(s)
         self.sessions = [*rest, [low, high, n, repeats]]
 
+    def add_all(self, events: Iterable[tuple[int, int]]) -> None:
+        """What :meth:`add` does to each event in turn, with one sweep over all sessions: cost by their number, not its square."""
+        again = []
+        for ident, at in events:
+            if ident in self.seen:
+                again.append(self.seen[ident])
+            else:
+                self.seen[ident] = at
+                self.sessions.append([at, at + self.gap, 1, 0])
+        joined: list[list[int]] = []
+        for s in sorted(self.sessions):
+            if joined and s[0] < joined[-1][1]:
+                low, high, n, repeats = joined[-1]
+                joined[-1] = [low, max(high, s[1]), n + s[2], repeats + s[3]]
+            else:
+                joined.append(s)
+        self.sessions = joined
+        starts = [s[0] for s in joined]
+        for at in again:
+            k = bisect_right(starts, at) - 1
+            if k >= 0 and at < joined[k][1]:
+                joined[k][3] += 1
+
     def close(self, watermark: int) -> list[list[int]]:
         """Take out the sessions that end before the watermark, and forget ids from before it: later rows that old are dropped."""
         done = sorted(s for s in self.sessions if s[1] <= watermark)
@@ -58,6 +84,10 @@ class Open:
         self.seen = {k: t for k, t in self.seen.items() if t >= min(watermark, first)}
         return done
 
+    def due(self) -> int | None:
+        """When the first session ends, in milliseconds."""
+        return -(-min(s[1] for s in self.sessions) // 1000) if self.sessions else None
+
     def state(self) -> tuple:
         columns = [list(x) for x in zip(*self.sessions, strict=True)] or [[], [], [], []]
         return (*columns, list(self.seen), list(self.seen.values()))
@@ -81,30 +111,33 @@ class SessionProcessor(StatefulProcessor):
 
     def _rows(self, key: tuple, done: list[list[int]]) -> Iterator[Row]:
         for start, stop, n, repeats in done:
-            yield Row(key=key[0], start=dt.datetime.fromtimestamp(start // 1_000_000, dt.timezone.utc) + dt.timedelta(microseconds=start % 1_000_000), stop=dt.datetime.fromtimestamp(stop // 1_000_000, dt.timezone.utc) + dt.timedelta(microseconds=stop % 1_000_000), n=n, repeats=repeats)
+            yield Row(key=key[0], start=_BEGIN + dt.timedelta(microseconds=start), stop=_BEGIN + dt.timedelta(microseconds=stop), n=n, repeats=repeats)
 
-    def _timer(self, held: Open) -> None:
-        if held.sessions:
-            self.handle.registerTimer(-(-min(s[1] for s in held.sessions) // 1000))
+    def _timer(self, before: int | None, due: int | None) -> None:
+        """One timer for each key: a stale one would bring a second visit."""
+        if before != due:
+            if before is not None:
+                self.handle.deleteTimer(before)
+            if due is not None:
+                self.handle.registerTimer(due)
 
     def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues) -> Iterator[Row]:
-        held = Open(self.gap, self.open.get() if self.open.exists() else None)
+        held = Open(self.gap, self.open.get())
+        before = held.due()
         watermark = timerValues.getCurrentWatermarkInMs() * 1000
-        for r in rows:
-            if (at := _micros(r["ts"])) >= watermark:  # Spark itself drops late rows by the watermark of one batch before
-                held.add(r["id"], at)
+        # Spark itself drops late rows by the watermark of one batch before
+        held.add_all((r["id"], at) for r in rows if (at := _micros(r["ts"])) >= watermark)
         done = held.close(watermark)
         self._write(held)
-        self._timer(held)
+        self._timer(before, held.due())
         return self._rows(key, done)
 
     def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[Row]:
-        if not self.open.exists():
-            return iter(())
         held = Open(self.gap, self.open.get())
         done = held.close(timerValues.getCurrentWatermarkInMs() * 1000)
-        self._write(held)
-        self._timer(held)
+        if done:
+            self._write(held)
+        self._timer(None, held.due())
         return self._rows(key, done)
 
 

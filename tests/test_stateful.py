@@ -82,3 +82,65 @@ def test_rows_later_than_allowed_are_dropped(spark, tmp_path):
     at = lambda m: BEGIN + dt.timedelta(minutes=m)
     got = replay(spark, [[(1, 1, at(0))], [(2, 1, at(600))], [(3, 1, at(10)), (4, 1, at(610)), (None, 1, at(0)), (5, None, at(0)), (6, 1, None)], [END]], tmp_path, late="1 hour")
     assert got == [(1, at(0), at(30), 1, 0), (1, at(600), at(640), 2, 0)]
+
+
+def test_a_batch_at_once_is_its_events_in_turn():
+    r = random.Random(5)
+    for _ in range(300):
+        one, all_ = stateful.Open(10), stateful.Open(10)
+        for watermark in (0, 40, 90, 10**6):
+            batch = [(r.randint(0, 25), r.randint(watermark, watermark + 60)) for _ in range(r.randint(0, 25))]
+            for event in batch:
+                one.add(*event)
+            all_.add_all(batch)
+            assert sorted(one.sessions) == all_.sessions and one.seen == all_.seen
+            assert one.close(watermark) == all_.close(watermark)
+
+
+class Held:
+    """What the processor asks of Spark: one key's state and timers, with the number of calls."""
+
+    def __init__(self):
+        self.value, self.timers, self.calls = None, set(), 0
+
+    def getValueState(self, name, schema):
+        return self
+
+    def get(self):
+        self.calls += 1
+        return self.value
+
+    def exists(self):
+        self.calls += 1
+        return self.value is not None
+
+    def update(self, value):
+        self.calls += 1
+        self.value = value
+
+    def clear(self):
+        self.value = None
+
+    def registerTimer(self, at):
+        self.timers.add(at)
+
+    def deleteTimer(self, at):
+        self.timers.discard(at)
+
+    def getCurrentWatermarkInMs(self):
+        return self.watermark
+
+
+def test_a_key_has_one_timer_and_a_batch_one_read():
+    held = Held()
+    processor = stateful.SessionProcessor(10)
+    processor.init(held)
+    got = []
+    for k in range(5):
+        held.watermark, held.calls = max(0, k * 100_000 - 1), 0
+        rows = [{"id": 100 * k + i, "ts": dt.datetime(1970, 1, 1) + dt.timedelta(seconds=100 * k + 20 * i)} for i in (3, 1, 2, 4, 0)]
+        got += processor.handleInputRows((7,), iter(rows), held)
+        assert held.calls == 2 and len(held.timers) == 1 and min(held.timers) > held.watermark
+    held.watermark = 10**9
+    got += processor.handleExpiredTimer((7,), held, None)
+    assert [(r["start"].timestamp(), r["n"], r["repeats"]) for r in got] == [(20.0 * i, 1, 0) for i in range(25)] and held.value is None
