@@ -37,14 +37,16 @@ def read_csv(spark: SparkSession, path: str, delimiter: str | None = None, limit
         if first is None:
             raise ValueError("the file has no header")
         delimiter = sniff(first[0])
-    options = {"sep": delimiter, "multiLine": _spans_lines(spark, path), "escape": '"', "nullValue": ""}
+    # the escape of an escape is a NUL if not given, which cells then lose
+    options = {"sep": delimiter, "multiLine": _spans_lines(spark, path), "escape": '"', "charToEscapeQuoteEscaping": '"', "nullValue": ""}
     header = spark.read.options(header=False, **options).csv(path).first()
     df = spark.read.options(header=True, **options).csv(path)
     named = [c for c, h in zip(df.columns, header, strict=True) if h is not None and h.strip()]
     if not named:
         raise ValueError("the file has no header")
     df = df.select(*(F.col(quoted(c)) for c in named))
-    df = df.filter(~F.forall(F.array(*(F.col(quoted(c)) for c in df.columns)), is_blank))
+    # a lambda, as forall gives a function a Column for each of its parameters
+    df = df.filter(~F.forall(F.array(*(F.col(quoted(c)) for c in df.columns)), lambda c: is_blank(c)))
     if not df.head(1):
         raise ValueError("the file has a header but no rows")
     return df if limit is None else df.limit(limit)

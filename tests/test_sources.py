@@ -2,6 +2,7 @@ import json
 
 import pytest
 
+from siltstone.plans import catalog
 from siltstone.sources import files, text_tables
 from siltstone.streaming import windows
 
@@ -18,6 +19,22 @@ def test_csv(spark, tmp_path):
         files.load(spark, str(tmp_path / "e.csv"))
 
 
+def test_csv_lines_go_only_if_every_cell_is_blank(spark, tmp_path):
+    (tmp_path / "b.csv").write_text("a,b\n1,x\n \t,\u3000\n\u00a0,y\n\u00a0,\n2,\n", encoding="utf-8")
+    assert [tuple(r) for r in files.read_csv(spark, str(tmp_path / "b.csv")).collect()] == [("1", "x"), ("\u00a0", "y"), ("2", None)]
+
+
+def test_csv_scan_keeps_cells_as_they_are(spark, tmp_path):
+    duckdb = pytest.importorskip("duckdb")
+    names = [" lead", "trail ", "\ttab\t", " ", '"', 'q"q', "a,b", "a\nb", "a\r\nb", "a\rb", "back\\", None, "\u3000", "null", "x\0y"]
+    rows = [(4 * i + k, name) for i, name in enumerate(names) for k in (0, 1)] + [(None, "x"), (-3, "y")]
+    spark.createDataFrame(rows, "n_nationkey int, n_name string").coalesce(1).write.parquet(str(tmp_path / "nation.parquet"))
+    con = duckdb.connect()
+    con.execute(f"create view nation as select * from '{tmp_path}/nation.parquet/*.parquet'")
+    got = [tuple(r) for r in catalog.QUERIES["csv_scan"](spark, str(tmp_path)).select("id", "_cname", "note").collect()]
+    assert sorted(got, key=repr) == sorted(con.execute(catalog.SQL["csv_scan"]).fetchall(), key=repr) and len(got) == len(rows)
+
+
 def test_json(spark, tmp_path):
     p = tmp_path / "a.json"
     p.write_text(json.dumps([{"a": 1, "b": {"c": "", "d": {"e": {"f": {"g": 1}}}}, "l": [1]}, {"a": 2}]))
